@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_extract import extract_pages
+from .license_scan import scan_licenses
 from .quality_rules import apply_quality_rules
+from .secret_scan import scan_secrets
+from .sentencepiece import encode
 from .shared import table
 from .sharding import shard_by_bytes
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -24,8 +36,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "licenses", "best_license", F.round("best_dice", 6).alias("best_dice"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_html_extraction": op5_html_extraction,
         "op6_sharding": op6_sharding,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_quality_rules": op8_quality_rules,
+        "op9_license_scan": op9_license_scan,
+        "op10_secret_scan": op10_secret_scan,
     }

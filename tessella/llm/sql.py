@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES, bigrams_of
 from .quality_rules import BOILERPLATE, QualityRules
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -69,5 +70,36 @@ FROM statistics JOIN by_line USING (uid)
 """
 
 
+def license_scan_sql(threshold: float = 0.8) -> str:
+    values = ", ".join(
+        f"('{name}', [{', '.join(repr(b) for b in bigrams)}])" for name, bigrams in ((n, bigrams_of(t)) for n, t in TEMPLATES)
+    )
+    return rf"""
+WITH templates(id, b) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS uid, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+lines AS (SELECT uid, unnest(regexp_split_to_array(text, '\n')) AS line FROM docs),
+units AS (
+  SELECT uid, line AS unit FROM lines
+  UNION SELECT uid, unnest(regexp_split_to_array(line, '[.!?]+[\x20\x09-\x0D]+')) FROM lines
+), worded AS (
+  SELECT uid, unit, string_split(trim(regexp_replace(unit, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units
+), paired AS (
+  SELECT uid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM worded WHERE len(w) BETWEEN 2 AND 60
+), rated AS (
+  SELECT uid, unit, id, 2.0::DOUBLE * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b)) AS dice
+  FROM paired p JOIN templates t ON list_has_any(p.b, t.b)
+), best AS (
+  SELECT uid, unit, max(dice) AS dice, min(id) FILTER (dice = top) AS id
+  FROM (SELECT *, max(dice) OVER (PARTITION BY uid, unit) AS top FROM rated) WHERE top >= {threshold} GROUP BY uid, unit
+), by_doc AS (
+  SELECT uid, string_agg(DISTINCT id, ',' ORDER BY id) AS licenses, min(id) FILTER (dice = top) AS best_license, max(dice) AS best_dice
+  FROM (SELECT *, max(dice) OVER (PARTITION BY uid) AS top FROM best) GROUP BY uid
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
+FROM docs LEFT JOIN by_doc USING (uid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules_sql()}
+    return {"op8_quality_rules": quality_rules_sql(), "op9_license_scan": license_scan_sql()}
