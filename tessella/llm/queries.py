@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_overlaps
 from .html_extract import extract_pages
 from .license_scan import scan_licenses
+from .quality_classifier import score_quality
 from .quality_rules import apply_quality_rules
 from .secret_scan import scan_secrets
 from .sentencepiece import encode
@@ -16,6 +18,21 @@ from .shared import table
 from .sharding import shard_by_bytes
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_overlaps(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return out.select(
+        "doc_id",
+        (F.size("overlaps") > 0).alias("contaminated"),
+        F.array_distinct(F.transform("overlaps", lambda o: o["item_id"])).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["agree"])), F.lit(0)).alias("max_agree"),
+    )
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -48,6 +65,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op4_decontamination": op4_decontamination,
         "op5_html_extraction": op5_html_extraction,
         "op6_sharding": op6_sharding,
         "op7_sentencepiece": op7_sentencepiece,
