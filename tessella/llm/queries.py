@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
 from .html_extract import extract_pages
+from .jaccard_join import join_similar
 from .license_scan import scan_licenses
 from .quality_classifier import score_quality
 from .quality_rules import apply_quality_rules
@@ -22,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find_overlaps(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -66,6 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op5_html_extraction": op5_html_extraction,
         "op6_sharding": op6_sharding,
