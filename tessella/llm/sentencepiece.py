@@ -21,6 +21,7 @@ Extra columns pass through; ``ids``, ``n_tokens`` and ``decoded`` are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,8 +35,10 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: More than there are pieces and code points.
+SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 
 
 @dataclass
@@ -50,12 +53,21 @@ class Vocabulary:
     bpe: bool = True
     dummy_prefix: bool = True
     longest: int = 1
-    _pairs: dict[tuple[int, int], bool] = field(default_factory=dict, repr=False)
-    _whole: dict[str, bool] = field(default_factory=dict, repr=False)
-    _cache: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    digest: str = ""
+    #: Lengths of the pieces that end with some two or three letters, longest first.
+    lengths: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    #: Ids of the bytes that aren't characters by themselves.
+    high_bytes: dict[int, bytes] = field(default_factory=dict, repr=False)
+    least: float = 0.0
+    _pairs: dict[int, bool] = field(default_factory=dict, repr=False)
+    _young: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    _old: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def symbol(self, k: int) -> str:
+        return self.text[k] if k < len(self.text) else chr(k - len(self.text))
 
     def __getstate__(self):
-        return {k: ({} if k in ("_pairs", "_whole", "_cache") else v) for k, v in self.__dict__.items()}
+        return {k: ({} if k in ("_pairs", "_young", "_old") else v) for k, v in self.__dict__.items()}
 
 
 def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -79,18 +91,37 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
     for i in range(n):
         if sp.is_byte(i):
             byte_ids[int(sp.id_to_piece(i)[3:-1], 16)] = i
+    for b in range(128):
+        if byte_ids[b] >= 0:
+            text[byte_ids[b]] = chr(b)
     scores = [sp.get_score(i) for i in range(n)]
-    # A BPE model's scores are the negated ranks of its merges, those of a unigram model aren't whole.
-    return Vocabulary(
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    v = Vocabulary(
         pieces,
         scores,
         text,
         byte_ids if min(byte_ids) >= 0 else [],
         sp.unk_id(),
+        # A BPE model's scores are the negated ranks of its merges, those of a unigram model aren't whole.
         bpe=all(x == int(x) for x in scores),
         dummy_prefix=sp.normalize(probe) == plain,
         longest=max(map(len, pieces)),
+        digest=digest,
+        high_bytes={byte_ids[b]: bytes([b]) for b in range(128, 256) if byte_ids[b] >= 0},
+        least=min(scores) - 10,
     )
+    if v.bpe:
+        # A piece that its own letters don't merge to is never the answer.
+        ends: dict[str, set[int]] = {}
+        for p in [p for p in pieces if len(p) > 1]:
+            if merged(v, p) != [p]:
+                del pieces[p]
+                continue
+            ends.setdefault(p[-2:], set()).add(len(p))
+            ends.setdefault(p[-3:], set()).add(len(p))
+        v.lengths = {e: tuple(sorted((k | ends.get(e[-2:], set()) & {2}) if len(e) > 2 else k & {2}, reverse=True)) for e, k in ends.items()}
+    return v
 
 
 def merged(v: Vocabulary, word: str) -> list[str]:
@@ -108,67 +139,82 @@ def merged(v: Vocabulary, word: str) -> list[str]:
     return parts
 
 
-def _agrees(v: Vocabulary, a: str, b: str) -> bool:
-    """Whether a and b, side by side, encode to themselves."""
-    key = (a, b)
-    got = v._pairs.get(key)
-    if got is None:
-        if len(v._pairs) > 4 * CACHE_WORDS:
-            v._pairs.clear()
-        got = v._pairs[key] = merged(v, a + b) == [a, b]
-    return got
-
-
-def _reachable(v: Vocabulary, piece: str) -> bool:
-    got = v._whole.get(piece)
-    if got is None:
-        got = v._whole[piece] = merged(v, piece) == [piece]
+def _agrees(v: Vocabulary, a: int, b: int) -> bool:
+    """Whether symbols a and b, side by side, encode to themselves."""
+    if len(v._pairs) > 4 * CACHE_WORDS:
+        v._pairs.clear()
+    left, right = v.symbol(a), v.symbol(b)
+    got = v._pairs[a * SYMBOLS + b] = merged(v, left + right) == [left, right]
     return got
 
 
 def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-    """Ids of each of the sorted distinct words; the forward state up to a common prefix is reused."""
-    state: list[str] = [""]  # the piece that ends the best path of each prefix
-    total: list[float] = [0.0]
+    """Ids of each of the sorted distinct words; the forward state up to a common prefix is reused.
+
+    The state of a prefix is the symbol that ends its best path, and its length.
+    A letter outside the vocabulary is the symbol of its code point after the pieces.
+    """
+    state, size, total = [0], [0], [0.0]
     before = ""
-    pieces, longest = v.pieces, v.longest
+    pieces, lengths, pairs, none, n_pieces = v.pieces, v.lengths, v._pairs, (), len(v.text)
     for word in words:
         n = min(len(before), len(word))
         i = 0
         while i < n and before[i] == word[i]:
             i += 1
-        del state[i + 1 :], total[i + 1 :]
+        del state[i + 1 :], size[i + 1 :], total[i + 1 :]
         for end in range(i + 1, len(word) + 1):
-            chosen, best = word[end - 1], None
-            for begin in range(max(0, end - longest), end):
-                piece = word[begin:end]
-                k = pieces.get(piece)
-                if k is None and begin < end - 1:
-                    continue
-                if v.bpe:
-                    if (begin == end - 1 or _reachable(v, piece)) and (begin == 0 or _agrees(v, state[begin], piece)):
-                        chosen = piece
-                        break
-                else:
-                    score = total[begin] + (v.scores[k] if k is not None else min(v.scores) - 10)
+            chosen, width = -1, 1
+            if v.bpe:
+                # Lengths of the pieces that end with these three letters, or else two, longest first.
+                for k in (lengths.get(word[end - 3 : end]) or lengths.get(word[end - 2 : end], none)) if end > 2 else (end,):
+                    if k > end or k < 2:
+                        continue
+                    piece = pieces.get(word[end - k : end])
+                    if piece is None:
+                        continue
+                    if k < end:
+                        last = state[end - k]
+                        agrees = pairs.get(last * SYMBOLS + piece)
+                        if agrees is None:
+                            agrees = _agrees(v, last, piece)
+                        if not agrees:
+                            continue
+                    chosen, width = piece, k
+                    break
+            else:
+                best = None
+                for begin in range(max(0, end - v.longest), end):
+                    k = pieces.get(word[begin:end])
+                    if k is None and begin < end - 1:
+                        continue
+                    score = total[begin] + (v.scores[k] if k is not None else v.least)
                     if best is None or score > best:
-                        chosen, best = piece, score
+                        chosen, width, best = -1 if k is None else k, end - begin, score
+                total.append(best)
+            if chosen < 0:
+                letter = word[end - 1]
+                chosen = pieces.get(letter, -1)
+                if chosen < 0:
+                    chosen = n_pieces + ord(letter)
             state.append(chosen)
-            total.append(best or 0.0)
+            size.append(width)
         before = word
-        path, at = [], len(word)
+        ids, at = [], len(word)
         while at > 0:
-            path.append(state[at])
-            at -= len(state[at])
-        ids: list[int] = []
-        for piece in reversed(path):
-            k = pieces.get(piece)
-            if k is not None:
-                ids.append(k)
-            elif v.byte_ids:
-                ids.extend(v.byte_ids[b] for b in piece.encode())
-            else:
-                ids.append(v.unknown)
+            ids.append(state[at])
+            at -= size[at]
+        ids.reverse()
+        if max(ids) >= n_pieces:
+            plain = []
+            for k in ids:
+                if k < n_pieces:
+                    plain.append(k)
+                elif v.byte_ids:
+                    plain.extend([v.byte_ids[b] for b in chr(k - n_pieces).encode()])
+                else:
+                    plain.append(v.unknown)
+            ids = plain
         yield word, ids
 
 
@@ -178,31 +224,46 @@ def marked(v: Vocabulary, text: str) -> str:
 
 def encode_texts(v: Vocabulary, texts: list[str | None]) -> list[list[int]]:
     split = [_WORD.findall(marked(v, t or "")) for t in texts]
-    cache = v._cache
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    cache.update(encode_sorted(v, sorted({w for ws in split for w in ws} - cache.keys())))
+    # Two generations of words: those in use move to the younger, the elder goes when it is full.
+    young, old = v._young, v._old
+    if len(young) > CACHE_WORDS:
+        v._old, v._young = young, {}
+        young, old = v._young, v._old
+    distinct = set().union(*split).difference(young)
+    if old:
+        again = [w for w in distinct if w in old]
+        young.update([(w, old[w]) for w in again])
+        distinct.difference_update(again)
+    young.update(encode_sorted(v, sorted(distinct)))
     out = []
     for ws in split:
         ids: list[int] = []
         for w in ws:
-            ids += cache[w]
+            ids += young[w]
         out.append(ids)
     return out
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     """Text of the ids: byte pieces are joined to UTF-8, marks become spaces, the dummy prefix goes."""
-    byte_of = {k: b for b, k in enumerate(v.byte_ids)}
-    if byte_of.keys().isdisjoint(ids):
+    if v.high_bytes.keys().isdisjoint(ids):
         text = "".join([v.text[k] for k in ids])
     else:
-        text = b"".join([bytes([byte_of[k]]) if k in byte_of else v.text[k].encode() for k in ids]).decode(errors="replace")
+        text = b"".join([v.high_bytes.get(k) or v.text[k].encode() for k in ids]).decode(errors="replace")
     text = text.replace(MARK, " ")
     return text[1:] if v.dummy_prefix and text.startswith(" ") else text
 
 
+_resident: dict[str, Vocabulary] = {}
+
+
+def resident(v: Vocabulary) -> Vocabulary:
+    """The copy of a vocabulary that stays in this process, with the words it has seen in earlier tasks."""
+    return _resident.setdefault(v.digest, v)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str, step: int) -> Iterator[pa.RecordBatch]:
+    v = resident(v)
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
