@@ -17,25 +17,27 @@ from .secret_scan import scan_secrets
 from .sentencepiece import encode
 from .shared import table
 from .sharding import shard_by_bytes
+from .suffix_dedup import repeated_passages
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more; a document without one has no row."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps with the benchmark; a clean document has no row."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find_overlaps(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
-    return out.select(
-        "doc_id",
-        (F.size("overlaps") > 0).alias("contaminated"),
-        F.array_distinct(F.transform("overlaps", lambda o: o["item_id"])).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["agree"])), F.lit(0)).alias("max_agree"),
-    )
+    return out.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op5_html_extraction": op5_html_extraction,
