@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .wordhash import text_chunks
+
 #: Path of the model that is used unless another is given.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Bytes of text whose words are sorted together; neighbours share more of their state in a larger set.
+STEP_BYTES = 4_000_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 @dataclass
@@ -54,20 +60,21 @@ class Vocabulary:
     dummy_prefix: bool = True
     longest: int = 1
     digest: str = ""
-    #: Lengths of the pieces that end with some two or three letters, longest first.
+    #: Lengths of the pieces that end with some two to four letters, longest first.
     lengths: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
     #: Ids of the bytes that aren't characters by themselves.
     high_bytes: dict[int, bytes] = field(default_factory=dict, repr=False)
     least: float = 0.0
     _pairs: dict[int, bool] = field(default_factory=dict, repr=False)
-    _young: dict[str, list[int]] = field(default_factory=dict, repr=False)
-    _old: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    _lossy: set[str] = field(default_factory=set, repr=False)
+    _young: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _old: dict[str, bytes] = field(default_factory=dict, repr=False)
 
     def symbol(self, k: int) -> str:
         return self.text[k] if k < len(self.text) else chr(k - len(self.text))
 
     def __getstate__(self):
-        return {k: ({} if k in ("_pairs", "_young", "_old") else v) for k, v in self.__dict__.items()}
+        return {k: (type(v)() if k in ("_pairs", "_young", "_old", "_lossy") else v) for k, v in self.__dict__.items()}
 
 
 def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -118,9 +125,11 @@ def load_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
             if merged(v, p) != [p]:
                 del pieces[p]
                 continue
-            ends.setdefault(p[-2:], set()).add(len(p))
-            ends.setdefault(p[-3:], set()).add(len(p))
-        v.lengths = {e: tuple(sorted((k | ends.get(e[-2:], set()) & {2}) if len(e) > 2 else k & {2}, reverse=True)) for e, k in ends.items()}
+            for k in (2, 3, 4):
+                if len(p) >= k:
+                    ends.setdefault(p[-k:], set()).add(len(p))
+        fit = {e: k | {j for j in range(2, len(e)) if e[-j:] in pieces} for e, k in ends.items()}
+        v.lengths = {e: tuple(sorted(k, reverse=True)) for e, k in fit.items()}
     return v
 
 
@@ -148,27 +157,36 @@ def _agrees(v: Vocabulary, a: int, b: int) -> bool:
     return got
 
 
-def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-    """Ids of each of the sorted distinct words; the forward state up to a common prefix is reused.
+def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Ids (32 bits each) of each of the sorted distinct words; the forward state up to a common prefix is reused.
 
     The state of a prefix is the symbol that ends its best path, and its length.
     A letter outside the vocabulary is the symbol of its code point after the pieces.
     """
     state, size, total = [0], [0], [0.0]
     before = ""
+    shorter = ((), (), (2,), (3, 2))
     pieces, lengths, pairs, none, n_pieces = v.pieces, v.lengths, v._pairs, (), len(v.text)
     for word in words:
-        n = min(len(before), len(word))
-        i = 0
-        while i < n and before[i] == word[i]:
-            i += 1
-        del state[i + 1 :], size[i + 1 :], total[i + 1 :]
+        # Neighbours in order differ near their ends.
+        i = min(len(before), len(word))
+        if i > 64:
+            i = bisect_left(range(i), True, key=lambda k: before[: k + 1] != word[: k + 1])
+        while before[:i] != word[:i]:
+            i -= 1
+        del state[i + 1 :], size[i + 1 :]
+        if not v.bpe:
+            del total[i + 1 :]
         for end in range(i + 1, len(word) + 1):
             chosen, width = -1, 1
             if v.bpe:
-                # Lengths of the pieces that end with these three letters, or else two, longest first.
-                for k in (lengths.get(word[end - 3 : end]) or lengths.get(word[end - 2 : end], none)) if end > 2 else (end,):
-                    if k > end or k < 2:
+                # Lengths of the pieces that end with these four letters, or else three or two, longest first.
+                if end > 3:
+                    fit = lengths.get(word[end - 4 : end]) or lengths.get(word[end - 3 : end]) or lengths.get(word[end - 2 : end], none)
+                else:
+                    fit = shorter[end]
+                for k in fit:
+                    if k > end:
                         continue
                     piece = pieces.get(word[end - k : end])
                     if piece is None:
@@ -215,42 +233,47 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, list[i
                 else:
                     plain.append(v.unknown)
             ids = plain
-        yield word, ids
+        yield word, array("i", ids).tobytes()
 
 
 def marked(v: Vocabulary, text: str) -> str:
     return ((" " if v.dummy_prefix else "") + text).replace(" ", MARK) if text else ""
 
 
-def encode_texts(v: Vocabulary, texts: list[str | None]) -> list[list[int]]:
+def encode_texts(v: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+    """Ids of each text, and whether they decode to the text (a mark in a text stands for a space)."""
     split = [_WORD.findall(marked(v, t or "")) for t in texts]
     # Two generations of words: those in use move to the younger, the elder goes when it is full.
     young, old = v._young, v._old
     if len(young) > CACHE_WORDS:
         v._old, v._young = young, {}
+        v._lossy = {w for w in v._lossy if w in young}
         young, old = v._young, v._old
     distinct = set().union(*split).difference(young)
     if old:
         again = [w for w in distinct if w in old]
         young.update([(w, old[w]) for w in again])
         distinct.difference_update(again)
-    young.update(encode_sorted(v, sorted(distinct)))
-    out = []
-    for ws in split:
-        ids: list[int] = []
-        for w in ws:
-            ids += young[w]
-        out.append(ids)
-    return out
+    letters = v.text.__getitem__
+    for w, ids in encode_sorted(v, sorted(distinct)):
+        young[w] = ids
+        # Words are decoded once each, too: a text comes back whole if its words do.
+        if "".join(map(letters, array("i", ids))) != w and _letters(v, array("i", ids)) != w:
+            v._lossy.add(w)
+    lossless = [v._lossy.isdisjoint(ws) for ws in split] if v._lossy else [True] * len(split)
+    return [np.frombuffer(b"".join([young[w] for w in ws]), np.int32) for ws in split], lossless
+
+
+def _letters(v: Vocabulary, ids: Sequence[int]) -> str:
+    """Pieces and joined byte pieces of the ids, with marks."""
+    if v.high_bytes.keys().isdisjoint(ids):
+        return "".join(map(v.text.__getitem__, ids))
+    return b"".join([v.high_bytes.get(k) or v.text[k].encode() for k in ids]).decode(errors="replace")
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     """Text of the ids: byte pieces are joined to UTF-8, marks become spaces, the dummy prefix goes."""
-    if v.high_bytes.keys().isdisjoint(ids):
-        text = "".join([v.text[k] for k in ids])
-    else:
-        text = b"".join([v.high_bytes.get(k) or v.text[k].encode() for k in ids]).decode(errors="replace")
-    text = text.replace(MARK, " ")
+    text = _letters(v, ids).replace(MARK, " ")
     return text[1:] if v.dummy_prefix and text.startswith(" ") else text
 
 
@@ -265,18 +288,17 @@ def resident(v: Vocabulary) -> Vocabulary:
 def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str, step: int) -> Iterator[pa.RecordBatch]:
     v = resident(v)
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+        for first, stop, _, _ in text_chunks(batch.column(column), step):
+            part = batch.slice(first, stop - first)
             texts = part.column(column).to_pylist()
-            ids = encode_texts(v, texts)
-            lossless = [decode_ids(v, k) == (t or "").replace(MARK, " ") for k, t in zip(ids, texts)]
+            ids, lossless = encode_texts(v, texts)
             lengths = np.array([len(k) for k in ids], np.int64)
-            flat = np.concatenate([np.asarray(k, np.int32) for k in ids]) if len(ids) else np.zeros(0, np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(lengths), pa.array(lossless)], names=[*part.schema.names, "ids", "n_tokens", "lossless"])
 
 
-def encode(df: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", step: int = 256) -> DataFrame:
+def encode(df: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", step: int = STEP_BYTES) -> DataFrame:
     """Add ids, n_tokens and lossless (whether decoding the ids gives the text)."""
     v = load_vocabulary(model)
     df = df.drop(*[c for c in ("ids", "n_tokens", "lossless") if c in df.columns])
