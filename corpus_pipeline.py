@@ -9,11 +9,10 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.jaccard_join import keep_one
-from tessella.llm.quality_rules import apply_quality_rules
+from tessella.llm.quality_rules import keep_clean
 from tessella.llm.secret_scan import redact_live
 from tessella.llm.sentencepiece import encode
 from tessella.llm.shared import materialise, table
@@ -21,8 +20,7 @@ from tessella.llm.shared import materialise, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that fail."""
-    kept = apply_quality_rules(docs).where("kept")
-    return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*docs.columns)
+    return keep_clean(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

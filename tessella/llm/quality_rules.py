@@ -14,12 +14,13 @@ columns pass through; columns whose names clash with those added are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, text_or_empty, words
+from .shared import materialise, text_or_empty, words
 
 # The symbols of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -65,9 +66,13 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_reason(line: Column, rules: QualityRules) -> Column:
-    """Name of the first rule the line fails, or null."""
-    n_words = _count(line, r"[^\x20\x09-\x0D]+")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, even where the optimiser inlines the result."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def line_reason(line: Column, n_words: Column, rules: QualityRules) -> Column:
+    """Name of the first rule the line of so many words fails, or null."""
     solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
     separators = _count(line, r"(?<![^\x20\x09-\x0D])[|»›•·]+(?![^\x20\x09-\x0D])")
     symbols = _count(line, r"[#*$%&|<>~^{}]")
@@ -90,31 +95,30 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = text_or_empty(text)
     df = df.withColumn("_words", words(t))
-    window = lambda x, i: F.struct(
-        F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("p")
-    )
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "_sorted": F.array_sort(F.transform(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))), window)),
-        }
-    )
-    same = lambda s, j, step: F.coalesce(s["h"] == F.get("_sorted", j + step)["h"], F.lit(False))
-    df = df.withColumn(
-        "_found",
-        F.array_sort(F.array_compact(F.transform("_sorted", lambda s, j: F.when(same(s, j, -1) | same(s, j, 1), s["p"])))),
-    )
-    covered = F.transform("_found", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_found", j + 1) - p, F.lit(3))))
+
+    def sorted_windows(w: Column) -> Column:
+        window = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
+        return F.array_sort(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), window))
+
+    def repeated(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+        return F.array_sort(F.array_compact(F.transform(s, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["p"]))))
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+
+    n_repeat_words = _let(F.col("_words"), lambda w: _let(sorted_windows(w), lambda s: _let(repeated(s), covered)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     return df.withColumns(
         {
+            "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, b: a + b).cast("long"),
+            "n_repeat_words": n_repeat_words.cast("long"),
         }
-    ).drop("_sorted", "_found", "_lines", "_words")
+    ).drop("_lines", "_words")
 
 
 def apply_quality_rules(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
@@ -122,11 +126,7 @@ def apply_quality_rules(df: DataFrame, rules: QualityRules = QualityRules(), tex
     df = base_statistics(df, text)
     judged = F.transform(
         F.split(text_or_empty(text), "\n"),
-        lambda x: F.struct(
-            x.alias("line"),
-            F.size(words(x)).alias("n"),
-            line_reason(x, rules).alias("reason"),
-        ),
+        lambda x: _let(F.size(words(x)), lambda n: F.struct(x.alias("line"), n.alias("n"), line_reason(x, n, rules).alias("reason"))),
     )
     df = df.withColumn("_judged", judged)
     bad = F.filter("_judged", lambda x: x["reason"].isNotNull())
@@ -141,4 +141,14 @@ def apply_quality_rules(df: DataFrame, rules: QualityRules = QualityRules(), tex
             "clean_text": F.array_join(F.transform(good, lambda x: x["line"]), "\n"),
         }
     ).drop("_judged")
+    # A filter on kept would be pushed below the projections and judge every text again:
+    # keep_clean() writes the verdicts first.
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * rules.max_loss))
+
+
+def keep_clean(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
+    """The kept rows of ``df`` with their failing lines removed; n_chars, if there, follows the text."""
+    judged = apply_quality_rules(df, rules, text).withColumn(text, F.col("clean_text"))
+    if "n_chars" in df.columns:
+        judged = judged.withColumn("n_chars", F.length(text).cast("long"))
+    return materialise(judged.select(*df.columns, F.col("kept").alias("_kept"))).where("_kept").select(*df.columns)
