@@ -65,7 +65,7 @@ def survival(threshold: float, depth: int) -> float:
 
 
 def runs_needed(threshold: float, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, MIN_DEPTH)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, MAX_DEPTH)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +301,8 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     held = leaves.groupBy("set_key").agg(F.collect_set("node").alias("others"))
     held = materialise(held.join(members, "set_key"))
     wanted = held.select(F.col("rep_id").alias("_id")).distinct()
-    payload = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_payload, "set_key long, shingles binary")
+    # Alike at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
+    payload = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_payload, "set_key long, shingles binary")
     payload = payload.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
     held = materialise(held.join(payload, "set_key"))
 
@@ -357,5 +358,5 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("_set", T.LongType())])
     keyed = df.mapInArrow(lambda it: _keyed(it, "text"), schema)
     full = keyed.where(F.col("_set").isNotNull())
-    kept = full.join(stays, full["doc_id"].eqNullSafe(F.col("_id")) & (full["_set"] == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_set"])
+    kept = full.join(stays.hint("merge"), full["doc_id"].eqNullSafe(F.col("_id")) & (full["_set"] == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_set"])
     return kept.select(*df.columns).unionByName(keyed.where(F.col("_set").isNull()).select(*df.columns))

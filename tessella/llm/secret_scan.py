@@ -171,7 +171,7 @@ def redact_live(df: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
         F.first(F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).alias("_spans")
     )
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash"), "_spans")
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
     # Left to right: text so far, and the offset up to which the source is used.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate(

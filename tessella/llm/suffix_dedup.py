@@ -159,7 +159,8 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     several = contexts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
     probes = contexts.join(several, "k", "left_semi").groupBy("at.key", "at.doc_id").agg(F.collect_list(F.struct(F.col("at.p").alias("p"), "n")).alias("probes"))
     probes = probes.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "probes")
-    placed = texts.join(probes, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", "probes")
+    # Alike at every size: the probes grow with the corpus, so they are never sent to all tasks.
+    placed = texts.join(probes.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", "probes")
     probed = materialise(placed.mapInArrow(_windows, "key long, s int, h long, n long"))
     # Rows that repeat a whole row of the table give their windows twice.
     again = probed.groupBy("h", "key", "s").agg(F.max("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
