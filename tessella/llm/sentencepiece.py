@@ -40,11 +40,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text whose words are sorted together; neighbours share more of their state in a larger set.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 3_000_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 
 
 @dataclass
@@ -150,7 +150,7 @@ def merged(v: Vocabulary, word: str) -> list[str]:
 
 def _agrees(v: Vocabulary, a: int, b: int) -> bool:
     """Whether symbols a and b, side by side, encode to themselves."""
-    if len(v._pairs) > 4 * CACHE_WORDS:
+    if len(v._pairs) > 2 * CACHE_WORDS:
         v._pairs.clear()
     left, right = v.symbol(a), v.symbol(b)
     got = v._pairs[a * SYMBOLS + b] = merged(v, left + right) == [left, right]
