@@ -34,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import materialise, release
 from .wordhash import mix, text_chunks, words_of
 
 SHINGLE = 5
@@ -139,8 +139,9 @@ def _embed(batches: Iterator[pa.RecordBatch], runs: int, threshold: float) -> It
             none[full] = False
             nodes_of = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=[f"p{i}" for i in range(levels)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), nodes_of)
+            part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(keys, mask=none), lists], names=["doc_id", "set_key", "nodes"]
+                [part.column("doc_id"), part.column("text_key"), pa.array(keys, mask=none), lists], names=["doc_id", "text_key", "set_key", "nodes"]
             )
 
 
@@ -232,12 +233,14 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["set_key", "links", "root"])
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("node", "a", "b", "own", "set_key", "copies", "others", "shingles")]
-        for row in zip(*columns):
-            if held and row[:3] != held[0][:3]:
-                out += _compare_group(held, threshold)
-                held = []
-            held.append(row)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            columns = [part.column(n).to_pylist() for n in ("node", "a", "b", "own", "set_key", "copies", "others", "shingles")]
+            for row in zip(*columns):
+                if held and row[:3] != held[0][:3]:
+                    out += _compare_group(held, threshold)
+                    held = []
+                held.append(row)
         yield flush()
     if held:
         out += _compare_group(held, threshold)
@@ -266,24 +269,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, limit: int = LIMIT, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, set_key, class_id (least id of the class), class_key, n_links (documents at or above the threshold)."""
+    """One row a document: doc_id, text_key, class_id (least id of the class), class_key, n_links (documents at or above the threshold)."""
     runs = runs_needed(threshold, recall)
     levels = MAX_DEPTH - MIN_DEPTH + 1
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    texts = df.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
     node_type = T.ArrayType(T.StructType([T.StructField(f"p{i}", T.LongType()) for i in range(levels)]))
-    schema = T.StructType([texts.schema["doc_id"], T.StructField("set_key", T.LongType()), T.StructField("nodes", node_type)])
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("nodes", node_type)])
     embedded = materialise(texts.mapInArrow(lambda it: _embed(it, runs, threshold), schema))
+    keyed = materialise(embedded.select("doc_id", "text_key", "set_key"))
 
-    members = embedded.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep_id"))
+    members = keyed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep_id"))
 
     # Down the tree: a node's distinct sets, those alone vanish, large nodes go one level deeper.
     paths_ = embedded.select("set_key", F.explode("nodes").alias("n")).select("set_key", "n.*")
-    leaves = None
+    leaves, spent = None, [embedded]
     for i in range(levels):
         at = [f"p{j}" for j in range(i, levels)]
         rows = paths_.select("set_key", F.col(at[0]).alias("node")).distinct()
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).cast("string").alias("content")).where("size > 1")
         sizes = materialise(sizes)
+        spent.append(sizes)
         done = sizes if i == levels - 1 else sizes.where(F.col("size") <= limit)
         found = rows.join(done, "node")
         leaves = found if leaves is None else leaves.unionByName(found)
@@ -292,19 +297,22 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
             if large.isEmpty():
                 break
             paths_ = materialise(paths_.join(large, at[0], "left_semi").select("set_key", *at[1:]).distinct())
+            spent.append(paths_)
     # Nodes with the same members: the first.
-    leaves = materialise(leaves)
-    first = leaves.groupBy("size", "content").agg(F.min("node").alias("node")).select("node")
-    leaves = materialise(leaves.join(first, "node", "left_semi").select("set_key", "node", "size"))
+    all_leaves = materialise(leaves)
+    release(*spent)
+    first = all_leaves.groupBy("size", "content").agg(F.min("node").alias("node")).select("node")
+    leaves = materialise(all_leaves.join(first, "node", "left_semi").select("set_key", "node", "size"))
+    release(all_leaves)
 
     # Shingles of the members that are left, from their texts.
     held = leaves.groupBy("set_key").agg(F.collect_set("node").alias("others"))
-    held = materialise(held.join(members, "set_key"))
-    wanted = held.select(F.col("rep_id").alias("_id")).distinct()
+    placed = materialise(held.join(members, "set_key"))
+    wanted = placed.select(F.col("rep_id").alias("_id")).distinct()
     # Alike at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
     payload = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_payload, "set_key long, shingles binary")
     payload = payload.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-    held = materialise(held.join(payload, "set_key"))
+    held = materialise(placed.join(payload, "set_key"))
 
     # Blocks: a node of n members is compared as all pairs of its ceil(n / limit) blocks.
     n_blocks = F.ceil(F.col("size") / limit).cast("int")
@@ -322,6 +330,7 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
         .mapInArrow(lambda it: _compare(it, threshold), "set_key long, links long, root long")
     )
     compared = materialise(compared)
+    release(placed, held, leaves)
 
     links = compared.groupBy("set_key").agg(F.sum("links").alias("links"))
     labels = components(compared.select("set_key", "root"))
@@ -334,29 +343,27 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     linked = materialise(linked)
     classes = linked.groupBy("class_key").agg(F.min("rep_id").alias("class_id"))
     by_set = linked.join(classes, "class_key").select("set_key", "n_links", "class_key", "class_id")
-    alone = embedded.where(F.col("set_key").isNull()).select(
-        "doc_id", "set_key", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links")
+    alone = keyed.where(F.col("set_key").isNull()).select(
+        "doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(0).cast("long").alias("n_links")
     )
-    return (
-        embedded.where(F.col("set_key").isNotNull()).select("doc_id", "set_key").join(by_set, "set_key").select("doc_id", "set_key", "class_id", "class_key", "n_links")
-    ).unionByName(alone)
+    found = keyed.where(F.col("set_key").isNotNull()).join(by_set, "set_key")
+    return found.select("doc_id", "text_key", "class_id", "class_key", "n_links").unionByName(alone)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in text_chunks(batch.column(text)):
-            sets, bounds = shingle_sets(data, offsets)
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_keys(sets, bounds), mask=np.diff(bounds) == 0)], names=[*part.schema.names, "_set"])
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def keep_one(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that stay: of each class the one of least id, and every text without words."""
+    """The rows of ``df`` that stay: of each class the one of least id, and the texts without words.
+
+    Of rows that are equal in id and text one stays.
+    """
     found = join_similar(df, **options)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("set_key").alias("s"))
-    stays = found.where(F.col("set_key").isNotNull()).groupBy("class_key").agg(F.min(order).alias("m")).select(F.col("m.id").alias("_id"), F.col("m.s").alias("_key"))
-    schema = T.StructType([*df.schema.fields, T.StructField("_set", T.LongType())])
-    keyed = df.mapInArrow(lambda it: _keyed(it, "text"), schema)
-    full = keyed.where(F.col("_set").isNotNull())
-    kept = full.join(stays.hint("merge"), full["doc_id"].eqNullSafe(F.col("_id")) & (full["_set"] == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "_set"])
-    return kept.select(*df.columns).unionByName(keyed.where(F.col("_set").isNull()).select(*df.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(order).alias("m")).select("m.id", "m.key")
+    alone = found.where(F.col("class_key").isNull()).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    stays = first.unionByName(alone).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = df.withColumn("_text_key", text_key())
+    kept = keyed.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*df.columns)

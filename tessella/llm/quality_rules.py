@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty, words
+from .shared import text_or_empty, words
 
 # The symbols of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -141,8 +141,7 @@ def apply_quality_rules(df: DataFrame, rules: QualityRules = QualityRules(), tex
             "clean_text": F.array_join(F.transform(good, lambda x: x["line"]), "\n"),
         }
     ).drop("_judged")
-    # A filter on kept would be pushed below the projections and judge every text again:
-    # keep_clean() writes the verdicts first.
+    # A filter on kept is pushed below the projections and judges every text twice; keep_clean() holds it back.
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * rules.max_loss))
 
 
@@ -151,4 +150,6 @@ def keep_clean(df: DataFrame, rules: QualityRules = QualityRules(), text: str =
     judged = apply_quality_rules(df, rules, text).withColumn(text, F.col("clean_text"))
     if "n_chars" in df.columns:
         judged = judged.withColumn("n_chars", F.length(text).cast("long"))
-    return materialise(judged.select(*df.columns, F.col("kept").alias("_kept"))).where("_kept").select(*df.columns)
+    # A projection with a row number isn't passed by filters that need it.
+    numbered = judged.select(*df.columns, F.col("kept").alias("_kept"), F.monotonically_increasing_id().alias("_row"))
+    return numbered.where(F.col("_kept") & (F.col("_row") >= 0)).select(*df.columns)
