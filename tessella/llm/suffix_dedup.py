@@ -139,7 +139,8 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     # Contexts of the grams that occur more than once, each with its count and one place.
     each = found.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
     often = each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    contexts = each.join(often, "k", "left_semi").groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "doc_id", "p")).alias("at"))
+    # A context has one gram. Grouped by the context alone, rows of one frequent gram are summed before they meet.
+    contexts = each.join(often, "k", "left_semi").groupBy("c").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.min(F.struct("key", "doc_id", "p")).alias("at"))
     contexts = materialise(contexts)
 
     copied = found.where(F.col("n_words") >= MIN_WORDS).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
@@ -147,11 +148,11 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     single = found.join(copied, "key", "left_anti")
 
     # Whole contexts that occur again.
-    whole = contexts.where("n > 1").select("k", "c")
+    whole = contexts.where("n > 1").select("c")
     full = (
         single.select("key", "n_words", F.explode("anchors").alias("a"))
         .select("key", "n_words", "a.*")
-        .join(whole, ["k", "c"], "left_semi")
+        .join(whole, "c", "left_semi")
         .select("key", F.greatest(F.col("p") - LEFT, F.lit(0)).alias("s"), F.least(F.col("p") + RIGHT, F.col("n_words")).alias("e"))
     )
 
