@@ -44,7 +44,7 @@ STEP_BYTES = 3_000_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -242,28 +242,37 @@ def marked(v: Vocabulary, text: str) -> str:
 
 def encode_texts(v: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
     """Ids of each text, and whether they decode to the text (a mark in a text stands for a space)."""
-    split = [_WORD.findall(marked(v, t or "")) for t in texts]
+    split = [_words(v, t or "") for t in texts]
     # Two generations of words: those in use move to the younger, the elder goes when it is full.
+    if len(v._young) > CACHE_WORDS:
+        v._old, v._young = v._young, {}
+        v._lossy.intersection_update(v._old)
     young, old = v._young, v._old
-    if len(young) > CACHE_WORDS:
-        v._old, v._young = young, {}
-        v._lossy = {w for w in v._lossy if w in young}
-        young, old = v._young, v._old
     distinct = set().union(*split).difference(young)
     if old:
         again = [w for w in distinct if w in old]
         young.update([(w, old[w]) for w in again])
         distinct.difference_update(again)
-    letters = v.text.__getitem__
-    for w, ids in encode_sorted(v, sorted(distinct)):
+    letters, head = v.text.__getitem__, MARK if v.dummy_prefix else ""
+    new = sorted(distinct)
+    for w, (word, ids) in zip(new, encode_sorted(v, [head + w for w in new])):
         young[w] = ids
         # Words are decoded once each, too: a text comes back whole if its words do.
-        if "".join(map(letters, array("i", ids))) != w and _letters(v, array("i", ids)) != w:
+        if "".join(map(letters, array("i", ids))) != word and _letters(v, array("i", ids)) != word:
             v._lossy.add(w)
     lossless = [v._lossy.isdisjoint(ws) for ws in split] if v._lossy else [True] * len(split)
     return [np.frombuffer(b"".join([young[w] for w in ws]), np.int32) for ws in split], lossless
 
 
+def _words(v: Vocabulary, text: str) -> list[str]:
+    """The marked words of a text, without their first mark where all have one."""
+    if not v.dummy_prefix:
+        return _WORD.findall(marked(v, text))
+    if not text or "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ") if text else []
+    return [w[1:] for w in _WORD.findall(marked(v, text))]
+
+
 def _letters(v: Vocabulary, ids: Sequence[int]) -> str:
     """Pieces and joined byte pieces of the ids, with marks."""
     if v.high_bytes.keys().isdisjoint(ids):
