@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_or_empty
+from .shared import bound_batches, text_or_empty
 from .wordhash import Words, mix, text_chunks, words_of, words_of_texts
 
 # The word positions that each mask compares.
@@ -166,7 +166,7 @@ def find_overlaps(
         carried = k > 0
         fields = [f for f in df.schema.fields if f.name != "overlaps" and not (drop and f.name == text)]
         schema = T.StructType([*fields, T.StructField("overlaps", kind)])
-        df = df.mapInArrow(lambda it, i=index, d=drop, c=carried: _find(it, text, i.value, span, agreement, d, c), schema)
+        df = bound_batches(df).mapInArrow(lambda it, i=index, d=drop, c=carried: _find(it, text, i.value, span, agreement, d, c), schema)
     return df
 
 

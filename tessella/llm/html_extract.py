@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import bound_batches
+
 # Elements whose whole content is dropped.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title head".split())
 # Elements that hold no running text of the article.
@@ -225,4 +227,4 @@ def extract_pages(df: DataFrame, column: str = "html", weights: dict[str, float]
     df = df.drop(*[c for c in ("text", "n_chars") if c in df.columns and c != column])
     kept = [f for f in df.schema.fields if f.name != column]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return df.mapInArrow(lambda it: _extract(it, column, weights), schema)
+    return bound_batches(df).mapInArrow(lambda it: _extract(it, column, weights), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, release
+from .shared import bound_batches, materialise, release
 from .wordhash import mix, text_chunks, words_of
 
 SHINGLE = 5
@@ -275,7 +275,7 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     texts = df.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
     node_type = T.ArrayType(T.StructType([T.StructField(f"p{i}", T.LongType()) for i in range(levels)]))
     schema = T.StructType([texts.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("nodes", node_type)])
-    embedded = materialise(texts.mapInArrow(lambda it: _embed(it, runs, threshold), schema))
+    embedded = materialise(bound_batches(texts).mapInArrow(lambda it: _embed(it, runs, threshold), schema))
     keyed = materialise(embedded.select("doc_id", "text_key", "set_key"))
 
     members = keyed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep_id"))
@@ -310,7 +310,7 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     placed = materialise(held.join(members, "set_key"))
     wanted = placed.select(F.col("rep_id").alias("_id")).distinct()
     # Alike at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
-    payload = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_payload, "set_key long, shingles binary")
+    payload = bound_batches(texts).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_payload, "set_key long, shingles binary")
     payload = payload.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
     held = materialise(placed.join(payload, "set_key"))
 

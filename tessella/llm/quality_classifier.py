@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import bound_batches, materialise
 from .wordhash import text_chunks, words_of
 
 STATISTICS = (
@@ -184,7 +184,7 @@ class QualityModel:
 def measure(documents: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of every text; written, as fit and scoring both read it."""
     schema = T.StructType([documents.schema["doc_id"], T.StructField("x", T.ArrayType(T.FloatType()))])
-    return materialise(documents.select("doc_id", "text").mapInArrow(_measure, schema))
+    return materialise(bound_batches(documents).select("doc_id", "text").mapInArrow(_measure, schema))
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", n_features: int = 256, bandwidth: float = 3.0, ridge: float = 1e-3, seed: int = 7, bins: int = 1000) -> QualityModel:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import bound_batches, materialise
 
 # Kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
@@ -121,7 +121,7 @@ def scan_secrets(
     )
     carried = [*keep_cols, "_repository", "_owner"]
     schema = T.StructType([narrow.schema[c] for c in carried] + _SCHEMA.fields)
-    scanned = narrow.mapInArrow(lambda it: _scan(it, "_text", carried), schema).withColumn("_row", F.monotonically_increasing_id())
+    scanned = bound_batches(narrow).mapInArrow(lambda it: _scan(it, "_text", carried), schema).withColumn("_row", F.monotonically_increasing_id())
     scanned = materialise(scanned)
 
     each = scanned.where(F.size("found") > 0).select("_row", "_repository", "_owner", F.explode("found").alias("f"))

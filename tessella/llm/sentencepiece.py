@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import bound_batches
 from .wordhash import text_chunks
 
 #: Path of the model that is used unless another is given.
@@ -314,7 +315,7 @@ def encode(df: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", step:
     schema = T.StructType(
         [*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
     )
-    return df.mapInArrow(lambda it: _encode(it, v, text, step), schema)
+    return bound_batches(df).mapInArrow(lambda it: _encode(it, v, text, step), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str) -> Iterator[pa.RecordBatch]:
@@ -328,4 +329,4 @@ def decode(df: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids") -> DataF
     v = load_vocabulary(model)
     df = df.drop(*[c for c in ("decoded",) if c in df.columns])
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
-    return df.mapInArrow(lambda it: _decode(it, v, ids), schema)
+    return bound_batches(df).mapInArrow(lambda it: _decode(it, v, ids), schema)

@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of one batch that a Python worker gets; Spark's own limits allow batches of whole partitions.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Keep the batches that go to Python small, as texts may be long; stricter settings of the session stay."""
+    conf = df.sparkSession.conf
+    for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(key, "-1")).upper().removesuffix("B")
+        if not now.isdigit() or int(now) <= 0 or int(now) > limit:
+            conf.set(key, str(limit))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

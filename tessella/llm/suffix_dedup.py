@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, text_or_empty
+from .shared import bound_batches, materialise, text_or_empty
 from .wordhash import Words, mix, text_chunks, words_of
 
 MIN_WORDS = 50
@@ -134,7 +134,7 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), F.col(text).alias("text"))
     kind = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("c", T.LongType())]))
     schema = T.StructType([texts.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("anchors", kind)])
-    found = materialise(texts.mapInArrow(_anchors, schema))
+    found = materialise(bound_batches(texts).mapInArrow(_anchors, schema))
 
     # Contexts of the grams that occur more than once, each with its count and one place.
     each = found.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
@@ -162,7 +162,7 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     probes = probes.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "probes")
     # Alike at every size: the probes grow with the corpus, so they are never sent to all tasks.
     placed = texts.join(probes.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", "probes")
-    probed = materialise(placed.mapInArrow(_windows, "key long, s int, h long, n long"))
+    probed = materialise(bound_batches(placed).mapInArrow(_windows, "key long, s int, h long, n long"))
     # Rows that repeat a whole row of the table give their windows twice.
     again = probed.groupBy("h", "key", "s").agg(F.max("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     partly = probed.where("n = 1").join(again, "h", "left_semi").select("key", "s", (F.col("s") + MIN_WORDS).alias("e"))
