@@ -24,7 +24,7 @@ def bound_batches(df: DataFrame) -> DataFrame:
     """Keep the batches that go to Python small, as texts may be long; stricter settings of the session stay."""
     conf = df.sparkSession.conf
     for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(conf.get(key, "-1")).upper().removesuffix("B")
+        now = str(conf.get(key)).upper().removesuffix("B")
         if not now.isdigit() or int(now) <= 0 or int(now) > limit:
             conf.set(key, str(limit))
     return df
