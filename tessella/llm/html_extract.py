@@ -3,9 +3,11 @@
 A page is read as a sequence of tags and words. Every token has a weight that is
 learnt from labelled pages: the log-odds of standing in the main text, for words
 by the surroundings they stand in and for tags by name. Words of running text
-score positive; tags, link words and words of menus, banners or forms score
-negative. One linear scan finds the contiguous region with the largest sum; the
-running text in it is the page's text.
+score positive; tags and words of link lists score negative. One linear scan
+finds the contiguous region with the largest sum; the running text in it is the
+page's text. What is never running text (menus, banners, forms and the like, and
+what stands outside a page's article element) is left out wherever it stands and
+scores nothing, so that an advert inside an article doesn't part it.
 
 Edge cases: a null or empty page gives an empty text, as does a page without
 running text. Unclosed and stray tags, cut-off markup and unknown tags are read
@@ -54,6 +56,8 @@ _MARKS = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 
 #: Places a word can stand in.
 PLAIN, LINK, BOILERPLATE, OUTSIDE = "word", "link word", "boilerplate word", "outside word"
+#: Tags that score nothing.
+NEUTRAL = "<>"
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
@@ -61,6 +65,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
 
     A piece inside an element or a class known as boilerplate stands in
     BOILERPLATE; on a page with an article or main element, pieces outside stand in OUTSIDE.
+    Tags there, and inside such an element, are NEUTRAL, with a space if they part blocks.
     """
     lower = page.lower()
     landmark = re.search(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main\b", lower) is not None
@@ -75,6 +80,9 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             return OUTSIDE
         return LINK if link and not inside else PLAIN
 
+    def tag(mark: str, name: str) -> tuple[str, str]:
+        return (NEUTRAL, "" if name in INLINE else " ") if boiler or landmark else (f"<{mark}{name}>", "")
+
     def pop() -> None:
         nonlocal boiler, link, inside
         _, b, a, m = stack.pop()
@@ -91,19 +99,19 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             end = len(page) if end < 0 else end
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
-            yield f"<{m[1].lower()}>", ""
+            yield NEUTRAL, " "
             continue
         if not m[3]:
             continue
         name = m[3].lower()
         if m[2]:
-            yield f"</{name}>", ""
+            yield tag("/", name)
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0 and (name in SCOPES or not any(x[0] in SCOPES for x in stack[depth + 1 :])):
                 while len(stack) > depth:
                     pop()
             continue
-        yield f"<{name}>", ""
+        yield tag("", name)
         if name in VOID or m[4].rstrip().endswith("/"):
             continue
         if name in ("p", "li", "td", "dd", "dt", "option") and stack:
@@ -152,7 +160,7 @@ def fit_weights(labelled: Iterable[tuple[str, str]]) -> dict[str, float]:
     for name in good | bad:
         odds = math.log((good[name] + 0.5) / (bad[name] + 0.5))
         weights[name] = odds if name[0] != "<" else min(-0.01, 0.05 * (odds - 4))
-    return weights
+    return weights | dict.fromkeys((BOILERPLATE, OUTSIDE, NEUTRAL), 0.0)
 
 
 # Labelled pages, (page, main text).
@@ -203,7 +211,9 @@ def extract_text(page: str | None, weights: dict[str, float] | None = None) -> s
             best, region = total, (start, i + 1)
     out = []
     for name, piece in seen[region[0] : region[1]]:
-        if name[0] == "<":
+        if name == NEUTRAL:
+            out.append(piece)
+        elif name[0] == "<":
             if name.strip("</>") not in INLINE:
                 out.append(" ")
         elif name in (PLAIN, LINK):
