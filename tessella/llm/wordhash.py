@@ -109,7 +109,9 @@ def text_chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) ->
 
 def words_of_texts(texts: list[str | None]) -> Words:
     """The words of a small list of texts, for tests and small tables."""
-    (_, _, data, offsets), = text_chunks(pa.array(texts, pa.string()), limit=1 << 62)
+    if not texts:
+        return words_of(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    ((_, _, data, offsets),) = text_chunks(pa.array(texts, pa.string()), limit=1 << 62)
     return words_of(data, offsets)
 
 
