@@ -1,7 +1,7 @@
 """Similarity self-join of texts by the Jaccard coefficient of their word 5-grams.
 
-Chosen path. A text's set of shingles is embedded as ``N_COORDINATES`` minhash
-tokens. From a root for each run, every set follows the same rule: the path so
+Chosen path. For each run a text's set of shingles is embedded as ``COORDINATES``
+minhash tokens of the run's own. From a root for each run, every set follows the same rule: the path so
 far chooses one coordinate, sometimes two (1/threshold on average), and the set
 moves to the child named by its token there. Similar sets thus share a child in
 expectation at every level. A node of at most ``limit`` distinct sets is a
@@ -44,13 +44,13 @@ from .wordhash import mix, text_chunks, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
-N_COORDINATES = 64
+#: Minhash tokens of each run. Runs share none, so that they miss a pair independently.
+COORDINATES = 16
 MIN_DEPTH, MAX_DEPTH = 2, 4
 #: Most members of a node that is not split further, and of a block.
 LIMIT = 512
 
 _U = np.uint64
-_A = np.random.default_rng(11).integers(1, 1 << 63, N_COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 _P = _U(0xD6E8FEB86659FD93)
 
 
@@ -100,9 +100,14 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def paths(sets: np.ndarray, bounds: np.ndarray, runs: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the texts with shingles: (text, run x path, depth from MIN_DEPTH) and which paths exist."""
     starts = bounds[:-1]
-    tokens = np.empty((len(starts), N_COORDINATES), np.uint64)
-    for j in range(N_COORDINATES):
-        tokens[:, j] = np.minimum.reduceat(mix(sets * _A[j]), starts)
+    odd = np.random.default_rng(11).integers(1, 1 << 63, runs * COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
+    tokens = np.empty((len(starts), len(odd)), np.uint64)
+    for j, a in enumerate(odd):
+        # The upper half of a product with an odd number orders the hashes anew.
+        x = sets * a
+        x ^= x >> _U(32)
+        x *= a
+        tokens[:, j] = np.minimum.reduceat(x, starts)
     rows = np.arange(len(starts))[:, None]
     two = _U(int((1 / threshold - 1) * 2**64))
     nodes = np.repeat(mix(np.arange(1, runs + 1))[None, :], len(starts), 0)
@@ -110,7 +115,8 @@ def paths(sets: np.ndarray, bounds: np.ndarray, runs: int, threshold: float) ->
     history: list[np.ndarray] = []
     for depth in range(MAX_DEPTH):
         def child(salt: int) -> np.ndarray:
-            c = (mix(nodes + _U(salt)) % _U(N_COORDINATES)).astype(np.int64)
+            own = np.arange(nodes.shape[1]) % runs * COORDINATES
+            c = (mix(nodes + _U(salt)) % _U(COORDINATES)).astype(np.int64) + own
             return mix((nodes + _U(salt)) * _P + tokens[rows, c])
 
         second = alive & (mix(nodes + _U(3)) < two)
