@@ -282,7 +282,7 @@ def page_images(c: Column | str, base: Column | str) -> Column:
 
 def srcset_best(c: Column | str) -> Column:
     """O16 as an expression: candidates as (size, URL), the greatest."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     size = lambda p: F.coalesce(F.regexp_extract(p, r"\s([0-9.]+)[wx]$", 1).try_cast("double") * F.when(p.endswith("x"), 10000.0).otherwise(1.0), F.lit(0.0))
     return F.coalesce(F.array_max(F.transform(parts, lambda p: F.struct(size(p).alias("s"), F.substring_index(p, " ", 1).alias("u"))))["u"], F.lit(""))
 

@@ -149,7 +149,7 @@ NUMBERED = "array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), la
 )
 def numbered_sections(spark, sf_dir):
     """G8, G10, P25. The lines of a text, numbered up to 99, split into their sections again."""
-    solid = F.slice(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != ""), 1, 99)
+    solid = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda s: s != ""), 1, 99)
     df = documents(spark, sf_dir).withColumn("_l", solid)
     numbered = df.withColumn("text", F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))
     rows = numbered.select("doc_id", F.explode(chunking.numbered_sections("text")).alias("s"))
