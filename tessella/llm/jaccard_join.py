@@ -182,13 +182,26 @@ def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return out
 
 
-def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs at or above the threshold, without the diagonal."""
+#: Up to so many pairs of a block are compared one by one, more by matrix products.
+FEW_PAIRS = 20_000
+
+
+def _links(sets: list[np.ndarray], todo: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of ``todo`` (symmetric) at or above the threshold."""
     sizes = np.array([len(s) for s in sets], np.float64)
-    both = overlaps(sets).astype(np.float64)
-    linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-    np.fill_diagonal(linked, False)
-    return linked
+    todo = todo & (sizes[:, None] >= threshold * sizes[None, :]) & (sizes[None, :] >= threshold * sizes[:, None])
+    linked = np.zeros(todo.shape, bool)
+    at = np.flatnonzero(todo.any(axis=1))
+    if not len(at):
+        return linked
+    if todo.sum() <= 2 * FEW_PAIRS:
+        for i, j in zip(*np.nonzero(np.triu(todo))):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            linked[i, j] = linked[j, i] = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+        return linked
+    both = overlaps([sets[i] for i in at]).astype(np.float64)
+    linked[np.ix_(at, at)] = both >= threshold * (sizes[at][:, None] + sizes[at][None, :] - both) - 1e-9
+    return linked & todo
 
 
 def _roots(linked: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -207,22 +220,23 @@ def _compare_group(rows: list[tuple], threshold: float) -> list[tuple[int, int,
     node, a, b = rows[0][:3]
     keys = np.array([r[4] for r in rows], np.int64)
     copies = np.array([r[5] for r in rows], np.int64)
-    linked = _links([np.frombuffer(r[7], np.uint32) for r in rows], threshold)
-    if not linked.any():
-        return []
+    todo = ~np.eye(len(rows), dtype=bool)
     if a != b:  # pairs within a block are compared where a == b
         own = np.array([r[3] for r in rows])
-        linked &= own[:, None] != own[None, :]
-    # A pair that an earlier node holds too is counted there.
+        todo &= own[:, None] != own[None, :]
+    # A pair that an earlier node holds too is compared and counted there.
     earlier: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
         for k in r[6]:
             if k < node:
                 earlier.setdefault(k, []).append(i)
-    counted = linked.copy()
     for members in earlier.values():
         if len(members) > 1:
-            counted[np.ix_(members, members)] = False
+            todo[np.ix_(members, members)] = False
+    # 32-bit hashes are sorted as the whole ones were.
+    counted = _links([np.frombuffer(r[7], np.uint32) for r in rows], todo, threshold)
+    if not counted.any():
+        return []
     links = counted @ copies
     roots = _roots(counted, keys)
     return [(int(k), int(n), int(r)) for k, n, r, any_ in zip(keys, links, roots, counted.any(axis=1)) if any_]
