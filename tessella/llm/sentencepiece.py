@@ -41,11 +41,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text whose words are sorted together; neighbours share more of their state in a larger set.
-STEP_BYTES = 3_000_000
+STEP_BYTES = 2_500_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 
 
 @dataclass
@@ -151,7 +151,7 @@ def merged(v: Vocabulary, word: str) -> list[str]:
 
 def _agrees(v: Vocabulary, a: int, b: int) -> bool:
     """Whether symbols a and b, side by side, encode to themselves."""
-    if len(v._pairs) > 2 * CACHE_WORDS:
+    if len(v._pairs) > CACHE_WORDS:
         v._pairs.clear()
     left, right = v.symbol(a), v.symbol(b)
     got = v._pairs[a * SYMBOLS + b] = merged(v, left + right) == [left, right]
@@ -306,6 +306,8 @@ def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str, step:
             flat = np.concatenate([np.zeros(0, np.int32), *ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(lengths), pa.array(lossless)], names=[*part.schema.names, "ids", "n_tokens", "lossless"])
+    # The worker may wait for other work: the elder words go.
+    v._old = {}
 
 
 def encode(df: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", step: int = STEP_BYTES) -> DataFrame:
