@@ -17,6 +17,17 @@ ACTION_MARKS = ("แนวทางธุรกิจ", "ทิศทางธ
 ACTION_STOPS = ("ปี 2025 จะเป็นปีแห่ง", "ที่มา:", "ที่มา", "คอนเทนต์แนะนำ", "ข่าวน่าสนใจ")
 ACTION_VERBS = ("สร้าง", "นำ", "นํา", "พัฒนา", "ส่งเสริม", "ติดตั้ง", "ลงทุน", "ใช้", "วิเคราะห์", "รองรับ")
 SOURCES = ("Grand View Research", "International Energy Agency (IEA)", "McKinsey", "Visa", "UN", "Gartner")
+OPENING_CUES = (
+    "ประเทศไทย", "ความต้องการ", "รายงานจาก", "AI ", "AI และ", "ประชากรไทย", "UN ระบุ", "จากการสำรวจของ Visa", "จากการสํารวจของ Visa", "Visa มีตัวเลข",
+    "International Energy Agency", "AI และระบบ Automation จะ", "การเติบโต", "แม้สถานการณ์", "หนึ่งใน", "ในปี", "ปัจจุบัน",
+)
+TITLE_CUES = (
+    "สัตว์เลี้ยงยังคง", "ประเทศไทยเข้าสู่", "ความต้องการลดคาร์บอน", "AI และ Automation กลายเป็น", "UN ระบุ", "จากการสำรวจของ Visa", "จากการสํารวจของ Visa",
+    "Visa มีตัวเลข", "AI และระบบ Automation จะ", "ประชากรไทยกว่า", "รายงานจาก", "โดยข้อมูลจาก", "คาดการณ์ว่า", "คาดว่า",
+)
+OPENING_STOPS = ("แนวทางธุรกิจ", "ทิศทางธุรกิจ", "ดังนั้น", "ล่าสุด")
+ITEM_STOPS = ("แนวทางธุรกิจ", "ทิศทางธุรกิจ", "ดังนั้น", "ล่าสุด", "ที่มา:", "ที่มา")
+ENGLISH_OPENING = r"^([A-Za-z][A-Za-z0-9&+./:-]*(?:\s+[A-Za-z][A-Za-z0-9&+./:-]*){0,5})\s"
 BOUNDARIES = (". ", "? ", "! ", "… ", " ดังนั้น", " โดย", " ซึ่ง", " และ", " รวมถึง")
 GROWTH = r"(?i)(?:CAGR\)?|อัตราการเติบโตเฉลี่ยสะสม(?:ต่อปี)?|อัตราเติบโตเฉลี่ยสะสม(?:ต่อปี)?)[^0-9]{0,20}(\d+(?:\.\d+)?)\s*%"
 ALIASES = (
@@ -165,18 +176,64 @@ def _points(t: Column) -> Column:
     return F.array_distinct(F.array_compact(points))
 
 
-def numbered_item(section: Column) -> Column:
-    """F26. struct(order, title, description); the title is the English opening of up to six words, or the first words up to a mark."""
-    return let(collapse_space(F.regexp_extract(text(section), r"(?s)^\s*\d{1,2}\.\s*(.+)$", 1)), lambda body: _item(section, body))
+def _dashes(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[ :-]+|[ :-]+$", "")
+
+
+def _first_cue(body: Column, cues: tuple[str, ...]) -> Column:
+    """Place of the earliest cue behind the seventh letter, or null."""
+    places = F.transform(F.array(*map(F.lit, cues)), lambda cue: F.instr(body, cue))
+    return F.array_min(F.filter(places, lambda p: p > 7))
+
+
+def _from(c: Column, place: Column) -> Column:
+    return strip(F.substring(c, place, F.length(c)))
 
 
-def _item(section: Column, body: Column) -> Column:
+def _before(c: Column, place: Column) -> Column:
+    return strip(F.substring(c, F.lit(1), place - 1))
+
+
+def numbered_item(section: Column) -> Column:
+    """F26. struct(order, title, description) of a numbered section, or null.
+
+    The title is quoted, or ends at a cue, or is the English opening of up to
+    six words, or else the first forty letters; the description is what follows,
+    up to a closing phrase and a boundary.
+    """
+    body = collapse_space(F.regexp_extract(text(section), r"(?s)^\s*\d{1,2}\.\s*(.+)$", 1))
     order = F.regexp_extract(text(section), r"^\s*(\d{1,2})\.", 1)
-    english = F.regexp_extract(body, r"^([A-Za-z][A-Za-z0-9&+./:-]*(?:\s+[A-Za-z][A-Za-z0-9&+./:-]*){0,5})\s", 1)
-    head = F.element_at(F.split(body, r"(?<=\S)\s+(?=\S)"), 1)
-    title = F.when(english != "", english).otherwise(head)
-    rest = F.trim(F.substring(body, F.length(title) + 1, F.length(body)))
-    return F.when((order != "") & (body != ""), F.struct(order.cast("int").alias("order"), title.alias("title"), truncate_at_boundary(rest, 220).alias("description")))
+    item = let(body, lambda b: let(_opening(b), lambda o: _parsed(order, b, o)))
+    return F.when((order != "") & (item["title"] != ""), item)
+
+
+def _opening(body: Column) -> Column:
+    """struct(title, rest) by the opening alone."""
+    english = F.regexp_extract(body, ENGLISH_OPENING, 1)
+    cue = _first_cue(body, OPENING_CUES)
+    end = F.when(english != "", F.length(english) + 1).when(cue.isNotNull(), cue).otherwise(41)
+    return F.struct(_dashes(_before(body, end)).alias("title"), _from(body, end).alias("rest"))
+
+
+def _parsed(order: Column, body: Column, opening: Column) -> Column:
+    quoted = F.regexp_extract(body, r"^[\"'“”‘’]([^\"“”‘’]+)[\"'“”‘’]\s*", 0)
+    inner = F.regexp_extract(body, r"^[\"'“”‘’]([^\"“”‘’]+)[\"'“”‘’]\s*", 1)
+    cue = _first_cue(body, TITLE_CUES)
+    title = F.when(quoted != "", _dashes(inner)).when(cue.isNotNull(), _dashes(_before(body, cue))).otherwise(opening["title"])
+    rest = F.when(quoted != "", _from(body, F.length(quoted) + 1)).when(cue.isNotNull(), _from(body, cue)).otherwise(without_head(body, opening["title"]))
+    words = opening["title"].rlike(r"^[A-Za-z][A-Za-z0-9&+./:-]*(?:\s+[A-Za-z][A-Za-z0-9&+./:-]*){1,4}$")
+    title = F.when(words & title.startswith(opening["title"]), opening["title"]).otherwise(title)
+    said = truncate_at_boundary(without_head(cut_at_first(rest, ITEM_STOPS), title), 240)
+    short = truncate_at_boundary(cut_at_first(opening["rest"], OPENING_STOPS), 220)
+    return F.struct(
+        order.try_cast("int").alias("order"),
+        F.when(opening["title"] == "", "").when(title == "", opening["title"]).otherwise(title).alias("title"),
+        F.when(said == "", short).otherwise(said).alias("description"),
+    )
+
+
+def without_head(c: Column, head: Column) -> Column:
+    return F.when((head != "") & c.startswith(head), _from(c, F.length(head) + 1)).otherwise(c)
 
 
 def profile_score(question: Column, profile_text: Column, title: Column, phrases: Column) -> Column:

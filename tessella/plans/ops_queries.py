@@ -10,6 +10,7 @@ from ..models import extractive_generator, hash_embedding
 from ..operators import cleaning, summaries, vision
 from ..sources import readers
 from ..sources.readers import table
+from . import answers
 from .pipelines import ask, ingest_pages, run_eval
 from .registry import query, quoted
 from .retrieval_queries import chunks
@@ -299,3 +300,52 @@ def vector_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     half = F.transform("embedding", lambda x: x.cast("double") * 0.5)
     return e.select("vec_id", F.round(scoring.similarity(scoring.l2_distance(F.col("embedding"), half)), 6).alias("score"))
+
+
+def numbered_sources(spark, sf_dir):
+    """Sources as numbered articles: the opening of each of their first documents as a section, with a question."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("_n", F.row_number().over(w)).where("_n <= 9")
+    line = F.concat(F.col("_n").cast("string"), F.lit(". "), F.regexp_replace(F.substring_index("text", "\n", 1), r"\d", ""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), " ")
+    asked = F.concat(F.lit("5 trends of "), F.substring(F.substring_index(F.max_by("text", "_n"), "\n", 1), 1, 40))
+    return d.groupBy(F.col("source").alias("qid")).agg(text.alias("source_text"), asked.alias("question"))
+
+
+@query("numbered_list_answers")
+def numbered_list_answers(spark, sf_dir):
+    """C4, A22, D12, F25, F42."""
+    return answers.numbered_list_answers(numbered_sources(spark, sf_dir))
+
+
+@query("focus_answers")
+def focus_answers(spark, sf_dir):
+    """C6, A23, F28, F29, J11."""
+    return answers.focus_answers(numbered_sources(spark, sf_dir))
+
+
+@query("article_answers")
+def article_answers(spark, sf_dir):
+    """C5, A24, G15."""
+    return answers.article_answers(numbered_sources(spark, sf_dir))
+
+
+@query("expand_primary")
+def expand_primary(spark, sf_dir):
+    """Benchmark openings asked of the sources."""
+    from .retrieval_queries import questions
+
+    c = chunks(spark, sf_dir)
+    asked = questions(spark, sf_dir).withColumn("_s", F.concat(F.lit("https://src"), (F.col("qid") % 20).cast("string"), F.lit(".example.com")))
+    first = c.groupBy(F.col("source_url").alias("_s")).agg(F.min_by(F.struct(*c.columns), "id").alias("c"))
+    ranked = asked.join(first, "_s").select("qid", "question", "c.*", F.lit(1).alias("rank"), F.lit(0.1).alias("score"))
+    return answers.expand_primary(ranked, c)
+
+
+@query("site_results", "SELECT n_nationkey AS folder, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS captions, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS ocr_pages FROM nation")
+def site_results(spark, sf_dir):
+    """Nations as scraped sites."""
+    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("folder"), F.col("n_name").alias("name"))
+    return readers.site_results(items, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("folder")), table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("folder")))

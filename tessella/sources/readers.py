@@ -119,3 +119,34 @@ def search_targets(df: DataFrame, limit: int) -> DataFrame:
 
     outside = df.where(~F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).contains("google."))
     return dedupe_urls(outside).orderBy("ord").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy("ord")))
+
+
+def extract_pages(files: DataFrame, extract, schema: str = "page int, layer string, ocr_a string, ocr_b string", name: str = "pages") -> DataFrame:
+    """S12, S13, S14, G16, T-6. Pages of binary files through an extractor hook: content in, list of page tuples out.
+
+    A file that fails gives one row without text. The counts are observed under ``name`` while the query runs.
+    """
+    import pandas as pd
+
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    found = extract(bytes(content))
+                except Exception:  # noqa: BLE001
+                    found = [(0, *[None] * (len(fields) - 1))]
+                rows += [(path, *r) for r in found]
+            yield pd.DataFrame(rows, columns=["path", *fields])
+
+    out = files.select("path", "content").mapInPandas(run, "path string, " + schema)
+    return out.observe(name, F.count("*").alias("pages"), F.count_if(F.col("page") == 0).alias("failed"))
+
+
+def site_results(items: DataFrame, captions: DataFrame, ocr: DataFrame) -> DataFrame:
+    """J13. Scraped items with the captions and OCR pages of their folder; a folder without them counts 0."""
+    c = captions.groupBy("folder").agg(F.count("*").alias("captions"))
+    o = ocr.groupBy("folder").agg(F.count("*").alias("ocr_pages"))
+    return items.join(c, "folder", "left").join(o, "folder", "left").na.fill(0, ["captions", "ocr_pages"])

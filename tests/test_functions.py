@@ -154,6 +154,10 @@ def test_articles(spark):
     assert "6.5%" in one(spark, section, articles.numeric_detail(F.col("t")))
     item = one(spark, "3. Clean Energy พลังงาน", articles.numbered_item(F.col("t")))
     assert (item["order"], item["title"]) == (3, "Clean Energy")
+    quoted = one(spark, "4. “ตลาดใหม่” เติบโตดี ดังนั้น ควรทำ", articles.numbered_item(F.col("t")))
+    assert (quoted["title"], quoted["description"]) == ("ตลาดใหม่", "เติบโตดี")
+    cued = one(spark, "5. สังคมสูงวัย ประเทศไทยเข้าสู่ยุคใหม่", articles.numbered_item(F.col("t")))
+    assert (cued["title"], cued["description"]) == ("สังคมสูงวัย", "ประเทศไทยเข้าสู่ยุคใหม่")
     assert one(spark, "no number", articles.numbered_item(F.col("t"))) is None
 
 

@@ -207,3 +207,29 @@ def test_stream_into_the_store(spark, tmp_path):
         q = jobs.ingest_stream(spark, src, "namespace string, text string, chunk_index int", s, lambda b: b, str(tmp_path / f"c{k}"))
         q.awaitTermination()
     assert s.chunks().count() == 2
+
+
+def test_answers_from_numbered_sources(spark):
+    from tessella.plans import answers
+
+    text = "Intro 1. Pet Parent สัตว์เลี้ยงยังคงสำคัญมาก 2. Clean Energy ลดคาร์บอน 2. Clean Power ลดคาร์บอนให้ได้มากกว่าเดิม 3. Other thing นี้"
+    df = spark.createDataFrame([(1, "3 trends มีอะไรบ้าง", text), (2, "about clean energy เท่าไร", text), (3, "9 trends", "1. One สอง")], "qid int, question string, source_text string")
+    lists = {r.qid: r for r in answers.numbered_list_answers(df).collect()}
+    assert lists[1].n_items == 3 and "2. Clean Power: ลดคาร์บอนให้ได้มากกว่าเดิม" in lists[1].answer.split("\n")
+    assert 3 not in lists
+    assert "Pet Parent" not in {r.qid: r.answer for r in answers.focus_answers(df.withColumn("question", F.lit("about clean energy"))).collect()}.get(2, "")
+    best = {r.qid: r for r in answers.article_answers(df).collect()}
+    assert best[2].title == "Clean Energy" and best[2].match_score == 1
+
+
+def test_pages_of_files(spark, tmp_path):
+    for n, b in (("a.pdf", b"one|two"), ("b.pdf", b"bad")):
+        (tmp_path / n).write_bytes(b)
+
+    def extract(content):
+        if content == b"bad":
+            raise ValueError
+        return [(i, t.decode(), None, None) for i, t in enumerate(content.split(b"|"), 1)]
+
+    rows = readers.extract_pages(readers.pdf_files(spark, str(tmp_path), content=True), extract).orderBy("path", "page").collect()
+    assert [(r.path[-5:], r.page, r.layer) for r in rows] == [("a.pdf", 1, "one"), ("a.pdf", 2, "two"), ("b.pdf", 0, None)]
