@@ -94,13 +94,13 @@ def preview_chunks(chunks: DataFrame, namespace: str, source_type: str = "", lim
     return out.orderBy("source_type", "source_path", "page", "id").limit(limit).withColumn("text_preview", preview("text", 260)).drop("text")
 
 
-def merge_namespaces(parts: list[DataFrame], score: str = "score") -> DataFrame:
+def merge_namespaces(parts: list[DataFrame], score: str = "score", ident: str = "id") -> DataFrame:
     """D1, O8. Results of namespaces in the order given, by score; equal scores keep that order."""
-    tagged = [p.withColumns({"_ns": F.lit(i), "_ord": F.row_number().over(Window.orderBy(F.desc(score), "id"))}) for i, p in enumerate(parts)]
-    out = tagged[0]
-    for p in tagged[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.orderBy(F.desc(score), "_ns", "_ord").drop("_ns", "_ord")
+    out = None
+    for i, p in enumerate(parts):
+        tagged = p.withColumn("_ns", F.lit(i))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out.orderBy(F.desc(score), "_ns", ident).drop("_ns")
 
 
 def prefer(df: DataFrame, flag: Column, *partition: str) -> DataFrame:
