@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import AGREEMENT, REACH, SHORTEST, SPAN
+from .jaccard_join import THRESHOLD
 from .license_scan import TEMPLATES, bigrams_of
 from .quality_rules import BOILERPLATE, QualityRules
+from .suffix_dedup import MIN_WORDS
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -101,5 +104,71 @@ FROM docs LEFT JOIN by_doc USING (uid)
 """
 
 
+def suffix_dedup_sql(n: int = MIN_WORDS) -> str:
+    """All windows of n words, counted; the union of those that occur twice."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT uid, s, hash(array_to_string(w[s + 1:s + {n}], ' ')) AS h FROM (SELECT uid, w, unnest(range(0, len(w) - {n - 1})) AS s FROM d WHERE len(w) >= {n})
+), hits AS (
+  SELECT uid, s FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)
+), opened AS (
+  SELECT uid, s, CASE WHEN s - lag(s) OVER (PARTITION BY uid ORDER BY s) <= {n} THEN 0 ELSE 1 END AS opens FROM hits
+), islands AS (
+  SELECT uid, s, sum(opens) OVER (PARTITION BY uid ORDER BY s) AS island FROM opened
+)
+SELECT doc_id, min(s)::INT AS start, (max(s) + {n})::INT AS "end", any_value(len(w))::INT AS n_words
+FROM islands JOIN d USING (uid) GROUP BY uid, doc_id, island
+"""
+
+
+def jaccard_join_sql(threshold: float = THRESHOLD) -> str:
+    """All pairs that share a shingle, and the closure of the links."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS uid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+sets AS (
+  SELECT uid, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d
+), grams AS (SELECT uid, unnest(g) AS x FROM sets),
+shared AS (SELECT a.uid AS a, b.uid AS b, count(*) AS n FROM grams a JOIN grams b ON a.x = b.x AND a.uid <> b.uid GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sets p ON p.uid = a JOIN sets q ON q.uid = b WHERE n >= {threshold} * (len(p.g) + len(q.g) - n) - 1e-9
+), reach(a, b) AS (
+  SELECT uid, uid FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), classes AS (SELECT r.a AS uid, min(doc_id) AS class_id FROM reach r JOIN d ON d.uid = r.b GROUP BY r.a)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = d.uid) AS n_links FROM d JOIN classes USING (uid)
+"""
+
+
+def decontamination_sql() -> str:
+    """All alignments of texts and items with words enough in common, and their best windows."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_words("coalesce(text, '')")} AS w FROM benchmark),
+sized AS (
+  SELECT iid, item_id, w, len(w) AS n, least({SPAN}, len(w)) AS need,
+    CASE WHEN len(w) < {REACH} THEN len(w) ELSE ceil({AGREEMENT} * least({SPAN}, len(w)) - 1e-9) END AS least_agree
+  FROM i WHERE len(w) >= {SHORTEST}
+), dw AS (SELECT uid, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM d),
+iw AS (SELECT iid, unnest(range(0, n)) AS p, unnest(w) AS x FROM sized),
+equal AS (SELECT uid, iid, dw.p AS p, dw.p - iw.p AS shift FROM dw JOIN iw USING (x)),
+aligned AS (
+  SELECT uid, iid, shift, greatest(0, shift) AS first, least(len(d.w), shift + s.n) AS stop, need, least_agree
+  FROM (SELECT uid, iid, shift, count(*) AS c FROM equal GROUP BY ALL) JOIN sized s USING (iid) JOIN d USING (uid) WHERE c >= least_agree
+), starts AS (SELECT *, unnest(range(first, stop - need + 1)) AS start FROM aligned WHERE stop - first >= need),
+counted AS (
+  SELECT t.uid, t.iid, t.start, t.need, count(*) AS agree FROM starts t JOIN equal e ON e.uid = t.uid AND e.iid = t.iid AND e.shift = t.shift AND e.p >= t.start AND e.p < t.start + t.need
+  GROUP BY t.uid, t.iid, t.shift, t.start, t.need, t.least_agree HAVING count(*) >= t.least_agree
+), best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY uid, iid ORDER BY agree DESC, start) = 1)
+SELECT doc_id, item_id, start, start + best.need AS "end", agree FROM best JOIN d USING (uid) JOIN sized USING (iid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules_sql(), "op9_license_scan": license_scan_sql()}
+    return {
+        "op2_suffix_dedup": suffix_dedup_sql(),
+        "op3_jaccard_join": jaccard_join_sql(),
+        "op4_decontamination": decontamination_sql(),
+        "op8_quality_rules": quality_rules_sql(),
+        "op9_license_scan": license_scan_sql(),
+    }
