@@ -74,13 +74,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def line_reason(line: Column, n_words: Column, rules: QualityRules) -> Column:
     """Name of the first rule the line of so many words fails, or null."""
     solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
-    separators = _count(line, r"(?<![^\x20\x09-\x0D])[|»›•·]+(?![^\x20\x09-\x0D])")
+    # Counted only where there is something to count; the cheap tests come first.
+    some = lambda plain, pattern: F.when(line.rlike(plain), _count(line, pattern)).otherwise(0)
+    separators = some(r"[|»›•·]", r"(?<![^\x20\x09-\x0D])[|»›•·]+(?![^\x20\x09-\x0D])")
     symbols = _count(line, r"[#*$%&|<>~^{}]")
-    shouts = _count(line, r"!!(?![^\x20\x09-\x0D])")
+    shouts = F.when(line.contains("!!"), _count(line, r"!!(?![^\x20\x09-\x0D])")).otherwise(0)
     phrase = "(?i)" + r"(?<![\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])"
     return (
         F.when((separators > 0) & (n_words - separators <= separators * rules.words_per_separator), "navigation")
-        .when(symbols > solid * rules.max_symbol_share, "punctuation")
+        .when((symbols > 0) & (symbols > solid * rules.max_symbol_share), "punctuation")
         .when((shouts > 1) & (shouts > n_words * rules.max_shout_share), "punctuation")
         .when((n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.!?:;,…。]"), "punctuation")
         .when((n_words <= rules.boilerplate_words) & line.rlike(phrase), "boilerplate")
