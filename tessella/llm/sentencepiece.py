@@ -158,8 +158,10 @@ def _agrees(v: Vocabulary, a: int, b: int) -> bool:
     return got
 
 
-def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    """Ids (32 bits each) of each of the sorted distinct words; the forward state up to a common prefix is reused.
+def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[bytes, bool]]:
+    """Ids (32 bits each) of each of the sorted distinct words, and whether they decode to it.
+
+    The forward state up to a common prefix is reused.
 
     The state of a prefix is the symbol that ends its best path, and its length.
     A letter outside the vocabulary is the symbol of its code point after the pieces.
@@ -167,7 +169,8 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]
     state, size, total = [0], [0], [0.0]
     before = ""
     shorter = ((), (), (2,), (3, 2))
-    pieces, lengths, pairs, none, n_pieces = v.pieces, v.lengths, v._pairs, (), len(v.text)
+    pieces, lengths, pairs, none, n_pieces, letters = v.pieces, v.lengths, v._pairs, (), len(v.text), v.text
+    odd: list[int] = []  # ends of the letters outside the vocabulary
     for word in words:
         # Neighbours in order differ near their ends.
         i = min(len(before), len(word))
@@ -176,6 +179,8 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]
         while before[:i] != word[:i]:
             i -= 1
         del state[i + 1 :], size[i + 1 :]
+        while odd and odd[-1] > i:
+            odd.pop()
         if not v.bpe:
             del total[i + 1 :]
         for end in range(i + 1, len(word) + 1):
@@ -216,6 +221,7 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]
                 chosen = pieces.get(letter, -1)
                 if chosen < 0:
                     chosen = n_pieces + ord(letter)
+                    odd.append(end)
             state.append(chosen)
             size.append(width)
         before = word
@@ -224,7 +230,7 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]
             ids.append(state[at])
             at -= size[at]
         ids.reverse()
-        if max(ids) >= n_pieces:
+        if odd:
             plain = []
             for k in ids:
                 if k < n_pieces:
@@ -234,7 +240,10 @@ def encode_sorted(v: Vocabulary, words: list[str]) -> Iterator[tuple[str, bytes]
                 else:
                     plain.append(v.unknown)
             ids = plain
-        yield word, array("i", ids).tobytes()
+            whole = _letters(v, ids) == word
+        else:
+            whole = "".join([letters[k] for k in ids]) == word
+        yield array("i", ids).tobytes(), whole
 
 
 def marked(v: Vocabulary, text: str) -> str:
@@ -254,12 +263,12 @@ def encode_texts(v: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarra
         again = [w for w in distinct if w in old]
         young.update([(w, old[w]) for w in again])
         distinct.difference_update(again)
-    letters, head = v.text.__getitem__, MARK if v.dummy_prefix else ""
+    head = MARK if v.dummy_prefix else ""
     new = sorted(distinct)
-    for w, (word, ids) in zip(new, encode_sorted(v, [head + w for w in new])):
+    # Words are decoded once each, too: a text comes back whole if its words do.
+    for w, (ids, whole) in zip(new, encode_sorted(v, [head + w for w in new])):
         young[w] = ids
-        # Words are decoded once each, too: a text comes back whole if its words do.
-        if "".join(map(letters, array("i", ids))) != word and _letters(v, array("i", ids)) != word:
+        if not whole:
             v._lossy.add(w)
     lossless = [v._lossy.isdisjoint(ws) for ws in split] if v._lossy else [True] * len(split)
     return [np.frombuffer(b"".join([young[w] for w in ws]), np.int32) for ws in split], lossless

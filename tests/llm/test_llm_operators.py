@@ -265,8 +265,9 @@ def test_odd_texts_encode_alike():
 
 
 def test_unigram_takes_the_best_sum():
-    v = sentencepiece.Vocabulary({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}, [-1.0, -2.5, -2.5, -2.0, -2.5], ["▁", "a", "b", "ab", "▁a"], [], 9, bpe=False, longest=2, least=-20)
-    assert dict((w, list(np.frombuffer(i, np.int32))) for w, i in sentencepiece.encode_sorted(v, ["▁ab", "▁abz"])) == {"▁ab": [0, 3], "▁abz": [0, 3, 9]}
+    v = sentencepiece.Vocabulary({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}, [-1.0, -2.5, -2.5, -2.0, -2.5], ["▁", "a", "b", "ab", "▁a", "", "", "", "", ""], [], 9, bpe=False, longest=2, least=-20)
+    got = [(np.frombuffer(i, np.int32).tolist(), whole) for i, whole in sentencepiece.encode_sorted(v, ["▁ab", "▁abz", "▁b"])]
+    assert got == [([0, 3], True), ([0, 3, 9], False), ([0, 2], True)]
 
 
 # Jaccard join
