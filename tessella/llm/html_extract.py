@@ -48,6 +48,8 @@ NOISE = re.compile(
     r"|sponsor\w*|subscribe|toolbar|widget|modal|overlay|complementary|contentinfo)(?![a-z])",
     re.IGNORECASE,
 )
+# Openings of class names that tell of a page's state and not of an element's content.
+STATE = re.compile(r"(?:has|with|without|no|is|js)[-_]", re.IGNORECASE)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|head)\b[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
@@ -124,7 +126,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                 pop()
         noise = name in BOILER or name in RAW
         for x in _MARKS.finditer(m[4]):
-            noise |= bool(x[4]) or (name not in ("html", "body", "main") and bool(NOISE.search(x[1] or x[2] or x[3] or "")))
+            noise |= bool(x[4]) or (name not in ("html", "body", "main") and any(NOISE.search(w) and not STATE.match(w) for w in (x[1] or x[2] or x[3] or "").split()))
         main = name in ("article", "main") or (landmark and re.search(r"role\s*=\s*[\"']?main\b", m[4].lower()) is not None)
         stack.append((name, noise, name == "a", main))
         boiler, link, inside = boiler + noise, link + (name == "a"), inside + main

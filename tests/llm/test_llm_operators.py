@@ -219,6 +219,7 @@ def test_pages(spark):
         (5, "<html><head><title>t</title><script>if (a < b) x('<p>no</p>')</script></head><body><form><p>Name</p></form></body></html>"),
         (6, "<p>unclosed <b>tag and &eacute;&#33; stray</i> end"),
         (8, "<body><div class=menu><a href=1>One</a></div><div><p>First part of a page without a landmark.</p><div class='promo box'>" + "buy now " * 50 + "</div><p>Second part.</p></div><ul><li><a href=a>More</a></li><li><a href=b>Links</a></li></ul></body>"),
+        (9, "<div class='page has-sidebar no-ads'><article><p>Kept text.</p></article><div id=sidebar>Not this</div></div>"),
         (7, "<main><header>Head</header><p>Text one.</p><aside>side words</aside><p>Text two.</p></main><p>after</p>"),
     ]
     df = spark.createDataFrame(rows, "page_id int, html string").withColumn("text", F.lit("clash"))
@@ -229,6 +230,7 @@ def test_pages(spark):
     assert got[6].text == "unclosed tag and é! stray end"
     assert got[7].text == "Text one. Text two."
     assert got[8].text == "First part of a page without a landmark. Second part."
+    assert got[9].text == "Kept text."
     assert got[6].n_chars == len(got[6].text)
 
 
