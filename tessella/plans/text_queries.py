@@ -121,9 +121,25 @@ def fallback_chunks(spark, sf_dir):
     return chunking.explode_chunks(df).withColumn("chunk_total", F.col("chunk_total").cast("long"))
 
 
-@query("chunk_text")
+@query(
+    "chunk_text",
+    rf"""WITH RECURSIVE norm AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x9f]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+    parts AS (SELECT doc_id, t, CASE WHEN length(t) <= {C.CHUNK_CHARS} THEN [t] ELSE list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?ฯๆ])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda x: trim(x)), lambda x: x <> '') END AS p FROM norm WHERE t <> ''),
+    sent AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS s FROM parts),
+    packed AS (
+      SELECT doc_id, i, 1 AS chunk, length(s) AS size FROM sent WHERE i = 1
+      UNION ALL
+      SELECT n.doc_id, n.i, CASE WHEN p.size <= {C.CHUNK_CHARS} AND p.size + 1 + length(n.s) <= {C.CHUNK_CHARS} THEN p.chunk ELSE p.chunk + 1 END,
+        CASE WHEN p.size <= {C.CHUNK_CHARS} AND p.size + 1 + length(n.s) <= {C.CHUNK_CHARS} THEN p.size + 1 + length(n.s) ELSE length(n.s) END
+      FROM packed p JOIN sent n ON n.doc_id = p.doc_id AND n.i = p.i + 1
+    ), joined AS (SELECT doc_id, chunk, string_agg(s, ' ' ORDER BY i) AS c FROM packed JOIN sent USING (doc_id, i) GROUP BY ALL),
+    cut AS (SELECT doc_id, chunk, k, trim(substring(c, k * {C.CHUNK_CHARS} + 1, {C.CHUNK_CHARS})) AS c FROM (SELECT doc_id, chunk, c, unnest(range(0, greatest(ceil(length(c) / {C.CHUNK_CHARS}.0), 1)::INT)) AS k FROM joined)),
+    numbered AS (SELECT doc_id, row_number() OVER w AS i, lag(c) OVER w AS before, c FROM cut WHERE c <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY chunk, k))
+    SELECT doc_id, i::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_total, CASE WHEN before IS NULL THEN c ELSE trim(right(before, {C.CHUNK_OVERLAP}) || chr(10) || c) END AS text FROM numbered""",
+)
 def chunk_text(spark, sf_dir):
-    """G3, G4, W5, W1. Packing with overlap; tested against a loop."""
+    """G3, G4, W5, W1. Packing with overlap."""
     return chunking.explode_chunks(chunking.chunk_text(documents(spark, sf_dir)))
 
 
@@ -295,9 +311,19 @@ def image_types(spark, sf_dir):
     return rows.groupBy("image_type").agg(F.count("*").alias("n"), F.count_if(scoring.keep_image(F.lit(0.0), F.col("image_type"))).alias("kept"))
 
 
-@query("truncate_text")
+def last_place(marker: str) -> str:
+    """SQL: characters before the last occurrence in h, or -1."""
+    return f"CASE WHEN contains(h, '{marker}') THEN length(h) - strpos(reverse(h), reverse('{marker}')) - length('{marker}') + 1 ELSE -1 END"
+
+
+@query(
+    "truncate_text",
+    f"""SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE regexp_replace(left(t, CASE WHEN cut >= 121 THEN cut WHEN space >= 121 THEN space ELSE 220 END), '[ ,;:]+$', '') END AS text
+      FROM (SELECT doc_id, t, greatest({", ".join(last_place(m) for m in articles.BOUNDARIES)}) AS cut, {last_place(" ")} AS space
+        FROM (SELECT doc_id, t, left(t, 220) AS h FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)))""",
+)
 def truncate_text(spark, sf_dir):
-    """F27. Tested against a loop."""
+    """F27."""
     return documents(spark, sf_dir).select("doc_id", articles.truncate_at_boundary("text", 220).alias("text"))
 
 
