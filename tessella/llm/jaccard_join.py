@@ -276,15 +276,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = edges.where("set_key <> root").select(F.col("set_key").alias("u"), F.col("root").alias("v")).distinct()
     both = materialise(both.union(both.select("v", "u")).distinct())
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("set_key"), F.least("u", "v").alias("label")))
+    table = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("set_key"), F.least("u", "v").alias("label")))
+    labels = table
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("set_key").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         stepped = labels.join(near.withColumnRenamed("u", "set_key"), "set_key").select("set_key", "label", F.least("label", "near").alias("step"))
         jump = labels.select(F.col("set_key").alias("step"), F.col("label").alias("jump"))
         new = materialise(stepped.join(jump, "step", "left").select("set_key", F.col("label").alias("old"), F.least("step", "jump").alias("label")))
         if new.where("label <> old").isEmpty():
+            release(new, both)
             return labels
-        labels = new.select("set_key", "label")
+        release(table)
+        table, labels = new, new.select("set_key", "label")
     raise RuntimeError("components did not settle")
 
 
