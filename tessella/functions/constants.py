@@ -26,6 +26,10 @@ KEY_WORDS = (
 )
 LIST_WORDS = ("มีอะไรบ้าง", "อะไรบ้าง")
 TREND_WORDS = ("เทรนด์", "trend")
+# Words that ask for a numbered list of trends.
+LIST_REQUESTS = ("มีอะไรบ้าง", "ตอบเป็นรายการ", "1-5", "1–5", "1-8", "1–8")
+# Words that ask for a definition or a figure.
+DETAIL_WORDS = ("คืออะไร", "หมายถึงอะไร", "บอกอะไรเกี่ยวกับ", "เท่าไร", "เท่าไหร่", "ตัวเลข", "ช่วงเวลา", "%", "ปี")
 # Words that ask for one article.
 SINGLE_ARTICLE_WORDS = ("บทความ", "บทความนี้", "ข่าวนี้", "หน้านี้", "ในบทความ", "ในข่าว")
 # Words that ask for a number.

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import (
+    DETAIL_WORDS,
     KEY_WORDS,
+    LIST_REQUESTS,
     LIST_WORDS,
     NUMERIC_WORDS,
     PHRASE_NOISE,
@@ -82,4 +84,9 @@ def requested_list_count(c: Column | str) -> Column:
 def requests_list(c: Column | str) -> Column:
     """P28. A question for a numbered list of trends."""
     q, low = text(c), F.lower(text(c))
-    return (q.contains(TREND_WORDS[0]) | low.contains(TREND_WORDS[1])) & (contains_any(q, LIST_WORDS) | (requested_list_count(c) > 0))
+    return (q.contains(TREND_WORDS[0]) | low.contains(TREND_WORDS[1])) & contains_any(q, LIST_REQUESTS)
+
+
+def requests_detail(c: Column | str) -> Column:
+    """P28. A question for a definition or a figure."""
+    return contains_any(text(c), DETAIL_WORDS)

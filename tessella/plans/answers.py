@@ -71,7 +71,7 @@ def numbered_items(sources: DataFrame) -> DataFrame:
 def numbered_list_answers(sources: DataFrame) -> DataFrame:
     """C4, F42. Lists for the questions that have items enough: of a requested number, three or all."""
     line = F.concat(F.col("order").cast("string"), F.lit(". "), "title", F.when(text("description") == "", "").otherwise(F.concat(F.lit(": "), "description")))
-    rows = numbered_items(sources).withColumn("_line", line)
+    rows = numbered_items(sources.where(intent.requests_list("question"))).withColumn("_line", line)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "_line"))), lambda x: x["_line"]), "\n")
     out = rows.groupBy("qid", "question").agg(joined.alias("answer"), F.count("*").alias("n_items"))
     wanted = intent.requested_list_count("question")
@@ -84,8 +84,9 @@ def _first_best(df: DataFrame, partition: str, value: Column, *rank: Column) ->
 
 
 def focus_answers(sources: DataFrame) -> DataFrame:
-    """C6, A23, F28, F29. Lead and figure of the section that matches a question best."""
-    rows = sources.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
+    """C6, A23, F28, F29. Lead and figure of the section that matches a question best, for one article or a detail."""
+    asked = sources.where(~intent.requests_list("question") & (intent.prefers_single_article("question") | intent.requests_detail("question")))
+    rows = asked.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
     rows = rows.withColumn("_m", F.size(scoring.phrase_matches(intent.query_phrases("question"), "_s")))
     dated = F.col("_s").rlike(r"(?<![\p{L}\p{N}_])20\d{2}(?![\p{L}\p{N}_])") | F.col("_s").contains("%")
     bonus = F.when(intent.wants_number("question") & dated, 1).otherwise(0)
@@ -100,7 +101,7 @@ def focus_answers(sources: DataFrame) -> DataFrame:
 
 def article_answers(sources: DataFrame) -> DataFrame:
     """C5, A24, G15, F30, F31. Profile of the trend that matches a question best: lead, actions, figures, sources."""
-    rows = sources.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
+    rows = sources.where(~intent.requests_list("question")).select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
     rows = rows.withColumn("_i", articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL")
     rows = rows.withColumns({
         "_lead": articles.section_lead(F.col("_s"), F.col("_i.title")),

@@ -309,7 +309,7 @@ def vector_similarity(spark, sf_dir):
     return e.select("vec_id", F.round(scoring.similarity(scoring.l2_distance(F.col("embedding"), half)), 6).alias("score"))
 
 
-def numbered_sources(spark, sf_dir):
+def numbered_sources(spark, sf_dir, asks=""):
     """Sources as numbered articles: the opening of each of their first documents as a section, with a question."""
     from pyspark.sql import Window
 
@@ -317,20 +317,20 @@ def numbered_sources(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("_n", F.row_number().over(w)).where("_n <= 9")
     line = F.concat(F.col("_n").cast("string"), F.lit(". "), F.regexp_replace(F.substring_index("text", "\n", 1), r"\d", ""))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), " ")
-    asked = F.concat(F.lit("5 trends of "), F.substring(F.substring_index(F.max_by("text", "_n"), "\n", 1), 1, 40))
+    asked = F.concat(F.lit("5 trends of "), F.substring(F.substring_index(F.max_by("text", "_n"), "\n", 1), 1, 40), F.lit(asks))
     return d.groupBy(F.col("source").alias("qid")).agg(text.alias("source_text"), asked.alias("question"))
 
 
 @query("numbered_list_answers")
 def numbered_list_answers(spark, sf_dir):
     """C4, A22, D12, F25, F42."""
-    return answers.numbered_list_answers(numbered_sources(spark, sf_dir))
+    return answers.numbered_list_answers(numbered_sources(spark, sf_dir, " 1-5"))
 
 
 @query("focus_answers")
 def focus_answers(spark, sf_dir):
     """C6, A23, F28, F29, J11."""
-    return answers.focus_answers(numbered_sources(spark, sf_dir))
+    return answers.focus_answers(numbered_sources(spark, sf_dir, " ตัวเลข"))
 
 
 @query("article_answers")
