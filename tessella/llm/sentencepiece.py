@@ -45,7 +45,9 @@ STEP_BYTES = 2_500_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
+#: Most pairs of symbols whose agreement a worker keeps; to find it anew is dear.
+CACHE_PAIRS = 400_000
 
 
 @dataclass
@@ -151,7 +153,7 @@ def merged(v: Vocabulary, word: str) -> list[str]:
 
 def _agrees(v: Vocabulary, a: int, b: int) -> bool:
     """Whether symbols a and b, side by side, encode to themselves."""
-    if len(v._pairs) > CACHE_WORDS:
+    if len(v._pairs) > CACHE_PAIRS:
         v._pairs.clear()
     left, right = v.symbol(a), v.symbol(b)
     got = v._pairs[a * SYMBOLS + b] = merged(v, left + right) == [left, right]
