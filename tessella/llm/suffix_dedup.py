@@ -138,7 +138,8 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     # Contexts of the grams that occur more than once, each with its count and one place.
     each = found.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
-    often = each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    # Written before they are joined: a join with an aggregation below can't be split where a key is hot.
+    often = materialise(each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
     # A context has one gram. Grouped by the context alone, rows of one frequent gram are summed before they meet.
     contexts = each.join(often, "k", "left_semi").groupBy("c").agg(F.first("k").alias("k"), F.count("*").alias("n"), F.min(F.struct("key", "doc_id", "p")).alias("at"))
     contexts = materialise(contexts)
@@ -157,14 +158,14 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     )
 
     # Grams with several contexts: all windows through one place of each.
-    several = contexts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    several = materialise(contexts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
     probes = contexts.join(several, "k", "left_semi").groupBy("at.key", "at.doc_id").agg(F.collect_list(F.struct(F.col("at.p").alias("p"), "n")).alias("probes"))
     probes = probes.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "probes")
     # Alike at every size: the probes grow with the corpus, so they are never sent to all tasks.
     placed = texts.join(probes.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", "probes")
     probed = materialise(bound_batches(placed).mapInArrow(_windows, "key long, s int, h long, n long"))
     # Rows that repeat a whole row of the table give their windows twice.
-    again = probed.groupBy("h", "key", "s").agg(F.max("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    again = materialise(probed.groupBy("h", "key", "s").agg(F.max("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     partly = probed.where("n = 1").join(again, "h", "left_semi").select("key", "s", (F.col("s") + MIN_WORDS).alias("e"))
 
     spans = full.unionByName(partly).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("all"))
