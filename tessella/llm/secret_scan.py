@@ -127,8 +127,9 @@ def scan_secrets(
     each = scanned.where(F.size("found") > 0).select("_row", "_repository", "_owner", F.explode("found").alias("f"))
     by_owner = each.groupBy(F.col("f.hash").alias("hash"), "_owner", "_repository").agg(F.count("*").alias("n"))
     # Owners and repositories of one hash: a second, small aggregation of the distinct pairs.
-    owners = by_owner.groupBy("hash").agg(
-        F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories")
+    # Written before they are joined: a join with an aggregation below can't be split where a hash is hot.
+    owners = materialise(
+        by_owner.groupBy("hash").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"))
     )
     judged = (
         each.select("_row", "f", F.col("f.hash").alias("hash"))
