@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, text_or_empty
+from .shared import bound_batches, drop_kept, text_or_empty
 from .wordhash import Words, mix, text_chunks, words_of, words_of_texts
 
 # The word positions that each mask compares.
@@ -124,6 +124,7 @@ _NAMES = ("item_id", "start", "end", "agree")
 
 
 def _find(batches: Iterator[pa.RecordBatch], text: str, index: Index, span: int, agreement: float, drop: bool, carried: bool) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for batch in batches:
         found: list[list[dict]] = batch.column("overlaps").to_pylist() if carried else [[] for _ in range(batch.num_rows)]
         for row, _, data, offsets in text_chunks(batch.column(text)):

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, materialise, release
+from .shared import bound_batches, drop_kept, materialise, release
 from .wordhash import mix, text_chunks, words_of
 
 SHINGLE = 5
@@ -129,6 +129,7 @@ def paths(sets: np.ndarray, bounds: np.ndarray, runs: int, threshold: float) ->
 
 
 def _embed(batches: Iterator[pa.RecordBatch], runs: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     levels = MAX_DEPTH - MIN_DEPTH + 1
     for batch in batches:
         for a, b, data, offsets in text_chunks(batch.column("text")):
@@ -152,6 +153,7 @@ def _embed(batches: Iterator[pa.RecordBatch], runs: int, threshold: float) -> It
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             sets, bounds = shingle_sets(data, offsets)
@@ -244,6 +246,7 @@ def _compare_group(rows: list[tuple], threshold: float) -> list[tuple[int, int,
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (node, a, b): one group after the other, also across batches."""
+    drop_kept()
     held: list[tuple] = []
     out: list[tuple[int, int, int]] = []
 

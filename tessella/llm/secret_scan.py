@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, materialise
+from .shared import bound_batches, drop_kept, materialise
 
 # Kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
@@ -88,6 +88,7 @@ _SCHEMA = T.StructType(
 
 
 def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for batch in batches:
         column, kept = batch.column(text), [batch.column(k) for k in keep]
         cols: dict[str, list] = {f.name: [] for f in _SCHEMA.fields}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import bound_batches
+from .shared import bound_batches, keeps
 from .wordhash import text_chunks
 
 #: Path of the model that is used unless another is given.
@@ -41,11 +41,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text whose words are sorted together; neighbours share more of their state in a larger set.
-STEP_BYTES = 2_500_000
+STEP_BYTES = 3_000_000
 #: More than there are pieces and code points.
 SYMBOLS = 1 << 32
 #: Most words whose ids a worker keeps between batches.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Most pairs of symbols whose agreement a worker keeps; to find it anew is dear.
 CACHE_PAIRS = 400_000
 
@@ -299,6 +299,7 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
 
 
 _resident: dict[str, Vocabulary] = {}
+keeps(_resident.clear)
 
 
 def resident(v: Vocabulary) -> Vocabulary:
@@ -317,8 +318,6 @@ def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str, step:
             flat = np.concatenate([np.zeros(0, np.int32), *ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(lengths), pa.array(lossless)], names=[*part.schema.names, "ids", "n_tokens", "lossless"])
-    # The worker may wait for other work: the elder words go.
-    v._old = {}
 
 
 def encode(df: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", step: int = STEP_BYTES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,21 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What Python workers keep between tasks, each with a way to drop it.
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(drop: Callable[[], None]) -> None:
+    """Register what a module keeps in a worker."""
+    _kept.append(drop)
+
+
+def drop_kept() -> None:
+    """Called where a worker begins work that doesn't use what earlier work has kept."""
+    for drop in _kept:
+        drop()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, materialise, text_or_empty
+from .shared import bound_batches, drop_kept, materialise, text_or_empty
 from .wordhash import Words, mix, text_chunks, words_of
 
 MIN_WORDS = 50
@@ -93,6 +93,7 @@ _ANCHOR = [("p", "int"), ("k", "long"), ("c", "long")]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for batch in batches:
         for a, b, data, offsets in text_chunks(batch.column("text")):
             w = words_of(data, offsets)
@@ -108,6 +109,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, first word, hash, weight) of the windows whose anchor is in the row's list ``probes``."""
+    drop_kept()
     for batch in batches:
         probes = batch.column("probes").to_pylist()
         keys = np.asarray(batch.column("key"))
