@@ -8,7 +8,12 @@ Only hashes and offsets leave the scan. The counts pre-aggregate by (hash,
 owner), so that an example copied into a third of all documents costs one row
 per task; the verdicts return by a join on the hash against one row per hash.
 
-Edge cases: a null text counts as empty. A null repository or owner counts as
+A private key in PEM form is its whole block: its span ends with the END line, or
+with the base64 text after the header where that line is missing. Its value is
+the body without what wraps it, so that one key counts as one value in any layout.
+
+Edge cases: a header without a body is its own value. A null text counts as
+empty. A null repository or owner counts as
 one unnamed one. Repeated rows are scanned each on its own, but one owner
 counts once. Extra columns pass through.
 """
@@ -34,10 +39,28 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: What may stand between the lines of a key: white space, escaped line ends, quotes and marks of comments or quoted mail.
+PEM_GAP = r"""(?:[\s"'>#*|,]|\\+[nrt])"""
+#: A body that no END line closes: header fields, runs of base64 and a last, shorter run that is no plain word.
+PEM_BODY = re.compile(
+    rf"(?:{PEM_GAP}*(?:Proc-Type|DEK-Info|Content-Domain):[^\n\\]*)*(?:{PEM_GAP}*[A-Za-z0-9+/]{{16,}}+={{0,2}})+(?:{PEM_GAP}+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/]+={{0,2}}(?![A-Za-z0-9+/=]))?"
+)
+_PEM_GAPS = re.compile(PEM_GAP)
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{6,})@", re.ASCII)
 
 
+def _private_keys(text: str) -> Iterator[tuple[int, int, int, str]]:
+    for m in PEM.finditer(text):
+        following = text.find("-----BEGIN", m.end())
+        close = PEM_END.search(text, m.end(), following if following >= 0 else len(text))
+        body = None if close else PEM_BODY.match(text, m.end())
+        stop = close.start() if close else body.end() if body else m.end()
+        value = _PEM_GAPS.sub("", text[m.end() : stop])
+        yield m.start(), 3, close.end() if close else stop, value or m[0]
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) in order; offsets in code points, end exclusive.
 
@@ -54,7 +77,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
-        out += [(m.start(), 3, m.end(), m[0]) for m in PEM.finditer(text)]
+        out += _private_keys(text)
     if "eyJ" in text:
         out += [(m.start(), 4, m.end(), m[0]) for m in JWT.finditer(text)]
     out.sort()
