@@ -9,6 +9,10 @@ text and item, which is then compared word by word: an overlap holds if some
 with up to three substitutions hold an intact seed of some mask, so that no such
 overlap is missed.
 
+Words are compared without case and punctuation, so that a passage in capitals or
+with other marks is found; a word of punctuation alone is passed over. Reported
+positions count the words of the text as it stands.
+
 Documents are only scanned: no shuffle, one row out for each row in. The
 benchmark is measured first and sent to the tasks in blocks of a bounded number
 of words; a larger benchmark takes more passes over the texts, not more memory.
@@ -26,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import bound_batches, drop_kept, text_or_empty
-from .wordhash import Words, mix, text_chunks, words_of, words_of_texts
+from .wordhash import Words, mix, text_chunks, words_of
 
 # The word positions that each mask compares.
 MASKS = ((0, 2, 3, 7, 8, 10), (0, 1, 4, 7, 9, 10), (0, 1, 2, 8, 9, 10), (0, 1, 3, 6, 9, 10))
@@ -46,6 +51,23 @@ _U = np.uint64
 _BITS = 22
 
 
+def folded(texts: list[str | None]) -> pa.Array:
+    """The texts without case, punctuation and format characters as NUL bytes."""
+    low = pa.array([(t or "").casefold() for t in texts], pa.large_string())
+    return pc.replace_substring_regex(low, r"[\p{P}\p{Cf}]", "\0")
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of folded texts without their NULs, and the place of each among the words of its text as it stands."""
+    kept = data != 0
+    w = words_of(data, offsets)
+    place = np.arange(len(w.start)) - np.repeat(w.bounds[:-1], np.diff(w.bounds))
+    if kept.all():
+        return w, place
+    before = np.concatenate([[0], np.cumsum(kept)])
+    return words_of(data[kept], before[offsets]), place[before[w.end] > before[w.start]]
+
+
 def seed_hashes(w: Words, mask: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the mask's words at each position, and whether mask and text fit there."""
     n = len(w.hash) - mask[-1]
@@ -62,7 +84,8 @@ class Index:
     """Seeds of a block of items: sorted hashes with the item and word they come from."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        w = words_of_texts(texts)
+        parts = list(text_chunks(folded(texts), limit=1 << 62))
+        w, _ = plain_words(*(parts[0][2:] if parts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))))
         self.ids, self.words, self.bounds = ids, w.hash, w.bounds
         length = np.diff(w.bounds)
         self.masks = list(enumerate(MASKS, 1))
@@ -85,7 +108,7 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.key >> _U(64 - _BITS)).astype(np.int64)] = True
 
-    def overlaps(self, w: Words, span: int, agreement: float) -> dict[int, list[tuple[int, int, int, int]]]:
+    def overlaps(self, w: Words, raw: np.ndarray, span: int, agreement: float) -> dict[int, list[tuple[int, int, int, int]]]:
         """For each text: (item id, first word, end word, agreeing words) of its best window with each item."""
         hits = []
         for salt, mask in self.masks:
@@ -115,7 +138,8 @@ class Index:
                     best[text, item] = found
         out: dict[int, list[tuple[int, int, int, int]]] = {}
         for (text, item), (agree, first, need) in best.items():
-            out.setdefault(int(text), []).append((self.ids[item], -first, -first + need, agree))
+            at = w.bounds[text] - first
+            out.setdefault(int(text), []).append((self.ids[item], int(raw[at]), int(raw[at + need - 1]) + 1, agree))
         return out
 
 
@@ -127,8 +151,8 @@ def _find(batches: Iterator[pa.RecordBatch], text: str, index: Index, span: int,
     drop_kept()
     for batch in batches:
         found: list[list[dict]] = batch.column("overlaps").to_pylist() if carried else [[] for _ in range(batch.num_rows)]
-        for row, _, data, offsets in text_chunks(batch.column(text)):
-            for i, rows in index.overlaps(words_of(data, offsets), span, agreement).items():
+        for row, _, data, offsets in text_chunks(folded(batch.column(text).to_pylist())):
+            for i, rows in index.overlaps(*plain_words(data, offsets), span, agreement).items():
                 found[row + i] = sorted(found[row + i] + [dict(zip(_NAMES, r)) for r in rows], key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["start"]))
         keep = [n for n in batch.schema.names if n != "overlaps" and not (drop and n == text)]
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(found, pa.list_(_OVERLAP))], names=[*keep, "overlaps"])

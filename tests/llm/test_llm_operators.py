@@ -369,6 +369,23 @@ def test_overlaps(spark, none):
     assert decontaminate.decontaminate(df.drop("overlaps"), bench.limit(0)).count() == 8
 
 
+def test_overlaps_without_case_and_punctuation(spark):
+    rng = random.Random(12)
+    w = prose(rng, 30).split() + ["straße", "Σίσυφος"]
+    item = " ".join(w)
+    rows = [
+        (1, "x y " + item.upper()),
+        (2, "x - y " + ", ".join(w) + "!"),
+        (3, "«" + " — ".join(w).title() + "»"),
+        (4, "x y " + item[::-1]),
+        (5, "..." * 30),
+    ]
+    bench = spark.createDataFrame([(0, item), (1, "?! " * 20)], "item_id long, text string")
+    out = decontaminate.find_overlaps(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()
+    got = {r.doc_id: [(o.item_id, o.start, o.end, o.agree) for o in r.overlaps] for r in out}
+    assert got == {1: [(0, 2, 18, 16)], 2: [(0, 3, 19, 16)], 3: [(0, 0, 31, 16)], 4: [], 5: []}
+
+
 # Suffix-array dedup
 
 
