@@ -6,8 +6,9 @@ training text is hashed by every mask and looked up. A hit fixes an alignment of
 text and item, which is then compared word by word: an overlap holds if some
 ``span`` aligned words (all of a shorter item) agree in at least
 ``agreement`` of their places. The masks are chosen so that any 16 aligned words
-with up to three substitutions hold an intact seed of some mask, so that no such
-overlap is missed.
+with up to three substitutions hold an intact seed of some mask, and shorter items have
+masks by their length that leave a seed whatever substitutions are allowed, so
+that no such overlap is missed.
 
 Words are compared without case and punctuation, so that a passage in capitals or
 with other marks is found; a word of punctuation alone is passed over. Reported
@@ -18,8 +19,7 @@ benchmark is measured first and sent to the tasks in blocks of a bounded number
 of words; a larger benchmark takes more passes over the texts, not more memory.
 
 Edge cases: a null text or item counts as empty. Items of fewer than ``shortest``
-words are ignored, as they are no passage. Items shorter than a mask must occur
-whole. Repeated rows and items are reported each; item ids in order. Extra
+words are ignored, as they are no passage. Repeated rows and items are reported each; item ids in order. Extra
 columns pass through, ``overlaps`` is replaced.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,16 @@ _U = np.uint64
 _BITS = 22
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over all n words of a short item: two blocks each, of two blocks more than substitutions are allowed.
+
+    So many substitutions leave two blocks untouched at least, which are a mask.
+    """
+    allowed = n - math.ceil(AGREEMENT * n - 1e-9)
+    blocks = [tuple(int(j) for j in part) for part in np.array_split(np.arange(n), allowed + 2)]
+    return [a + b for a, b in combinations(blocks, 2)]
+
+
 def folded(texts: list[str | None]) -> pa.Array:
     """The texts without case, punctuation and format characters as NUL bytes."""
     low = pa.array([(t or "").casefold() for t in texts], pa.large_string())
@@ -89,16 +100,16 @@ class Index:
         self.ids, self.words, self.bounds = ids, w.hash, w.bounds
         length = np.diff(w.bounds)
         self.masks = list(enumerate(MASKS, 1))
-        # A mask for each length of items that are too short for the others.
-        short = sorted({int(n) for n in length if SHORTEST <= n < REACH})
-        self.masks += [(100 + n, tuple(range(n))) for n in short]
+        # Masks for each length of items that are too short for the others, with salts of their own.
+        short = sorted({int(n) for n in length if SHORTEST <= n < SPAN})
+        self.masks += [(100 * n + k, mask) for n in short for k, mask in enumerate(short_masks(n))]
         keys, items, places = [], [], []
         owner = np.repeat(np.arange(len(ids)), length)
         for salt, mask in self.masks:
             h, ok = seed_hashes(w, mask, salt)
             at = np.flatnonzero(ok)
-            n = length[owner[at]]
-            at = at[n == len(mask)] if salt > 100 else at[n >= REACH]
+            n, place = length[owner[at]], at - w.bounds[owner[at]]
+            at = at[(n == salt // 100) & (place == 0)] if salt >= 100 else at[n >= SPAN]
             keys.append(h[at])
             items.append(owner[at])
             places.append(at - w.bounds[owner[at]])

@@ -342,6 +342,24 @@ def test_masks_find_three_substitutions_in_sixteen_words():
     assert all(any(not span & set(gone) for span in spans) for gone in combinations(range(decontaminate.SPAN), 3))
 
 
+@pytest.mark.parametrize("n", range(decontaminate.SHORTEST, decontaminate.SPAN))
+def test_short_items_are_found_with_any_allowed_substitutions(n):
+    from itertools import combinations
+
+    rng = random.Random(n)
+    allowed = n // 5
+    item = prose(rng, n).split()
+    index = decontaminate.Index([7], [" ".join(item)])
+    texts = []
+    for gone in combinations(range(n), allowed):
+        w = ["zzz" if k in gone else x for k, x in enumerate(item)]
+        texts.append(" ".join(["before", *w, "after"]))
+    texts.append(" ".join(["before", *["zzz"] * (allowed + 1), *item[allowed + 1 :], "after"]))
+    (_, _, data, offsets), = wordhash.text_chunks(decontaminate.folded(texts), 1 << 62)
+    found = index.overlaps(*decontaminate.plain_words(data, offsets), decontaminate.SPAN, decontaminate.AGREEMENT)
+    assert found == {i: [(7, 1, 1 + n, n - allowed)] for i in range(len(texts) - 1)}
+
+
 def test_overlaps(spark, none):
     rng = random.Random(4)
     items = [(i, prose(rng, n)) for i, n in enumerate((30, 40, 18, 8, 3))] + [(9, None), (9, "")]
