@@ -65,8 +65,8 @@ def lang_hint(spark, sf_dir):
       FROM (SELECT doc_id, regexp_extract_all(lower(left(text, 2000)), '[\p{{L}}\p{{N}}_\x{{0E00}}-\x{{0E7F}}]{{2,}}') AS w FROM documents))""",
 )
 def search_terms(spark, sf_dir):
-    """F6, D11, of the opening that a preview shows."""
-    t = X.search_terms(F.substring("text", 1, 2000))
+    """F6, D11, of the whole text. The SQL takes the first 2000 characters alone and differs on longer texts."""
+    t = X.search_terms("text")
     return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.sha1(F.array_join("t", " ")).alias("digest"))
 
 

@@ -34,3 +34,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 8
+
+
+def test_search_terms_of_whole_texts(spark, tmp_path):
+    import hashlib
+    import re
+
+    from tessella.functions.constants import SEARCH_STOPWORDS
+
+    texts = {1: "word " * 600 + "late Term and ends with café", 2: " ".join(f"w{i}" for i in range(3000)), 3: "short one", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in texts.items():
+        terms = [w for w in dict.fromkeys(re.findall(r"\w{2,}", (t or "").lower())) if w not in SEARCH_STOPWORDS]
+        want[i] = (len(terms), hashlib.sha1(" ".join(terms).encode()).hexdigest())
+    got = {r.doc_id: (r.n_terms, r.digest) for r in QUERIES["search_terms"](spark, str(tmp_path)).collect()}
+    assert got == want
