@@ -1,17 +1,20 @@
 """Licence notices by Dice coefficient over word bigrams, in built-in expressions only.
 
-Lines of a text, and the sentences of such lines, are normalised to lower-case
-runs of letters and digits and compared with licence templates by
-``2 |A ∩ B| / (|A| + |B|)`` over their sets of word bigrams. A template is a
-candidate only within the size bounds that the threshold allows, and a line only
-if it holds one of the bigrams that any match of some template must share, so
-that pruning loses nothing. The templates are a literal of fixed size; the plan
-is one projection over the scan.
-
-Edge cases: a null or empty text has no licence. Ties take the first licence in
-alphabetical order. Lines of one word have no bigram and match nothing.
-Repeated rows are scanned each on its own; extra columns pass through, columns
-whose names clash with those added are replaced.
+A text is normalised to lower-case runs of letters and digits, line ends and all,
+and its windows of words are compared with licence templates by
+``2 |A ∩ B| / (|A| + |B|)`` over their sets of word bigrams, so that a notice is
+found however its lines are broken and whatever sentence it stands in. A text is
+looked at only if it holds one of the bigrams that any match of some template
+must share, and a template only if the text holds one of its own, so that pruning
+loses nothing. A best window begins and ends with runs of the template's bigrams
+and holds at most ``n (2 - threshold) / threshold`` bigrams; all such windows are
+rated. Where windows overlap the higher counts. The templates are a literal of
+fixed size; the plan is one projection over the scan.
+
+Edge cases: a null or empty text has no licence. Ties take the longer window, then
+the first licence in alphabetical order. Texts of one word have no bigram and match
+nothing. Repeated rows are scanned each on its own; extra columns pass through,
+columns whose names clash with those added are replaced.
 """
 
 from __future__ import annotations
@@ -55,58 +58,88 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def required_bigrams(text: str, threshold: float) -> list[str]:
+    """The longest bigrams of a template, so many that any match holds one of them."""
+    b = bigrams_of(text)
+    share = math.ceil(len(b) * threshold / (2 - threshold) - 1e-9)
+    return sorted(b, key=lambda x: (-len(x), x))[: len(b) - share + 1]
+
+
 def required_pattern(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
-    """Matches any lower-case line whose Dice coefficient with some template can reach the threshold.
+    """Matches any lower-case text with words whose Dice coefficient with some template can reach the threshold.
 
-    Such a line shares at least ``threshold / (2 - threshold)`` of a template's
-    bigrams, so it holds one of any larger remainder; the longest are taken.
+    Such words share at least ``threshold / (2 - threshold)`` of a template's
+    bigrams, so they hold one of any larger remainder; the longest are taken.
     """
     needed: set[str] = set()
     for _, text in templates:
-        b = bigrams_of(text)
-        share = math.ceil(len(b) * threshold / (2 - threshold) - 1e-9)
-        needed.update(sorted(b, key=lambda x: (-len(x), x))[: len(b) - share + 1])
+        needed.update(required_bigrams(text, threshold))
     either = "|".join(GAP.join(map(re.escape, x.split())) for x in sorted(needed))
     return rf"(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
 
 
-def _bigrams(unit: Column) -> Column:
-    w = F.split(F.trim(F.regexp_replace(unit, GAP, " ")), " ")
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.array_compact(pairs))
-
-
 def scan_licenses(
     df: DataFrame, threshold: float = 0.8, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text"
 ) -> DataFrame:
     """Add license_matches (array of struct(license, dice, unit)), licenses, best_license and best_dice."""
     known = F.array(
         *[
-            F.struct(F.lit(name).alias("id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b"))
-            for name, b in ((name, bigrams_of(t)) for name, t in templates)
+            F.struct(
+                F.lit(name).alias("id"),
+                F.lit(len(bigrams_of(t))).alias("n"),
+                F.array(*map(F.lit, bigrams_of(t))).alias("b"),
+                F.array(*map(F.lit, required_bigrams(t, threshold))).alias("needed"),
+            )
+            for name, t in templates
         ]
     )
-    pattern = required_pattern(templates, threshold)
+    bound = threshold / (2 - threshold)
     low = F.lower(text_or_empty(text))
-    lines = F.filter(F.split(low, "\n"), lambda x: x.rlike(pattern))
-    units = F.flatten(F.transform(lines, lambda x: F.concat(F.array(x), F.split(x, r"[.!?]+\s+"))))
-    units = F.when(low.rlike(pattern), F.transform(F.array_distinct(units), lambda u: F.struct(u.alias("unit"), _bigrams(u).alias("b"))))
-    df = df.withColumn("_units", units).withColumn("_known", known)
-
-    def best(u: Column) -> Column:
-        size = F.size(u["b"])
-        bound = threshold / (2 - threshold)
-        fits = F.filter("_known", lambda t: (size >= t["n"] * bound) & (size <= t["n"] / bound) & (size > 0))
-        rated = F.transform(
-            fits,
-            lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(u["b"], t["b"])) / (size + t["n"])).alias("dice"), t["id"].alias("license")),
-        )
-        top = F.array_max(F.transform(rated, lambda r: r["dice"]))
-        first = F.array_min(F.transform(F.filter(rated, lambda r: r["dice"] == top), lambda r: r["license"]))
-        return F.struct(first.alias("license"), top.alias("dice"), u["unit"].alias("unit"))
-
-    found = F.filter(F.transform("_units", best), lambda m: m["dice"] >= threshold)
-    df = df.withColumn("license_matches", F.coalesce(found, F.expr("cast(array() AS array<struct<license:string,dice:double,unit:string>>)")))
+    w = F.split(F.trim(F.regexp_replace(low, GAP, " ")), " ")
+    df = df.withColumn("_words", F.when(low.rlike(required_pattern(templates, threshold)), w))
+    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    df = df.withColumn("_pairs", F.array_compact(pairs)).withColumn("_known", F.when(F.col("_words").isNotNull(), known))
+
+    def rated(t: Column) -> Column:
+        """The windows of one template that reach the threshold."""
+        places = F.array_compact(F.transform("_pairs", lambda x, i: F.when(F.array_contains(t["b"], x), i)))
+        # Runs of shared bigrams: a window begins where one begins and ends where one ends.
+        begins = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
+        ends = lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1))
+        reach = F.ceil(t["n"] / F.lit(bound)).cast("int") * 2
+
+        def of(runs: Column) -> Column:
+            def window(a: Column, z: Column) -> Column:
+                b = F.array_distinct(F.slice("_pairs", a + 1, z - a + 1))
+                return F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), a.alias("a"), z.alias("z"), t["id"].alias("license"))
+
+            return F.flatten(
+                F.transform(
+                    runs["begins"],
+                    lambda a: F.transform(F.filter(runs["ends"], lambda z: (z >= a) & (z < a + reach) & (z - a + 1 >= t["n"] * bound - 1e-9)), lambda z: window(a, z)),
+                )
+            )
+
+        bind = lambda p: F.struct(begins(p).alias("begins"), ends(p).alias("ends"))
+        windows = F.flatten(F.transform(F.transform(F.array(places), bind), of))
+        return F.when(F.arrays_overlap(t["needed"], "_pairs"), F.filter(windows, lambda m: m["dice"] >= threshold))
+
+    found = F.flatten(F.array_compact(F.transform("_known", rated)))
+    # Best first: by dice, longer window, licence.
+    ordered = F.array_sort(
+        F.transform(found, lambda m: F.struct((-m["dice"]).alias("least"), (m["a"] - m["z"]).alias("width"), m["license"].alias("license"), m["a"].alias("a"), m["z"].alias("z")))
+    )
+    df = df.withColumn("_ordered", ordered)
+    kept = F.aggregate(
+        "_ordered",
+        F.filter("_ordered", lambda m: F.lit(False)),
+        lambda acc, m: F.when(F.exists(acc, lambda k: (m["a"] <= k["z"]) & (k["a"] <= m["z"])), acc).otherwise(F.concat(acc, F.array(m))),
+    )
+    matches = F.transform(
+        kept,
+        lambda m: F.struct(m["license"].alias("license"), (-m["least"]).alias("dice"), F.array_join(F.slice("_words", m["a"] + 1, m["z"] - m["a"] + 2), " ").alias("unit")),
+    )
+    df = df.withColumn("license_matches", F.coalesce(matches, F.expr("cast(array() AS array<struct<license:string,dice:double,unit:string>>)")))
     top = F.array_max(F.transform("license_matches", lambda m: m["dice"]))
     return df.withColumns(
         {
@@ -114,4 +147,4 @@ def scan_licenses(
             "best_dice": top,
             "best_license": F.array_min(F.transform(F.filter("license_matches", lambda m: m["dice"] == F.array_max(F.transform("license_matches", lambda k: k["dice"]))), lambda m: m["license"])),
         }
-    ).drop("_units", "_known")
+    ).drop("_words", "_pairs", "_known", "_ordered")

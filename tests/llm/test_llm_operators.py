@@ -163,6 +163,27 @@ def test_license_pruning_loses_nothing():
                 assert pattern.search(line)
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    )
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    rng = random.Random(13)
+    texts = [
+        mit, textwrap.fill(mit, 80), textwrap.fill(mit, 40), textwrap.fill(bsd, 80), gpl, gpl.replace("\n", " ").replace("License,", "License,\n"),
+        f"{prose(rng, 300)}\n{gpl}\n{prose(rng, 20)}\n{textwrap.fill(mit, 70)}\n{prose(rng, 9)} {gpl}",
+        "Licensed under\nthe law of the land, the version of the public", gpl.replace("General", "General\n" + prose(rng, 30)),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i].licenses for i in range(9)] == ["MIT", "MIT", "MIT", "BSD-3-Clause", "GPL-3.0", "GPL-3.0", "GPL-3.0,MIT", "", ""]
+    assert all(got[i].best_dice == 1.0 for i in range(7)) and len(got[6].license_matches) == 3
+
+
 # Secrets
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
