@@ -14,6 +14,7 @@ from . import answers
 from .pipelines import ask, ingest_pages, run_eval
 from .registry import query, quoted
 from .retrieval_queries import chunks
+from .text_queries import blocks
 
 STRIPPED = r"regexp_replace(regexp_replace({}, '<[^>]+>', chr(10), 'g'), '\s*\n\s*', chr(10), 'g')"
 ENTITIES = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -309,22 +310,19 @@ def vector_similarity(spark, sf_dir):
     return e.select("vec_id", F.round(scoring.similarity(scoring.l2_distance(F.col("embedding"), half)), 6).alias("score"))
 
 
-def numbered_sources(spark, sf_dir, asks=""):
-    """Sources as numbered articles: the opening of each of their first documents as a section, with a question."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf_dir, "documents").withColumn("_n", F.row_number().over(w)).where("_n <= 9")
-    line = F.concat(F.col("_n").cast("string"), F.lit(". "), F.regexp_replace(F.substring_index("text", "\n", 1), r"\d", ""))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), " ")
-    asked = F.concat(F.lit("5 trends of "), F.substring(F.substring_index(F.max_by("text", "_n"), "\n", 1), 1, 40), F.lit(asks))
-    return d.groupBy(F.col("source").alias("qid")).agg(text.alias("source_text"), asked.alias("question"))
+def numbered_sources(spark, sf_dir, asks="", size=9):
+    """Documents as numbered articles: all their lines as sections, numbered anew in each block of ``size``, with a question a block."""
+    solid = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\d", ""))), lambda s: s != "")
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(blocks(solid, size)).alias("_b", "_l"))
+    text = F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " ")
+    asked = F.concat(F.lit("5 trends of "), F.substring(F.element_at("_l", -1), 1, 40), F.lit(asks))
+    return d.select(F.concat_ws("/", "source", "doc_id", F.col("_b") + 1).alias("qid"), text.alias("source_text"), asked.alias("question"))
 
 
 @query("numbered_list_answers")
 def numbered_list_answers(spark, sf_dir):
     """C4, A22, D12, F25, F42."""
-    return answers.numbered_list_answers(numbered_sources(spark, sf_dir, " 1-5"))
+    return answers.numbered_list_answers(numbered_sources(spark, sf_dir, " 1-5", 5))
 
 
 @query("focus_answers")

@@ -155,6 +155,11 @@ def char_split(spark, sf_dir):
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("chunk_index"), "chunk")
 
 
+def blocks(array, size):
+    """An array's items in arrays of ``size``, the last one shorter: section numbers have two digits at most, and begin anew in each."""
+    return X.let(array, lambda a: F.transform(F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i % size == 0) & (i < F.size(a))), lambda i: F.slice(a, i + 1, size)))
+
+
 NUMBERED = "array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), lambda x: x[2] || '. ' || x[1]), chr(10))"
 
 
@@ -164,12 +169,15 @@ NUMBERED = "array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), la
       SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1:99] AS l FROM documents)) WHERE length(trim(x[1])) <= 180""",
 )
 def numbered_sections(spark, sf_dir):
-    """G8, G10, P25. The lines of a text, numbered up to 99, split into their sections again."""
-    solid = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda s: s != ""), 1, 99)
-    df = documents(spark, sf_dir).withColumn("_l", solid)
+    """G8, G10, P25. The lines of a text, numbered up to 99 in each block, split into their sections again.
+
+    Numbers go on through the blocks; the SQL has the first block alone.
+    """
+    solid = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda s: s != "")
+    df = documents(spark, sf_dir).select("doc_id", F.posexplode(blocks(solid, 99)).alias("_b", "_l"))
     numbered = df.withColumn("text", F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))
-    rows = numbered.select("doc_id", F.explode(chunking.numbered_sections("text")).alias("s"))
-    out = rows.select("doc_id", chunking.section_order(F.col("s")).cast("long").alias("number"), chunking.section_title(F.col("s")).alias("title"))
+    rows = numbered.select("doc_id", "_b", F.explode(chunking.numbered_sections("text")).alias("s"))
+    out = rows.select("doc_id", (F.col("_b") * 99 + chunking.section_order(F.col("s"))).cast("long").alias("number"), chunking.section_title(F.col("s")).alias("title"))
     return out.where("title IS NOT NULL")
 
 
@@ -329,12 +337,13 @@ def truncate_text(spark, sf_dir):
 
 @query("trend_profiles")
 def trend_profiles(spark, sf_dir):
-    """G9, G15, F26, F28, F30, F31 over the numbered lines of texts; tested on articles."""
-    df = documents(spark, sf_dir).withColumn("_l", F.filter(F.split("text", "\n"), lambda s: s != ""))
-    numbered = F.array_join(F.transform(F.slice("_l", 1, 9), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " ")
-    rows = df.select("doc_id", F.explode(chunking.inline_sections(numbered)).alias("s")).withColumn("item", articles.numbered_item(F.col("s")))
+    """G9, G15, F26, F28, F30, F31 over the lines of texts, numbered anew in blocks of nine; orders go on. Tested on articles."""
+    solid = F.filter(F.split("text", "\n"), lambda s: s != "")
+    df = documents(spark, sf_dir).select("doc_id", F.posexplode(blocks(solid, 9)).alias("_b", "_l"))
+    numbered = F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " ")
+    rows = df.select("doc_id", "_b", F.explode(chunking.inline_sections(numbered)).alias("s")).withColumn("item", articles.numbered_item(F.col("s")))
     rows = rows.where(F.col("item").isNotNull())
     return rows.select(
-        "doc_id", "item.order", "item.title", articles.section_lead(F.col("s"), F.col("item.title")).alias("lead"), articles.business_actions(F.col("s")).alias("actions"),
+        "doc_id", (F.col("_b") * 9 + F.col("item.order")).cast("int").alias("order"), "item.title", articles.section_lead(F.col("s"), F.col("item.title")).alias("lead"), articles.business_actions(F.col("s")).alias("actions"),
         articles.stat_points(F.col("s")).alias("stats"), articles.source_names(F.col("s")).alias("sources"), articles.section_body(F.col("s")).alias("raw"),
     )

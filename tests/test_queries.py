@@ -50,3 +50,21 @@ def test_search_terms_of_whole_texts(spark, tmp_path):
         want[i] = (len(terms), hashlib.sha1(" ".join(terms).encode()).hexdigest())
     got = {r.doc_id: (r.n_terms, r.digest) for r in QUERIES["search_terms"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_numbered_queries_use_every_line(spark, tmp_path):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    lines = {d: [f"Line {word(d)} {word(i)} สัตว์ end" for i in range(n)] for d, n in ((1, 250), (2, 9), (3, 99), (4, 100), (5, 3), (6, 0))}
+    rows = [(d, "\n".join(x), "s", "en") for d, x in lines.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    want = {(d, i): s for d, x in lines.items() for i, s in enumerate(x, 1)}
+    assert {(r.doc_id, r.number): r.title for r in run("numbered_sections")} == want
+    profiles = run("trend_profiles")
+    assert len(profiles) == len(want) and {(r.doc_id, r.order) for r in profiles} == want.keys()
+    lists = run("numbered_list_answers")
+    assert sorted(r.qid for r in lists) == sorted(f"s/{d}/{b + 1}" for d, x in lines.items() for b in range(-(-len(x) // 5)) if len(x) - 5 * b >= 3)
+    text = "\n".join(r.answer for r in lists)
+    assert all(word(i) in text for i in range(250))
+    for name in ("focus_answers", "article_answers"):
+        assert {r.qid for r in run(name)} == {f"s/{d}/{b + 1}" for d, x in lines.items() for b in range(-(-len(x) // 9))}, name
