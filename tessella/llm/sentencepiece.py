@@ -313,7 +313,8 @@ def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str, step:
         for first, stop, _, _ in text_chunks(batch.column(column), step):
             part = batch.slice(first, stop - first)
             texts = part.column(column).to_pylist()
-            ids, lossless = encode_texts(v, texts)
+            ids, _ = encode_texts(v, texts)
+            lossless = [decode_ids(v, k.tolist()) == (t or "") for k, t in zip(ids, texts)]
             lengths = np.array([len(k) for k in ids], np.int64)
             flat = np.concatenate([np.zeros(0, np.int32), *ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int32()))

@@ -308,6 +308,13 @@ def test_odd_texts_encode_alike():
     assert all(lossless)
 
 
+def test_lossless_compares_the_decoded_text(spark):
+    rows = [(1, "a plain text"), (2, "a mark \u2581 in a text"), (3, "\u2581"), (4, " two  spaces "), (5, ""), (6, None), (7, "日本語 😀")]
+    out = sentencepiece.decode(sentencepiece.encode(spark.createDataFrame(rows, "doc_id int, text string"))).collect()
+    assert {r.doc_id: r.lossless for r in out} == {i: i not in (2, 3) for i in range(1, 8)}
+    assert all(r.lossless == (r.decoded == (r.text or "")) for r in out)
+
+
 def test_unigram_takes_the_best_sum():
     v = sentencepiece.Vocabulary({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}, [-1.0, -2.5, -2.5, -2.0, -2.5], ["▁", "a", "b", "ab", "▁a", "", "", "", "", ""], [], 9, bpe=False, longest=2, least=-20)
     got = [(np.frombuffer(i, np.int32).tolist(), whole) for i, whole in sentencepiece.encode_sorted(v, ["▁ab", "▁abz", "▁b"])]
