@@ -60,31 +60,39 @@ _MARKS = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 PLAIN, LINK, BOILERPLATE, OUTSIDE = "word", "link word", "boilerplate word", "outside word"
 #: Tags that score nothing.
 NEUTRAL = "<>"
+#: Where an article or main element opens; only seen by ``tokens``.
+LANDMARK = "<!>"
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
     """(name, text) of the page: tags as ("<p>", "") and pieces of text as (place, text).
 
     A piece inside an element or a class known as boilerplate stands in
-    BOILERPLATE; on a page with an article or main element, pieces outside stand in OUTSIDE.
-    Tags there, and inside such an element, are NEUTRAL, with a space if they part blocks.
+    BOILERPLATE; on a page with an article or main element that isn't itself in
+    boilerplate, pieces outside stand in OUTSIDE. Tags in either are NEUTRAL, with a
+    space if they part blocks.
     """
+    seen = list(_read(page))
+    landmark = any(name == LANDMARK for name, *_ in seen)
+    for name, piece, boiler, link, inside in seen:
+        if name == LANDMARK:
+            continue
+        out = landmark and not inside
+        if not name:
+            yield BOILERPLATE if boiler else OUTSIDE if out else LINK if link and not inside else PLAIN, piece
+        elif boiler or out:
+            yield NEUTRAL, "" if name.strip("</>") in INLINE else " "
+        else:
+            yield name, " " if name == NEUTRAL else ""
+
+
+def _read(page: str) -> Iterator[tuple[str, str, int, int, int]]:
+    """(tag or "", text, and how many boilerplate, link and main elements are open); LANDMARK where a main element opens outside boilerplate."""
     lower = page.lower()
-    landmark = re.search(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main\b", lower) is not None
     stack: list[tuple[str, bool, bool, bool]] = []
     boiler = link = inside = 0
     at = 0
 
-    def place() -> str:
-        if boiler:
-            return BOILERPLATE
-        if landmark and not inside:
-            return OUTSIDE
-        return LINK if link and not inside else PLAIN
-
-    def tag(mark: str, name: str) -> tuple[str, str]:
-        return (NEUTRAL, "" if name in INLINE else " ") if boiler or landmark else (f"<{mark}{name}>", "")
-
     def pop() -> None:
         nonlocal boiler, link, inside
         _, b, a, m = stack.pop()
@@ -92,7 +100,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
-            yield place(), page[at : m.start()]
+            yield "", page[at : m.start()], boiler, link, inside
         at = m.end() if m.end() > m.start() else m.end() + 1
         if m[1]:
             end = lower.find(f"</{m[1].lower()}", at)
@@ -101,19 +109,19 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             end = len(page) if end < 0 else end
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
-            yield NEUTRAL, " "
+            yield NEUTRAL, "", boiler, link, inside
             continue
         if not m[3]:
             continue
         name = m[3].lower()
         if m[2]:
-            yield tag("/", name)
+            yield f"</{name}>", "", boiler, link, inside
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0 and (name in SCOPES or not any(x[0] in SCOPES for x in stack[depth + 1 :])):
                 while len(stack) > depth:
                     pop()
             continue
-        yield tag("", name)
+        yield f"<{name}>", "", boiler, link, inside
         if name in VOID or m[4].rstrip().endswith("/"):
             continue
         if name in ("p", "li", "td", "dd", "dt", "option") and stack:
@@ -127,11 +135,13 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         noise = name in BOILER or name in RAW
         for x in _MARKS.finditer(m[4]):
             noise |= bool(x[4]) or (name not in ("html", "body", "main") and any(NOISE.search(w) and not STATE.match(w) for w in (x[1] or x[2] or x[3] or "").split()))
-        main = name in ("article", "main") or (landmark and re.search(r"role\s*=\s*[\"']?main\b", m[4].lower()) is not None)
+        main = name in ("article", "main") or ("main" in m[4].lower() and re.search(r"(?:^|\s)role\s*=\s*[\"']?main\b", m[4].lower()) is not None)
         stack.append((name, noise, name == "a", main))
         boiler, link, inside = boiler + noise, link + (name == "a"), inside + main
+        if main and not boiler:
+            yield LANDMARK, "", boiler, link, inside
     if at < len(page):
-        yield place(), page[at:]
+        yield "", page[at:], boiler, link, inside
 
 
 def fit_weights(labelled: Iterable[tuple[str, str]]) -> dict[str, float]:

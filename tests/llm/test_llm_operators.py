@@ -276,6 +276,26 @@ def test_pages(spark):
     assert got[6].n_chars == len(got[6].text)
 
 
+@pytest.mark.parametrize(
+    "aside",
+    [
+        "<!-- <article class=x> -->", "<script>x = '<main>'</script>", "<p title='role=main'>First words.</p>",
+        "<section class=comments><article><p>I like it</p></article></section>", "<footer><div role=main>foot</div></footer>",
+    ],
+)
+def test_what_only_looks_like_a_landmark_hides_no_text(aside):
+    page = f"<body><nav><a href=1>Home</a></nav><div><p>Long running text stands here and goes on for a while.</p></div>{aside}</body>"
+    assert html_extract.extract_text(page).startswith("Long running text stands here and goes on for a while.")
+
+
+def test_tags_of_a_landmark_page_keep_their_weights():
+    names = [name for name, _ in html_extract.tokens("<nav><p>x</p></nav><article><p>One <b>two</b></p></article><div>out</div>")]
+    assert {"<p>", "</p>", "<b>", "</b>"} <= set(names) and "<div>" not in names
+    heavy = {html_extract.PLAIN: 1.0, "<table>": -50.0}
+    page = "<article><p>Some running text of many words.</p><table><tr><td>few</td></tr></table></article>"
+    assert html_extract.extract_text(page, heavy) == "Some running text of many words."
+
+
 def test_weights_follow_the_labels():
     w = html_extract.fit_weights(html_extract.LABELLED)
     assert w["word"] > 0 > w["link word"] and w["boilerplate word"] == w["outside word"] == 0
