@@ -36,8 +36,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps with the benchmark; a clean document has no row."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find_overlaps(documents, table(spark, sf_dir, "benchmark"), keep_text=False)
-    return out.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.*")
+    return find_overlaps(documents, table(spark, sf_dir, "benchmark"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontaminate import AGREEMENT, REACH, SHORTEST, SPAN
+from .decontaminate import AGREEMENT, SPAN
 from .jaccard_join import THRESHOLD
 from .license_scan import TEMPLATES, bigrams_of
 from .quality_rules import BOILERPLATE, QualityRules
@@ -141,26 +141,28 @@ SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = d.uid) AS n_links
 
 
 def decontamination_sql() -> str:
-    """All alignments of texts and items with words enough in common, and their best windows."""
+    """All alignments of texts and items with words enough in common, and their best windows; words without case and punctuation."""
+    folded = rf"regexp_replace(lower(x), '[\p{{P}}\p{{Cf}}]', '', 'g')"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT row_number() OVER () AS iid, item_id, {_words("coalesce(text, '')")} AS w FROM benchmark),
-sized AS (
-  SELECT iid, item_id, w, len(w) AS n, least({SPAN}, len(w)) AS need,
-    CASE WHEN len(w) < {REACH} THEN len(w) ELSE ceil({AGREEMENT} * least({SPAN}, len(w)) - 1e-9) END AS least_agree
-  FROM i WHERE len(w) >= {SHORTEST}
-), dw AS (SELECT uid, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM d),
-iw AS (SELECT iid, unnest(range(0, n)) AS p, unnest(w) AS x FROM sized),
-equal AS (SELECT uid, iid, dw.p AS p, dw.p - iw.p AS shift FROM dw JOIN iw USING (x)),
+draw AS (SELECT uid, p, {folded} AS x FROM (SELECT uid, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM d)),
+dw AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY p) - 1 AS q, p, x FROM draw WHERE x <> ''),
+dn AS (SELECT uid, count(*) AS n FROM dw GROUP BY uid),
+iraw AS (SELECT iid, p, {folded} AS x FROM (SELECT iid, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM i)),
+iw AS (SELECT iid, row_number() OVER (PARTITION BY iid ORDER BY p) - 1 AS q, x FROM iraw WHERE x <> ''),
+sized AS (SELECT iid, count(*) AS n, least({SPAN}, count(*)) AS need, ceil({AGREEMENT} * least({SPAN}, count(*)) - 1e-9) AS least_agree FROM iw GROUP BY iid),
+equal AS (SELECT uid, iid, dw.q AS q, dw.q - iw.q AS shift FROM dw JOIN iw USING (x)),
 aligned AS (
-  SELECT uid, iid, shift, greatest(0, shift) AS first, least(len(d.w), shift + s.n) AS stop, need, least_agree
-  FROM (SELECT uid, iid, shift, count(*) AS c FROM equal GROUP BY ALL) JOIN sized s USING (iid) JOIN d USING (uid) WHERE c >= least_agree
+  SELECT uid, iid, shift, greatest(0, shift) AS first, least(dn.n, shift + s.n) AS stop, need, least_agree
+  FROM (SELECT uid, iid, shift, count(*) AS c FROM equal GROUP BY ALL) JOIN sized s USING (iid) JOIN dn USING (uid) WHERE c >= least_agree
 ), starts AS (SELECT *, unnest(range(first, stop - need + 1)) AS start FROM aligned WHERE stop - first >= need),
 counted AS (
-  SELECT t.uid, t.iid, t.start, t.need, count(*) AS agree FROM starts t JOIN equal e ON e.uid = t.uid AND e.iid = t.iid AND e.shift = t.shift AND e.p >= t.start AND e.p < t.start + t.need
+  SELECT t.uid, t.iid, t.start, t.need, count(*) AS agree FROM starts t JOIN equal e ON e.uid = t.uid AND e.iid = t.iid AND e.shift = t.shift AND e.q >= t.start AND e.q < t.start + t.need
   GROUP BY t.uid, t.iid, t.shift, t.start, t.need, t.least_agree HAVING count(*) >= t.least_agree
 ), best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY uid, iid ORDER BY agree DESC, start) = 1)
-SELECT doc_id, item_id, start, start + best.need AS "end", agree FROM best JOIN d USING (uid) JOIN sized USING (iid)
+SELECT doc_id, item_id, a.p AS start, z.p + 1 AS "end", agree
+FROM best b JOIN d USING (uid) JOIN i USING (iid) JOIN dw a ON a.uid = b.uid AND a.q = b.start JOIN dw z ON z.uid = b.uid AND z.q = b.start + b.need - 1
 """
 
 

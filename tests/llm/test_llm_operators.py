@@ -390,27 +390,70 @@ def test_masks_find_three_substitutions_in_sixteen_words():
     assert all(any(not span & set(gone) for span in spans) for gone in combinations(range(decontaminate.SPAN), 3))
 
 
-@pytest.mark.parametrize("n", range(decontaminate.SHORTEST, decontaminate.SPAN))
-def test_short_items_are_found_with_any_allowed_substitutions(n):
+def folded_words(text):
+    """(word without case and punctuation, place among the words as they stand)."""
+    plain = [(re.sub(r"[^\w]|_", "", x.casefold()), i) for i, x in enumerate(words(text))]
+    return [x for x in plain if x[0]]
+
+
+def overlaps(rows, items):
+    """Best window of each text and item by comparing every alignment."""
+    out = Counter()
+    for d, t in rows:
+        a = folded_words(t)
+        for i, u in items:
+            b = folded_words(u)
+            need = min(len(b), decontaminate.SPAN)
+            found = []
+            for shift in range(-len(b), len(a)):
+                same = [int(0 <= shift + k < len(a) and a[shift + k][0] == b[k][0]) for k in range(len(b))]
+                for k in range(len(b) - need + 1):
+                    if shift + k >= 0 and shift + k + need <= len(a):
+                        found.append((sum(same[k : k + need]), -(shift + k)))
+            agree, start = max(found, default=(0, 0))
+            if b and agree * 5 >= need * 4:
+                out[d, i, a[-start][1], a[-start + need - 1][1] + 1, agree] += 1
+    return out
+
+
+def found_overlaps(df, bench):
+    return Counter((r.doc_id, r.item_id, r.start, r.end, r.agree) for r in decontaminate.find_overlaps(df, bench).collect())
+
+
+def test_items_of_all_lengths_with_all_allowed_substitutions(spark):
+    """Items of 1 to 20 words: every placement of the allowed substitutions is found, one more isn't."""
     from itertools import combinations
 
-    rng = random.Random(n)
-    allowed = n // 5
-    item = prose(rng, n).split()
-    index = decontaminate.Index([7], [" ".join(item)])
-    texts = []
-    for gone in combinations(range(n), allowed):
-        w = ["zzz" if k in gone else x for k, x in enumerate(item)]
-        texts.append(" ".join(["before", *w, "after"]))
-    texts.append(" ".join(["before", *["zzz"] * (allowed + 1), *item[allowed + 1 :], "after"]))
-    (_, _, data, offsets), = wordhash.text_chunks(decontaminate.folded(texts), 1 << 62)
-    found = index.overlaps(*decontaminate.plain_words(data, offsets), decontaminate.SPAN, decontaminate.AGREEMENT)
-    assert found == {i: [(7, 1, 1 + n, n - allowed)] for i in range(len(texts) - 1)}
+    rng = random.Random(5)
+    rows, items = [], []
+    for n in range(1, 21):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        # A longer item has a window of sixteen words; three of them may differ.
+        allowed = min(n, decontaminate.SPAN) // 5
+        gone = list(combinations(range(min(n, decontaminate.SPAN)), allowed))
+        for g in gone if n <= decontaminate.SPAN else rng.sample(gone, 60):
+            rows.append((len(rows), " ".join(["before", *("zzz" if k in g else x for k, x in enumerate(item)), "after"])))
+        rows.append((len(rows), " ".join(["zzz"] * (n - decontaminate.SPAN + allowed + 1 if n > decontaminate.SPAN else allowed + 1) + item[max(0, n - decontaminate.SPAN) + allowed + 1 :])))
+    df, bench = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = overlaps(rows, items)
+    assert found_overlaps(df, bench) == want and len(want) == len(rows) - 20
+
+
+def test_random_overlaps_equal_all_alignments(spark):
+    """A small vocabulary, so that items meet texts by chance at many places."""
+    rng = random.Random(14)
+    text = lambda n, k: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    items = [(i, text(rng.randint(0, 24), rng.randint(1, 4))) for i in range(25)]
+    rows = [(i, text(rng.randint(0, 40), rng.randint(1, 5))) for i in range(90)]
+    df, bench = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = overlaps(rows, items)
+    assert found_overlaps(df, bench) == want and len(want) > 100
 
 
 def test_overlaps(spark, none):
     rng = random.Random(4)
-    items = [(i, prose(rng, n)) for i, n in enumerate((30, 40, 18, 8, 3))] + [(9, None), (9, "")]
+    items = [(i, prose(rng, n)) for i, n in enumerate((30, 40, 18, 8, 3))] + [(9, None), (9, ""), (None, prose(rng, 20))]
     swapped = items[1][1].split()
     for k in (5, 14, 22, 33):
         swapped[k] = "zzz"
@@ -420,19 +463,37 @@ def test_overlaps(spark, none):
         (3, prose(rng, 200)),
         (4, " ".join(items[0][1].split()[:12]) + " " + prose(rng, 40)),
         (5, items[3][1] + " " + items[2][1]),
-        (6, items[4][1]),
+        (6, items[4][1] + " " + items[7][1]),
         (7, None),
         (8, ""),
+        (9, "same " * 20000),
+        (None, items[0][1]),
     ]
-    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("overlaps", F.lit("clash"))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (500_000, 40):  # one block, several
-        got = {r.doc_id: [o.item_id for o in r.overlaps] for r in decontaminate.find_overlaps(df, bench, block_words=block).collect()}
-        assert got == {1: [0], 2: [1], 3: [], 4: [], 5: [2, 3], 6: [], 7: [], 8: []}
-    clean = decontaminate.decontaminate(df.drop("overlaps"), bench)
-    assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 6, 7, 8] and clean.columns == ["doc_id", "text"]
-    assert decontaminate.find_overlaps(none, bench).count() == 0
-    assert decontaminate.decontaminate(df.drop("overlaps"), bench.limit(0)).count() == 8
+    rows += [rows[4]]
+    clash = {c: F.lit("clash") for c in ("item_id", "start", "END", "row", "hits", "item", "h", "best")}
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumns(clash)
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"n": F.lit(0), "doc_id": F.lit(1)})
+    assert found_overlaps(df, bench) == overlaps(rows, items)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(df, bench.union(bench)).collect()} == {(1, 0), (2, 1), (5, 2), (5, 3), (6, 4), (6, None), (None, 0)}
+    clean = decontaminate.decontaminate(df, bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 7, 8, 9] and clean.columns == df.columns
+    assert decontaminate.find_overlaps(none, bench).count() == 0 and decontaminate.decontaminate(none, bench).count() == 0
+    assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(rows)
+
+
+def test_item_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("task/7", "an item of six plain words")], "item_id string, text string")
+    df = spark.createDataFrame([(1, "it holds an item of six plain words")], "doc_id int, text string")
+    assert found_overlaps(df, bench) == Counter({(1, "task/7", 2, 8, 6): 1})
+
+
+def test_a_filter_too_small_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_FILTER_BITS", 10)
+    rng = random.Random(15)
+    items = [(i, prose(rng, 30)) for i in range(200)]
+    rows = [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}") for i, t in items[::4]] + [(1000 + i, prose(rng, 60)) for i in range(20)]
+    got = found_overlaps(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert got == overlaps(rows, items) and len(got) == 50
 
 
 def test_overlaps_without_case_and_punctuation(spark):
@@ -447,9 +508,7 @@ def test_overlaps_without_case_and_punctuation(spark):
         (5, "..." * 30),
     ]
     bench = spark.createDataFrame([(0, item), (1, "?! " * 20)], "item_id long, text string")
-    out = decontaminate.find_overlaps(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()
-    got = {r.doc_id: [(o.item_id, o.start, o.end, o.agree) for o in r.overlaps] for r in out}
-    assert got == {1: [(0, 2, 18, 16)], 2: [(0, 3, 19, 16)], 3: [(0, 0, 31, 16)], 4: [], 5: []}
+    assert found_overlaps(spark.createDataFrame(rows, "doc_id int, text string"), bench) == Counter({(1, 0, 2, 18, 16): 1, (2, 0, 3, 19, 16): 1, (3, 0, 0, 31, 16): 1})
 
 
 # Suffix-array dedup

@@ -15,7 +15,7 @@ def test_native(spark, sf_dir, name):
         assert "Exchange" not in p
 
 
-@pytest.mark.parametrize("name", ["op4_decontamination", "op5_html_extraction", "op7_sentencepiece"])
+@pytest.mark.parametrize("name", ["op5_html_extraction", "op7_sentencepiece"])
 def test_scans_do_not_shuffle(spark, sf_dir, name):
     p = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in p and "MapInArrow" in p
