@@ -1,8 +1,11 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found per text by pattern. The hash of every candidate is counted
-by the distinct repositories and owners that hold it: a value that many owners
-hold is a widely copied example, one that stays with few is taken as live.
+by the distinct repositories and owners that hold it. A value is a widely copied
+example if ``shared_from`` owners hold it, or if several owners hold it in
+``copied_from`` repositories; otherwise it is taken as live, in however many
+repositories a single owner keeps it. Where a table has one column of origin, it
+is the repository, and the owner is what ``owner_of`` reads from it.
 
 Only hashes and offsets leave the scan. The counts pre-aggregate by (hash,
 owner), so that an example copied into a third of all documents costs one row
@@ -12,10 +15,15 @@ A private key in PEM form is its whole block: its span ends with the END line, o
 with the base64 text after the header where that line is missing. Its value is
 the body without what wraps it, so that one key counts as one value in any layout.
 
+Patterns are linear in the text, however long it is and whatever it repeats: a
+web token begins at the first of its marks in a run, and the scheme of an address
+counts at most ``SCHEME`` characters.
+
 Edge cases: a header without a body is its own value. A null text counts as
 empty. A null repository or owner counts as
 one unnamed one. Repeated rows are scanned each on its own, but one owner
-counts once. Extra columns pass through.
+counts once. Of spans that begin at the same place all are reported, in the order
+of KINDS. An empty table gives no rows. Columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +33,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, drop_kept, materialise
+from .shared import bound_batches, drop_kept, free_names, materialise
 
 # Kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
@@ -47,8 +55,32 @@ PEM_BODY = re.compile(
     rf"(?:{PEM_GAP}*(?:Proc-Type|DEK-Info|Content-Domain):[^\n\\]*)*(?:{PEM_GAP}*[A-Za-z0-9+/]{{16,}}+={{0,2}})+(?:{PEM_GAP}+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/]+={{0,2}}(?![A-Za-z0-9+/=]))?"
 )
 _PEM_GAPS = re.compile(PEM_GAP)
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{6,})@", re.ASCII)
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+#: Most characters of an address's scheme that count.
+SCHEME = 32
+_SCHEME = re.compile(r"[a-z][a-z0-9+.-]*\Z", re.ASCII)
+_LOGIN = re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@", re.ASCII)
+
+
+def _web_tokens(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Three runs of base64 joined by dots, the first from its first ``eyJ`` on."""
+    at = text.find("eyJ")
+    while at >= 0:
+        end = _JWT_RUN.match(text, at).end()
+        second = _JWT_RUN.match(text, end + 1) if end - at >= 11 and text[end : end + 1] == "." else None
+        third = _JWT_RUN.match(text, second.end() + 1) if second and len(second[0]) >= 8 and text[second.end() : second.end() + 1] == "." else None
+        if third and len(third[0]) >= 8:
+            yield at, 4, third.end(), text[at : third.end()]
+            end = third.end()
+        at = text.find("eyJ", end)
+
+
+def _logins(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Addresses with a password."""
+    for m in _LOGIN.finditer(text):
+        scheme = _SCHEME.search(text[max(0, m.start() - SCHEME) : m.start()])
+        if scheme:
+            yield m.start() - len(scheme[0]), 5, m.end(), m[1]
 
 
 def _private_keys(text: str) -> Iterator[tuple[int, int, int, str]]:
@@ -72,14 +104,14 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     if "=" in text or ":" in text:
         out += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         if "://" in text:
-            out += [(m.start(), 5, m.end(), m[1]) for m in URL.finditer(text)]
+            out += _logins(text)
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
         out += _private_keys(text)
     if "eyJ" in text:
-        out += [(m.start(), 4, m.end(), m[0]) for m in JWT.finditer(text)]
+        out += _web_tokens(text)
     out.sort()
     return out
 
@@ -128,90 +160,99 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, keep: list[str]) -> Iter
         yield pa.RecordBatch.from_arrays(kept + arrays, names=keep + list(cols))
 
 
+def owner_of(repository: Column) -> Column:
+    """Account or host of an origin: ``account`` of account/name, ``host/account`` of an address with more parts, else the host or name."""
+    plain = F.regexp_replace(F.lower(repository), r"^[a-z][a-z0-9+.-]*://(?:www\.)?", "")
+    parts = F.filter(F.split(plain, "/"), lambda x: x != "")
+    return F.when((F.size(parts) > 2) & F.get(parts, F.lit(0)).contains("."), F.concat_ws("/", F.slice(parts, 1, 2))).otherwise(F.get(parts, F.lit(0)))
+
+
+_RESULT = (*[f.name for f in _SCHEMA.fields], "n_live", "n_shared")
+
+
 def scan_secrets(
-    df: DataFrame, repository: str = "source", owner: str = "source", shared_from: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    df: DataFrame,
+    repository: str = "source",
+    owner: str | None = None,
+    shared_from: int = 3,
+    copied_from: int = 5,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Columns ``keep`` + n_assign, n_access, n_hex, base_sha256, spans, found, n_live, n_shared.
 
-    ``found``: array of struct(start, end, kind, hash, owners, repositories, live);
-    live: fewer than ``shared_from`` distinct owners hold the value.
+    ``found``: array of struct(start, end, kind, hash, owners, repositories, live).
+    Without a column ``owner`` owners are read from the repositories.
     """
-    keep_cols = list(keep)
+    keep_cols = [c for c in keep if c.lower() not in _RESULT]
+    repo, own, body, row, at, found_, live, shared = free_names(df, "repository", "owner", "body", "row", "at", "judged", "live", "shared")
     narrow = df.select(
         *keep_cols,
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repository"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"),
-        F.col(text).alias("_text"),
+        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias(repo),
+        F.coalesce(F.col(owner).cast("string") if owner else owner_of(F.col(repository).cast("string")), F.lit("")).alias(own),
+        F.col(text).alias(body),
     )
-    carried = [*keep_cols, "_repository", "_owner"]
+    carried = [*keep_cols, repo, own]
     schema = T.StructType([narrow.schema[c] for c in carried] + _SCHEMA.fields)
-    scanned = bound_batches(narrow).mapInArrow(lambda it: _scan(it, "_text", carried), schema).withColumn("_row", F.monotonically_increasing_id())
+    scanned = bound_batches(narrow).mapInArrow(lambda it: _scan(it, body, carried), schema).withColumn(row, F.monotonically_increasing_id())
     scanned = materialise(scanned)
 
-    each = scanned.where(F.size("found") > 0).select("_row", "_repository", "_owner", F.explode("found").alias("f"))
-    by_owner = each.groupBy(F.col("f.hash").alias("hash"), "_owner", "_repository").agg(F.count("*").alias("n"))
+    each = scanned.where(F.size("found") > 0).select(F.col(row).alias("at"), F.col(repo).alias("repository"), F.col(own).alias("owner"), F.explode("found").alias("f"))
+    by_owner = each.groupBy(F.col("f.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
     # Owners and repositories of one hash: a second, small aggregation of the distinct pairs.
     # Written before they are joined: a join with an aggregation below can't be split where a hash is hot.
-    owners = materialise(
-        by_owner.groupBy("hash").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repository").alias("repositories"))
-    )
+    owners = materialise(by_owner.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories")))
+    is_live = ~((F.col("owners") >= shared_from) | ((F.col("owners") > 1) & (F.col("repositories") >= copied_from)))
     judged = (
-        each.select("_row", "f", F.col("f.hash").alias("hash"))
+        each.select("at", "f", F.col("f.hash").alias("hash"))
         .join(owners, "hash")
-        .select(
-            F.col("_row").alias("_at"),
-            F.struct(
-                "f.start", "f.end", "f.kind", "f.hash", "owners", "repositories", (F.col("owners") < shared_from).alias("live")
-            ).alias("f"),
-        )
+        .select("at", F.struct("f.start", "f.end", "f.kind", "f.hash", "owners", "repositories", is_live.alias("live")).alias("f"))
     )
-    rows = judged.groupBy("_at").agg(
-        F.array_sort(F.collect_list("f")).alias("_found"),
-        F.count_if(F.col("f.live")).alias("_live"),
-        F.count_if(~F.col("f.live")).alias("_shared"),
+    rows = judged.groupBy(F.col("at").alias(at)).agg(
+        F.array_sort(F.collect_list("f")).alias(found_), F.count_if(F.col("f.live")).alias(live), F.count_if(~F.col("f.live")).alias(shared)
     )
     empty = F.expr("cast(array() AS array<struct<start:bigint,end:bigint,kind:string,hash:string,owners:bigint,repositories:bigint,live:boolean>>)")
-    return scanned.join(rows, F.col("_row") == F.col("_at"), "left").select(
+    return scanned.join(rows, F.col(row) == F.col(at), "left").select(
         *keep_cols,
         "n_assign",
         "n_access",
         "n_hex",
         "base_sha256",
         "spans",
-        F.coalesce("_found", empty).alias("found"),
-        F.coalesce("_live", F.lit(0)).alias("n_live"),
-        F.coalesce("_shared", F.lit(0)).alias("n_shared"),
+        F.coalesce(found_, empty).alias("found"),
+        F.coalesce(live, F.lit(0)).alias("n_live"),
+        F.coalesce(shared, F.lit(0)).alias("n_shared"),
     )
 
 
-def redact_live(df: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
-    """The rows of ``df`` with every live value's span replaced by ``mask``.
+def redact_live(df: DataFrame, mask: str = "[SECRET]", text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` with every live value's span replaced by ``mask``; n_chars, if there, follows the text.
 
-    Spans return to their texts by (id, text hash); a text without live spans stays as it is.
+    Spans return to their texts by (id, two text hashes); a text without live spans stays as it is.
     """
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = df.withColumn("_key", key)
-    found = scan_secrets(keyed, keep=("doc_id", "_key"), **options)
-    spans = found.where(F.col("n_live") > 0).groupBy("doc_id", "_key").agg(
-        F.first(F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).alias("_spans")
-    )
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash"), "_spans")
-    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    key, other, id_, key_, other_, spans_ = free_names(df, "key", "other", "id2", "key2", "other2", "live_spans")
+    keyed = df.withColumns({key: F.xxhash64(whole), other: F.xxhash64(whole, F.lit(1))})
+    scanned = scan_secrets(keyed, keep=(id_col, key, other), text=text, **options)
+    live = F.transform(F.filter("found", lambda f: f["live"]), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
+    spans = scanned.where(F.col("n_live") > 0).groupBy(F.col(id_col).alias(id_), F.col(key).alias(key_), F.col(other).alias(other_)).agg(F.first(live).alias(spans_))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_)) & (F.col(other) == F.col(other_))
+    joined = keyed.join(spans.hint("merge"), same, "left")
     # Left to right: text so far, and the offset up to which the source is used.
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate(
-        "_spans",
+        spans_,
         start,
         lambda a, s: F.when(
             s["start"] >= a["at"],
             F.struct(
-                F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("out"),
+                F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("out"),
                 s["end"].alias("at"),
             ),
         ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
+        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
     )
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), folded).otherwise(F.col("text")))
+    out = joined.withColumn(text, F.when(F.col(spans_).isNotNull(), folded).otherwise(F.col(text)))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans_).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*df.columns)

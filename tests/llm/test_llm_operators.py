@@ -249,6 +249,50 @@ def test_private_keys_are_whole_blocks(spark):
     assert all(texts[r[0]] == r[1] for r in rows[5:])
 
 
+def test_patterns_are_linear_in_the_text():
+    import time
+
+    n = 1_000_000
+    began = time.time()
+    for text in ("a" * n + "://", "eyJ" * (n // 3), "a://" * (n // 4), "eyJaaaaaaaa." * (n // 12), "token " * (n // 6), "AKIA" * (n // 4), "-----BEGIN " * (n // 11), "://aa:bbbbbb" * (n // 12)):
+        secret_scan.find_secrets(text)
+    assert time.time() - began < 8
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    got = [(secret_scan.KINDS[k], a, b) for a, k, b, _ in secret_scan.find_secrets(f"x{jwt} {jwt}. git+ssh://me:hunter22@host eyJ.eyJ")]
+    assert got == [("jwt", 1, 39), ("jwt", 40, 78), ("url", 80, 102)]
+
+
+def test_owners_are_told_from_repositories(spark):
+    origins = ["acme/one", "https://acme.org/x", "https://www.forge.net/acme/one", "http://forge.net/acme/two", "src1", "", None]
+    df = spark.createDataFrame([(o,) for o in origins], "o string")
+    assert [r[0] for r in df.select(secret_scan.owner_of(F.col("o"))).collect()] == ["acme", "acme.org", "forge.net/acme", "forge.net/acme", "src1", None, None]
+
+
+def test_verdicts_equal_plain_counts(spark):
+    """One owner's many repositories hold a live key; many owners, or some with many repositories, hold an example."""
+    rng = random.Random(16)
+    values = [f"value{i:04d}x" for i in range(40)]
+    rows = [(0, f"token = {values[0]}", f"solo/r{k}") for k in range(9)] + [(1, f"token = {values[1]}", f"duo{k % 2}/r{k}") for k in range(6)]
+    rows += [(i, " and ".join(f"token = {v}" for v in rng.sample(values[2:], 3)), f"o{rng.randrange(8)}/r{rng.randrange(3)}") for i in range(2, 60)]
+    rows += [(60, f"token = {values[2]}", None), (61, None, "x/y")]
+    held: dict = {}
+    for _, t, s in rows:
+        for v in re.findall(r"value\d{4}x", t or ""):
+            held.setdefault(v, set()).add(s or "")
+    owners = {v: {s.split("/")[0] for s in r} for v, r in held.items()}
+    live = {v for v, r in held.items() if not (len(owners[v]) >= 3 or len(owners[v]) > 1 and len(r) >= 5)}
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    want = Counter((i, *(sum((v in live) == side for v in re.findall(r"value\d{4}x", t or "")) for side in (True, False))) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.n_live, r.n_shared) for r in secret_scan.scan_secrets(df).collect()) == want
+    assert values[0] in live and values[1] not in live and 3 < len(live) < 37
+    clash = df.withColumns({c: F.lit("clash") for c in ("_key", "_spans", "_id", "key", "row", "AT", "spans", "found", "live", "owner", "judged", "live_spans")})
+    out = secret_scan.redact_live(clash)
+    assert out.columns == clash.columns
+    redact = lambda t: re.sub(r"token = (value\d{4}x)", lambda m: "[SECRET]" if m[1] in live else m[0], t) if t else t
+    assert Counter((r.doc_id, r.text, r._key, r.found) for r in out.collect()) == Counter((i, redact(t), "clash", "clash") for i, t, _ in rows)
+    assert secret_scan.redact_live(clash.limit(0)).count() == 0
+
+
 # HTML
 
 
