@@ -332,18 +332,73 @@ def test_what_only_looks_like_a_landmark_hides_no_text(aside):
     assert html_extract.extract_text(page).startswith("Long running text stands here and goes on for a while.")
 
 
-def test_tags_of_a_landmark_page_keep_their_weights():
-    names = [name for name, _ in html_extract.tokens("<nav><p>x</p></nav><article><p>One <b>two</b></p></article><div>out</div>")]
-    assert {"<p>", "</p>", "<b>", "</b>"} <= set(names) and "<div>" not in names
-    heavy = {html_extract.PLAIN: 1.0, "<table>": -50.0}
-    page = "<article><p>Some running text of many words.</p><table><tr><td>few</td></tr></table></article>"
-    assert html_extract.extract_text(page, heavy) == "Some running text of many words."
+def test_text_of_an_article_is_not_lost():
+    """Letters that grow when lower-cased, class words of several meanings, scripts, self-closing marks."""
+    text = html_extract.extract_text
+    assert text("<article><p>" + "İ" * 12 + " words</p><script>x</script><p>The whole next paragraph.</p></article>") == "İ" * 12 + " words The whole next paragraph."
+    page = "<article><h1>T</h1><div class='entry-header'><p>Entry words.</p></div><p>Body of it.</p><div class='share-price'><p>A share fell.</p></div><section class='related-work'><p>Others did.</p></section>{}</article>"
+    kept = "T Entry words. Body of it. A share fell. Others did."
+    for aside in ("<div class='ad'>Buy</div>", "<div class='newsletter-signup'>Sign up</div>", "<div class=social-share><a href=/>x</a></div>", "<aside><p>beside</p></aside>", "<form><p>Name</p></form>", "<div class=comments><p>I say</p></div>"):
+        assert text(page.format(aside)) == kept
+    assert text("<div/><p>Some words of text</p><a href=/>x</a></div>").startswith("Some words of text")
+
+
+def test_talk_and_rights_without_any_class_are_left_out():
+    page = "<div><p>Text of an article without any classes that runs on.</p></div><h3>{}</h3><div><p>Nice article.</p></div><p>© 2024 its house, rights reserved.</p>"
+    for heading in ("Comments", "3 comments", "Leave a reply", "12 Responses"):
+        assert html_extract.extract_text(page.format(heading)) == "Text of an article without any classes that runs on."
+    assert "Nice article." in html_extract.extract_text(page.format("Comments of a historian on the war and on what came of it"))
+
+
+def test_scan_equals_all_regions():
+    rng = random.Random(17)
+    for _ in range(300):
+        w = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 14))]
+        a, b = html_extract.best_region(w)
+        sums = [(sum(w[i:j]), -i, -j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        top = max((s for s, _, _ in sums), default=0)
+        assert sum(w[a:b]) == max(top, 0) and (top > 0) == (b > a)
+        assert top <= 0 or (-a, -b) == max((i, j) for s, i, j in sums if s == top) or sum(w[a:b]) == top
+
+
+def test_the_scan_decides_on_every_page():
+    """With a main element or without, a text far from the rest and smaller is left out."""
+    far = "<table>" + "<tr><td></td></tr>" * 40 + "</table>"
+    weights = html_extract.Weights({html_extract.BIAS: 0.1, "p": 1.0}, {n: -1.0 for n in ("<td>", "</td>", "<tr>", "</tr>")})
+    for page in ("<p>one two</p>{}<p>some more words of it</p>", "<article><p>one two</p>{}<p>some more words of it</p></article>"):
+        assert html_extract.extract_text(page.format(far), weights) == "one two some more words of it"  # the run between costs ISLAND at most
+        low = html_extract.Weights({html_extract.BIAS: 0.1, "p": 0.2}, weights.tags)
+        assert html_extract.extract_text(page.format(far), low) == "some more words of it"
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    n = 100_000
+    began = time.time()
+    for page in ("<div>" * n + "</p>" * n, "<head>" * n, "<p>" * n + "</i>" * n, "<div class='a b'>" * n + "text", "<script>" * n, "<!--" * n, "<a href='" * n, "x" * 10 * n, "<b>" * n + "</b>" * n):
+        html_extract.extract_text(page)
+    assert time.time() - began < 40
 
 
 def test_weights_follow_the_labels():
-    w = html_extract.fit_weights(html_extract.LABELLED)
-    assert w["word"] > 0 > w["link word"] and w["boilerplate word"] == w["outside word"] == 0
-    assert all(v < 0 for k, v in w.items() if k[0] == "<" and k != html_extract.NEUTRAL)
+    w = html_extract.default_weights()
+    assert w.words["article"] > 0 > w.words["nav"] and w.words[html_extract.LINKS] < 0 and all(v < 0 for v in w.tags.values())
+    pages = html_extract.labelled_pages()
+    held = [p for i, p in enumerate(pages) if i // 4 % 5 == 0]
+    part = html_extract.fit_weights([p for p in pages if p not in held])
+    right = sum(html_extract.extract_text(page, part) == " ".join(text.split()) for page, text in held)
+    # 0.82 as measured: some words are left with too few pages.
+    assert right >= 0.8 * len(held)
+
+
+def test_pages_empty_repeated_and_clashing(spark):
+    rows = [(1, "<p>Some words</p>", "u"), (1, "<p>Some words</p>", "u"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, html string, url string").withColumns({"TEXT": F.lit("x"), "n_chars": F.lit("y"), "name": F.lit(3)})
+    out = html_extract.extract_pages(df)
+    assert out.columns == ["page_id", "url", "name", "text", "n_chars"]
+    assert Counter((r.page_id, r.text, r.n_chars, r.name) for r in out.collect()) == Counter({(1, "Some words", 10, 3): 2, (None, "", 0, 3): 1})
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
 # SentencePiece
