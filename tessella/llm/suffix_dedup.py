@@ -1,30 +1,37 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept at content-selected positions only: the minimisers of the
-16-word grams, of which every 50 adjacent words hold one. Equal suffixes stand
-side by side in order, so sorting reduces to bringing equal grams together:
+16-word grams, of which every 50 adjacent words hold one.
 
 1. Each text gives its anchors, a gram hash and a hash of the context that a
    50-word passage through the anchor can reach (34 words left, 50 right).
 2. Anchors whose gram occurs once are dropped, as no passage repeats there.
-3. Anchors with the same whole context match left and right in full: the context
-   is repeated. One of them stands for all in what follows.
-4. Anchors with the same gram but another context match in part. The neighbour
-   in suffix order need not be the one that matches furthest to the left, so the
-   extension isn't taken from the neighbours: every 50-word window through the
-   anchor is hashed, and windows that occur twice or more are repeated. This is
-   exact where neighbour comparison isn't.
+   Anchors with the same whole context match left and right in full: the context
+   is repeated, and one of them stands for all in what follows.
+3. The suffixes of the others, their words as hashes, are sorted: ranges of grams
+   over the tasks, suffixes in each. Neighbours are compared for their common
+   prefix. Adjacent suffixes with ``r`` words in common are an interval; sorted anew
+   by what stands left of the anchor, read backwards, neighbours in it are extended
+   to the left. Those with ``50 - r`` words in common there repeat the passage of 50
+   words that begins so many before the anchor. All intervals are taken, of 16 to
+   50 words, as the suffix that matches furthest to the right need not be the one
+   that matches furthest to the left. So the result is exact.
 
 The result is the union of all 50-word windows that occur at least twice in the
-corpus. All counts are summed in each task before the shuffle, so a passage in a
+corpus. Counts are summed in each task before the shuffle, so a passage in a
 third of all documents costs a row a task; joins put one row a hash against the
 rest and can be split. Texts are shuffled once, and only numbers otherwise.
 
+A gram with more than ``GROUP`` different contexts isn't sorted in one task: all
+windows of its anchors are hashed and counted instead, which gives the same
+windows and spreads over any number of tasks.
+
 Edge cases: a null text counts as empty; texts of fewer than ``MIN_WORDS`` words
-have no passage. Words part at ASCII white space. Passages that repeat inside
+have no passage. Very long texts are read whole. Words part at ASCII white space,
+and are compared by 40 bits of their hashes. Passages that repeat inside
 one text count. Copies of a text are repeated as a whole, repeated rows too.
-Rows without id are counted and reported. An empty table gives no rows. Extra
-columns are not read.
+Rows without id are counted and reported. Ties in any order change nothing. An
+empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +51,10 @@ MIN_WORDS = 50
 GRAM = 16
 WINDOW = MIN_WORDS - GRAM + 1
 LEFT, RIGHT = WINDOW - 1, MIN_WORDS
+#: Most different contexts of a gram whose suffixes are sorted in one task.
+GROUP = 2048
+#: Bytes of a word in a suffix.
+BYTES = 5
 
 _U = np.uint64
 _STEP = _U(0xA0761D6478BD642F)
@@ -107,31 +118,126 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, first word, hash, weight) of the windows whose anchor is in the row's list ``probes``."""
+_PROBED = "kind int, k long, right binary, left binary, key long, p int, n long"
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each anchor in the row's list ``probes`` its suffix and what stands left of it, read backwards (kind 0).
+
+    Of anchors of large groups instead all windows (kind 1): hash, first word and weight as k, p and n.
+    """
     drop_kept()
     for batch in batches:
         probes = batch.column("probes").to_pylist()
         keys = np.asarray(batch.column("key"))
         for a, b, data, offsets in text_chunks(batch.column("text")):
             w = words_of(data, offsets)
-            weight = np.zeros(len(w.hash), np.int64)
+            ahead = np.ascontiguousarray(w.hash.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES])
+            right_of, left_of, total = ahead.tobytes(), np.ascontiguousarray(ahead[::-1]).tobytes(), len(w.hash)
+            weight = np.zeros(total, np.int64)
+            grams, places, counts, owners, rights, lefts = [], [], [], [], [], []
             for i in range(a, b):
-                base = w.bounds[i - a]
-                for p in probes[i]:
-                    weight[base + p["p"]] = p["n"]
-            start, at = windows(w)
-            keep = weight[at] > 0
-            start, at = start[keep], at[keep]
-            text = np.searchsorted(w.bounds, start, "right") - 1
-            hashes = Ranges(w)(start, start + MIN_WORDS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a + text], pa.int64()), pa.array(start - w.bounds[text], pa.int32()), pa.array(hashes), pa.array(weight[at])],
-                names=["key", "s", "h", "n"],
-            )
+                base, end = int(w.bounds[i - a]), int(w.bounds[i - a + 1])
+                for x in probes[i]:
+                    at = base + x["p"]
+                    if x["large"]:
+                        weight[at] = x["n"]
+                        continue
+                    grams.append(x["k"])
+                    places.append(x["p"])
+                    counts.append(x["n"])
+                    owners.append(keys[i])
+                    rights.append(right_of[at * BYTES : min(at + RIGHT, end) * BYTES])
+                    lefts.append(left_of[(total - at) * BYTES : (total - at + min(LEFT, x["p"])) * BYTES])
+            yield _rows(0, grams, rights, lefts, owners, places, counts)
+            if weight.any():
+                start, at = windows(w)
+                keep = weight[at] > 0
+                start, at = start[keep], at[keep]
+                text = np.searchsorted(w.bounds, start, "right") - 1
+                hashes = Ranges(w)(start, start + MIN_WORDS).astype(np.int64)
+                none = [None] * len(start)
+                yield _rows(1, hashes, none, none, keys[a + text], start - w.bounds[text], weight[at])
+
+
+def _rows(kind: int, k, right, left, key, p, n) -> pa.RecordBatch:
+    columns = [pa.array([kind] * len(p), pa.int32()), pa.array(k, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())]
+    columns += [pa.array(key, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "k", "right", "left", "key", "p", "n"])
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """Length in words of the common prefix."""
+    lo, hi = 0, min(len(a), len(b)) // BYTES
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo * BYTES : mid * BYTES] == b[lo * BYTES : mid * BYTES]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
 
+def extend_neighbours(right: list[bytes], left: list[bytes]) -> np.ndarray:
+    """For suffixes in order, and for each number of words left of the anchor, whether another one has the window of MIN_WORDS that begins there."""
+    m = len(right)
+    found = np.zeros((m, LEFT + 1), bool)
+    shared = np.array([common_words(a, b) for a, b in zip(right, right[1:])], np.int64)
+    rank = np.empty(m, np.int64)
+    order = sorted(range(m), key=left.__getitem__)
+    rank[order] = np.arange(m)
+    padded = np.frombuffer(b"".join(x.ljust(LEFT * BYTES, b"\0") for x in left), np.uint8).reshape(m, LEFT * BYTES)
+    reach = np.array([len(x) // BYTES for x in left], np.int64)
+    for r in range(GRAM, RIGHT + 1):
+        cut = shared < r
+        if cut.all():
+            break
+        interval = np.concatenate([[0], np.cumsum(cut)])
+        at = np.lexsort((rank, interval))
+        a, b, n = at[:-1], at[1:], RIGHT - r
+        same = (interval[a] == interval[b]) & (reach[a] >= n) & (reach[b] >= n)
+        a, b = a[same], b[same]
+        same = (padded[a, : n * BYTES] == padded[b, : n * BYTES]).all(axis=1)
+        found[a[same], n] = found[b[same], n] = True
+    return found
 
-def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in order of gram and words: the repeated spans (key, s, e) of those that stand for themselves alone."""
+    drop_kept()
+    held: list[tuple] = []
+    out: list[tuple[int, int, int]] = []
+
+    def close() -> None:
+        if len(held) == 2:
+            # Two suffixes share one passage: as far as both agree to either side.
+            before, after = common_words(held[0][2], held[1][2]), common_words(held[0][1], held[1][1])
+            if before + after >= MIN_WORDS:
+                out.extend((key, p - before, p + after) for _, _, _, key, p, n in held if n == 1)
+        elif len(held) > 2:
+            found = extend_neighbours([x[1] for x in held], [x[2] for x in held])
+            for (_, _, _, key, p, n), row in zip(held, found):
+                if n == 1:
+                    out.extend((key, p - k, p - k + MIN_WORDS) for k in np.flatnonzero(row).tolist())
+        held.clear()
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("k", "right", "left", "key", "p", "n"))):
+            if held and held[0][0] != row[0]:
+                close()
+            held.append(row)
+        yield _spans(out)
+    close()
+    yield _spans(out)
+
+
+def _spans(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [(), (), ()]
+    out.clear()
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["key", "s", "e"])
+
+
+def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
     """One row a maximal repeated passage: doc_id, start and end (words, end exclusive), n_words of the text."""
     texts = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("key"), F.col(text).alias("text"))
     kind = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("c", T.LongType())]))
@@ -159,16 +265,23 @@ def repeated_passages(df: DataFrame, text: str = "text", id_col: str = "doc_id")
         .select("key", F.greatest(F.col("p") - LEFT, F.lit(0)).alias("s"), F.least(F.col("p") + RIGHT, F.col("n_words")).alias("e"))
     )
 
-    # Grams with several contexts: all windows through one place of each.
-    several = materialise(contexts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"))
-    probes = contexts.join(several, "k", "left_semi").groupBy("at.key", "at.doc_id").agg(F.collect_list(F.struct(F.col("at.p").alias("p"), "n")).alias("probes"))
-    probes = probes.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "probes")
+    # Grams with several contexts: the suffix of one place of each.
+    several = materialise(contexts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k", (F.col("m") > group).alias("large")))
+    probe = F.struct("k", F.col("at.p").alias("p"), "n", "large")
+    probes = contexts.join(several, "k").groupBy(F.col("at.key").alias("_key"), F.col("at.doc_id").alias("_id")).agg(F.collect_list(probe).alias("probes"))
     # Alike at every size: the probes grow with the corpus, so they are never sent to all tasks.
-    placed = texts.join(probes.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text", "probes")
-    probed = materialise(bound_batches(placed).mapInArrow(_windows, "key long, s int, h long, n long"))
-    # Rows that repeat a whole row of the table give their windows twice.
-    again = materialise(probed.groupBy("h", "key", "s").agg(F.max("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    partly = probed.where("n = 1").join(again, "h", "left_semi").select("key", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    placed = texts.join(probes.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Of rows that repeat a whole row of the table one is enough.
+    placed = placed.groupBy("_key", "_id").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.first("probes").alias("probes")).select("key", "text", "probes")
+    probed = materialise(bound_batches(placed).mapInArrow(_probe, _PROBED))
+
+    suffixes = probed.where("kind = 0").drop("kind").repartitionByRange("k").sortWithinPartitions("k", "right")
+    sorted_ = materialise(suffixes.mapInArrow(_extend, "key long, s int, e int"))
+    # Of a gram with more contexts all windows through the anchors are counted.
+    hashed = probed.where("kind = 1").select(F.col("k").alias("h"), "key", F.col("p").alias("s"), "n")
+    again = materialise(hashed.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    counted = hashed.where("n = 1").join(again, "h", "left_semi").select("key", "s", (F.col("s") + MIN_WORDS).alias("e"))
+    partly = sorted_.unionByName(counted)
 
     spans = full.unionByName(partly).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("all"))
     # Overlapping and adjoining spans become one: a span opens where it begins after all before it.

@@ -653,6 +653,34 @@ def test_partners_that_neighbours_in_order_would_hide(spark):
     assert got == repeats(rows)
 
 
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 3])
+def test_a_passage_in_many_surroundings(spark, group):
+    """Many texts hold one passage, or parts of it, in surroundings of their own; sorted, or counted where the group is too large."""
+    rng = random.Random(18)
+    passage = prose(rng, 70).split()
+    texts = []
+    for _ in range(40):
+        a = rng.randrange(0, 40)
+        texts.append(" ".join([prose(rng, rng.randint(0, 40)), *passage[a : rng.randint(a + 18, 70)], prose(rng, rng.randint(0, 40))]).strip())
+    texts += [texts[0], texts[1] + " x", "y " + texts[2], " ".join(passage * 2), "same " * 130]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None, None), (None, texts[4], None, None, None)]
+    out = suffix_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA), group=group).collect()
+    assert Counter((r.doc_id, r.start, r.end, r.n_words) for r in out) == repeats(rows)
+
+
+def test_intervals_equal_all_pairs():
+    rng = random.Random(19)
+    word = lambda: rng.choice(("aaaaa", "bbbbb")).encode()
+    for _ in range(60):
+        rows = sorted((b"".join([b"ggggg"] * 16 + [word()] * rng.randint(0, 2) + [b"ccccc"] * rng.randint(0, 34))[:250], b"".join([b"ddddd"] * rng.randint(0, 33) + [word()] * rng.randint(0, 1))) for _ in range(rng.randint(2, 9)))
+        got = suffix_dedup.extend_neighbours([r for r, _ in rows], [x for _, x in rows])
+        for i, (r, x) in enumerate(rows):
+            for n in range(suffix_dedup.LEFT + 1):
+                k, j = (50 - n) * 5, n * 5
+                want = len(r) >= k and len(x) >= j and any(u[:k] == r[:k] and v[:j] == x[:j] for o, (u, v) in enumerate(rows) if o != i)
+                assert got[i, n] == want
+
+
 # Quality classifier
 
 
