@@ -216,9 +216,12 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.extend((key, p - before, p + after) for _, _, _, key, p, n in held if n == 1)
         elif len(held) > 2:
             found = extend_neighbours([x[1] for x in held], [x[2] for x in held])
-            for (_, _, _, key, p, n), row in zip(held, found):
+            # Windows that begin at adjacent words are one span.
+            edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            for (i, least), most in zip(np.argwhere(edges > 0).tolist(), np.argwhere(edges < 0)[:, 1].tolist()):
+                _, _, _, key, p, n = held[i]
                 if n == 1:
-                    out.extend((key, p - k, p - k + MIN_WORDS) for k in np.flatnonzero(row).tolist())
+                    out.append((key, p - most + 1, p - least + MIN_WORDS))
         held.clear()
 
     for batch in batches:
