@@ -8,19 +8,22 @@ The plan is one projection over the scan: no shuffle, no join, no Python.
 
 Edge cases: a null text counts as empty. An empty text has no word and fails
 the base rules. Lines are split at ``\\n`` alone; lines without a word are
-neither removed nor counted. Repeated rows are judged each on its own. Extra
-columns pass through; columns whose names clash with those added are replaced.
+neither removed nor counted. Very long texts are judged whole. A text that loses
+just ``max_loss`` of its words is kept. Repeated rows are judged each on its own;
+an empty table gives no rows. Extra columns pass through; columns whose names
+clash with those added are replaced, by ``keep_clean`` no column is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, words
+from .shared import free_names, text_or_empty, words
 
 # The symbols of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -71,36 +74,41 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_reason(line: Column, n_words: Column, rules: QualityRules) -> Column:
-    """Name of the first rule the line of so many words fails, or null."""
-    solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
+def line_reason(line: Column, line_words: Column, phrases: Column, rules: QualityRules) -> Column:
+    """Name of the first rule the line fails, or null; ``phrases``: whether the text may hold any phrase of boilerplate."""
+    n_words = F.size(line_words)
+    solid = F.length(F.array_join(line_words, ""))
     # Counted only where there is something to count; the cheap tests come first.
-    some = lambda plain, pattern: F.when(line.rlike(plain), _count(line, pattern)).otherwise(0)
-    separators = some(r"[|»›•·]", r"(?<![^\x20\x09-\x0D])[|»›•·]+(?![^\x20\x09-\x0D])")
+    separators = _count(line, r"(?<![^\x20\x09-\x0D])[|»›•·]+(?![^\x20\x09-\x0D])")
     symbols = _count(line, r"[#*$%&|<>~^{}]")
     shouts = F.when(line.contains("!!"), _count(line, r"!!(?![^\x20\x09-\x0D])")).otherwise(0)
     phrase = "(?i)" + r"(?<![\p{L}\p{N}])(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])"
-    return (
+    marked = (
         F.when((separators > 0) & (n_words - separators <= separators * rules.words_per_separator), "navigation")
         .when((symbols > 0) & (symbols > solid * rules.max_symbol_share), "punctuation")
         .when((shouts > 1) & (shouts > n_words * rules.max_shout_share), "punctuation")
-        .when((n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.!?:;,…。]"), "punctuation")
-        .when((n_words <= rules.boilerplate_words) & line.rlike(phrase), "boilerplate")
     )
+    plain = F.when((n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.!?:;,…。]"), "punctuation").when(
+        phrases & (n_words <= rules.boilerplate_words) & line.rlike(phrase), "boilerplate"
+    )
+    return F.coalesce(F.when(line.rlike(r"[|»›•·#*$%&<>~^{}]|!!"), marked), plain)
 
 
-def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+def _parsed(text: str) -> Column:
+    """The lines of a text, each with its words: a line end is white space, so the words are those of the text."""
+    return F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("w")))
 
-    Repeated three-word windows are found per text by sorting (hash, position)
-    pairs and comparing neighbours, n log n in the words of one text.
-    """
-    t = text_or_empty(text)
-    df = df.withColumn("_words", words(t))
 
-    def sorted_windows(w: Column) -> Column:
-        window = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
-        return F.array_sort(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), window))
+def _total(parsed: str, of: Callable[[Column], Column]) -> Column:
+    return F.aggregate(parsed, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
+
+def _base(parsed: str, text: str) -> dict[str, Column]:
+    def hashed(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    def ordered(h: Column) -> Column:
+        return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
     def repeated(s: Column) -> Column:
         same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
@@ -109,49 +117,81 @@ def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
-    n_repeat_words = _let(F.col("_words"), lambda w: _let(sorted_windows(w), lambda s: _let(repeated(s), covered)))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines)
-    return df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": n_repeat_words.cast("long"),
-        }
-    ).drop("_lines", "_words")
+    # Windows are only sorted where some hash occurs again.
+    counted = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(ordered(h), lambda s: _let(repeated(s), covered)))
+    n_repeat_words = _let(F.flatten(F.transform(parsed, lambda x: x["w"])), lambda w: _let(hashed(w), counted))
+    lines = F.transform(F.filter(parsed, lambda x: F.size(x["w"]) > 0), lambda x: x["line"])
+    return {
+        "n_words": _total(parsed, lambda x: F.size(x["w"])),
+        "word_chars": _total(parsed, lambda x: F.length(F.array_join(x["w"], ""))),
+        "n_symbols": F.regexp_count(text_or_empty(text), F.lit(f"[{SYMBOLS}]")).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": n_repeat_words.cast("long"),
+    }
+
+
+def _without(df: DataFrame, text: str, *names: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.lower() in names and c.lower() != text.lower()])
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*BASE, "base_failed", "kept", "clean_text", "n_lines", "n_removed_lines", "removed_words")
+
+
+def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    Repeated three-word windows are found per text by sorting (hash, position)
+    pairs and comparing neighbours, n log n in the words of one text.
+    """
+    df = _without(df, text, *BASE)
+    (parsed,) = free_names(df, "parsed")
+    return df.withColumn(parsed, _parsed(text)).withColumns(_base(parsed, text)).drop(parsed)
 
 
 def apply_quality_rules(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """Add the base statistics, base_failed, kept, clean_text, n_lines, n_removed_lines and removed_words."""
-    df = base_statistics(df, text)
-    judged = F.transform(
-        F.split(text_or_empty(text), "\n"),
-        lambda x: _let(F.size(words(x)), lambda n: F.struct(x.alias("line"), n.alias("n"), line_reason(x, n, rules).alias("reason"))),
+    df = _without(df, text, *ADDED)
+    parsed, judged = free_names(df, "parsed", "judged")
+    low = F.lower(text_or_empty(text))
+    some_phrase = _let(low, lambda t: reduce(lambda a, b: a | b, [t.contains(p) for p in BOILERPLATE]))
+    df = df.withColumn(parsed, _parsed(text))
+    # Bound, as an inlined test would be made for each line.
+    reasons = _let(
+        some_phrase,
+        lambda some: F.transform(
+            parsed, lambda x: F.struct(x["line"].alias("line"), F.size(x["w"]).alias("n"), line_reason(x["line"], x["w"], some, rules).alias("reason"))
+        ),
     )
-    df = df.withColumn("_judged", judged)
-    bad = F.filter("_judged", lambda x: x["reason"].isNotNull())
-    good = F.filter("_judged", lambda x: x["reason"].isNull())
+    df = df.withColumns({**_base(parsed, text), judged: reasons})
+    bad = F.filter(judged, lambda x: x["reason"].isNotNull())
+    good = F.filter(judged, lambda x: x["reason"].isNull())
     df = df.withColumns(
         {
             "base_failed": (F.col("n_words") < rules.min_words)
             | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent),
-            "n_lines": F.size(F.filter("_judged", lambda x: x["n"] > 0)).cast("long"),
+            "n_lines": F.size(F.filter(judged, lambda x: x["n"] > 0)).cast("long"),
             "n_removed_lines": F.size(bad).cast("long"),
             "removed_words": F.aggregate(bad, F.lit(0), lambda a, x: a + x["n"]).cast("long"),
             "clean_text": F.array_join(F.transform(good, lambda x: x["line"]), "\n"),
         }
-    ).drop("_judged")
+    ).drop(parsed, judged)
     # A filter on kept is pushed below the projections and judges every text twice; keep_clean() holds it back.
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * rules.max_loss))
 
 
 def keep_clean(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """The kept rows of ``df`` with their failing lines removed; n_chars, if there, follows the text."""
-    judged = apply_quality_rules(df, rules, text).withColumn(text, F.col("clean_text"))
-    if "n_chars" in df.columns:
-        judged = judged.withColumn("n_chars", F.length(text).cast("long"))
+    body, kept, row = free_names(df, "body", "kept", "row")
+    others = [c for c in df.columns if c.lower() != text.lower()]
+    # Columns named as the results are carried as one struct, so that they come back as they were.
+    (carried,) = free_names(df, "carried")
+    narrow = df.select(F.struct(*others, F.lit(0).alias(row)).alias(carried), F.col(text).alias(body))
+    judged = apply_quality_rules(narrow, rules, body)
     # A projection with a row number isn't passed by filters that need it.
-    numbered = judged.select(*df.columns, F.col("kept").alias("_kept"), F.monotonically_increasing_id().alias("_row"))
-    return numbered.where(F.col("_kept") & (F.col("_row") >= 0)).select(*df.columns)
+    numbered = judged.select(carried, "clean_text", F.col("kept").alias(kept), F.monotonically_increasing_id().alias(row))
+    passed = numbered.where(F.col(kept) & (F.col(row) >= 0))
+    columns = {c: F.col(carried)[c] for c in others} | {text: F.col("clean_text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.length("clean_text").cast("long")
+    return passed.select(*[columns[text if c.lower() == text.lower() else c].alias(c) for c in df.columns])

@@ -88,14 +88,30 @@ def test_lines_go_and_documents_that_lose_too_much(spark):
     assert got[6].clean_text == "" and got[6].n_words == 0
 
 
+CLASHES = ("kept", "N_WORDS", "clean_text", "_judged", "_words", "_lines", "judged", "parsed", "row", "body", "carried", "phrases")
+
+
 def test_clashing_columns_and_filters(spark, docs, none):
-    clash = docs.withColumns({"kept": F.lit("x"), "n_words": F.lit("y"), "_judged": F.lit(1)})
+    clash = docs.withColumns({c: F.lit("x") for c in CLASHES})
     out = quality_rules.apply_quality_rules(clash)
-    assert dict(out.dtypes)["kept"] == "boolean"
-    kept = quality_rules.keep_clean(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == quality_rules.apply_quality_rules(docs).where("kept").count() > 20
-    assert quality_rules.apply_quality_rules(none).count() == 0
+    assert dict(out.dtypes)["kept"] == "boolean" and {"_judged", "_words", "_lines", "row"} <= set(out.columns)
+    assert {"_judged", "parsed"} <= set(quality_rules.base_statistics(clash).columns)
+    kept = quality_rules.keep_clean(clash)
+    assert kept.columns == clash.columns
+    rows, judged = kept.collect(), quality_rules.apply_quality_rules(docs).where("kept").collect()
+    assert len(rows) == len(judged) > 20 and all(r.kept == r._judged == r.row == "x" for r in rows)
+    assert Counter((r.doc_id, r.text, r.lang, r.n_chars) for r in rows) == Counter((r.doc_id, r.clean_text, r.lang, len(r.clean_text)) for r in judged)
+    assert quality_rules.apply_quality_rules(none).count() == quality_rules.keep_clean(none).count() == 0
+
+
+def test_a_text_that_loses_just_half_is_kept(spark):
+    rng = random.Random(21)
+    good = sentences(rng, 5)
+    n = len(words(good))
+    bad = "\n".join(" ".join(f"{x} |" for x in prose(rng, n // 2).split()) for _ in range(1))
+    rows = [(1, good + "\n" + bad), (2, good + "\n" + bad + "\n" + "Log in here now please, thank you."), (3, "a\n" * 300_000 + good)]
+    got = {r.doc_id: (r.kept, r.removed_words) for r in quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1] == (True, n) and got[2][0] is False and got[3] == (False, 0)
 
 
 # Sharding
