@@ -9,12 +9,14 @@ must share, and a template only if the text holds one of its own, so that prunin
 loses nothing. A best window begins and ends with runs of the template's bigrams
 and holds at most ``n (2 - threshold) / threshold`` bigrams; all such windows are
 rated. Where windows overlap the higher counts. The templates are a literal of
-fixed size; the plan is one projection over the scan.
+fixed size; the plan is one projection over the scan. A licence's whole text is
+known by the notice that it opens with, so no template needs to be a whole licence.
 
 Edge cases: a null or empty text has no licence. Ties take the longer window, then
 the first licence in alphabetical order. Texts of one word have no bigram and match
-nothing. Repeated rows are scanned each on its own; extra columns pass through,
-columns whose names clash with those added are replaced.
+nothing. Very long texts are scanned whole. Repeated rows are scanned each on its own;
+an empty table gives no rows. Extra columns pass through, columns whose names clash
+with those added are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import free_names, text_or_empty
 
 # Licence identifiers and the notices they are known by.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -43,13 +45,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 
+#: Columns that the scan adds.
+RESULT = ("license_matches", "licenses", "best_license", "best_dice")
+
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -94,15 +105,17 @@ def scan_licenses(
         ]
     )
     bound = threshold / (2 - threshold)
+    df = df.drop(*[c for c in df.columns if c.lower() in RESULT and c.lower() != text.lower()])
+    words_, pairs_, known_, ordered_ = free_names(df, "words", "pairs", "known", "ordered")
     low = F.lower(text_or_empty(text))
     w = F.split(F.trim(F.regexp_replace(low, GAP, " ")), " ")
-    df = df.withColumn("_words", F.when(low.rlike(required_pattern(templates, threshold)), w))
-    pairs = F.zip_with("_words", F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    df = df.withColumn("_pairs", F.array_compact(pairs)).withColumn("_known", F.when(F.col("_words").isNotNull(), known))
+    df = df.withColumn(words_, F.when(low.rlike(required_pattern(templates, threshold)), w))
+    pairs = F.zip_with(words_, F.slice(words_, F.lit(2), F.size(words_)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    df = df.withColumn(pairs_, F.array_compact(pairs)).withColumn(known_, F.when(F.col(words_).isNotNull(), known))
 
     def rated(t: Column) -> Column:
         """The windows of one template that reach the threshold."""
-        places = F.array_compact(F.transform("_pairs", lambda x, i: F.when(F.array_contains(t["b"], x), i)))
+        places = F.array_compact(F.transform(pairs_, lambda x, i: F.when(F.array_contains(t["b"], x), i)))
         # Runs of shared bigrams: a window begins where one begins and ends where one ends.
         begins = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - 1))
         ends = lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + 1))
@@ -110,7 +123,7 @@ def scan_licenses(
 
         def of(runs: Column) -> Column:
             def window(a: Column, z: Column) -> Column:
-                b = F.array_distinct(F.slice("_pairs", a + 1, z - a + 1))
+                b = F.array_distinct(F.slice(pairs_, a + 1, z - a + 1))
                 return F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), a.alias("a"), z.alias("z"), t["id"].alias("license"))
 
             return F.flatten(
@@ -122,22 +135,22 @@ def scan_licenses(
 
         bind = lambda p: F.struct(begins(p).alias("begins"), ends(p).alias("ends"))
         windows = F.flatten(F.transform(F.transform(F.array(places), bind), of))
-        return F.when(F.arrays_overlap(t["needed"], "_pairs"), F.filter(windows, lambda m: m["dice"] >= threshold))
+        return F.when(F.arrays_overlap(t["needed"], pairs_), F.filter(windows, lambda m: m["dice"] >= threshold))
 
-    found = F.flatten(F.array_compact(F.transform("_known", rated)))
+    found = F.flatten(F.array_compact(F.transform(known_, rated)))
     # Best first: by dice, longer window, licence.
     ordered = F.array_sort(
         F.transform(found, lambda m: F.struct((-m["dice"]).alias("least"), (m["a"] - m["z"]).alias("width"), m["license"].alias("license"), m["a"].alias("a"), m["z"].alias("z")))
     )
-    df = df.withColumn("_ordered", ordered)
+    df = df.withColumn(ordered_, ordered)
     kept = F.aggregate(
-        "_ordered",
-        F.filter("_ordered", lambda m: F.lit(False)),
+        ordered_,
+        F.filter(ordered_, lambda m: F.lit(False)),
         lambda acc, m: F.when(F.exists(acc, lambda k: (m["a"] <= k["z"]) & (k["a"] <= m["z"])), acc).otherwise(F.concat(acc, F.array(m))),
     )
     matches = F.transform(
         kept,
-        lambda m: F.struct(m["license"].alias("license"), (-m["least"]).alias("dice"), F.array_join(F.slice("_words", m["a"] + 1, m["z"] - m["a"] + 2), " ").alias("unit")),
+        lambda m: F.struct(m["license"].alias("license"), (-m["least"]).alias("dice"), F.array_join(F.slice(words_, m["a"] + 1, m["z"] - m["a"] + 2), " ").alias("unit")),
     )
     df = df.withColumn("license_matches", F.coalesce(matches, F.expr("cast(array() AS array<struct<license:string,dice:double,unit:string>>)")))
     top = F.array_max(F.transform("license_matches", lambda m: m["dice"]))
@@ -147,4 +160,4 @@ def scan_licenses(
             "best_dice": top,
             "best_license": F.array_min(F.transform(F.filter("license_matches", lambda m: m["dice"] == F.array_max(F.transform("license_matches", lambda k: k["dice"]))), lambda m: m["license"])),
         }
-    ).drop("_words", "_pairs", "_known", "_ordered")
+    ).drop(words_, pairs_, known_, ordered_)

@@ -74,30 +74,34 @@ FROM statistics JOIN by_line USING (uid)
 
 
 def license_scan_sql(threshold: float = 0.8) -> str:
-    values = ", ".join(
-        f"('{name}', [{', '.join(repr(b) for b in bigrams)}])" for name, bigrams in ((n, bigrams_of(t)) for n, t in TEMPLATES)
-    )
+    """All windows of each template's bigrams, rated, and of those that overlap the best."""
+    values = ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for i, (name, text) in enumerate(TEMPLATES))
+    bound = threshold / (2 - threshold)
     return rf"""
-WITH templates(id, b) AS (VALUES {values}),
-docs AS (SELECT row_number() OVER () AS uid, doc_id, lower(coalesce(text, '')) AS text FROM documents),
-lines AS (SELECT uid, unnest(regexp_split_to_array(text, '\n')) AS line FROM docs),
-units AS (
-  SELECT uid, line AS unit FROM lines
-  UNION SELECT uid, unnest(regexp_split_to_array(line, '[.!?]+[\x20\x09-\x0D]+')) FROM lines
-), worded AS (
-  SELECT uid, unit, string_split(trim(regexp_replace(unit, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units
-), paired AS (
-  SELECT uid, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM worded WHERE len(w) BETWEEN 2 AND 60
+WITH templates(tid, id, b) AS (VALUES {values}),
+docs AS (
+  SELECT row_number() OVER () AS uid, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents
+), paired AS (SELECT uid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM docs),
+places AS (
+  SELECT DISTINCT uid, tid, i FROM (SELECT uid, unnest(range(0, len(pairs))) AS i, unnest(pairs) AS b FROM paired) JOIN (SELECT tid, unnest(b) AS b FROM templates) USING (b)
+), flagged AS (
+  SELECT *, coalesce(lag(i) OVER (PARTITION BY uid, tid ORDER BY i) < i - 1, true) AS begins, coalesce(lead(i) OVER (PARTITION BY uid, tid ORDER BY i) > i + 1, true) AS ends FROM places
+), spans AS (
+  SELECT x.uid, x.tid, x.i AS a, y.i AS z FROM flagged x JOIN flagged y ON x.uid = y.uid AND x.tid = y.tid AND x.begins AND y.ends AND y.i >= x.i
+), windows AS (
+  SELECT uid, id, a, z, t.b, list_distinct(pairs[a + 1:z + 1]) AS p
+  FROM spans JOIN templates t USING (tid) JOIN paired USING (uid)
+  WHERE z < a + 2 * ceil(len(t.b) / {bound!r}::DOUBLE) AND z - a + 1 >= len(t.b) * {bound!r}::DOUBLE - 1e-9
 ), rated AS (
-  SELECT uid, unit, id, 2.0::DOUBLE * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b)) AS dice
-  FROM paired p JOIN templates t ON list_has_any(p.b, t.b)
-), best AS (
-  SELECT uid, unit, max(dice) AS dice, min(id) FILTER (dice = top) AS id
-  FROM (SELECT *, max(dice) OVER (PARTITION BY uid, unit) AS top FROM rated) WHERE top >= {threshold} GROUP BY uid, unit
+  SELECT uid, id, a, z, 2.0::DOUBLE * len(list_intersect(p, b)) / (len(p) + len(b)) AS dice FROM windows
+), ordered AS (
+  SELECT uid, list([{{'id': id, 'a': a, 'z': z, 'dice': dice}}] ORDER BY dice DESC, a - z, id, a, z) AS all_
+  FROM (SELECT DISTINCT * FROM rated WHERE dice >= {threshold}) GROUP BY uid
+), kept AS (
+  SELECT uid, unnest(list_reduce(all_, lambda acc, m: CASE WHEN len(list_filter(acc, lambda k: m[1].a <= k.z AND k.a <= m[1].z)) > 0 THEN acc ELSE acc || m END)) AS m FROM ordered
 ), by_doc AS (
-  SELECT uid, string_agg(DISTINCT id, ',' ORDER BY id) AS licenses, min(id) FILTER (dice = top) AS best_license, max(dice) AS best_dice
-  FROM (SELECT *, max(dice) OVER (PARTITION BY uid) AS top FROM best) GROUP BY uid
+  SELECT uid, string_agg(DISTINCT m.id, ',' ORDER BY m.id) AS licenses, min(m.id) FILTER (m.dice = top) AS best_license, max(m.dice) AS best_dice
+  FROM (SELECT *, max(m.dice) OVER (PARTITION BY uid) AS top FROM kept) GROUP BY uid
 )
 SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
 FROM docs LEFT JOIN by_doc USING (uid)

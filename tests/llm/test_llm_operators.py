@@ -164,6 +164,34 @@ def test_licenses(spark, none):
     assert [got[i].licenses for i in range(1, 8)] == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "", "", "", "Apache-2.0,MIT"]
     assert got[1].best_dice == 1.0 and got[4].best_license is None
     assert license_scan.scan_licenses(none).count() == 0
+    clash = spark.createDataFrame([*rows, rows[0], (8, "word " * 50_000 + rows[0][1])], "doc_id int, text string").withColumns({c: F.lit("x") for c in ("_words", "words", "pairs", "LICENSES", "known")})
+    out = license_scan.scan_licenses(clash)
+    assert Counter((r.doc_id, r.licenses, r.words, r._words) for r in out.collect()) == Counter([(i, got[i].licenses, "x", "x") for i in range(1, 8)] + [(i, "MIT", "x", "x") for i in (1, 8)])
+
+
+def test_license_windows_equal_the_sql(spark):
+    """The SQL over texts that hold notices cut, changed, run together and wrapped."""
+    import duckdb
+
+    from tessella.llm import sql
+
+    rng = random.Random(22)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = rng.choice(license_scan.TEMPLATES)[1].split()
+            w = w[rng.randint(0, 2) : len(w) - rng.randint(0, 2)]
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "zzz"
+            parts += [" ".join(w).replace(" ", "\n", rng.randint(0, 3)), prose(rng, rng.randint(0, 6))]
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = Counter((a, b, c, None if d != d or d is None else round(d, 5)) for a, b, c, d in con.execute(sql.license_scan_sql()).fetchall())
+    got = Counter((r.doc_id, r.licenses, r.best_license, None if r.best_dice is None else round(r.best_dice, 5)) for r in license_scan.scan_licenses(df).collect())
+    assert got == want and sum(bool(k[1]) for k in got) > 25
 
 
 def test_license_pruning_loses_nothing():
