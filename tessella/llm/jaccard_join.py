@@ -17,10 +17,11 @@ overlaps come from matrix products, and a block pair returns at most one row a
 member (its links and a local root), never its pairs. A pair is counted in its
 first common node only. Components join the local roots over all nodes.
 
-Shingles are counted as 32-bit hashes within a pair: of two sets of 1000, one
-shingle in 4000 such pairs is taken for shared by chance.
+Shingles are counted as 40-bit hashes within a pair: of two sets of 1000, one
+shingle in a million such pairs is taken for shared by chance.
 
-Edge cases: words part at ASCII white space. A text of one to four words has one
+Edge cases: words part at ASCII white space. Very long texts are compared whole. A
+pair just at the threshold is linked. A text of one to four words has one
 shingle of all its words; a null or empty text has none, is linked to nothing
 and is a class of its own. Repeated rows are copies of each other. Rows without
 id are linked as others; the class id is the least id of the class, or null.
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, drop_kept, materialise, release
+from .shared import bound_batches, drop_kept, free_names, materialise, release
 from .wordhash import mix, text_chunks, words_of
 
 SHINGLE = 5
@@ -52,6 +53,8 @@ LIMIT = 512
 
 _U = np.uint64
 _P = _U(0xD6E8FEB86659FD93)
+#: Bytes of a shingle's hash that are compared.
+BYTES = 5
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -157,13 +160,20 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             sets, bounds = shingle_sets(data, offsets)
-            keys, small = set_keys(sets, bounds), (sets >> _U(32)).astype(np.uint32)
+            keys, small = set_keys(sets, bounds), np.ascontiguousarray(sets.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES])
             full = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[full]), pa.array([small[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary())], names=["set_key", "shingles"]
             )
 
 
+def unpacked(shingles: bytes) -> np.ndarray:
+    """The upper bytes of the hashes as numbers, in the order of the whole ones."""
+    out = np.zeros((len(shingles) // BYTES, 8), np.uint8)
+    out[:, 8 - BYTES :] = np.frombuffer(shingles, np.uint8).reshape(-1, BYTES)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of slices of the incidence matrix."""
     m = len(sets)
@@ -235,8 +245,7 @@ def _compare_group(rows: list[tuple], threshold: float) -> list[tuple[int, int,
     for members in earlier.values():
         if len(members) > 1:
             todo[np.ix_(members, members)] = False
-    # 32-bit hashes are sorted as the whole ones were.
-    counted = _links([np.frombuffer(r[7], np.uint32) for r in rows], todo, threshold)
+    counted = _links([unpacked(r[7]) for r in rows], todo, threshold)
     if not counted.any():
         return []
     links = counted @ copies
@@ -342,16 +351,21 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
 
     # Blocks: a node of n members is compared as all pairs of its ceil(n / limit) blocks.
     n_blocks = F.ceil(F.col("size") / limit).cast("int")
+    n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Pairs of blocks of one node go to one task after the other, so that a large node spreads evenly.
+    slot = F.pmod(F.pmod(F.xxhash64("node"), F.lit(n_parts)) + F.col("a").cast("long") * F.col("g") + F.col("b"), F.lit(n_parts)).cast("int")
     dealt = (
         leaves.withColumn("g", n_blocks)
         .withColumn("own", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("g")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("set_key", "node", "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
+        .select("set_key", "node", "g", "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
+        .withColumn("slot", slot)
     )
     compared = (
         dealt.join(held, "set_key")
-        .select("node", "a", "b", "own", "set_key", "copies", "others", "shingles")
-        .repartition("node", "a", "b")
+        .select("node", "a", "b", "own", "set_key", "copies", "others", "shingles", "slot")
+        .repartitionById(n_parts, F.col("slot"))
+        .drop("slot")
         .sortWithinPartitions("node", "a", "b")
         .mapInArrow(lambda it: _compare(it, threshold), "set_key long, links long, root long")
     )
@@ -380,16 +394,17 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def keep_one(df: DataFrame, **options) -> DataFrame:
+def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one of least id, and the texts without words.
 
-    Of rows that are equal in id and text one stays.
+    Of rows that are equal in id and text one stays; of texts without words with the same id, too.
     """
-    found = join_similar(df, **options)
+    found = join_similar(df, text=text, id_col=id_col, **options)
+    key, id_, key_ = free_names(df, "text_key", "id2", "key2")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(order).alias("m")).select("m.id", "m.key")
     alone = found.where(F.col("class_key").isNull()).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    stays = first.unionByName(alone).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = df.withColumn("_text_key", text_key())
-    kept = keyed.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*df.columns)
+    stays = first.unionByName(alone).select(F.col("id").alias(id_), F.col("key").alias(key_)).distinct()
+    keyed = df.withColumn(key, text_key(text))
+    kept = keyed.join(stays.hint("merge"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_)), "left_semi")
+    return kept.dropDuplicates([id_col, key]).select(*df.columns)

@@ -3,8 +3,9 @@
 1. Every text gets a short vector of document statistics (one pass, no shuffle).
 2. The vectors of the labelled training rows are standardised and mapped to
    random Fourier features, which approximate a Gaussian kernel. Each partition
-   sums its share of the normal equations; the sums meet in a few tasks and then
-   on the driver, where their size depends on the number of features alone.
+   sums its share of the normal equations; ``FAN_IN`` sums meet in a task, and so on
+   until few are left, which meet on the driver. Their size depends on the number of
+   features alone.
 3. Ridge scores are calibrated by isotonic regression over a histogram of fixed
    size, and every text is scored.
 
@@ -13,7 +14,8 @@ Only labels and statistics are shuffled. All labelled training rows are used.
 Edge cases: a null text counts as empty and is scored as such. Rows without id
 are scored but never train. A document labelled several times trains with the
 mean of its labels. Repeated rows are scored each on its own. Without training
-rows every score is 0.5. Extra columns are not read.
+rows every score is 0.5. Very long texts are measured whole. Equal statistics score
+alike. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, materialise
+from .shared import bound_batches, materialise, release
 from .wordhash import text_chunks, words_of
 
 STATISTICS = (
@@ -35,6 +37,10 @@ STATISTICS = (
 )
 
 
+#: Partial sums that one task adds.
+FAN_IN = 16
+
+
 def _flags(chars: bytes) -> np.ndarray:
     out = np.zeros(256, np.float32)
     out[list(chars)] = 1
@@ -199,8 +205,15 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", n_featur
     mean, scale = np.array(moments[1::2]), np.array(moments[2::2])
     features = FourierFeatures.draw(mean, np.where(scale > 1e-9, scale, 1.0), n_features, bandwidth, seed)
     parts = train.mapInArrow(lambda it: _equations(it, features), "s array<double>")
-    sums = parts.repartition(8).mapInArrow(_add, "s array<double>").collect()
-    total = np.sum([np.asarray(r.s) for r in sums], axis=0)
+    sums = materialise(parts)
+    n = sums.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        added = materialise(sums.repartition(n).mapInArrow(_add, "s array<double>"))
+        release(sums)
+        sums = added
+    total = np.sum([np.asarray(r.s) for r in sums.collect()], axis=0)  # at most FAN_IN rows
+    release(sums)
     k = n_features + 1
     a, b = total[: k * k].reshape(k, k), total[k * k :]
     coefficients = np.linalg.solve(a + ridge * moments[0] / n_features * np.eye(k), b)
@@ -214,6 +227,7 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", n_featur
     # At most ``bins`` + 1 rows, whatever the number of training rows.
     rows = train.mapInArrow(bin_of, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     knots, values = pool_adjacent(np.array([r.bin * 3 / bins for r in rows]), np.array([r.y for r in rows]), np.array([float(r.n) for r in rows]))
+    release(train)
     return QualityModel(features, coefficients, knots, values)
 
 

@@ -16,7 +16,9 @@ greatest summed score.
 Edge cases: null and empty texts have no ids. Characters outside the vocabulary
 become byte pieces, or ``<unk>`` where the model has none. Very long words cost
 their length times the longest piece. Repeated rows are encoded each on its own.
-Extra columns pass through; ``ids``, ``n_tokens`` and ``decoded`` are replaced.
+An empty table gives no rows. Equal merges take the leftmost, equal sums the longer
+last piece. Extra columns pass through; ``ids``, ``n_tokens`` and ``lossless``, when
+decoding ``decoded``, are replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ if the group is smaller than ``slack`` of a shard; larger groups are cut.
 Only key, size and checksum are shuffled, never the texts. What is broadcast is
 one row a partition, one row a shard and at most one group a cut.
 
-Edge cases: a null text has size 1 and checksum 0, as an empty one. Null ids
+Edge cases: very long texts are one row as others are. A null text has size 1 and checksum 0, as an empty one. Null ids
 sort first. Rows that are equal in id and text are told apart by their place in
 the partition and each gets a slot of its own. An empty table gives no rows.
 Extra columns are not read.

@@ -142,6 +142,27 @@ def test_shards_are_balanced_and_keep_small_groups(spark):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_shards_equal_plain_prefix_sums(spark, docs):
+    """Keys from the text's hash; sorted, summed and cut in plain Python."""
+    keyed = [(r.k, r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 1) for r in docs.selectExpr("xxhash64(coalesce(text, '')) AS k", "doc_id", "text").collect()]
+    keyed.sort()
+    for n, slack in ((4, 0.1), (3, 0.5), (8, 0.0)):
+        total, before, rows = sum(r[3] for r in keyed), 0, []
+        for r in keyed:
+            rows.append([r, before, min(before * n // total, n - 1)])
+            before += r[3]
+        for k in {r[0] for r in keyed}:
+            group = [x for x in rows if x[0][0] == k]
+            size = sum(x[0][3] for x in group)
+            if group[0][2] < group[-1][2] and size <= slack * total / n:
+                for x in group:
+                    x[2] = min(int((group[0][1] + size / 2) * n / total), n - 1)
+        first = {s: min(i for i, x in enumerate(rows) if x[2] == s) for s in {x[2] for x in rows}}
+        want = Counter((r[2] if r[1] else None, r[3], s, i - first[s]) for i, (r, _, s) in enumerate(rows))
+        got = Counter((r.doc_id, r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(docs, n, slack=slack).collect())
+        assert got == want
+
+
 def test_a_huge_group_is_cut(spark):
     out = sharding.shard_by_bytes(spark.createDataFrame([(i, "same text") for i in range(800)], "doc_id long, text string"), 8).collect()
     assert sorted(Counter(r.shard for r in out).values()) == [100] * 8
@@ -518,6 +539,9 @@ def test_blocks_of_a_large_group(spark):
 def test_one_of_each_class_stays(docs):
     _, part = classes(ROWS)
     full = [(r, p) for r, p in zip(ROWS, part) if words(r[1])]
+    clash = docs.withColumns({c: F.lit("x") for c in ("_text_key", "_id", "_key", "text_key", "class_id", "set_key")})
+    assert jaccard_join.keep_one(clash).columns == clash.columns and jaccard_join.keep_one(clash.limit(0)).count() == 0
+    assert {r._text_key for r in jaccard_join.keep_one(clash).collect()} == {"x"}
     kept = jaccard_join.keep_one(docs).collect()
     assert len([r for r in kept if words(r.text)]) == len({p for _, p in full})
     assert kept[0].asDict().keys() == set(docs.columns)
@@ -748,6 +772,47 @@ def test_classifier_learns_from_the_training_part_alone(spark, none):
     assert quality_classifier.score_quality(none, spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_scores_equal_a_plain_fit(spark, monkeypatch):
+    """Statistics by plain counts, ridge on all rows at once, calibration by all monotone fits' means, sums in a tree."""
+    monkeypatch.setattr(quality_classifier, "FAN_IN", 2)
+    rng = random.Random(23)
+    texts = [sentences(rng, rng.randint(1, 6)) if rng.random() < 0.6 else " | ".join(prose(rng, rng.randint(3, 30)).split()).upper() for _ in range(150)] + ["", None]
+    rows = list(enumerate(texts))
+    labels = [(i, int("|" not in (t or "|")) if rng.random() < 0.9 else rng.randint(0, 1)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = {r.doc_id: r.score for r in quality_classifier.score_quality(df, spark.createDataFrame(labels, "doc_id long, quality int"), n_features=20).collect()}
+
+    def measured(t):
+        w, t = words(t), t or ""
+        n, size = max(len(w), 1), max(sum(len(x.encode()) for x in w), 1)
+        count = lambda chars: sum(t.count(c) for c in chars)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        repeated = 1 - len(set(grams)) / max(len(w) - 2, 1) if len(w) > 2 else 0
+        return [
+            np.log1p(len(w)), size / n, count("#*$%&<>{}~^_=+") / size, t.count("|") / n, sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t) / size, t.count("!") / n,
+            count("0123456789") / size, count(".?") / n, count(",;:") / n, len(set(w)) / n, repeated, sum(a == b for a, b in zip(w, w[1:])) / n,
+            np.log1p(len(w) / (t.count("\n") + 1)), sum(len(x.encode()) >= 15 for x in w) / n,
+        ]
+
+    x = np.array([measured(t) for t in texts], np.float32)
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows])
+    y = np.array([q for _, q in labels], float)
+    mean, scale = x[train].mean(0, dtype=float), x[train].std(0, dtype=float)
+    f = quality_classifier.FourierFeatures.draw(mean, np.where(scale > 1e-9, scale, 1), 20, 3.0, 7)
+    z = f(x)
+    a = z[train]
+    coefficients = np.linalg.solve(a.T @ a + 1e-3 * len(a) / 20 * np.eye(21), a.T @ y[train])
+    raw = np.clip(z @ coefficients, -1, 2)
+    bins = np.round(raw[train] * (1000 / 3))
+    at = np.unique(bins)
+    means, weight = np.array([y[train][bins == b].mean() for b in at]), np.array([(bins == b).sum() for b in at])
+    # Isotonic regression by its definition: the largest, over beginnings, of the least, over ends, of the means.
+    iso = np.array([max(min(np.average(means[j : k + 1], weights=weight[j : k + 1]) for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))])
+    centres = np.array([np.average(at[iso == v] * 3 / 1000, weights=weight[iso == v]) for v in iso])
+    want = np.clip(np.interp(raw, *map(np.array, zip(*sorted(set(zip(centres, iso)))))), 0, 1)
+    assert np.abs(want - [out[i] for i, _ in rows]).max() < 1e-4
+
+
 def test_pooling_is_monotone():
     x, y = quality_classifier.pool_adjacent(np.array([0.0, 1, 2, 3]), np.array([0.2, 0.6, 0.4, 1.0]), np.ones(4))
     assert y.tolist() == pytest.approx([0.2, 0.5, 1.0]) and x.tolist() == pytest.approx([0, 1.5, 3])
