@@ -204,7 +204,7 @@ def numbered_item(section: Column) -> Column:
     body = collapse_space(F.regexp_extract(text(section), r"(?s)^\s*\d{1,2}\.\s*(.+)$", 1))
     order = F.regexp_extract(text(section), r"^\s*(\d{1,2})\.", 1)
     item = let(body, lambda b: let(_opening(b), lambda o: _parsed(order, b, o)))
-    return F.when((order != "") & (item["title"] != ""), item)
+    return let(item, lambda x: F.when((order != "") & (x["title"] != ""), x))
 
 
 def _opening(body: Column) -> Column:

@@ -90,3 +90,32 @@ MIN_SCORE = 0.01
 CONTEXT_CHARS, SNIPPET_CHARS = 8500, 7000
 FACT_CHARS, FACT_MIN_CHARS, FACT_CHUNKS = 4500, 120, 10
 LOG_ENTRIES = 5000
+# Namespaces in the order in which they are asked.
+NAMESPACES = ("internal", "external")
+# Heading of an answer from facts, with the blank line after it.
+FACTS_HEADING = "คำตอบจาก Structured RAG (ข้อเท็จจริง):\n"
+# Route of an answer from a web search, and what is said where there is none.
+SEARCH_ROUTE = "tavily_fallback"
+NO_SEARCH_NOTE = "\n\nหมายเหตุ: Tavily ใช้งานไม่ได้ (%s) จึงตอบจาก RAG เท่าที่มี"
+NOTHING_FOUND = "ไม่พบข้อมูลเพียงพอใน RAG และ Tavily ใช้งานไม่ได้: %s"
+SEARCH_WITHOUT_MODEL = "สรุปไม่ได้ด้วย LLM ในตอนนี้ แต่พบผลค้นหา Tavily:\n\n"
+# Words by which a question about an article asks for trends' impact, approaches, figures, lists, actions or roles.
+EACH_TREND = ("แต่ละเทรนด์", "ทั้ง 5 เทรนด์", "ทั้งห้าเทรนด์")
+IMPACTS = ("โอกาส", "ความเสี่ยง", "ควรทำ")
+APPROACHES = ("business approach", "แนวทางธุรกิจ", "แบบ bullet")
+ARTICLE_FIGURES = ("ตัวเลข", "สถิติ", "การคาดการณ์", "แหล่งไหน", "แหล่งที่มา")
+ASKS_LIST = ("อะไรบ้าง", "ขอรายการ", "หัวข้อย่อย", "bullet", "รายการ")
+ASKS_ACTIONS = ("แนวทาง", "ไอเดียธุรกิจ", "สินค้า", "บริการ", "เทคโนโลยี", "ควรทำ", "แนะนำ")
+ASKS_ROLE = ("บทบาท", "คืออะไร", "อย่างไร", "นิยาม", "หมายถึง")
+ASKS_STATS = ("ตัวเลข", "สถิติ", "การคาดการณ์", "เท่าไร", "เท่าไหร่", "%", "ปี")
+ASKS_ARTICLE = ("บทความ", "เทรนด์", "ตัวเลข", "แนวคิด", "ไอเดีย", "บริการ", "ธุรกิจ")
+# Lines of answers from an article.
+CHANCE, CHANCE_NONE = "โอกาส: ", "บทความชี้ว่ามีโอกาสเติบโตตามเทรนด์นี้"
+TO_DO, TO_DO_NONE = "สิ่งที่ควรทำ: ", "บทความไม่ได้ระบุแนวทางเพิ่มเติม"
+RISK = "ความเสี่ยง: บทความไม่ได้ระบุโดยตรง; หากไม่ปรับตัวอาจเสียโอกาสทางการแข่งขัน"
+PET_PARENT = "pet parent"
+PET_PARENT_LINE = "Pet Parent ในบทความหมายถึง สัตว์เลี้ยงยังคงถูกมองเป็นส่วนหนึ่งของครอบครัว และมีแนวโน้มที่ครอบครัวจะมีสัตว์เลี้ยงเป็นสมาชิกเพิ่มขึ้นเรื่อย ๆ"
+AI_LINE = "บทความบอกว่า AI/Automation จะมีบทบาทกับธุรกิจปี 2025 โดย "
+LEAD_LINE, LEAD_IS = "บทความระบุว่า ", " คือ "
+THE_ARTICLE, NO_SOURCE_NAMED = "บทความ", "บทความไม่ได้ระบุชื่อแหล่งใน section นี้"
+NOT_IN_ARTICLE = "ไม่พบข้อมูลที่ถามไว้โดยตรงในบทความนี้"

@@ -17,7 +17,7 @@ from .constants import (
     SYNONYMS,
     TREND_WORDS,
 )
-from .text import contains_any, match_text, text
+from .text import contains_any, let, match_text, text
 
 
 def route(c: Column | str) -> Column:
@@ -59,9 +59,11 @@ def query_phrases(c: Column | str) -> Column:
     for noise in PHRASE_NOISE:
         thai = F.replace(thai, F.lit(noise), F.lit(" "))
     runs = F.filter(F.regexp_extract_all(thai, F.lit("[ก-๙]{4,}"), 0), lambda p: F.length(p) <= 24)
-    low = match_text(c)
-    added = [F.when(contains_any(low, triggers), F.array(*map(F.lit, more))).otherwise(F.expr("cast(array() AS array<string>)")) for triggers, more in SYNONYMS]
-    return F.array_distinct(F.concat(english, runs, *added))
+
+    def added(low: Column) -> Column:
+        return F.concat(*[F.when(contains_any(low, triggers), F.array(*map(F.lit, more))).otherwise(F.expr("cast(array() AS array<string>)")) for triggers, more in SYNONYMS])
+
+    return F.array_distinct(F.concat(english, runs, let(match_text(c), added)))
 
 
 def prefers_single_article(c: Column | str) -> Column:

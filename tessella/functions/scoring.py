@@ -18,10 +18,11 @@ def occurrences(hay: Column, term: Column) -> Column:
 
 def lexical_score(terms: Column, c: Column | str) -> Column:
     """F8. Sum of min(3, 1 + ln(1 + n)) over the terms found, plus three times their share."""
-    return let(F.lower(text(c)), lambda hay: _lexical(terms, hay))
+    return let(F.lower(text(c)), lambda hay: lexical_part(terms, hay))
 
 
-def _lexical(terms: Column, hay: Column) -> Column:
+def lexical_part(terms: Column, hay: Column) -> Column:
+    """F8 of a text that is lower-cased already."""
     part = lambda t: F.when(hay.contains(t), F.least(F.lit(3.0), 1 + F.log1p(occurrences(hay, t)))).otherwise(0.0)
     total = F.aggregate(terms, F.lit(0.0), lambda a, t: a + part(t))
     found = F.size(F.filter(terms, lambda t: hay.contains(t)))

@@ -59,20 +59,36 @@ def identity_translator(texts: list[str]) -> list[str]:
     return list(texts)
 
 
-def call(hook: Generate, c: Column | str, default: str = "") -> Column:
-    """U1, U4, U6, U7. A text hook over a column, in batches; a batch that fails gives the default."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _answers(hook: Generate, inputs: list[str]) -> list[tuple[str | None, str | None]]:
+    """(output, error) of each input; where a batch fails its inputs are tried one by one."""
+    try:
+        out = list(hook(inputs))
+        if len(out) == len(inputs):
+            return [(o, None) for o in out]
+        problem: Exception = ValueError(f"{len(out)} outputs for {len(inputs)} inputs")
+    except Exception as e:  # noqa: BLE001
+        problem = e
+    if len(inputs) == 1:
+        return [(None, f"{type(problem).__name__}: {problem}")]
+    return [pair for x in inputs for pair in _answers(hook, [x])]
+
+
+def call_checked(hook: Generate, c: Column | str) -> Column:
+    """U1, U4, U6, U7. A text hook over a column, in batches: struct(output, error); an input that fails has an error and no output."""
+
+    @F.pandas_udf("output string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            try:
-                yield pd.Series(hook(s.fillna("").tolist()), dtype=object)
-            except Exception:  # noqa: BLE001
-                yield pd.Series([default] * len(s), dtype=object)
+            yield pd.DataFrame(_answers(hook, s.fillna("").tolist()) if len(s) else [], columns=["output", "error"], dtype=object)
 
     return run(c)
 
 
+def call(hook: Generate, c: Column | str, default: str = "") -> Column:
+    """U1, U4, U6, U7. The outputs of a text hook; an input that fails gives the default. ``call_checked`` tells why."""
+    return F.coalesce(call_checked(hook, c)["output"], F.lit(default))
+
+
 def embed_column(hook: Embed, c: Column | str) -> Column:
     """U2. Vectors of a column; null where the hook gives none."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import FACT_CHARS, FACT_CHUNKS, FACT_MIN_CHARS
+from ..functions.constants import FACT_CHARS, FACT_CHUNKS, FACT_MIN_CHARS, FACTS_HEADING, NAMESPACES
 from ..functions.scoring import fact_chunk_score
 from ..functions.text import strip, text
 
@@ -53,17 +53,30 @@ def parse_facts(df: DataFrame, answer: str = "answer", source: str = "text", hin
 
 
 def fact_line() -> Column:
-    """F42. One fact as a line of an answer."""
-    year = F.when(F.coalesce(F.col("year"), F.lit(0)) > 0, F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise("")
-    return F.concat(F.lit("- "), text("entity"), F.lit(" "), text("key"), F.lit(": "), text("value"), F.when(text("unit") == "", "").otherwise(F.concat(F.lit(" "), text("unit"))), year)
-
-
-def facts_answer(facts: DataFrame, partition: str = "qid", limit: int = 25) -> DataFrame:
-    """C7, O11, O12. One answer a question: numbered titles by number, other facts by year and entity."""
+    """F42. One fact as a line of an answer: place, entity, key, value, unit, year and source."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    paged = F.coalesce(F.col("page"), F.lit(0)) != 0
+    src = F.when(paged, F.concat(text("source_path"), F.lit(" (page "), number("page"), F.lit(")"))).otherwise(text("source_path"))
+    return F.concat(
+        F.lit("- ["), text("namespace"), F.lit("] "), text("entity"), F.lit(" | "), text("key"), F.lit(" = "), text("value"), F.lit(" "), text("unit"),
+        F.lit(" (year="), number("year"), F.lit(") [source: "), src, F.lit("]"),
+    )
+
+
+def facts_answer(facts: DataFrame, partition: str = "qid", limit: int = 25, per_namespace: int = 30, namespaces: tuple[str, ...] = NAMESPACES) -> DataFrame:
+    """C7, O11, O12. One answer a question: (partition, answer, n_facts).
+
+    The first facts of each namespace by year and entity; of these the first
+    ``limit`` in the order of the namespaces under a heading, or numbered titles by
+    year and value, counted from 1.
+    """
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, namespaces)), text("namespace")), F.lit(0)), F.lit(len(namespaces) + 1))
+    inside = Window.partitionBy(partition, "namespace").orderBy("year", "entity", "id")
+    rows = facts.withColumns({"_n": F.row_number().over(inside), "_place": place}).where(F.col("_n") <= per_namespace)
     listed = F.col("key") == "numbered_section_title"
-    w = Window.partitionBy(partition).orderBy("year", F.when(listed, F.col("value")).otherwise(F.col("entity")), "id")
-    line = F.when(listed, F.concat(F.col("year").cast("string"), F.lit(". "), text("value"))).otherwise(fact_line())
-    rows = facts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).withColumn("_line", line)
-    return rows.groupBy(partition).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_line"))), lambda x: x["_line"]), "\n").alias("answer"), F.count("*").alias("n_facts")
-    )
+    first = [F.when(listed, F.coalesce(F.col("year"), F.lit(0))), F.when(listed, text("value")), F.col("_place"), F.col("_n")]
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(partition).orderBy(*first))).where(F.col("_r") <= limit)
+    rows = rows.withColumn("_line", F.when(listed, F.concat(F.col("_r").cast("string"), F.lit(". "), text("value"))).otherwise(fact_line()))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_line"))), lambda x: x["_line"]), "\n")
+    out = rows.groupBy(partition).agg(lines.alias("answer"), F.count("*").alias("n_facts"), F.bool_and(listed).alias("_listed"))
+    return out.select(partition, F.when(F.col("_listed"), F.col("answer")).otherwise(F.concat(F.lit(FACTS_HEADING + "\n"), "answer")).alias("answer"), "n_facts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import intent, scoring
 from ..functions.constants import CONTEXT_CHARS, SNIPPET_CHARS
 from ..functions.text import match_text, text
+from ..tables import once
 from .cleaning import budget_prefix
 
 
@@ -23,7 +24,7 @@ def rerank(df: DataFrame, question: str = "question", order: str = "ord") -> Dat
     Phrase matches raise a chunk, matches of its source raise all chunks of the
     source; a question about one article keeps the best source only.
     """
-    df = df.withColumn("_phrases", intent.query_phrases(question)).withColumn("_found", scoring.phrase_matches(F.col("_phrases"), "text"))
+    df = once(once(df, _phrases=intent.query_phrases(question)), _found=scoring.phrase_matches(F.col("_phrases"), "text"))
     df = df.withColumns(
         {
             "phrase_score": F.aggregate("_found", F.lit(0.0), lambda a, p: a + scoring.phrase_weight(p)),

@@ -7,20 +7,28 @@ once and not shuffled. Ranks are limited inside each task before the exchange
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.constants import MIN_SCORE
-from ..functions.text import preview, search_terms
+from ..functions.text import preview, search_terms, text
 
-#: Most query rows that are sent to every task at once; larger sets are joined without a hint.
+#: Query rows that are sent to every task at once; larger sets are taken in blocks of about as many.
 BROADCAST_QUERIES = 20_000
 
 
-def small(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
-    """Marks a query set for broadcast after counting up to the limit."""
-    return F.broadcast(queries) if queries.limit(limit + 1).count() <= limit else queries
+def in_blocks(queries: DataFrame, query_id: str, answer: Callable[[DataFrame], DataFrame], limit: int = BROADCAST_QUERIES) -> DataFrame:
+    """``answer`` of a counted query set that is sent to all tasks, block by block if there are more than ``limit``."""
+    n = -(-queries.count() // limit)
+    if n <= 1:
+        return answer(F.broadcast(queries))
+    # Blocks by hash vary in size; twice as many stay below the limit.
+    block = F.pmod(F.xxhash64(query_id), F.lit(2 * n))
+    return reduce(DataFrame.unionByName, [answer(F.broadcast(queries.where(block == i))) for i in range(2 * n)])
 
 
 def vector_topk(
@@ -28,15 +36,27 @@ def vector_topk(
 ) -> DataFrame:
     """J1, P2, P5, O1, F10. The k nearest chunks of each query by exact L2 distance; score 1 / (1 + d), rank from 1.
 
-    Rows with a negative score_hint carry no vector and are left out. Ties go by id.
+    Rows with a negative score_hint carry no vector and are left out. Ties go by id,
+    which must be unique. Only ids and distances are ranked; the rest of the winners'
+    rows is joined to them afterwards.
     """
     if "score_hint" in chunks.columns:
         chunks = chunks.where("score_hint >= 0")
-    q = queries.select(F.col(query_id), F.col(vector).alias("_q"))
-    pairs = chunks.crossJoin(small(q)).withColumn("distance", scoring.l2_distance(F.col(vector), F.col("_q")))
+    narrow, rest = chunks.select(ident, vector), [c for c in chunks.columns if c not in (ident, vector)]
     w = Window.partitionBy(query_id).orderBy("distance", ident)
-    ranked = pairs.drop("_q", vector).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumn("score", scoring.similarity(F.col("distance"))).where(F.col("score") >= min_score)
+
+    def answer(q: DataFrame) -> DataFrame:
+        pairs = narrow.crossJoin(q).select(ident, query_id, scoring.l2_distance(F.col(vector), F.col("_q")).alias("distance"))
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ranked = ranked.withColumn("score", scoring.similarity(F.col("distance"))).where(F.col("score") >= min_score)
+        return _with_rows(chunks, ranked, rest, ident)
+
+    return in_blocks(queries.select(F.col(query_id), F.col(vector).alias("_q")), query_id, answer)
+
+
+def _with_rows(chunks: DataFrame, ranked: DataFrame, columns: list[str], ident: str) -> DataFrame:
+    """The other columns of the chunks that won: k rows for each of a bounded number of queries, so they can be sent to all tasks."""
+    return chunks.select(ident, *columns).join(F.broadcast(ranked), ident) if columns else ranked
 
 
 def source_order(ranked: DataFrame, *keys: str) -> DataFrame:
@@ -54,16 +74,21 @@ def lexical_topk(chunks: DataFrame, question: str, k: int = 8, min_score: float
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame, c: str = "text", query_id: str = "qid", question: str = "question") -> DataFrame:
     """F8 for a set of questions against all chunks; pairs that score above zero."""
+    # Terms are found and texts lower-cased once each, not for every pair.
     q = questions.select(query_id, search_terms(question).alias("_terms"))
-    pairs = chunks.crossJoin(small(q))
-    return pairs.withColumn("score", scoring.lexical_score(F.col("_terms"), c)).drop("_terms").where("score > 0")
+    lowered = chunks.withColumn("_low", F.lower(text(c)))
+    pairs = in_blocks(q, query_id, lambda block: lowered.crossJoin(block))
+    return pairs.withColumn("score", scoring.lexical_part(F.col("_terms"), F.col("_low"))).drop("_terms", "_low").where("score > 0")
 
 
-def top_lexical(chunks: DataFrame, questions: DataFrame, k: int, ident: str, **options) -> DataFrame:
-    """The best k chunks of each question over the whole corpus; ties by id."""
-    scored = lexical_scores(chunks, questions, **options)
+def top_lexical(chunks: DataFrame, questions: DataFrame, k: int, ident: str, c: str = "text", **options) -> DataFrame:
+    """The best k chunks of each question over the whole corpus; ties by id, which must be unique. Texts aren't ranked with them."""
+    scored = lexical_scores(chunks.select(ident, c), questions, c, **options).drop(c)
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), ident)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rest = [x for x in chunks.columns if x != ident]
+    n = questions.limit(BROADCAST_QUERIES + 1).count()
+    return chunks.join(F.broadcast(ranked) if n <= BROADCAST_QUERIES else ranked, ident).select(ident, *rest, *[x for x in ranked.columns if x != ident])
 
 
 def structured_facts(facts: DataFrame, namespace: str, key: str, source: str = "", limit: int = 30) -> DataFrame:
@@ -104,15 +129,22 @@ def merge_namespaces(parts: list[DataFrame], score: str = "score", ident: str =
 
 
 def prefer(df: DataFrame, flag: Column, *partition: str) -> DataFrame:
-    """P19, J10. Rows with the flag, or all rows of the group if none has it."""
-    any_ = F.max(F.col("_flag")).over(Window.partitionBy(*partition))
-    return df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_any", any_).where("_flag OR NOT _any").drop("_flag", "_any")
+    """P19, J10. Rows with the flag, or all rows of the group if none has it.
+
+    The groups that have it are aggregated apart, a row each, so that a hot group needn't meet in one task.
+    """
+    flagged = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    having = flagged.where("_flag").select(*[F.col(p).alias(f"_{i}") for i, p in enumerate(partition)]).distinct().withColumn("_any", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{i}")) for i, p in enumerate(partition)])
+    return flagged.join(having, same, "left").where("_flag OR _any IS NULL").select(*df.columns)
 
 
 def expand_source(chunks: DataFrame, primary: DataFrame, limit: int = 50) -> DataFrame:
     """J6. All chunks of each query's primary source: (qid, namespace, source_url, source_path) joined on the stored columns that are set."""
-    p = small(primary.select("qid", F.col("namespace").alias("_n"), F.col("source_url").alias("_u"), F.col("source_path").alias("_p")))
-    on = (F.col("namespace") == F.col("_n")) & ((F.col("_u") == "") | (F.col("source_url") == F.col("_u"))) & ((F.col("_p") == "") | (F.col("source_path") == F.col("_p")))
-    joined = chunks.join(p, on & ((F.col("_u") != "") | (F.col("_p") != ""))).drop("_n", "_u", "_p")
+    p = primary.select("qid", F.col("namespace").alias("_n"), text("source_url").alias("_u"), text("source_path").alias("_p"))
+    same, url, path = F.col("namespace") == F.col("_n"), F.col("source_url") == F.col("_u"), F.col("source_path") == F.col("_p")
+    # By what is set, so that each part joins on equalities alone.
+    parts = [("_u <> '' AND _p <> ''", same & url & path), ("_u <> '' AND _p = ''", same & url), ("_u = '' AND _p <> ''", same & path)]
+    joined = in_blocks(p, "qid", lambda block: reduce(DataFrame.unionByName, [chunks.join(F.broadcast(block.where(which)), on) for which, on in parts])).drop("_n", "_u", "_p")
     w = Window.partitionBy("qid").orderBy("chunk_index", "id")
     return joined.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")

@@ -1,17 +1,22 @@
 """The two stored tables: ids, upsert, summaries of documents.
 
-Tables are Parquet, partitioned by namespace. An upsert writes only the
-namespaces that the new rows touch.
+Tables are Parquet, partitioned by namespace and by a bucket of the id's hash. An
+upsert reads and writes only the buckets that the new rows touch.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text
+from ..tables import written
 
+#: Buckets of a namespace. A store keeps the number it was made with.
+BUCKETS = 64
 CHUNKS = (
     "id string, namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, chunk_total int, text string, embedding array<float>, score_hint double"
 )
@@ -60,8 +65,9 @@ def zero_vector_fallback(df: DataFrame, dims: int) -> DataFrame:
 
 
 def merge_by_id(existing: DataFrame, new: DataFrame, ident: str = "id") -> DataFrame:
-    """K1, K2, J8. New rows replace stored ones of the same id; of several new ones the first by value stays."""
-    first = new.dropDuplicates([ident])
+    """K1, K2, J8. New rows replace stored ones of the same id; of several new ones the least by value, column by column, stays."""
+    row = F.struct(*new.columns)
+    first = new.groupBy(F.col(ident).alias("_id")).agg(F.min(row).alias("_row")).select("_row.*")
     return existing.join(first.select(ident), ident, "left_anti").unionByName(first)
 
 
@@ -73,14 +79,17 @@ class Store:
 
     def init(self) -> None:
         for name, schema in (("chunks", CHUNKS), ("facts", FACTS)):
-            self.spark.createDataFrame([], schema).write.mode("append").partitionBy("namespace").parquet(f"{self.path}/{name}")
+            self._empty(schema).write.mode("append").partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
 
     def reset(self) -> None:
         for name, schema in (("chunks", CHUNKS), ("facts", FACTS)):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("namespace").parquet(f"{self.path}/{name}")
+            self._empty(schema).write.mode("overwrite").partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
+
+    def _empty(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], f"{schema}, bucket int")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}").select(*T.StructType.fromDDL(schema).names)
 
     def chunks(self) -> DataFrame:
         """S1."""
@@ -90,20 +99,28 @@ class Store:
         """S2."""
         return self._read("facts", FACTS)
 
-    def _upsert(self, name: str, old: DataFrame, new: DataFrame) -> None:
-        touched = [r[0] for r in new.select("namespace").distinct().collect()]
-        merged = merge_by_id(old.where(F.col("namespace").isin(touched)), new)
-        staged = f"{self.path}/_staged_{name}"
-        merged.write.mode("overwrite").partitionBy("namespace").parquet(staged)
+    def _upsert(self, name: str, new: DataFrame) -> None:
         schema = CHUNKS if name == "chunks" else FACTS
-        again = self.spark.read.schema(schema).parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(f"{self.path}/{name}")
+        bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+        new = new.withColumn("bucket", bucket)
+        # At most BUCKETS rows a namespace; literals, so that other partitions aren't read.
+        touched = new.select("namespace", "bucket").distinct().collect()
+        if not touched:
+            return
+        spaces: dict[str, list[int]] = {}
+        for r in touched:
+            spaces.setdefault(r["namespace"], []).append(r["bucket"])
+        meets = reduce(lambda a, b: a | b, [(F.col("namespace") == n) & F.col("bucket").isin(b) for n, b in spaces.items()])
+        stored = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}").where(meets)
+        # Written apart first, as what is read can't be overwritten; each upsert has a folder of its own.
+        again = written(merge_by_id(stored, new.select(*stored.columns)))
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
 
     def upsert_chunks(self, new: DataFrame) -> None:
-        self._upsert("chunks", self.chunks(), with_defaults(new, CHUNKS).withColumn("id", chunk_id()))
+        self._upsert("chunks", with_defaults(new, CHUNKS).withColumn("id", chunk_id()))
 
     def upsert_facts(self, new: DataFrame) -> None:
-        self._upsert("facts", self.facts(), with_defaults(new, FACTS).withColumn("id", fact_id()))
+        self._upsert("facts", with_defaults(new, FACTS).withColumn("id", fact_id()))
 
 
 def display_name(path: Column, kind: Column) -> Column:

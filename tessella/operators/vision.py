@@ -61,11 +61,17 @@ def join_meta(images: DataFrame, meta: DataFrame, order: str = "ord") -> DataFra
 
 
 def understand(images: DataFrame, caption: str = "caption_en") -> DataFrame:
-    """C13, A11. Type, relevance, keep flag and duplicates of captioned images; a duplicate takes the caption of the first."""
+    """C13, A11, J14. Type, relevance, keep flag and duplicates of captioned images; a duplicate takes all of these and the captions of the first."""
     df = images.withColumn("image_type", image_type(caption))
     df = add_relevance(df, "page_context", caption)
     df = df.withColumn("keep_for_rag", keep_image(F.col("relevance_score"), F.col("image_type")))
-    return mark_duplicates(df, "sha1", "path", "path")
+    marked = mark_duplicates(df, "sha1", "path", "path")
+    taken = [c for c in (caption, "caption_th", "image_type", "relevance_score", "keep_for_rag") if c in marked.columns]
+    # First rows that have duplicates, one row each, so that a hot one's duplicates can be split.
+    first = marked.where(~F.col("is_duplicate")).select(F.col("path").alias("_path"), F.struct(*taken).alias("_of"))
+    joined = marked.join(first, F.col("duplicate_of") == F.col("_path"), "left")
+    values = {c: F.when(F.col("is_duplicate"), F.col(f"_of.{c}")).otherwise(F.col(c)) for c in taken}
+    return joined.withColumns(values).select(*marked.columns)
 
 
 def caption_totals(df: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import articles, intent, scoring
-from ..functions.text import contains_any, text
+from ..functions import constants as C
+from ..functions.text import contains_any, let, match_text, text
 from ..operators import chunking, cleaning, rerank, retrieval
+from ..tables import once
 
 # Words that ask for a figure of a section, and for all trends at once.
 FIGURE_WORDS = ("เท่าไร", "เท่าไหร่", "ตัวเลข", "ช่วงเวลา", "%", "ปี")
@@ -36,18 +38,18 @@ def source_texts(rows: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def expand_primary(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+def expand_primary(ranked: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("qid", "id", "text")) -> DataFrame:
     """C3, A25, F24, P28. The best one or two matching sections of the primary source.
 
-    A question without a match keeps its ranked chunks, or for one article the source's first ten.
+    A question without a match keeps its ranked chunks, or for one article the source's first ten;
+    one without phrases keeps its ranked chunks.
     """
-    rows = source_rows(ranked, chunks).withColumn("_p", intent.query_phrases("question"))
-    rows = rows.withColumn("_m", F.size(scoring.phrase_matches(F.col("_p"), "text")))
-    hits = rows.where("_m > 0").withColumn("text", rerank.trim_to_section(F.col("text"), F.col("_p")))
-    hits = hits.withColumn("_m", F.size(scoring.phrase_matches(F.col("_p"), "text")))
+    rows = once(source_rows(ranked, chunks), _p=intent.query_phrases("question")).where(F.size("_p") > 0)
+    rows = once(rows, _m=F.size(scoring.phrase_matches(F.col("_p"), "text")))
+    hits = once(rows.where("_m > 0").drop("_m"), _t=rerank.trim_to_section(F.col("text"), F.col("_p"))).withColumn("text", F.col("_t")).drop("_t")
+    hits = once(hits, _m=F.size(scoring.phrase_matches(F.col("_p"), "text")))
     dated = F.col("text").rlike(r"(?<![\p{L}\p{N}_])20\d{2}(?![\p{L}\p{N}_])") | F.col("text").contains("%")
     score = F.col("_m") + F.when(intent.wants_number("question") & dated, 2).otherwise(0)
-    columns = ["qid", "id", "text"]
     best = rerank.best_of(hits, score, "qid", "chunk_index").select(*columns)
     rest = rows.join(hits.select("qid").distinct(), "qid", "left_anti")
     first = Window.partitionBy("qid").orderBy("chunk_index", "id")
@@ -60,7 +62,7 @@ def expand_primary(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 def numbered_items(sources: DataFrame) -> DataFrame:
     """C4, D12, A22, G9, F26. (qid, question, order, title, description): for each number the longest description, then title."""
     rows = sources.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
-    rows = rows.withColumn("_i", articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL").select("qid", "question", "_pos", "_i.*")
+    rows = once(rows, _i=articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL").select("qid", "question", "_pos", "_i.*")
     rows = cleaning.keep_first(rows, ["qid", "order", F.lower("title")], ["_pos"])
     wanted = intent.requested_list_count("question")
     rows = rows.where((wanted == 0) | F.col("order").between(F.lit(1), wanted))
@@ -87,30 +89,100 @@ def focus_answers(sources: DataFrame) -> DataFrame:
     """C6, A23, F28, F29. Lead and figure of the section that matches a question best, for one article or a detail."""
     asked = sources.where(~intent.requests_list("question") & (intent.prefers_single_article("question") | intent.requests_detail("question")))
     rows = asked.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
-    rows = rows.withColumn("_m", F.size(scoring.phrase_matches(intent.query_phrases("question"), "_s")))
+    rows = once(rows, _m=F.size(scoring.phrase_matches(intent.query_phrases("question"), "_s")))
     dated = F.col("_s").rlike(r"(?<![\p{L}\p{N}_])20\d{2}(?![\p{L}\p{N}_])") | F.col("_s").contains("%")
     bonus = F.when(intent.wants_number("question") & dated, 1).otherwise(0)
     best = _first_best(rows.where("_m > 0"), "qid", F.col("_s"), F.col("_m") + bonus, F.col("_m"), F.length("_s"))
-    best = best.withColumn("_i", articles.numbered_item(F.col("best"))).where("_i IS NOT NULL")
+    best = once(best, _i=articles.numbered_item(F.col("best"))).where("_i IS NOT NULL")
     lead = articles.section_lead(F.col("best"), F.col("_i.title"))
     said = F.when(lead != "", F.concat(F.lit("บทความระบุว่า "), F.col("_i.title"), F.lit(" คือ "), lead))
     figure = F.when(contains_any(text("question"), FIGURE_WORDS), F.nullif(articles.numeric_detail(F.col("best")), F.lit("")))
-    out = best.select("qid", F.concat_ws("\n", said, figure).alias("answer"))
-    return out.where("answer <> ''")
+    # One trend is told in words of its own.
+    pet = F.lower(F.col("_i.title")) == C.PET_PARENT
+    said = F.when(pet & (articles.definition_detail(F.col("best")) != ""), C.PET_PARENT_LINE).otherwise(said)
+    grown = F.when(pet & figure.isNotNull(), F.nullif(articles.growth_detail(F.col("best")), F.lit("")))
+    return once(best, answer=F.concat_ws("\n", said, F.coalesce(grown, figure))).select("qid", "answer").where("answer <> ''")
 
 
-def article_answers(sources: DataFrame) -> DataFrame:
-    """C5, A24, G15, F30, F31. Profile of the trend that matches a question best: lead, actions, figures, sources."""
+def trend_profiles(sources: DataFrame) -> DataFrame:
+    """G15, F30, F31. Each trend of a question's source with its lead, actions, figures, sources and match with the question."""
     rows = sources.where(~intent.requests_list("question")).select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
-    rows = rows.withColumn("_i", articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL")
-    rows = rows.withColumns({
-        "_lead": articles.section_lead(F.col("_s"), F.col("_i.title")),
-        "_actions": articles.business_actions(F.col("_s")),
-        "_stats": articles.stat_points(F.col("_s")),
-        "_sources": articles.source_names(F.col("_s")),
-    })
+    rows = once(rows, _i=articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL")
+    rows = once(
+        rows,
+        _lead=articles.section_lead(F.col("_s"), F.col("_i.title")),
+        _actions=articles.business_actions(F.col("_s")),
+        _stats=articles.stat_points(F.col("_s")),
+        _sources=articles.source_names(F.col("_s")),
+    )
     whole = F.concat_ws(" ", F.col("_i.title"), F.col("_lead"), F.array_join("_actions", " "), F.array_join("_stats", " "))
-    rows = rows.withColumn("_score", articles.profile_score(F.col("question"), whole, F.col("_i.title"), intent.query_phrases("question")))
+    return once(rows, _score=articles.profile_score(F.col("question"), whole, F.col("_i.title"), intent.query_phrases("question")))
+
+
+def article_answers(sources: DataFrame) -> DataFrame:
+    """C5, A24. Profile of the trend that matches a question best."""
+    rows = trend_profiles(sources)
     profile = F.struct(F.col("_i.title").alias("title"), F.col("_lead").alias("lead"), F.col("_actions").alias("actions"), F.col("_stats").alias("stats"), F.col("_sources").alias("sources"), "_score")
     best = _first_best(rows, "qid", profile, F.col("_score")).select("qid", "best.*")
     return best.where("_score > 0").withColumnRenamed("_score", "match_score")
+
+
+def article_texts(sources: DataFrame) -> DataFrame:
+    """C5. (qid, answer) for questions about an article's trends: impact and approaches of all, actions, role and figures of the best match,
+    figures of the whole article, or that the article doesn't say. Questions that ask for none of these have no row.
+    """
+    rows = trend_profiles(sources)
+    profile = F.struct(
+        F.col("_pos").alias("pos"), F.col("_i.order").alias("order"), F.col("_i.title").alias("title"), F.col("_lead").alias("lead"), F.col("_actions").alias("actions"),
+        F.col("_stats").alias("stats"), F.col("_sources").alias("sources"), F.col("_score").alias("score"), F.col("_s").alias("raw"),
+    )
+    found = rows.groupBy("qid", "question").agg(F.array_sort(F.collect_list(profile)).alias("_all"))
+    best = F.reduce("_all", F.get("_all", F.lit(0)), lambda a, p: F.when(p["score"] > a["score"], p).otherwise(a))
+    found = once(found, _best=best, _q=match_text("question"), _p=intent.query_phrases("question"))
+    asks = lambda words: contains_any(F.col("_q"), words)
+    lines = lambda items: F.array_join(items, "\n")
+    dashed = lambda items: F.transform(items, lambda x: F.concat(F.lit("- "), x))
+    head = lambda p: F.concat(p["order"].cast("string"), F.lit(". "), p["title"])
+    or_else = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+
+    impact = lines(
+        F.flatten(
+            F.transform(
+                "_all",
+                lambda p: F.array(
+                    head(p), F.concat(F.lit(C.CHANCE), or_else(p["lead"], C.CHANCE_NONE)), F.concat(F.lit(C.TO_DO), or_else(F.array_join(F.slice(p["actions"], 1, 2), "; "), C.TO_DO_NONE)), F.lit(C.RISK)
+                ),
+            )
+        )
+    )
+    approaches = lines(F.flatten(F.transform("_all", lambda p: F.concat(F.array(head(p)), dashed(p["actions"])))))
+    b = F.col("_best")
+    listed = lambda items: lines(F.concat(F.array(b["title"]), dashed(items)))
+    meant = F.filter(b["actions"], lambda a: let(match_text(a), lambda t: F.exists("_p", lambda p: (p != "") & t.contains(p))))
+    actions = F.when(F.size(b["actions"]) > 0, listed(let(meant, lambda m: F.when(F.size(m) > 0, m).otherwise(b["actions"]))))
+
+    title = match_text(b["title"])
+    filled = lambda c: F.nullif(c, F.lit(""))
+    pet = F.concat_ws(
+        "\n",
+        F.when((articles.definition_detail(b["raw"]) != "") | (b["lead"] != ""), C.PET_PARENT_LINE),
+        F.coalesce(filled(articles.growth_detail(b["raw"])), filled(articles.numeric_detail(b["raw"]))),
+    )
+    lead = F.when(title.contains("ai"), F.concat(F.lit(C.AI_LINE), b["lead"])).otherwise(F.concat(F.lit(C.LEAD_LINE), b["title"], F.lit(C.LEAD_IS), b["lead"]))
+    cited = lambda stat, sources, none: F.concat(stat, F.lit(" [source: "), F.when(F.size(sources) > 0, F.array_join(sources, ", ")).otherwise(none), F.lit("]"))
+    other = F.concat_ws("\n", F.when(b["lead"] != "", lead), filled(lines(F.transform(b["stats"], lambda x: cited(F.concat(F.lit("- "), x), b["sources"], C.THE_ARTICLE)))))
+    role = filled(F.when(title.contains(C.PET_PARENT), pet).otherwise(other))
+    figures = filled(
+        lines(F.flatten(F.transform("_all", lambda p: F.transform(p["stats"], lambda x: cited(F.concat(F.lit("- "), p["title"], F.lit(": "), x), p["sources"], C.NO_SOURCE_NAMED)))))
+    )
+    matched = b["score"] > 0
+    answer = F.coalesce(
+        F.when(asks(C.EACH_TREND) & asks(C.IMPACTS), impact),
+        F.when(asks(C.APPROACHES), approaches),
+        F.when(matched & asks(C.ASKS_ACTIONS), actions),
+        F.when(matched & (asks(C.ASKS_ROLE) | asks(C.ASKS_STATS)), role),
+        F.when(matched & asks(C.ASKS_LIST) & (F.size(b["actions"]) > 0), listed(b["actions"])),
+        F.when(~matched & asks(C.ARTICLE_FIGURES), figures),
+        F.when(~matched & (F.size("_p") > 0) & asks(C.ASKS_ARTICLE), C.NOT_IN_ARTICLE),
+    )
+    return once(found, answer=answer).select("qid", "answer").where("answer IS NOT NULL")

@@ -169,8 +169,10 @@ def structured_facts(spark, sf_dir):
 
 @query(
     "facts_answer",
-    f"""WITH {FACTS}, r AS (SELECT entity AS qid, *, row_number() OVER (PARTITION BY entity ORDER BY year, {FACT_ID}) AS r FROM facts WHERE key = 'quantity')
-    SELECT qid, string_agg('- ' || entity || ' ' || key || ': ' || value || ' ' || unit || ' (' || year || ')', chr(10) ORDER BY r) AS answer, count(*) AS n_facts FROM r WHERE r <= 25 GROUP BY qid""",
+    f"""WITH {FACTS}, r AS (SELECT entity AS qid, *, row_number() OVER (PARTITION BY entity, namespace ORDER BY year, {FACT_ID}) AS r FROM facts WHERE key = 'quantity'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE namespace WHEN 'internal' THEN 1 ELSE 2 END, r) AS n FROM r WHERE r <= 30)
+    SELECT qid, '{C.FACTS_HEADING}' || chr(10) || string_agg('- [' || namespace || '] ' || entity || ' | ' || key || ' = ' || value || ' ' || unit || ' (year=' || year || ') [source: ' || source_path || ' (page ' || page || ')]', chr(10) ORDER BY n) AS answer,
+      count(*) AS n_facts FROM f WHERE n <= 25 GROUP BY qid""",
 )
 def facts_answers(spark, sf_dir):
     """C7, O11, O12, F42."""
@@ -178,13 +180,13 @@ def facts_answers(spark, sf_dir):
     return facts_answer(rows)
 
 
-@query("upsert_chunks", f"WITH {CHUNKS}, old AS (SELECT id, namespace, text FROM chunks WHERE id % 2 = 0), new AS (SELECT id, 'external' AS namespace, text || '!' AS text FROM chunks WHERE id % 3 = 0) "
+@query("upsert_chunks", f"WITH {CHUNKS}, old AS (SELECT id, namespace, text FROM chunks WHERE id % 3 <> 2), new AS (SELECT id, 'external' AS namespace, text || '!' AS text FROM chunks WHERE id % 3 <> 1) "
     "SELECT namespace, count(*) AS n, sum(length(text)) AS chars, min(sha1(text)) AS first FROM (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new) GROUP BY namespace")
 def upsert_chunks(spark, sf_dir):
-    """K1, J8."""
+    """Of all rows a third is kept, a third replaced and a third new."""
     all_ = chunks(spark, sf_dir).select("id", "namespace", "text")
-    new = all_.where("id % 3 = 0").select("id", F.lit("external").alias("namespace"), F.concat("text", F.lit("!")).alias("text"))
-    merged = store.merge_by_id(all_.where("id % 2 = 0"), new)
+    new = all_.where("id % 3 <> 1").select("id", F.lit("external").alias("namespace"), F.concat("text", F.lit("!")).alias("text"))
+    merged = store.merge_by_id(all_.where("id % 3 <> 2"), new)
     return merged.groupBy("namespace").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.sha1("text")).alias("first"))
 
 

@@ -62,10 +62,10 @@ def lang_hint(spark, sf_dir):
     "search_terms",
     rf"""SELECT doc_id, len(t) AS n_terms, sha1(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
       lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), lambda x: NOT list_contains([{quoted(C.SEARCH_STOPWORDS)}], x)) AS t
-      FROM (SELECT doc_id, regexp_extract_all(lower(left(text, 2000)), '[\p{{L}}\p{{N}}_\x{{0E00}}-\x{{0E7F}}]{{2,}}') AS w FROM documents))""",
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_\x{{0E00}}-\x{{0E7F}}]{{2,}}') AS w FROM documents))""",
 )
 def search_terms(spark, sf_dir):
-    """F6, D11, of the whole text. The SQL takes the first 2000 characters alone and differs on longer texts."""
+    """F6, D11."""
     t = X.search_terms("text")
     return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.sha1(F.array_join("t", " ")).alias("digest"))
 
@@ -166,12 +166,12 @@ NUMBERED = "array_to_string(list_transform(list_zip(l, range(1, len(l) + 1)), la
 @query(
     "numbered_sections",
     r"""SELECT doc_id, x[2] AS number, trim(x[1]) AS title FROM (SELECT doc_id, unnest(list_zip(l, range(1, len(l) + 1))) AS x FROM (
-      SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1:99] AS l FROM documents)) WHERE length(trim(x[1])) <= 180""",
+      SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents)) WHERE length(trim(x[1])) <= 180""",
 )
 def numbered_sections(spark, sf_dir):
     """G8, G10, P25. The lines of a text, numbered up to 99 in each block, split into their sections again.
 
-    Numbers go on through the blocks; the SQL has the first block alone.
+    Numbers go on through the blocks.
     """
     solid = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda s: s != "")
     df = documents(spark, sf_dir).select("doc_id", F.posexplode(blocks(solid, 99)).alias("_b", "_l"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import models
+from tessella.functions import constants as C
 from tessella.functions.constants import LOG_ENTRIES
 from tessella.operators import cleaning, evaluation, facts, rerank, retrieval, store, summaries, vision
 from tessella.plans import pipelines
@@ -176,6 +177,130 @@ def test_models_are_deterministic(spark):
 
     assert df.select(models.call(broken, "text", "?").alias("o")).first().o == "?"
 
+    def picky(inputs):
+        return [{"hello world": "hi"}[x] for x in inputs]
+
+    got = {r.text: r.c for r in df.coalesce(1).select("text", models.call_checked(picky, "text").alias("c")).collect()}
+    assert got["hello world"].output == "hi" and got["hello world"].error is None
+    assert got[""].output is None and got[""].error.startswith("KeyError")
+
+
+def test_duplicate_images_take_what_the_first_has(spark):
+    rows = [("/a", "x", "a chart of sales", "sales chart text"), ("/b", "x", "", "nothing"), ("/c", "y", "", "z"), ("/d", "x", "other words", "z"), ("/e", None, "lone", "z")]
+    out = {r.path: r for r in vision.understand(spark.createDataFrame(rows, "path string, sha1 string, caption_en string, page_context string")).collect()}
+    for p in ("/b", "/d"):
+        assert out[p].is_duplicate and out[p].duplicate_of == "/a"
+        assert [out[p][c] for c in ("caption_en", "image_type", "relevance_score", "keep_for_rag")] == [out["/a"][c] for c in ("caption_en", "image_type", "relevance_score", "keep_for_rag")]
+    assert out["/a"].caption_en == "a chart of sales" and out["/c"].caption_en == "" and len(out) == 5
+    assert vision.caption_totals(spark.createDataFrame(list(out.values()))).first().asDict() == {"total": 5, "captioned": 4, "duplicates": 2, "kept": sum(r.keep_for_rag for r in out.values())}
+
+
+def test_captions_of_images(spark):
+    df = spark.createDataFrame([(" alt ", None, "near\n text " + "x" * 400, "a cap", "ท", "chart", "u")], "alt_text string, title_text string, nearby_text string, caption_en string, caption_th string, image_type string, source_url string")
+    r = df.select(vision.fallback_caption().alias("f"), vision.caption_text().alias("c")).first()
+    assert r.f.startswith("alt near text xxx") and len(r.f) == 300
+    assert r.c == "caption_en: a cap\ncaption_th: ท\nimage_type: chart\nsource_url: u"
+
+
+def test_merge_takes_the_least_of_several_new_rows(spark):
+    old = spark.createDataFrame([(1, "old"), (2, "kept")], "id int, text string")
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (3, "z"), (3, None), (1, "c")], "id int, text string").repartition(3)
+    assert sorted(store.merge_by_id(old, new).collect(), key=repr) == sorted([(1, "a"), (2, "kept"), (3, None)], key=repr)
+
+
+def test_upserts_rewrite_only_what_they_touch(spark, tmp_path):
+    import os
+
+    s = store.Store(spark, str(tmp_path / "store"))
+    s.init()
+    chunk = lambda n, i, t: (n, "web_page", "u", "p", 0, i, 9, t)
+    schema = "namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, chunk_total int, text string"
+    s.upsert_chunks(spark.createDataFrame([chunk(n, i, f"text {i}") for n in ("a", "b") for i in range(1, 200)], schema))
+    files = lambda: {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "store/chunks").rglob("*.parquet"))}
+    before = files()
+    s.upsert_chunks(spark.createDataFrame([chunk("a", 5, "text 5"), chunk("a", 1000, "new")], schema))
+    after = files()
+    assert s.chunks().count() == 2 * 199 + 1 and len(before.keys() - after.keys()) <= 2 < len(before)
+    s.upsert_chunks(spark.createDataFrame([], schema))
+    assert files() == after
+
+
+def test_answer_lines_of_facts(spark):
+    rows = [
+        (1, "external", "E", "revenue", "9", "", 2020, "/x", 0, "i1"), (1, "internal", "B", "revenue", "5", "USD", 2021, "/y", 3, "i2"), (1, "internal", "A", "revenue", "7", "USD", None, "/y", None, "i3"),
+        (2, "internal", "T", "numbered_section_title", "second", "", 2, "/z", 0, "i4"), (2, "external", "T", "numbered_section_title", "first", "", 1, "/z", 0, "i5"),
+    ]
+    df = spark.createDataFrame(rows, "qid int, namespace string, entity string, key string, value string, unit string, year int, source_path string, page int, id string")
+    got = {r.qid: r.answer.split("\n") for r in facts.facts_answer(df).collect()}
+    assert got[1][1:] == ["", "- [internal] A | revenue = 7 USD (year=0) [source: /y]", "- [internal] B | revenue = 5 USD (year=2021) [source: /y (page 3)]", "- [external] E | revenue = 9  (year=2020) [source: /x]"]
+    assert got[2] == ["1. first", "2. second"]
+    many = df.where("id = 'i2'").drop("id").crossJoin(spark.range(40).select(F.format_string("%03d", "id").alias("id")))
+    got = facts.facts_answer(many.unionByName(df.where("id = 'i1'"))).first()
+    assert got.n_facts == 25 and "[external]" not in got.answer  # thirty of a namespace, then twenty-five of all
+
+
+def test_questions_are_dispatched(spark):
+    """Each kind of question is answered by what is made for it, and only the rest by the generator."""
+    article = "1. Pet Parent สัตว์เลี้ยงยังคงเป็นส่วนหนึ่งของครอบครัว แนวทางธุรกิจ สร้างสินค้าให้สัตว์เลี้ยงทุกชนิดในบ้าน 2. Clean Energy ความต้องการลดคาร์บอน 40% ภายในปี 2030 3. Silver Age ผู้สูงอายุในยุคนี้ใช้จ่ายมาก"
+    chunks = [(f"c{i}", n, "web_page", f"https://{n}.example.com", f"/{n}/content.txt", 0, i, t) for n, texts in (("internal", [article, "Plain words about the weather in the hills. More of it."]), ("external", ["Trains run late in winter. Snow falls."])) for i, t in enumerate(texts)]
+    chunks = [(f"{c[1]}{c[0]}", *c[1:]) for c in chunks]
+    c = spark.createDataFrame(chunks, "id string, namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, text string")
+    questions = [
+        (1, "revenue of the firm"), (2, "3 trends เทรนด์ มีอะไรบ้าง Pet Parent Clean Energy"), (3, "ในบทความ Clean Energy คืออะไร"),
+        (4, "Trains run late in winter"), (5, "profit of the firm"), (6, ""),
+    ]
+    q = spark.createDataFrame(questions, "qid int, question string")
+    f = spark.createDataFrame([("internal", "Firm", "revenue", "12", "USD", 2020, "/r", 0, "", "f1")], "namespace string, entity string, key string, value string, unit string, year int, source_path string, page int, evidence_text string, id string")
+
+    def generate(prompts):
+        if any("Trains run late" in p.split("\n")[0] for p in prompts):
+            return [p.split("\n")[0] for p in prompts]
+        raise RuntimeError("no answer")
+
+    raw = spark.createDataFrame([("/internal/content.txt", article)], "path string, text string")
+    got = {r.qid: r for r in pipelines.ask(c, q, models.hash_embedding(16), generate, k=3, facts=f, raw=raw).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5, 6}
+    assert (got[1].answered_by, got[1].route) == ("facts", "structured_rag") and got[1].answer.endswith("- [internal] Firm | revenue = 12 USD (year=2020) [source: /r]")
+    assert got[2].answered_by == "list" and got[2].answer.startswith("1. Pet Parent")
+    assert got[3].answered_by == "article" and "Clean Energy" in got[3].answer
+    assert got[4].answered_by in ("generator", "article") and got[4].route == "semantic_rag"
+    assert got[5].answered_by in ("generator", "nothing") or got[5].answered_by == "article"
+    assert got[6].answered_by == "nothing" and got[6].answer == C.NOTHING_FOUND % "no search"
+    results = spark.createDataFrame([(6, 1, "T", "u", "Found text.")], "qid int, ord int, title string, url string, content string")
+    got = {r.qid: r for r in pipelines.ask(c, q.where("qid = 6"), models.hash_embedding(16), generate, k=3, search=results).collect()}
+    assert got[6].route == C.SEARCH_ROUTE and got[6].answer.startswith(C.SEARCH_WITHOUT_MODEL) and "no answer" in got[6].error
+
+
+def test_answers_about_an_article(spark):
+    text = (
+        "1. Pet Parent สัตว์เลี้ยงจะยังคงเป็นส่วนหนึ่งของครอบครัว และมีแนวโน้มดี CAGR 8% ตั้งแต่ปี 2024 ถึง 2030 แนวทางธุรกิจ สร้างสินค้าให้สัตว์เลี้ยงทุกชนิดในบ้านนี้ พัฒนาบริการดูแลสัตว์เลี้ยงที่บ้านทั่วไทย "
+        "2. Clean Energy ความต้องการลดคาร์บอน ลดลง 40% ภายในปี 2030 Visa แนวทางธุรกิจ ลงทุนในแผงโซลาร์บนหลังคาบ้านทุกหลัง"
+    )
+    ask_ = ["แต่ละเทรนด์ มีโอกาส อะไร", "ขอ แนวทางธุรกิจ แบบ bullet", "Clean Energy ควรทำอะไร", "Pet Parent สัตว์เลี้ยง คืออะไร", "ตัวเลข ที่สำคัญ", "บทความ พูดถึง Deep Sea Mining ไหม", "hello"]
+    df = spark.createDataFrame([(i, t, text) for i, t in enumerate(ask_)], "qid int, question string, source_text string")
+    from tessella.plans import answers
+
+    got = {r.qid: r.answer.split("\n") for r in answers.article_texts(df).collect()}
+    assert len(got[0]) == 8 and got[0][0] == "1. Pet Parent" and got[0][3] == got[0][7] == C.RISK and got[0][2].startswith(C.TO_DO + "สร้าง")
+    assert got[1][0] == "1. Pet Parent" and got[1].count("2. Clean Energy") == 1 and all(x.startswith("- ") for x in got[1] if "." not in x)
+    assert got[2][0] == "Clean Energy" and got[2][1].startswith("- ลงทุน")
+    assert got[3][0] == C.PET_PARENT_LINE and "8%" in got[3][1]
+    assert any(x.startswith("- Clean Energy: 40% ") for x in got[4]) and any("[source: " in x for x in got[4])
+    assert got[5] == [C.NOT_IN_ARTICLE] and 6 not in got
+
+
+def test_evaluation_of_facts_and_answers(spark):
+    c = spark.createDataFrame([(f"c{i}", "internal", "web_page", "u", "/p", 0, i, t) for i, t in enumerate(["revenue was high this year", "cats sleep all day long"])], "id string, namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, text string")
+    f = spark.createDataFrame([("internal", "Firm", "revenue", "12", "USD", 2020, "/r", 0, "revenue was 12", "f1"), ("internal", "Firm", "revenue", "13", "USD", 2021, "/r", 0, "", "f2")], "namespace string, entity string, key string, value string, unit string, year int, source_path string, page int, evidence_text string, id string")
+    q = spark.createDataFrame([(1, "revenue of the firm", ["revenue was"]), (2, "cats sleep", ["cats"])], "qid int, question string, patterns array<string>")
+    rows = {r.qid: r for r in pipelines.run_eval(c, q, models.hash_embedding(16), models.extractive_generator, k=2, facts=f, namespace="internal").collect()}
+    assert rows[1].structured_precision_at_k == 0.5 and rows[1].structured_recall_at_k == 1.0 and rows[1].answer_route == "structured_rag"
+    assert rows[2].structured_total_relevant == 0 and rows[2].answer_route == "semantic_rag"
+    for r in rows.values():
+        assert r.retrieval_delta == round(r.precision_at_k - r.structured_precision_at_k, 4)
+    means = evaluation.eval_summary(spark.createDataFrame(list(rows.values())).drop("qid")).first()
+    assert means.rows == 2 and means.mean_structured_precision_at_k == 0.25
+
 
 def test_ingest_facts(spark):
     text = "In the last year the company reported well. Revenue was 1,200 and profit is 300 by all accounts that were seen, " * 2
