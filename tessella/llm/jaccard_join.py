@@ -352,13 +352,13 @@ def join_similar(df: DataFrame, threshold: float = THRESHOLD, recall: float = TA
     # Blocks: a node of n members is compared as all pairs of its ceil(n / limit) blocks.
     n_blocks = F.ceil(F.col("size") / limit).cast("int")
     n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Pairs of blocks of one node go to one task after the other, so that a large node spreads evenly.
-    slot = F.pmod(F.pmod(F.xxhash64("node"), F.lit(n_parts)) + F.col("a").cast("long") * F.col("g") + F.col("b"), F.lit(n_parts)).cast("int")
+    # Pairs of blocks of one node, counted along the triangle, go to one task after the other, so that a large node spreads evenly.
+    slot = F.pmod(F.pmod(F.xxhash64("node"), F.lit(n_parts)) + F.expr("CAST(b AS BIGINT) * (b + 1) DIV 2 + a"), F.lit(n_parts)).cast("int")
     dealt = (
         leaves.withColumn("g", n_blocks)
         .withColumn("own", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("g")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("set_key", "node", "g", "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
+        .select("set_key", "node", "own", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
         .withColumn("slot", slot)
     )
     compared = (
