@@ -4,7 +4,7 @@
 2. The vectors of the labelled training rows are standardised and mapped to
    random Fourier features, which approximate a Gaussian kernel. Each partition
    sums its share of the normal equations; ``FAN_IN`` sums meet in a task, and so on
-   until few are left, which meet on the driver. Their size depends on the number of
+   until one is left, which goes to the driver. Its size depends on the number of
    features alone.
 3. Ridge scores are calibrated by isotonic regression over a histogram of fixed
    size, and every text is scored.
@@ -207,12 +207,12 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", n_featur
     parts = train.mapInArrow(lambda it: _equations(it, features), "s array<double>")
     sums = materialise(parts)
     n = sums.count()
-    while n > FAN_IN:
+    while n > 1:
         n = -(-n // FAN_IN)
         added = materialise(sums.repartition(n).mapInArrow(_add, "s array<double>"))
         release(sums)
         sums = added
-    total = np.sum([np.asarray(r.s) for r in sums.collect()], axis=0)  # at most FAN_IN rows
+    total = np.sum([np.asarray(r.s) for r in sums.collect()], axis=0)  # one row
     release(sums)
     k = n_features + 1
     a, b = total[: k * k].reshape(k, k), total[k * k :]
