@@ -5,24 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage in ``spark.checkpoint.dir``, so that several readers share one computation and a lost executor costs little.
-
-    Where that is unset a local folder serves, but only if all runs in one process.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is unset a local one, but only if all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder}/tessella-{uuid.uuid4().hex}"
+    return f"{folder}/tessella-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage in a folder of ``scratch``, so that several readers share one computation and a lost executor costs little."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
