@@ -16,7 +16,7 @@ from .retrieval_queries import CHUNKS, FACTS, chunks, facts
     "stored_chunks",
     f"""WITH {CHUNKS}, s AS (SELECT namespace, source_type, source_url, source_path, page, chunk_index, text FROM chunks UNION SELECT namespace, source_type, source_url, source_path, page, chunk_index, text || '!' FROM chunks WHERE id % 3 = 0)
     SELECT sha1(namespace || '|' || source_type || '|' || source_url || '|' || source_path || '|' || page || '|' || greatest(chunk_index, 1) || '|' || text) AS id, namespace, source_path, page, greatest(chunk_index, 1)::INT AS chunk_index, 1 AS chunk_total,
-      length(text) AS n_chars FROM s""",
+      length(text)::INT AS n_chars FROM s""",
 )
 def stored_chunks(spark, sf_dir):
     """A store takes all chunks, and a third again with another text and the rest as they are."""
@@ -64,7 +64,7 @@ def json_array(spark, sf_dir):
     return readers.json_file(spark, path, readers.EVAL_ROWS)
 
 
-@query("text_files", "SELECT n_nationkey AS k, n_name || chr(10) || n_regionkey || chr(10) AS text, length(n_name || n_regionkey) + 2 AS bytes FROM nation")
+@query("text_files", "SELECT n_nationkey::INT AS k, n_name || chr(10) || n_regionkey || chr(10) AS text, length(n_name || n_regionkey) + 2 AS bytes FROM nation")
 def text_files(spark, sf_dir):
     """A file a nation, as a whole text and as bytes."""
     path = scratch(spark)

