@@ -16,7 +16,7 @@ from .quality_rules import apply_quality_rules
 from .secret_scan import scan_secrets
 from .sentencepiece import encode
 from .shared import table
-from .sharding import shard_by_bytes
+from .sharding import md5_key, shard_by_bytes
 from .suffix_dedup import repeated_passages
 
 
@@ -44,7 +44,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+    out = shard_by_bytes(table(spark, sf_dir, "documents"), 8, key=md5_key)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

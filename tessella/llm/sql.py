@@ -108,6 +108,26 @@ FROM docs LEFT JOIN by_doc USING (uid)
 """
 
 
+def sharding_sql(n: int = 8, slack: float = 0.1) -> str:
+    """CRC-32 byte by byte, sums in the order of (key, id), cuts, and small groups whole."""
+    at = lambda x: f"least(floor({x} * {n} / total), {n - 1})::INT"
+    return rf"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),
+bytes AS (SELECT *, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM d),
+keyed AS (
+  SELECT uid, doc_id, len(b) + 1 AS size, xor(list_reduce(b, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) AS text_crc32, ('0x' || substr(md5(text), 1, 15))::BIGINT AS k
+  FROM bytes, crc
+), summed AS (
+  SELECT *, sum(size) OVER w - size AS prefix, row_number() OVER w AS place, sum(size) OVER () AS total FROM keyed WINDOW w AS (ORDER BY k, doc_id NULLS FIRST, size, uid)
+), cut AS (SELECT *, {at("prefix")} AS s FROM summed),
+grouped AS (SELECT *, min(s) OVER g AS lo, max(s) OVER g AS hi, min(prefix) OVER g AS first, sum(size) OVER g AS group_size FROM cut WINDOW g AS (PARTITION BY k)),
+placed AS (SELECT *, CASE WHEN lo < hi AND group_size <= {slack} * total / {n} THEN {at("(first + group_size / 2)")} ELSE s END AS shard FROM grouped)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM placed
+"""
+
+
 def suffix_dedup_sql(n: int = MIN_WORDS) -> str:
     """All windows of n words, counted; the union of those that occur twice."""
     return rf"""
@@ -175,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_suffix_dedup": suffix_dedup_sql(),
         "op3_jaccard_join": jaccard_join_sql(),
         "op4_decontamination": decontamination_sql(),
+        "op6_sharding": sharding_sql(),
         "op8_quality_rules": quality_rules_sql(),
         "op9_license_scan": license_scan_sql(),
     }
