@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.constants import CHUNK_CHARS, CHUNK_OVERLAP, EMBED_CHARS, EMBED_OVERLAP, MIN_CHUNK_CHARS, TOPIC_SIMILARITY
 from ..functions.text import collapse_space, let, normalize_text, strip, text
+from ..tables import once
 
 
 def no_strings() -> Column:
@@ -112,7 +113,6 @@ def chunk_text(df: DataFrame, c: str = "text", out: str = "chunks", size: int =
 
 def merge_short(chunks: Column, least: int = MIN_CHUNK_CHARS) -> Column:
     """W4. A chunk shorter than ``least`` joins the one before it; the first stays."""
-    n = F.size(chunks)
     start = F.struct(no_strings().alias("out"), F.lit(None).cast("string").alias("buf"))
 
     def step(a: Column, p: Column) -> Column:
@@ -122,7 +122,7 @@ def merge_short(chunks: Column, least: int = MIN_CHUNK_CHARS) -> Column:
             .otherwise(F.struct(F.concat(a["out"], F.array(a["buf"])).alias("out"), p.alias("buf")))
         )
 
-    return F.when(n == 0, chunks).otherwise(F.aggregate(chunks, start, step, lambda a: F.when(a["buf"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"])))))
+    return F.aggregate(chunks, start, step, lambda a: F.when(a["buf"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"]))))
 
 
 def fallback_chunks(c: Column | str, target: int = CHUNK_CHARS, least: int = MIN_CHUNK_CHARS) -> Column:
@@ -134,7 +134,7 @@ def fallback_chunks(c: Column | str, target: int = CHUNK_CHARS, least: int = MIN
 def explode_chunks(df: DataFrame, chunks: Column | str = "chunks", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """W1. One row a chunk with chunk_index from 1 and chunk_total."""
     c = F.col(chunks) if isinstance(chunks, str) else chunks
-    rows = df.select(*keep, F.size(c).alias("chunk_total"), F.posexplode(c).alias("_p", "text"))
+    rows = once(df, _c=c).select(*keep, F.size("_c").alias("chunk_total"), F.posexplode("_c").alias("_p", "text"))
     return rows.select(*keep, (F.col("_p") + 1).alias("chunk_index"), "chunk_total", "text")
 
 

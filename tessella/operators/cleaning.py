@@ -14,7 +14,7 @@ from ..functions.constants import (
     IGNORED_IMAGES,
     LATE_WEB_SIGNALS,
 )
-from ..functions.text import collapse_space, contains_any, match_text, nfkc, strip, text
+from ..functions.text import collapse_space, contains_any, let, match_text, nfkc, strip, text
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -45,7 +45,10 @@ def is_boilerplate_line(line: Column) -> Column:
     """P9. A boilerplate word, or six and more words that are mostly short."""
     words = F.split(line, r"(?U)\s+")
     short = F.size(F.filter(words, lambda w: F.length(w) <= 4))
-    known = reduce(lambda a, b: a | b, [line.rlike(_line_pattern(f)) for f in BOILERPLATE_LINES])
+    # The patterns are only tried where a word stands somewhere; letters that they take for i, s and k are replaced first.
+    folded = F.lower(F.translate(line, "İıſ\u212a", "iisk"))
+    some = let(folded, lambda x: contains_any(x, tuple(w for f in BOILERPLATE_LINES for w in f)))
+    known = some & reduce(lambda a, b: a | b, [line.rlike(_line_pattern(f)) for f in BOILERPLATE_LINES])
     return known | ((F.size(words) >= 6) & (short / F.size(words) > 0.65))
 
 

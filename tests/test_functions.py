@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import articles, html, intent, scoring
+from tessella.functions import constants as C
 from tessella.functions import text as X
 from tessella.operators import chunking, cleaning, rerank
 
@@ -192,3 +193,16 @@ def test_html():
 def test_redirects(spark):
     assert one(spark, "/url?sa=t&q=https%3A%2F%2Fa.org%2Fb&x=1", html.unwrap_redirect("t")) == "https://a.org/b"
     assert one(spark, "https://a.org", html.unwrap_redirect("t")) == "https://a.org"
+
+
+def test_lines_are_told_by_their_patterns_alone(spark):
+    """What is tried before the patterns loses no line that they match, whatever its letters."""
+    from functools import reduce
+
+    words = [w for f in C.BOILERPLATE_LINES for w in f]
+    odd = str.maketrans({"i": "İ", "s": "ſ", "k": "K"})
+    lines = [f"a {v} b" for w in words for v in (w, w.upper(), w.title(), w.translate(odd), w.upper().translate(str.maketrans("I", "ı")), f"x{w}x", w[:-1])]
+    lines += ["", "plain words", "COOKİE"]
+    known = reduce(lambda a, b: a | b, [F.col("x").rlike(cleaning._line_pattern(f)) for f in C.BOILERPLATE_LINES])
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", known.alias("known"), cleaning.is_boilerplate_line(F.col("x")).alias("got")).collect()
+    assert all(r.known == r.got for r in rows) and sum(r.known for r in rows) > 3 * len(words)
