@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
+from .embedding_dedup import link_vectors
 from .html_extract import extract_pages
 from .jaccard_join import join_similar
 from .license_scan import scan_licenses
@@ -17,7 +18,9 @@ from .secret_scan import scan_secrets
 from .sentencepiece import encode
 from .shared import table
 from .sharding import md5_key, shard_by_bytes
+from .spelling_variants import group_variants
 from .suffix_dedup import repeated_passages
+from .vector_codes import compress_vectors
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -81,4 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_license_scan": op9_license_scan,
         "op10_secret_scan": op10_secret_scan,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_spelling_variants": op13_spelling_variants,
     }
