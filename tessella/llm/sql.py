@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import AGREEMENT, SPAN
+from .embedding_dedup import THRESHOLD as COSINE
 from .jaccard_join import THRESHOLD
 from .license_scan import TEMPLATES, bigrams_of
 from .quality_rules import BOILERPLATE, QualityRules
+from .spelling_variants import MIN_COUNT, MIN_LENGTH, RATIO, TYPO_RATE
 from .suffix_dedup import MIN_WORDS
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -190,6 +193,83 @@ FROM best b JOIN d USING (uid) JOIN i USING (iid) JOIN dw a ON a.uid = b.uid AND
 """
 
 
+_WHOLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def vector_codes_sql() -> str:
+    """Every distance of every round; sums are exact, as they stay below 2^53."""
+    squared = "list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y)"
+    rounds = ""
+    for i in range(ROUNDS + 1):
+        rounds += f"""
+, a{i} AS (
+  SELECT uid, p, e, {squared} AS d, x FROM parts JOIN b{i} USING (p) QUALIFY row_number() OVER (PARTITION BY uid, p ORDER BY d, e) = 1
+)"""
+        if i < ROUNDS:
+            rounds += f""", m{i} AS (
+  SELECT p, e, list(floor(s / n) ORDER BY k) AS y FROM (SELECT p, e, k, sum(c) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS c, unnest(range(len(x))) AS k FROM a{i}) GROUP BY ALL) GROUP BY ALL
+), b{i + 1} AS (SELECT p, e, coalesce(m{i}.y, b{i}.y) AS y FROM b{i} LEFT JOIN m{i} USING (p, e))"""
+    return rf"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS uid, vec_id, label, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)) AS v FROM embeddings WHERE {_WHOLE}
+), parts AS (
+  SELECT uid, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS x FROM kept, range({PARTS}) r(p)
+), b0 AS (SELECT p, uid AS e, x AS y FROM parts WHERE uid < {ENTRIES}){rounds},
+books AS (SELECT sha256(string_agg(c::BIGINT, ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM (SELECT p, e, unnest(y) AS c, unnest(range(len(y))) AS k FROM b{ROUNDS})),
+coded AS (SELECT uid, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY uid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (uid), books
+"""
+
+
+def embedding_dedup_sql(threshold: float = COSINE) -> str:
+    """All pairs of a label, and the closure of the links."""
+    return rf"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS uid, vec_id, label, embedding::DOUBLE[] AS x, label IS NOT NULL AND {_WHOLE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0 AS good FROM embeddings
+), links AS (
+  SELECT a.uid AS a, b.uid AS b FROM v a JOIN v b ON a.label = b.label AND a.uid <> b.uid
+  WHERE a.good AND b.good AND CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= {threshold} ELSE false END
+), reach(a, b) AS (
+  SELECT uid, uid FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), components AS (SELECT r.a AS uid, min(vec_id) AS component_id FROM reach r JOIN v ON v.uid = r.b GROUP BY r.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.uid) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN components USING (uid)
+"""
+
+
+def spelling_variants_sql() -> str:
+    """CRC-32 byte by byte, words without each of their code points joined, and paths of forms."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{upper}', '{lower}') AS run FROM documents
+), counted AS (
+  SELECT run, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes, count(*) AS n
+  FROM runs WHERE len(run) >= {MIN_LENGTH} GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) AS h FROM counted, crc
+), typed AS (
+  SELECT CASE WHEN h % {TYPO_RATE} = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM typed WHERE len(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT}
+), deleted AS (
+  SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)
+), inserted AS (SELECT DISTINCT d.word AS long, w.word AS short, d.n AS long_n, w.n AS short_n FROM deleted d JOIN words w ON w.word = d.rest),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM deleted a JOIN deleted b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT long, short, short_n FROM inserted UNION ALL SELECT short, long, long_n FROM inserted
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS other_n, min(other) FILTER (other_n = top) AS other FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {RATIO} * n THEN other END AS form, CASE WHEN other_n >= {RATIO} * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+), path(word, goal) AS (
+  SELECT word, word FROM formed UNION ALL SELECT p.word, f.form FROM path p JOIN formed f ON f.word = p.goal WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.goal AS root, f.n, f.n_near, f.form_n FROM formed f JOIN path p USING (word) JOIN formed ending ON ending.word = p.goal WHERE ending.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_suffix_dedup": suffix_dedup_sql(),
@@ -198,4 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": sharding_sql(),
         "op8_quality_rules": quality_rules_sql(),
         "op9_license_scan": license_scan_sql(),
+        "op11_vector_codes": vector_codes_sql(),
+        "op12_embedding_dedup": embedding_dedup_sql(),
+        "op13_spelling_variants": spelling_variants_sql(),
     }
