@@ -103,6 +103,35 @@ def job_status(events: DataFrame, job_id: str | None = None, job: str = "job_id"
     return latest.withColumn("terminal", F.col("stage").isin(*TERMINAL_STAGES))
 
 
+def status_entries(events: DataFrame, job: str, order: list[str], extra: str, fixed: tuple[str, ...] = ("stage", "message")) -> DataFrame:
+    """What each status event sets: job, order, key and value; a key of ``extra`` wins over a fixed one of the same event."""
+    own = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*[F.col(c).cast("string") for c in fixed])), lambda k, v: ~F.map_contains_key(F.coalesce(extra, F.create_map().cast("map<string,string>")), k))
+    entries = F.concat(F.map_entries(own), F.coalesce(F.map_entries(extra), F.array().cast("array<struct<key:string,value:string>>")))
+    return events.select(job, *order, F.inline(entries))
+
+
+def merged_status(events: DataFrame, job: str = "job_id", order: list[str] | None = None, extra: str = "extra", reset: str = "reset") -> DataFrame:
+    """T-1. The status of each job as a map of all keys that its events have set: of each key the latest value.
+
+    ``order`` names the columns that order events (time, then what breaks ties).
+    An event whose ``reset`` is true begins the job anew: keys that were set before
+    it are gone. Each key's latest value is an aggregate that is partial before the
+    shuffle, so a hot job costs a row a key and task; a job's keys then meet.
+    Null jobs are a job. A key that is set to null stays, with null.
+    """
+    order = order or ["updated_at"]
+    rank = F.struct(*order)
+    latest = status_entries(events, job, order, extra).groupBy(job, "key").agg(F.max_by("value", rank).alias("value"), F.max(rank).alias("_o"))
+    # The job itself is a row too, so that resets and times arrive in the same exchange.
+    seen = events.groupBy(job).agg(F.max(rank).alias("_o"), F.max(F.when(F.col(reset), rank)).alias("_r"))
+    rows = latest.select(job, F.struct("key", "value", "_o").alias("_e"), F.lit(None).cast(seen.schema["_r"].dataType).alias("_r"), "_o").unionByName(seen.select(job, F.lit(None).cast(latest.select(F.struct("key", "value", "_o").alias("e")).schema["e"].dataType).alias("_e"), "_r", "_o"))
+    by_job = rows.groupBy(job).agg(F.collect_list("_e").alias("_e"), F.max("_r").alias("_r"), F.max("_o").alias("_o"))
+    kept = F.filter("_e", lambda e: F.col("_r").isNull() | (e["_o"] >= F.col("_r")))
+    status = F.map_from_entries(F.transform(F.array_sort(kept), lambda e: F.struct(e["key"], e["value"])))
+    out = by_job.select(job, status.alias("status"), F.col(f"_o.{order[0]}").alias(order[0]))
+    return out.withColumn("stage", F.col("status")["stage"]).withColumn("terminal", F.coalesce(F.col("stage").isin(*TERMINAL_STAGES), F.lit(False)))
+
+
 def job_logs(logs: DataFrame, tail: int = 200, job: str = "job_id", ts: str = "ts", ident: str = "id") -> DataFrame:
     """W11, T-2, K11. The last entries of each job, of at most LOG_ENTRIES that are kept."""
     w = Window.partitionBy(job).orderBy(F.desc(ts), F.desc(ident))

@@ -239,6 +239,31 @@ def job_latest_status(spark, sf_dir):
     return summaries.job_status(jobs(spark, sf_dir))
 
 
+def status_events(spark, sf_dir):
+    """Events as status events: a signup begins its user's job anew, and each sets keys of its own besides the stage."""
+    e = table(spark, sf_dir, "events")
+    extra = F.create_map(F.concat(F.lit("last_"), "event_type"), F.col("props"), F.lit("value"), F.round(F.col("value") * 100).cast("long").cast("string"))
+    some = F.map_filter(extra, lambda k, v: (k != "value") | (F.col("event_id") % 3 == 0))
+    own_stage = F.when(F.col("event_id") % 50 == 0, F.map_concat(some, F.create_map(F.lit("stage"), F.lit("done")))).otherwise(some)
+    return e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string")).alias("message"), F.col("event_id").alias("updated_at"), own_stage.alias("extra"), (F.col("event_type") == "signup").alias("reset"))
+
+
+@query(
+    "job_merged_status",
+    f"""WITH e AS (SELECT user_id AS job_id, event_id AS o, event_type AS t, props, value FROM events),
+    r AS (SELECT job_id, coalesce(max(o) FILTER (t = 'signup'), -1) AS reset, max(o) AS updated_at FROM e GROUP BY job_id),
+    k AS (SELECT job_id, o, 'stage' AS key, CASE WHEN o % 50 = 0 THEN 'done' ELSE t END AS v FROM e UNION ALL SELECT job_id, o, 'message', 'm' || o % 7 FROM e UNION ALL SELECT job_id, o, 'last_' || t, props FROM e
+      UNION ALL SELECT job_id, o, 'value', round(value * 100)::BIGINT::VARCHAR FROM e WHERE o % 3 = 0),
+    m AS (SELECT job_id, key, arg_max(v, o) AS v FROM k JOIN r USING (job_id) WHERE o >= reset GROUP BY ALL)
+    SELECT job_id, updated_at, max(v) FILTER (key = 'stage') AS stage, max(v) FILTER (key = 'stage') IN ({quoted(C.TERMINAL_STAGES)}) AS terminal, string_agg(key || '=' || v, ',' ORDER BY key) AS status FROM m JOIN r USING (job_id) GROUP BY ALL""",
+)
+def job_merged_status(spark, sf_dir):
+    """T-1: every key a job's events have set since it began, each with its latest value."""
+    out = summaries.merged_status(status_events(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("status"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("job_id", "updated_at", "stage", "terminal", shown.alias("status"))
+
+
 @query("job_log_tail", "SELECT user_id AS job_id, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
 def job_log_tail(spark, sf_dir):
     """W11, T-2, K11."""

@@ -1,6 +1,7 @@
 """Operators over small tables: order, ties, budgets, stores, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,83 @@ def test_streams(spark, tmp_path):
     assert LOG_ENTRIES == 5000
 
 
+def run_stream(frame, checkpoint):
+    """The query and the rows of what it had not read before."""
+    out = []
+    q = frame.writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q, out
+
+
+STATUS = "job_id string, seq long, updated_at double, stage string, message string, extra map<string,string>, reset boolean"
+
+
+def merged_plainly(rows):
+    """The job table as one process would hold it: a dictionary a job, updated in order of time."""
+    held = {}
+    for job, _, at, stage, message, extra, reset in sorted(rows, key=lambda r: (r[2], r[1])):
+        if reset:
+            held[job] = {}
+        held.setdefault(job, {}).update({"stage": stage, "message": message} | (extra or {}))
+    return held
+
+
+def status_rows(n=400, jobs_=9, seed=3):
+    rng = random.Random(seed)
+    key = lambda: rng.choice(("pages", "files", "stage", "folder", "kind"))
+    return [
+        (rng.choice([f"j{k}" for k in range(jobs_)] + ["hot"] * jobs_), i, float(rng.randint(0, n // 3)), rng.choice(("scrape", "ocr", "done")), rng.choice(("", None, "m")), rng.choice((None, {}, {key(): str(i)}, {key(): None})), rng.random() < 0.05)
+        for i in range(n)
+    ]
+
+
+def test_merged_status_keeps_keys_that_were_set_earlier(spark):
+    rows = status_rows()
+    df = spark.createDataFrame(rows, STATUS).repartition(4)
+    out = summaries.merged_status(df, order=["updated_at", "seq"]).collect()
+    assert {r.job_id: r.status for r in out} == merged_plainly(rows)
+    assert all(r.stage == r.status["stage"] and r.updated_at == max(x[2] for x in rows if x[0] == r.job_id) for r in out)
+    assert summaries.merged_status(df.limit(0)).count() == 0
+    one = spark.createDataFrame([("j", 1, 1.0, "scrape", "", {"a": "1"}, True), ("j", 2, 2.0, "ocr", "", None, None), (None, 3, 1.0, None, None, {"stage": "done"}, False)], STATUS)
+    assert {r.job_id: (r.status, r.terminal) for r in summaries.merged_status(one).collect()} == {"j": ({"stage": "ocr", "message": "", "a": "1"}, False), None: ({"stage": "done", "message": None}, True)}
+
+
+def test_merged_status_of_a_stream_equals_the_batch(spark, tmp_path):
+    """Three batches, with events that come late and resets between them."""
+    rows = status_rows(300)
+    random.Random(1).shuffle(rows)
+    src = str(tmp_path / "in")
+    out = {}
+    for k in range(3):
+        spark.createDataFrame(rows[k * 100 : (k + 1) * 100], STATUS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(STATUS).parquet(src)
+        out |= {r.job_id: r.status for r in run_stream(jobs.merged_status(stream), str(tmp_path / "c"))[1]}
+        assert out == merged_plainly(rows[: (k + 1) * 100])
+    batch = summaries.merged_status(spark.createDataFrame(rows, STATUS), order=["updated_at", "seq"]).collect()
+    assert out == {r.job_id: r.status for r in batch}
+
+
+def test_log_ring_writes_new_entries_alone(spark, tmp_path):
+    schema = "job_id string, ts double, message string, level string"
+    src, check = str(tmp_path / "in"), str(tmp_path / "c")
+    logs = {}
+    for k, per_job in enumerate((30, 1, 0, 25)):
+        rows = [(f"j{j}", float(100 * k + i), f"{k}/{i}", "INFO") for j in range(200 if k != 1 else 20) for i in range(per_job)] + [("late", 5.0 - k, f"late{k}", None)]
+        for job, _, message, _ in rows:
+            logs.setdefault(job, []).append(message)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q, rows_out = run_stream(jobs.capped_log(stream, "job_id", "ts", "message", cap=20, level="level"), check)
+        told = {r.job_id: (r.appended, r.entries, r.last_message) for r in rows_out}
+        assert told == {j: (sum(r[0] == j for r in rows), min(20, len(logs[j])), logs[j][-1]) for j in {r[0] for r in rows}}
+        changed = sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"])
+        assert changed <= sum(min(20, n) + 2 for n, *_ in told.values())
+    got = {}
+    for r in jobs.log_entries(spark, check, tail=7, cap=20).orderBy("place").collect():
+        got.setdefault(r.job_id, []).append(r.message)
+    assert got == {j: m[-7:] for j, m in logs.items()}
+
+
 def test_stream_into_the_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     s.init()
