@@ -8,7 +8,8 @@ The plan is one projection over the scan: no shuffle, no join, no Python.
 
 Edge cases: a null text counts as empty. An empty text has no word and fails
 the base rules. Lines are split at ``\\n`` alone; lines without a word are
-neither removed nor counted. Very long texts are judged whole. A text that loses
+neither removed nor counted. The sentence marks of all scripts count, and a line that holds
+a letter of a script without such marks isn't tested for them. Very long texts are judged whole. A text that loses
 just ``max_loss`` of its words is kept. Repeated rows are judged each on its own;
 an empty table gives no rows. Extra columns pass through; columns whose names
 clash with those added are replaced, by ``keep_clean`` no column is.
@@ -53,6 +54,13 @@ BOILERPLATE = (
 )
 
 
+# Marks that end or part a sentence, by script: Latin, Greek and Cyrillic; Armenian;
+# Hebrew; Arabic; Devanagari and its neighbours; Ethiopic; Khmer; Mongolian; Chinese and Japanese.
+SENTENCE_MARKS = ".!?:;,…·" "։՝՞" "׃" "،؛؟۔" "।॥" "፣።፤፥" "។៕៖" "᠂᠃" "。、，！？：；．｡､"
+# Scripts whose sentences end with a space or a line, so that a line without a mark is no sign.
+UNMARKED_SCRIPTS = ("Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Tai_Le", "New_Tai_Lue", "Tai_Tham")
+
+
 @dataclass(frozen=True)
 class QualityRules:
     min_words: int = 50
@@ -88,7 +96,9 @@ def line_reason(line: Column, line_words: Column, phrases: Column, rules: Qualit
         .when((symbols > 0) & (symbols > solid * rules.max_symbol_share), "punctuation")
         .when((shouts > 1) & (shouts > n_words * rules.max_shout_share), "punctuation")
     )
-    plain = F.when((n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.!?:;,…。]"), "punctuation").when(
+    unmarked = "[" + "".join(rf"\p{{Is{s}}}" for s in UNMARKED_SCRIPTS) + "]"
+    bare = (n_words >= rules.unpunctuated_words) & ~line.rlike(f"[{SENTENCE_MARKS}]")
+    plain = F.when(bare & ~line.rlike(unmarked), "punctuation").when(
         phrases & (n_words <= rules.boilerplate_words) & line.rlike(phrase), "boilerplate"
     )
     return F.coalesce(F.when(line.rlike(r"[|»›•·#*$%&<>~^{}]|!!"), marked), plain)

@@ -6,7 +6,7 @@ from .decontaminate import AGREEMENT, SPAN
 from .embedding_dedup import THRESHOLD as COSINE
 from .jaccard_join import THRESHOLD
 from .license_scan import TEMPLATES, bigrams_of
-from .quality_rules import BOILERPLATE, QualityRules
+from .quality_rules import BOILERPLATE, SENTENCE_MARKS, UNMARKED_SCRIPTS, QualityRules
 from .spelling_variants import MIN_COUNT, MIN_LENGTH, RATIO, TYPO_RATE
 from .suffix_dedup import MIN_WORDS
 from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -22,6 +22,7 @@ def quality_rules_sql(source: str = "documents") -> str:
     r = QualityRules()
     phrases = "|".join(BOILERPLATE)
     n_words = rf"len({_words('line')})"
+    unmarked = "".join(rf"\p{{{s}}}" for s in UNMARKED_SCRIPTS)
     return rf"""
 WITH base AS (
   SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM {source}
@@ -49,7 +50,7 @@ WITH base AS (
       (separators > 0 AND n - separators <= separators * {r.words_per_separator})
       OR symbols > solid * {r.max_symbol_share}
       OR (shouts > 1 AND shouts > n * {r.max_shout_share})
-      OR (n >= {r.unpunctuated_words} AND NOT regexp_matches(line, '[.!?:;,…。]'))
+      OR (n >= {r.unpunctuated_words} AND NOT regexp_matches(line, '[{SENTENCE_MARKS}]') AND NOT regexp_matches(line, '[{unmarked}]'))
       OR (n <= {r.boilerplate_words} AND regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}])({phrases})($|[^\p{{L}}\p{{N}}])'))
     ) AS bad
   FROM counted
