@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import AGREEMENT, SPAN
 from .embedding_dedup import THRESHOLD as COSINE
 from .jaccard_join import THRESHOLD
-from .license_scan import TEMPLATES, bigrams_of
+from .license_scan import TEMPLATES, bigrams_of, decisive_bigrams, excluding_bigrams
 from .quality_rules import BOILERPLATE, SENTENCE_MARKS, UNMARKED_SCRIPTS, QualityRules
 from .spelling_variants import MIN_COUNT, MIN_LENGTH, RATIO, TYPO_RATE
 from .suffix_dedup import MIN_WORDS
@@ -79,10 +79,11 @@ FROM statistics JOIN by_line USING (uid)
 
 def license_scan_sql(threshold: float = 0.8) -> str:
     """All windows of each template's bigrams, rated, and of those that overlap the best."""
-    values = ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in bigrams_of(text))}])" for i, (name, text) in enumerate(TEMPLATES))
+    lists = lambda text: ", ".join(f"{[*map(str, f(text))]}::VARCHAR[]" for f in (bigrams_of, decisive_bigrams, excluding_bigrams))
+    values = ", ".join(f"({i}, '{name}', {lists(text)})" for i, (name, text) in enumerate(TEMPLATES))
     bound = threshold / (2 - threshold)
     return rf"""
-WITH templates(tid, id, b) AS (VALUES {values}),
+WITH templates(tid, id, b, must, never) AS (VALUES {values}),
 docs AS (
   SELECT row_number() OVER () AS uid, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents
 ), paired AS (SELECT uid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM docs),
@@ -93,18 +94,19 @@ places AS (
 ), spans AS (
   SELECT x.uid, x.tid, x.i AS a, y.i AS z FROM flagged x JOIN flagged y ON x.uid = y.uid AND x.tid = y.tid AND x.begins AND y.ends AND y.i >= x.i
 ), windows AS (
-  SELECT uid, id, a, z, t.b, list_distinct(pairs[a + 1:z + 1]) AS p
+  SELECT uid, id, a, z, t.b, must, never, list_distinct(pairs[a + 1:z + 1]) AS p, pairs[greatest(a, 1):z + 2] AS around
   FROM spans JOIN templates t USING (tid) JOIN paired USING (uid)
   WHERE z < a + 2 * ceil(len(t.b) / {bound!r}::DOUBLE) AND z - a + 1 >= len(t.b) * {bound!r}::DOUBLE - 1e-9
 ), rated AS (
   SELECT uid, id, a, z, 2.0::DOUBLE * len(list_intersect(p, b)) / (len(p) + len(b)) AS dice FROM windows
+  WHERE len(list_intersect(p, must)) = len(must) AND len(list_intersect(around, never)) = 0
 ), ordered AS (
-  SELECT uid, list([{{'id': id, 'a': a, 'z': z, 'dice': dice}}] ORDER BY dice DESC, a - z, id, a, z) AS all_
+  SELECT uid, list([{{'id': id, 'a': a, 'z': z, 'dice': dice}}] ORDER BY contains(id, ','), dice DESC, a - z, id, a, z) AS all_
   FROM (SELECT DISTINCT * FROM rated WHERE dice >= {threshold}) GROUP BY uid
 ), kept AS (
   SELECT uid, unnest(list_reduce(all_, lambda acc, m: CASE WHEN len(list_filter(acc, lambda k: m[1].a <= k.z AND k.a <= m[1].z)) > 0 THEN acc ELSE acc || m END)) AS m FROM ordered
 ), by_doc AS (
-  SELECT uid, string_agg(DISTINCT m.id, ',' ORDER BY m.id) AS licenses, min(m.id) FILTER (m.dice = top) AS best_license, max(m.dice) AS best_dice
+  SELECT uid, array_to_string(list_sort(list_distinct(flatten(list(string_split(m.id, ','))))), ',') AS licenses, min(m.id) FILTER (m.dice = top) AS best_license, max(m.dice) AS best_dice
   FROM (SELECT *, max(m.dice) OVER (PARTITION BY uid) AS top FROM kept) GROUP BY uid
 )
 SELECT doc_id, coalesce(licenses, '') AS licenses, best_license, round(best_dice, 6) AS best_dice
