@@ -58,11 +58,17 @@ _CLOSE = {n: re.compile(f"</{n}", re.IGNORECASE | re.ASCII) for n in "script sty
 _MARKS = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))|((?<=\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none)""", re.IGNORECASE | re.ASCII)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RIGHTS = re.compile(r"\s*(?:©|&copy;|copyright\b)", re.IGNORECASE)
-_TALK = re.compile(r"\W*(?:\d+\s+)?(?:comments?|responses?|replies|leave a (?:comment|reply)|join the discussion)\b[^.!?]{0,20}\W*\Z", re.IGNORECASE)
+#: The whole heading, with a count before or behind.
+_TALK = re.compile(r"\W*(?:\d+\s+)?(?:(?:readers?'?s?|user|your)\s+)?(?:comments?|responses?|replies|leave a (?:comment|reply)|join the (?:discussion|conversation))\W*(?:\d+\W*)?\Z", re.IGNORECASE)
+_BAR = re.compile("[|»›•·]")
+#: A block of few words at a time between bars or dots.
+_BARS = re.compile(r"\s*[^|»›•·]{1,30}(?:\s[|»›•·]\s[^|»›•·]{1,30}){2,}\s*\Z")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Features of a page's text besides those of its elements.
-OUTSIDE, RIGHTS, TALK, LINKS, BIAS = "outside the main element", "rights", "after a heading of comments", "links alone", "any word"
+OUTSIDE, RIGHTS, TALK, LINKS, BARS, BIAS = "outside the main element", "rights", "after a heading of comments", "links alone", "words between bars", "any word"
+#: A feature of a first heading in the head of an article.
+TITLE = "title of an article"
 
 
 class Context:
@@ -100,7 +106,7 @@ def features_of(name: str, attributes: str) -> tuple[str, ...]:
 
 @dataclass
 class Token:
-    """A tag (``name``) or a piece of text: where it stands, whether it follows a heading of comments, in how many main elements, and whether its block is links alone."""
+    """A tag (``name``) or a piece of text: where it stands, whether it follows a heading of comments, in how many main elements, and whether its block is links alone or words between bars."""
 
     name: str
     text: str
@@ -108,6 +114,7 @@ class Token:
     talk: bool = False
     main: int = 0
     links: bool = False
+    bars: bool = False
 
 
 def tokens(page: str, weight: Callable[[str], float] = lambda f: 0.0, bias: float = 1.0) -> Iterator[Token]:
@@ -187,6 +194,8 @@ def tokens(page: str, weight: Callable[[str], float] = lambda f: 0.0, bias: floa
             while stack and stack[-1][0].name == "p":
                 pop()
         features = features_of(name, m[4])
+        if name == "h1" and "header" in known and "article" in known:
+            features += (TITLE,)
         new = [f for f in dict.fromkeys(features) if f not in known]
         known.update(new)
         child = Context(name, context, new, context.weight + sum(map(weight, new)), context.raw or name in RAW)
@@ -205,7 +214,7 @@ def tokens(page: str, weight: Callable[[str], float] = lambda f: 0.0, bias: floa
 
 
 def read(page: str, weight: Callable[[str], float] = lambda f: 0.0, bias: float = 1.0) -> list[Token]:
-    """The tokens, with the pieces marked whose block is links alone."""
+    """The tokens, with the pieces marked whose block is links alone, or words between bars."""
     seen = list(tokens(page, weight, bias))
     block: list[Token] = []
 
@@ -213,6 +222,9 @@ def read(page: str, weight: Callable[[str], float] = lambda f: 0.0, bias: float
         if block and all(t.context.link for t in block):
             for t in block:
                 t.links = True
+        if len(block) < 40 and any(_BAR.search(t.text) for t in block) and _BARS.match("".join(t.text for t in block)):
+            for t in block:
+                t.bars = True
         block.clear()
 
     for t in seen:
@@ -230,7 +242,7 @@ def _words(piece: str) -> list[str]:
 
 
 def _extras(t: Token, outside: bool) -> list[str]:
-    return [OUTSIDE] * (outside and not t.main) + [RIGHTS] * (not t.main and _RIGHTS.match(t.text) is not None) + [TALK] * t.talk + [LINKS] * t.links
+    return [OUTSIDE] * (outside and not t.main) + [RIGHTS] * (not t.main and _RIGHTS.match(t.text) is not None) + [TALK] * t.talk + [LINKS] * t.links + [BARS] * (t.bars and not t.main)
 
 
 @dataclass(frozen=True)
@@ -348,9 +360,11 @@ NOT_ARTICLE = {
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner outbrain taboola": "Buy the best shoes today, cheap or good.",
     "share sharing social follow": "Tell your friends about it",
     "related recommended recommendation recommendations teaser teasers": "Ten more stories that you may like",
-    "comment comments reply replies respond disqus discussion": "I like it, said a reader. Me too!",
+    "comment comments reply replies respond responses disqus discussion": "I like it, said a reader. Me too!",
     "newsletter subscribe subscription signup login search": "Your address, please. Send",
 }
+# Of these words, those that name such a part whatever word stands beside them.
+DECIDED = frozenset("nav navbar breadcrumb breadcrumbs pagination footer sidebar cookie cookies consent gdpr ad ads advert adverts advertisement sponsor sponsored promo promotion outbrain taboola comment comments disqus newsletter".split())
 # Parts that name a box around any content.
 BOXES = "area bar block bottom box button buttons card container global group inner item items label links list panel row slot wrap wrapper zone".split()
 # Words that name parts of an article.
@@ -383,8 +397,13 @@ def labelled_pages() -> list[tuple[str, str]]:
             for k in range(5):
                 box = BOXES[(7 * k + i) % len(BOXES)]
                 add(i + k, f"<div {('class', 'id')[k % 2]}='{(w, w, f'{w}-{box}', f'{w}_{box}', f'{box}-{w}')[k]}'>{blocks[(i + k) % 3].format(says)}</div>", "")
-            # The word beside one that names no box, or beside one of an article, names a part of the article.
-            add(i, f"<div class='{w}-{once(i)}'>{blocks[i % 3].format('What it says on that.')}</div>", "What it says on that.")
+            # Beside a word that names no box, a word of several meanings names a part of the article; one that is decided doesn't.
+            if w in DECIDED:
+                for k in range(6):
+                    part = (OF_ARTICLE[(5 * k + i) % len(OF_ARTICLE)], once(i), f"{once(i)}-{i}")[k // 2]
+                    add(i + k, f"<div class='{(f'{part}-{w}', f'{w}-{part}')[k % 2]}'>{blocks[(i + k) % 3].format(says)}</div>", "")
+            else:
+                add(i, f"<div class='{w}-{once(i)}'>{blocks[i % 3].format('What it says on that.')}</div>", "What it says on that.")
             if w in ("header", "banner", "notice"):
                 for part in OF_ARTICLE:
                     add(i, f"<div class='{part}-{w}'><p>What it says there.</p></div>", "What it says there.")
@@ -393,6 +412,13 @@ def labelled_pages() -> list[tuple[str, str]]:
         for says in ("Home News Topics", "Some words of another kind, not of the text."):
             add(i, f"<{tag}>{blocks[i % 3].format(says)}</{tag}>", "")
             i += 1
+    for k, how in enumerate(("hidden", "aria-hidden='true'", "style='display:none'", "style='color: red; display: none'", "hidden class=more", "style=display:none")):
+        add(k, f"<div {how}>{blocks[k % 3].format('Nobody sees these words.')}</div>", "")
+        title, body = f"Title {once(k)} of it", f"{a} {b}"
+        byline = ("<p class='byline'>By someone</p>", "<span>By someone</span>", "<time>In May</time>")[k % 3]
+        out.append((f"<body><header><h1>The site</h1></header><article><header><h1>{title}</h1>{byline}</header><p>{a}</p><p>{b}</p></article><footer>Bye</footer></body>", f"{title} {body}"))
+        bars = (" | ", " · ", " » ", " • ")[k % 4].join(("Home", "About us", "Contact", "Terms"))
+        out.append((f"<body><{'p div'.split()[k % 2]}>{bars}</{'p div'.split()[k % 2]}><div><h1>A title</h1><p>{a}</p><p>{b}</p></div><p>{bars}</p></body>", f"A title {body}"))
     for w in [*OF_ARTICLE, *BOXES]:
         add(i, f"<div class='{w}'>{blocks[i % len(blocks)].format('Some words of it.')}</div>", "Some words of it.")
         i += 1

@@ -97,7 +97,8 @@ def line_reason(line: Column, line_words: Column, phrases: Column, rules: Qualit
         .when((shouts > 1) & (shouts > n_words * rules.max_shout_share), "punctuation")
     )
     unmarked = "[" + "".join(rf"\p{{Is{s}}}" for s in UNMARKED_SCRIPTS) + "]"
-    bare = (n_words >= rules.unpunctuated_words) & ~line.rlike(f"[{SENTENCE_MARKS}]")
+    # Most lines hold a common mark, which a small class finds sooner.
+    bare = (n_words >= rules.unpunctuated_words) & ~line.rlike(r"[.!?:;,]") & ~line.rlike(f"[{SENTENCE_MARKS}]")
     plain = F.when(bare & ~line.rlike(unmarked), "punctuation").when(
         phrases & (n_words <= rules.boilerplate_words) & line.rlike(phrase), "boilerplate"
     )

@@ -473,6 +473,34 @@ def test_talk_and_rights_without_any_class_are_left_out():
     assert "Nice article." in html_extract.extract_text(page.format("Comments of a historian on the war and on what came of it"))
 
 
+ARTICLE = "<body><article><h1>The title</h1><p>The first part of an article, with a number of words.</p>{}<p>The last part of it.</p></article></body>"
+KEPT = "The title The first part of an article, with a number of words. {}The last part of it."
+
+
+def test_headings_that_only_begin_as_talk_lose_nothing():
+    for heading in ("Responses to climate change", "Replies from ministers", "Comments on the law", "Comments and what they cost", "Response times"):
+        part = f"<h2>{heading}</h2><p>A paragraph on that.</p><p>And one more.</p>"
+        assert html_extract.extract_text(ARTICLE.format(part)) == KEPT.format(f"{heading} A paragraph on that. And one more. ")
+
+
+def test_the_title_in_the_head_of_an_article_is_kept():
+    page = "<body><header><h1>The site</h1></header><article><header><h1>Big title</h1><p class='byline'>By me</p></header><p>What the article says, at some length.</p></article></body>"
+    assert html_extract.extract_text(page) == "Big title What the article says, at some length."
+
+
+@pytest.mark.parametrize("name", ["inline-promo", "article-ad", "content-advert", "xyz-promo-42", "adSlotTop", "story_sponsored", "ad-unit-7", "article-comments", "responses", "disqus_thread", "entry-newsletter", "post-cookie-bar", "my-sidebar"])
+def test_adverts_and_comments_inside_an_article_are_left_out(name):
+    for where in (f"class='{name}'", f'id="{name}"'):
+        assert html_extract.extract_text(ARTICLE.format(f"<div {where}><p>Some other words.</p></div>")) == KEPT.format("")
+
+
+def test_what_is_hidden_or_a_line_of_names_is_left_out():
+    for how in ("style='display:none'", "style='margin:0;display: none'", "hidden", "aria-hidden=true"):
+        assert html_extract.extract_text(ARTICLE.format(f"<div {how}><p>Nobody sees it.</p></div>")) == KEPT.format("")
+    page = "<body><p>Home | About | Contact</p><div><h1>A heading</h1><p>Text of a page without any class | and it has one bar in it, as text may.</p></div><p>Imprint · Privacy · Terms of use</p></body>"
+    assert html_extract.extract_text(page) == "A heading Text of a page without any class | and it has one bar in it, as text may."
+
+
 def test_scan_equals_all_regions():
     rng = random.Random(17)
     for _ in range(300):
