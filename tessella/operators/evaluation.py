@@ -14,7 +14,7 @@ def precision_recall(retrieved: DataFrame, questions: DataFrame, k: int = 5) ->
 
     A question without results scores 0.
     """
-    rows = retrieved.drop("patterns").join(F.broadcast(questions.select("qid", "patterns")), "qid").withColumn("_rel", is_relevant(F.col("patterns"), "text"))
+    rows = retrieved.drop("patterns").join(questions.select("qid", "patterns"), "qid").withColumn("_rel", is_relevant(F.col("patterns"), "text"))
     top = F.col("rank") <= k
     counts = rows.groupBy("qid").agg(
         F.count_if(F.col("_rel") & top).alias("relevant_retrieved"), F.count_if(F.col("_rel")).alias("total_relevant"), F.count_if(top).alias("_top")

@@ -24,7 +24,10 @@ def rerank(df: DataFrame, question: str = "question", order: str = "ord") -> Dat
     Phrase matches raise a chunk, matches of its source raise all chunks of the
     source; a question about one article keeps the best source only.
     """
-    df = once(once(df, _phrases=intent.query_phrases(question)), _found=scoring.phrase_matches(F.col("_phrases"), "text"))
+    # Phrases are found once a question, not for each of its chunks.
+    asked = df.select("qid", F.col(question).alias("_q")).distinct()
+    df = df.join(once(asked, _phrases=intent.query_phrases("_q")), F.col("_q").eqNullSafe(F.col(question)) & df["qid"].eqNullSafe(asked["qid"])).drop(asked["qid"]).drop("_q")
+    df = once(df, _found=scoring.phrase_matches(F.col("_phrases"), "text"))
     df = df.withColumns(
         {
             "phrase_score": F.aggregate("_found", F.lit(0.0), lambda a, p: a + scoring.phrase_weight(p)),

@@ -103,7 +103,7 @@ def report(spark, sf_dir):
     """K8."""
     path = scratch(spark)
     sinks.write_report(table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count("*").alias("orders")).orderBy("stage"), "Orders", path)
-    return readers.whole_texts(spark, path).select("text")
+    return sinks.read_report(spark, path)
 
 
 @query("metric_rows", "SELECT o_orderpriority AS experiment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

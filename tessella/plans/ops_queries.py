@@ -311,15 +311,15 @@ def embed_texts(spark, sf_dir):
 
 @query("ask")
 def ask_all(spark, sf_dir):
-    """C1-C9, POST /ask: benchmark openings as questions over all documents, a fifth of them for a figure, with stand-in models."""
+    """C1-C9, POST /ask: benchmark items as questions over all documents, a fifth of them for a figure, with stand-in models."""
     return ask(chunks(spark, sf_dir), asked(spark, sf_dir), hash_embedding(32), extractive_generator, k=5, facts=yearly_facts(spark, sf_dir))
 
 
 def asked(spark, sf_dir):
-    """Openings of benchmark items as questions; of every fifth item for revenue."""
+    """Benchmark items as questions; of every fifth item for revenue."""
     b = table(spark, sf_dir, "benchmark")
     figure = F.when(F.col("item_id") % 5 == 0, F.lit("revenue of ")).otherwise("")
-    return b.select(F.col("item_id").alias("qid"), F.concat(figure, F.substring("text", 1, 80)).alias("question"), F.array(F.substring("text", 1, 30)).alias("patterns"))
+    return b.select(F.col("item_id").alias("qid"), F.concat(figure, "text").alias("question"), F.array("text").alias("patterns"))
 
 
 def yearly_facts(spark, sf_dir):
@@ -384,7 +384,7 @@ def article_answers(spark, sf_dir):
 
 @query("expand_primary")
 def expand_primary(spark, sf_dir):
-    """Benchmark openings asked of the sources."""
+    """Benchmark items asked of the sources."""
     from .retrieval_queries import questions
 
     c = chunks(spark, sf_dir)

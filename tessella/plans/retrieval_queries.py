@@ -290,13 +290,13 @@ def assemble_context(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
-    """First user turns that name a phrase, with the chunks of a source as their results."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("question"))
+    """Benchmark items as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 @query(
     "rerank",
-    f"""WITH {CHUNKS}, q AS (SELECT item_id AS qid, 'https://src' || item_id % 20 || '.example.com' AS source_url, list_distinct({phrases_of("left(text, 60)")}) AS phrases FROM benchmark),
+    f"""WITH {CHUNKS}, q AS (SELECT item_id AS qid, 'https://src' || item_id % 20 || '.example.com' AS source_url, list_distinct({phrases_of("text")}) AS phrases FROM benchmark),
     f AS (SELECT qid, id, list_filter(phrases, lambda p: contains(hay, p)) AS found FROM q JOIN (SELECT *, {matched("text")} AS hay FROM chunks) USING (source_url)),
     s AS (SELECT qid, id, len(found) AS matches, coalesce(list_sum(list_transform(found, lambda p: CASE WHEN contains(p, ' ') OR length(p) >= 8 THEN 0.14::DOUBLE ELSE 0.06 END)), 0) AS phrase_score FROM f),
     c AS (SELECT *, 0.1::DOUBLE + phrase_score + 0.03::DOUBLE * least(sum(matches) OVER (PARTITION BY qid), 3) AS combined FROM s)
@@ -306,7 +306,7 @@ def rerank_all(spark, sf_dir):
     """No question is about one article, and each meets the chunks of one address."""
     c = chunks(spark, sf_dir)
     asked = questions(spark, sf_dir).withColumn("_s", F.concat(F.lit("https://src"), (F.col("qid") % 20).cast("string"), F.lit(".example.com")))
-    rows = c.join(F.broadcast(asked), F.col("source_url") == F.col("_s")).withColumns({"score": F.lit(0.1), "ord": F.col("id")})
+    rows = c.join(asked, F.col("source_url") == F.col("_s")).withColumns({"score": F.lit(0.1), "ord": F.col("id")})
     return rerank.rerank(rows).select("qid", "id", "rank", F.round("combined", 6).alias("combined"), "matches")
 
 

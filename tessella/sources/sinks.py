@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,15 +22,23 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("experiment").parquet(path)
 
 
-def report_lines(summary: DataFrame, title: str) -> list[str]:
-    """K8. Markdown of a summary of one row a heading; summaries are small by definition."""
-    rows = summary.limit(1000).collect()
-    return [f"# {title}", ""] + [line for r in rows for line in [f"- {' | '.join(f'{k}: {v}' for k, v in r.asDict().items())}"]]
+def report_lines(summary: DataFrame, title: str) -> DataFrame:
+    """K8. Markdown lines (value) of a summary: the heading, and a line a row in the summary's order."""
+    spark = summary.sparkSession
+    shown = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None"))) for c in summary.columns])
+    head = spark.createDataFrame([(f"# {title}\n",)], "value string").coalesce(1)
+    return head.union(summary.select(F.concat(F.lit("- "), shown).alias("value")))
 
 
 def write_report(summary: DataFrame, title: str, path: str) -> None:
-    spark = summary.sparkSession
-    spark.createDataFrame([("\n".join(report_lines(summary, title)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """The lines as text files, whose names are in the order of the lines; written by the tasks, however many rows there are."""
+    report_lines(summary, title).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report as one text (text), its files in order; for reports that one reader can hold."""
+    parts = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"), F.col("_metadata.file_path").alias("f"))
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]), "").alias("text"))
 
 
 def prompt_registry(df: DataFrame) -> DataFrame:

@@ -163,7 +163,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().b == "ä"
     sinks.write_csv(df, str(tmp_path / "c"))
     assert next((tmp_path / "c").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfa")
-    assert "- a: 1 | b: ä" in sinks.report_lines(df, "T")
+    many = spark.range(2500).repartition(7).orderBy("id").withColumn("b", F.when(F.col("id") != 3, "ä"))
+    sinks.write_report(many, "T", str(tmp_path / "r"))
+    assert sinks.read_report(spark, str(tmp_path / "r")).first().text.split("\n") == ["# T", "", *[f"- id: {i} | b: {'ä' if i != 3 else None}" for i in range(2500)], ""]
 
 
 def test_models_are_deterministic(spark):
