@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.constants import MIN_SCORE
 from ..functions.text import preview, search_terms, text
+from . import patterns
 
 #: Query rows that are sent to every task at once; larger sets are taken in blocks of about as many.
 BROADCAST_QUERIES = 20_000
@@ -72,19 +73,20 @@ def lexical_topk(chunks: DataFrame, question: str, k: int = 8, min_score: float
     return scored.withColumns({"retrieval_mode": F.lit("lexical_fallback"), "text_preview": preview(c, 360)}).orderBy(F.desc("score"), *order).limit(k)
 
 
-def lexical_scores(chunks: DataFrame, questions: DataFrame, c: str = "text", query_id: str = "qid", question: str = "question") -> DataFrame:
-    """F8 for a set of questions against all chunks; pairs that score above zero."""
-    # Terms are found and texts lower-cased once each, not for every pair.
-    q = questions.select(query_id, search_terms(question).alias("_terms"))
-    lowered = chunks.withColumn("_low", F.lower(text(c)))
-    pairs = in_blocks(q, query_id, lambda block: lowered.crossJoin(block))
-    return pairs.withColumn("score", scoring.lexical_part(F.col("_terms"), F.col("_low"))).drop("_terms", "_low").where("score > 0")
+def lexical_scores(chunks: DataFrame, questions: DataFrame, ident: str, c: str = "text", query_id: str = "qid", question: str = "question", k: int | None = None) -> DataFrame:
+    """F8, J2 for a set of questions against all chunks: (query_id, ident, score) of the pairs that score above zero.
+
+    The terms of all questions are one automaton, and each text is lower-cased and
+    read once. ``k``: only what can be among the k best of a question.
+    """
+    asked = questions.select(query_id, search_terms(question).alias("terms"))
+    return patterns.score_questions(chunks.select(ident, F.lower(text(c)).alias(c)), asked, ident, c, k, query_id, BROADCAST_QUERIES)
 
 
-def top_lexical(chunks: DataFrame, questions: DataFrame, k: int, ident: str, c: str = "text", **options) -> DataFrame:
+def top_lexical(chunks: DataFrame, questions: DataFrame, k: int, ident: str, c: str = "text", query_id: str = "qid", **options) -> DataFrame:
     """The best k chunks of each question over the whole corpus; ties by id, which must be unique. Texts aren't ranked with them."""
-    scored = lexical_scores(chunks.select(ident, c), questions, c, **options).drop(c)
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), ident)
+    scored = lexical_scores(chunks, questions, ident, c, query_id, k=k, **options)
+    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), ident)
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     rest = [x for x in chunks.columns if x != ident]
     n = questions.limit(BROADCAST_QUERIES + 1).count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scoring
 from ..functions.text import search_terms
-from ..operators import chunking, evaluation, rerank, retrieval, store
+from ..operators import chunking, evaluation, patterns, rerank, retrieval, store
 from ..operators.cleaning import budget_prefix, focus_window
 from ..operators.facts import facts_answer, parse_facts
 from ..sources.readers import table
@@ -128,6 +128,21 @@ def lexical_batch(spark, sf_dir):
     return top.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(
+    "phrase_counts",
+    f"""WITH p AS (SELECT DISTINCT unnest({phrases_of("text")}) AS term FROM benchmark), d AS (SELECT doc_id, {matched("text")} AS hay FROM documents)
+    SELECT term, count(*) AS texts, sum((length(hay) - length(replace(hay, term, ''))) / length(term))::BIGINT AS n FROM p JOIN d ON contains(hay, term) GROUP BY term""",
+)
+def phrase_counts(spark, sf_dir):
+    """How many texts hold each phrase of the benchmark's items, and how often."""
+    from ..functions import intent
+    from ..functions.text import match_text
+
+    phrases = table(spark, sf_dir, "benchmark").select(F.explode(intent.query_phrases("text")).alias("term"))
+    found = patterns.find_terms(table(spark, sf_dir, "documents").select("doc_id", match_text("text").alias("text")), phrases, "doc_id")
+    return found.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+
+
 @query("chunk_ids", f"WITH {CHUNKS} SELECT id, sha1(namespace || '|' || source_type || '|' || source_url || '|' || source_path || '|' || page || '|' || chunk_index || '|' || text) AS chunk_id FROM chunks")
 def chunk_ids(spark, sf_dir):
     """K3."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella import models
 from tessella.functions import constants as C
 from tessella.functions.constants import LOG_ENTRIES
-from tessella.operators import cleaning, evaluation, facts, rerank, retrieval, store, summaries, vision
+from tessella.operators import cleaning, evaluation, facts, patterns, rerank, retrieval, store, summaries, vision
 from tessella.plans import pipelines
 from tessella.sources import readers, sinks
 from tessella.streaming import jobs
@@ -326,6 +326,42 @@ def test_streams(spark, tmp_path):
     assert LOG_ENTRIES == 5000
 
 
+def test_terms_are_counted_as_python_counts_them(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aabกé") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 60))) for i in range(80)] + [(90, None), (91, ""), (3, "aaaa")]
+    terms = list({word(rng.randint(1, 4)) for _ in range(60)} | {"aa", "aaa", "", "zz"})
+    df = spark.createDataFrame(texts, "doc_id int, text string").withColumn("term", F.lit("x")).repartition(4)
+    names = spark.createDataFrame([(t,) for t in [*terms, None, "aa"]], "term string")
+    want = sorted((i, t, x.count(t)) for i, x in texts for t in terms if x and t and t in x)
+    assert sorted(map(tuple, patterns.find_terms(df, names, "doc_id").collect())) == want and len(want) > 300
+    assert sorted(map(tuple, patterns.find_terms(df, names, "doc_id", limit=7).collect())) == want
+    assert patterns.find_terms(df, names.limit(0), "doc_id").count() == 0 == patterns.find_terms(df.limit(0), names, "doc_id").count()
+
+
+def test_lexical_batches_equal_the_column_form(spark, monkeypatch):
+    """In one block or several, whole or the best of each batch, ties included."""
+    from tessella.functions import scoring
+    from tessella.functions.text import search_terms
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 3)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(120)] + [(200, None), (201, "")], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(word().upper() for _ in range(rng.randint(1, 6)))) for i in range(40)] + [("none", ""), ("null", None)], "qid string, question string")
+    plain = docs.crossJoin(asked.select("qid", search_terms("question").alias("t"))).select("qid", "doc_id", F.round(scoring.lexical_score(F.col("t"), "text"), 9).alias("s")).where("s > 0").collect()
+    want = {(r.qid, r.doc_id): r.s for r in plain}
+    rounded = lambda df: {(r.qid, r.doc_id): round(r.score, 9) for r in df.collect()}
+    assert rounded(retrieval.lexical_scores(docs, asked, "doc_id")) == want and len(want) > 1000
+    best = {}
+    for q, i in sorted(want, key=lambda p: (-want[p], p[1])):
+        best.setdefault(q, []).append(i)
+    for limit, cells in ((20_000, 2_000_000), (9, 100)):
+        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", limit)
+        monkeypatch.setattr(patterns, "CELLS", cells)
+        top = retrieval.top_lexical(docs, asked, 4, "doc_id").collect()
+        assert {(r.qid, r["rank"]): r.doc_id for r in top} == {(q, n): i for q, ids in best.items() for n, i in enumerate(ids[:4], 1)}
+
+
 def run_stream(frame, checkpoint):
     """The query and the rows of what it had not read before."""
     out = []
