@@ -179,7 +179,7 @@ def inline_sections(c: Column | str) -> Column:
 
 
 def section_order(section: Column) -> Column:
-    return F.regexp_extract(section, r"^(\d{1,2})\.", 1).cast("int")
+    return F.regexp_extract(section, r"^(\d{1,2})\.", 1).try_cast("int")
 
 
 def section_title(section: Column, longest: int = 180) -> Column:
