@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..functions import html, intent, scoring
 from ..functions.constants import NAMESPACES
 from ..functions.text import text
-from ..models import Embed, Generate, call, call_checked, embed_column
+from ..models import Embed, Generate, call, call_checked, call_distinct, embed_column
 from ..operators import chunking, cleaning, evaluation, rerank, retrieval, store
 from ..operators import facts as facts_op
 from ..tables import written
@@ -42,7 +42,8 @@ def ingest_pages(pages: DataFrame, embed: Embed, namespace: str = "external", di
 
 def ingest_facts(chunks: DataFrame, extract: Generate, keep: tuple[str, ...] = ("namespace", "source_type", "source_path", "page")) -> DataFrame:
     """C10, G14. Facts of each document's best chunks through an extractor hook, deduplicated, with ids."""
-    top = facts_op.top_fact_chunks(chunks, "source_path", "chunk_index").withColumn("answer", call(extract, facts_op.clip("text")))
+    top = facts_op.top_fact_chunks(chunks, "source_path", "chunk_index").withColumn("_clip", facts_op.clip("text"))
+    top = call_distinct(top, extract, "_clip", "answer", "_error").withColumn("answer", F.coalesce("answer", F.lit(""))).drop("_clip", "_error")
     rows = facts_op.parse_facts(top.withColumn("entity_hint", F.lit("unknown")), keep=keep)
     rows = cleaning.keep_first(rows, [*keep, F.lower("entity"), F.lower("key"), F.lower("value"), F.lower("unit"), "year"], ["ord"])
     return store.with_defaults(rows.drop("ord"), store.FACTS).withColumn("id", store.fact_id())

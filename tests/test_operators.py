@@ -326,6 +326,65 @@ def test_streams(spark, tmp_path):
     assert LOG_ENTRIES == 5000
 
 
+def counting_hook(folder, fails=()):
+    """A coroutine hook that leaves a file for each call, with the calls that were in flight; module state is each worker's own."""
+
+    async def hook(x):
+        import asyncio
+        import os
+        import uuid
+
+        hook.running = getattr(hook, "running", 0) + 1
+        (folder / f"{os.getpid()}-{hook.running}-{uuid.uuid4().hex}").write_text(x)
+        await asyncio.sleep(0.02 if "slow" not in x else 9)
+        hook.running -= 1
+        if x in fails:
+            raise ValueError(x)
+        return x.upper()
+
+    return hook
+
+
+def test_bounded_calls_keep_order_and_try_again(tmp_path):
+    left = {"b": 1, "c": 9}
+
+    async def hook(x):
+        import asyncio
+
+        await asyncio.sleep(0.03 * (x == "a"))
+        if left.get(x, 0) > 0:
+            left[x] -= 1
+            raise ValueError(x)
+        if x == "slow":
+            await asyncio.sleep(9)
+        return x.upper()
+
+    got = models.run_bounded(hook, ["a", "b", "c", "slow", "", "a"], models.Bounds(in_flight=2, tries=2, seconds=0.5, pause=0.01))
+    assert got == [("A", None), ("B", None), (None, "ValueError: c"), (None, "TimeoutError: "), ("", None), ("A", None)]
+    assert models.run_bounded(hook, []) == []
+
+
+def test_a_hook_is_called_once_a_distinct_text_and_few_times_at_once(spark, tmp_path):
+    texts = [f"t{i % 37}" for i in range(500)] + [None, "bad", "bad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(6)
+    out = models.call_distinct(df, counting_hook(tmp_path, fails=("bad",)), "text", bounds=models.Bounds(in_flight=3, tries=2, pause=0.01))
+    for _ in range(2):  # a second reader calls nothing again
+        rows = {r.id: (r.output, r.error) for r in out.collect()}
+    assert rows == {i: (None, None) if t is None else (None, "ValueError: bad") if t == "bad" else (t.upper(), None) for i, t in enumerate(texts)}
+    calls = [p.read_text() for p in tmp_path.iterdir()]
+    assert sorted(calls) == sorted([f"t{i}" for i in range(37)] + ["bad"] * 2)
+    assert max(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) <= 3
+    assert models.call_distinct(df.limit(0), counting_hook(tmp_path), "text").count() == 0
+
+
+def test_coroutine_hooks_serve_where_batch_hooks_do(spark):
+    async def vector(x):
+        return [float(len(x)), 1.0] if x else None
+
+    rows = models.with_embeddings(spark.createDataFrame([("ab",), ("",)], "text string"), vector).collect()
+    assert [r.embedding for r in rows] == [[2.0, 1.0], None]
+
+
 def test_terms_are_counted_as_python_counts_them(spark):
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("aabกé") for _ in range(n))
