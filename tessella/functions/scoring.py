@@ -72,7 +72,12 @@ def phrase_weight(phrase: Column) -> Column:
 
 def phrase_matches(phrases: Column, c: Column | str) -> Column:
     """J3. The phrases a text holds."""
-    return let(match_text(c), lambda t: F.filter(phrases, lambda p: (p != "") & t.contains(p)))
+    return let(match_text(c), lambda t: phrases_in(phrases, t))
+
+
+def phrases_in(phrases: Column, hay: Column) -> Column:
+    """J3 of a text that is normalised already."""
+    return F.filter(phrases, lambda p: (p != "") & hay.contains(p))
 
 
 def relevance_terms(c: Column, n: int) -> Column:

@@ -14,8 +14,10 @@ import hashlib
 import inspect
 import json
 import re
+from collections import Counter
 from collections.abc import Awaitable, Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -61,6 +63,11 @@ def run_bounded(hook: Callable[[str], Awaitable[Any]], inputs: list[str], bounds
     return asyncio.run(all_())
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_hash(w: str) -> int:
+    return int.from_bytes(hashlib.sha1(w.encode()).digest()[:8], "big")
+
+
 def hash_embedding(dims: int = 64) -> Embed:
     """U2. Signed hashes of the words, scaled to unit length."""
 
@@ -68,9 +75,9 @@ def hash_embedding(dims: int = 64) -> Embed:
         out = []
         for t in texts:
             v = [0.0] * dims
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.sha1(w.encode()).digest()[:8], "big")
-                v[h % dims] += 1.0 if h >> 63 else -1.0
+            for w, n in Counter(re.findall(r"\w+", t.lower())).items():
+                h = _word_hash(w)
+                v[h % dims] += n if h >> 63 else -n
             n = sum(x * x for x in v) ** 0.5
             out.append([x / n for x in v] if n else None)
         return out

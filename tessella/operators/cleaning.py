@@ -77,11 +77,14 @@ def normalize_visible_text(c: Column | str, least: int = 10) -> Column:
 
 def is_boilerplate_chunk(c: Column | str, source_type: Column | None = None, chunk_index: Column | None = None) -> Column:
     """P12."""
-    t = match_text(c)
-    found = contains_any(t, BOILERPLATE_SIGNALS)
-    if source_type is not None:
-        found = found | ((source_type == "web_page") & (F.coalesce(chunk_index, F.lit(0)) >= 12) & contains_any(t, LATE_WEB_SIGNALS))
-    return found
+
+    def found(t: Column) -> Column:
+        out = contains_any(t, BOILERPLATE_SIGNALS)
+        if source_type is not None:
+            out = out | ((source_type == "web_page") & (F.coalesce(chunk_index, F.lit(0)) >= 12) & contains_any(t, LATE_WEB_SIGNALS))
+        return out
+
+    return let(match_text(c), found)  # normalised once, not for each signal
 
 
 def is_good_image_url(c: Column | str) -> Column:

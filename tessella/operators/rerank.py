@@ -18,16 +18,21 @@ def source_key(url: Column, path: Column, kind: Column, page: Column) -> Column:
     return F.coalesce(blank(url), blank(path), F.concat_ws(":", F.coalesce(blank(kind), F.lit("unknown")), F.coalesce(page, F.lit(0)).cast("string")))
 
 
-def rerank(df: DataFrame, question: str = "question", order: str = "ord") -> DataFrame:
+def phrases_of(questions: DataFrame, question: str = "question") -> DataFrame:
+    """(qid, _phrases) of questions of one row each: found once a question, not for each of its chunks."""
+    return once(questions.select("qid", F.col(question).alias("_q")), _phrases=intent.query_phrases("_q")).drop("_q")
+
+
+def rerank(df: DataFrame, question: str = "question", order: str = "ord", phrases: DataFrame | None = None, normal: str | None = None) -> DataFrame:
     """C2, J3, J7, A5, F22, F23, O9. Rows of (qid, question, ord, score, text, source columns) with combined and rank.
 
     Phrase matches raise a chunk, matches of its source raise all chunks of the
-    source; a question about one article keeps the best source only.
+    source; a question about one article keeps the best source only. ``phrases``: those of
+    ``phrases_of``, where the questions are a table of their own. ``normal``: a column of
+    the normalised texts, where texts meet many questions; it is dropped.
     """
-    # Phrases are found once a question, not for each of its chunks.
-    asked = df.select("qid", F.col(question).alias("_q")).distinct()
-    df = df.join(once(asked, _phrases=intent.query_phrases("_q")), F.col("_q").eqNullSafe(F.col(question)) & df["qid"].eqNullSafe(asked["qid"])).drop(asked["qid"]).drop("_q")
-    df = once(df, _found=scoring.phrase_matches(F.col("_phrases"), "text"))
+    df = once(df, _phrases=intent.query_phrases(question)) if phrases is None else df.join(phrases, "qid")
+    df = once(df, _found=scoring.phrase_matches(F.col("_phrases"), "text") if normal is None else scoring.phrases_in(F.col("_phrases"), F.col(normal))).drop(*[normal] if normal else [])
     df = df.withColumns(
         {
             "phrase_score": F.aggregate("_found", F.lit(0.0), lambda a, p: a + scoring.phrase_weight(p)),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.constants import MIN_SCORE
 from ..functions.text import preview, search_terms, text
-from . import patterns
+from . import nearest, patterns
 
 #: Query rows that are sent to every task at once; larger sets are taken in blocks of about as many.
 BROADCAST_QUERIES = 20_000
@@ -37,9 +37,11 @@ def vector_topk(
 ) -> DataFrame:
     """J1, P2, P5, O1, F10. The k nearest chunks of each query by exact L2 distance; score 1 / (1 + d), rank from 1.
 
-    Rows with a negative score_hint carry no vector and are left out. Ties go by id,
-    which must be unique. Only ids and distances are ranked; the rest of the winners'
-    rows is joined to them afterwards.
+    Rows with a negative score_hint carry no vector and are left out, as are vectors that
+    are null or of another length than the query's. Ties go by id,
+    which must be unique. A task compares its vectors with all queries of a block by
+    matrix products and passes on what can be among the k nearest, with exact distances.
+    Only ids and distances are ranked; the rest of the winners' rows is joined to them afterwards.
     """
     if "score_hint" in chunks.columns:
         chunks = chunks.where("score_hint >= 0")
@@ -47,12 +49,11 @@ def vector_topk(
     w = Window.partitionBy(query_id).orderBy("distance", ident)
 
     def answer(q: DataFrame) -> DataFrame:
-        pairs = narrow.crossJoin(q).select(ident, query_id, scoring.l2_distance(F.col(vector), F.col("_q")).alias("distance"))
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ranked = nearest.near_pairs(narrow, q, k, ident, vector, query_id).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         ranked = ranked.withColumn("score", scoring.similarity(F.col("distance"))).where(F.col("score") >= min_score)
         return _with_rows(chunks, ranked, rest, ident)
 
-    return in_blocks(queries.select(F.col(query_id), F.col(vector).alias("_q")), query_id, answer)
+    return in_blocks(queries.select(F.col(query_id), F.col(vector).alias("_q")).where("_q IS NOT NULL"), query_id, answer)
 
 
 def _with_rows(chunks: DataFrame, ranked: DataFrame, columns: list[str], ident: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import articles, intent, scoring
 from ..functions import constants as C
 from ..functions.text import contains_any, let, match_text, text
 from ..operators import chunking, cleaning, rerank, retrieval
-from ..tables import once
+from ..tables import once, written
 
 # Words that ask for a figure of a section, and for all trends at once.
 FIGURE_WORDS = ("เท่าไร", "เท่าไหร่", "ตัวเลข", "ช่วงเวลา", "%", "ปี")
@@ -38,14 +38,16 @@ def source_texts(rows: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def expand_primary(ranked: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("qid", "id", "text")) -> DataFrame:
+def expand_primary(ranked: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = ("qid", "id", "text"), phrases: DataFrame | None = None) -> DataFrame:
     """C3, A25, F24, P28. The best one or two matching sections of the primary source.
 
     A question without a match keeps its ranked chunks, or for one article the source's first ten;
     one without phrases keeps its ranked chunks.
     """
-    rows = once(source_rows(ranked, chunks), _p=intent.query_phrases("question")).where(F.size("_p") > 0)
-    rows = once(rows, _m=F.size(scoring.phrase_matches(F.col("_p"), "text")))
+    phrases = rerank.phrases_of(ranked.where("rank = 1")) if phrases is None else phrases
+    rows = source_rows(ranked, chunks).join(phrases.withColumnRenamed("_phrases", "_p").where(F.size("_phrases") > 0), "qid")
+    # Read by the hits and by what has none.
+    rows = written(once(rows, _m=F.size(scoring.phrase_matches(F.col("_p"), "text"))))
     hits = once(rows.where("_m > 0").drop("_m"), _t=rerank.trim_to_section(F.col("text"), F.col("_p"))).withColumn("text", F.col("_t")).drop("_t")
     hits = once(hits, _m=F.size(scoring.phrase_matches(F.col("_p"), "text")))
     dated = F.col("text").rlike(r"(?<![\p{L}\p{N}_])20\d{2}(?![\p{L}\p{N}_])") | F.col("text").contains("%")
@@ -88,8 +90,8 @@ def _first_best(df: DataFrame, partition: str, value: Column, *rank: Column) ->
 def focus_answers(sources: DataFrame) -> DataFrame:
     """C6, A23, F28, F29. Lead and figure of the section that matches a question best, for one article or a detail."""
     asked = sources.where(~intent.requests_list("question") & (intent.prefers_single_article("question") | intent.requests_detail("question")))
-    rows = asked.select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
-    rows = once(rows, _m=F.size(scoring.phrase_matches(intent.query_phrases("question"), "_s")))
+    rows = once(asked, _p=intent.query_phrases("question")).select("qid", "question", "_p", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
+    rows = once(rows, _m=F.size(scoring.phrase_matches(F.col("_p"), "_s")))
     dated = F.col("_s").rlike(r"(?<![\p{L}\p{N}_])20\d{2}(?![\p{L}\p{N}_])") | F.col("_s").contains("%")
     bonus = F.when(intent.wants_number("question") & dated, 1).otherwise(0)
     best = _first_best(rows.where("_m > 0"), "qid", F.col("_s"), F.col("_m") + bonus, F.col("_m"), F.length("_s"))
@@ -106,7 +108,8 @@ def focus_answers(sources: DataFrame) -> DataFrame:
 
 def trend_profiles(sources: DataFrame) -> DataFrame:
     """G15, F30, F31. Each trend of a question's source with its lead, actions, figures, sources and match with the question."""
-    rows = sources.where(~intent.requests_list("question")).select("qid", "question", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
+    asked = once(sources.where(~intent.requests_list("question")), _p=intent.query_phrases("question"))
+    rows = asked.select("qid", "question", "_p", F.posexplode(chunking.inline_sections("source_text")).alias("_pos", "_s"))
     rows = once(rows, _i=articles.numbered_item(F.col("_s"))).where("_i IS NOT NULL")
     rows = once(
         rows,
@@ -116,7 +119,7 @@ def trend_profiles(sources: DataFrame) -> DataFrame:
         _sources=articles.source_names(F.col("_s")),
     )
     whole = F.concat_ws(" ", F.col("_i.title"), F.col("_lead"), F.array_join("_actions", " "), F.array_join("_stats", " "))
-    return once(rows, _score=articles.profile_score(F.col("question"), whole, F.col("_i.title"), intent.query_phrases("question")))
+    return once(rows, _score=articles.profile_score(F.col("question"), whole, F.col("_i.title"), F.col("_p")))
 
 
 def article_answers(sources: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.text import text
 from ..models import Embed, Generate, call, call_checked, call_distinct, embed_column
 from ..operators import chunking, cleaning, evaluation, rerank, retrieval, store
 from ..operators import facts as facts_op
-from ..tables import written
+from ..tables import once, written
 from . import answers
 
 
@@ -103,37 +103,46 @@ def ask(
     search results (qid, ord, title, url, content), or what there is with a note.
     ``raw``: (path, text) of whole sources; without it no article is told.
     """
-    asked = written(routed(questions, router))
+    list_ = intent.requests_list("question")
+    section = ~list_ & (intent.prefers_single_article("question") | intent.requests_detail("question"))
+    asked = written(once(routed(questions, router), _phrases=intent.query_phrases("question")).withColumns({"_list": list_, "_section": section}))
+    phrases = asked.select("qid", "_phrases")
     found = retrieve(chunks, questions.select("qid", "question"), embed, max(k, 12), namespaces)
     where_from = F.concat_ws(" ", text("source_url"), text("source_path"))
     domain = F.col("domain")
     found = retrieval.prefer(found.join(asked.select("qid", "domain"), "qid"), (domain != "") & where_from.contains(domain), "qid").drop("domain")
-    first = written(rerank.rerank(found))
+    first = written(rerank.rerank(found, phrases=phrases))
     stored = chunks if "score_hint" in chunks.columns else chunks.withColumn("score_hint", F.lit(0.0))
     columns = ("qid", "question", "id", "namespace", "source_type", "source_url", "source_path", "page", "chunk_index", "text", "score")
     # What comes from the source itself is scored by its hint, as it wasn't searched.
-    expanded = answers.expand_primary(first, stored.withColumn("score", F.col("score_hint")), columns).join(first.select("qid", "id", F.col("rank").alias("_r")), ["qid", "id"], "left")
+    expanded = answers.expand_primary(first, stored.withColumn("score", F.col("score_hint")), columns, phrases).join(first.select("qid", "id", F.col("rank").alias("_r")), ["qid", "id"], "left")
     order = Window.partitionBy("qid").orderBy(F.col("_r").isNull(), "_r", "chunk_index", "id")
-    ranked = written(rerank.rerank(expanded.withColumn("ord", F.row_number().over(order)).drop("_r")))
-
-    sources = written(answers.source_texts(answers.source_rows(ranked, chunks), raw))
-    lists = answers.numbered_list_answers(sources).select("qid", "answer")
-    direct = [(1, "list", lists), (3, "section", answers.focus_answers(sources).select("qid", "answer"))]
+    ranked = written(rerank.rerank(expanded.withColumn("ord", F.row_number().over(order)).drop("_r"), phrases=phrases))
+
+    # Only branches that some question takes are planned.
+    lists, sections, keys = asked.agg(F.count_if("_list"), F.count_if("_section"), F.count_if((F.col("route") == "structured_rag") & (F.col("key") != ""))).first()
+    direct = []
+    if lists or sections:
+        wanted = ranked.join(asked.where("_list OR _section").select("qid"), "qid", "left_semi")
+        sources = written(answers.source_texts(answers.source_rows(wanted, chunks), raw))
+        direct += [(1, "list", answers.numbered_list_answers(sources).select("qid", "answer"))] if lists else []
+        direct += [(3, "section", answers.focus_answers(sources).select("qid", "answer"))] if sections else []
     if raw is not None:
         whole = answers.source_texts(answers.source_rows(ranked, chunks).join(raw.where("text <> ''").select(F.col("path").alias("source_path")), "source_path", "left_semi"), raw)
         direct.append((2, "article", answers.article_texts(whole)))
-    if facts is not None:
+    if facts is not None and keys:
         keyed = asked.where("route = 'structured_rag' AND key <> ''")
         told = facts_op.facts_answer(facts_of(facts, keyed)).join(keyed.select("qid", "key"), "qid")
         after_lists = told.where("key = 'numbered_section_title'").select("qid", "answer")
         direct += [(0, "facts", told.where("key <> 'numbered_section_title'").select("qid", "answer")), (1.5, "facts", after_lists)]
-    tagged = reduce(DataFrame.unionByName, [d.select("qid", F.struct(F.lit(float(i)).alias("i"), F.lit(by).alias("answered_by"), "answer").alias("a")) for i, by, d in direct])
+    none = asked.limit(0).select("qid", F.struct(F.lit(0.0).alias("i"), F.lit("").alias("answered_by"), F.lit("").alias("answer")).alias("a"))
+    tagged = reduce(DataFrame.unionByName, [none] + [d.select("qid", F.struct(F.lit(float(i)).alias("i"), F.lit(by).alias("answered_by"), "answer").alias("a")) for i, by, d in direct])
     direct_ = written(tagged.groupBy("qid").agg(F.min("a").alias("a")))
 
     top = ranked.where(F.col("rank") <= k)
     contexts = rerank.assemble_context(top)
-    matches = F.max(intent.prefers_single_article("question") & (F.size(scoring.phrase_matches(intent.query_phrases("question"), "text")) > 0))
-    contexts = contexts.join(top.groupBy("qid").agg(matches.alias("_match")), "qid")
+    matches = F.max(intent.prefers_single_article("question") & (F.size(scoring.phrase_matches(F.col("_phrases"), "text")) > 0))
+    contexts = contexts.join(top.join(phrases, "qid").groupBy("qid").agg(matches.alias("_match")), "qid")
     # Only what isn't answered yet is generated.
     open_ = asked.select("qid", "question").join(direct_.select("qid"), "qid", "left_anti")
     prompts = open_.join(contexts, "qid")

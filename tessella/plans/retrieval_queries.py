@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scoring
-from ..functions.text import search_terms
+from ..functions.text import match_text, search_terms
 from ..operators import chunking, evaluation, patterns, rerank, retrieval, store
 from ..operators.cleaning import budget_prefix, focus_window
 from ..operators.facts import facts_answer, parse_facts
 from ..sources.readers import table
+from ..tables import once
 from .registry import matched, phrases_of, query, quoted
 
 
@@ -136,7 +137,6 @@ def lexical_batch(spark, sf_dir):
 def phrase_counts(spark, sf_dir):
     """How many texts hold each phrase of the benchmark's items, and how often."""
     from ..functions import intent
-    from ..functions.text import match_text
 
     phrases = table(spark, sf_dir, "benchmark").select(F.explode(intent.query_phrases("text")).alias("term"))
     found = patterns.find_terms(table(spark, sf_dir, "documents").select("doc_id", match_text("text").alias("text")), phrases, "doc_id")
@@ -319,10 +319,10 @@ def questions(spark, sf_dir):
 )
 def rerank_all(spark, sf_dir):
     """No question is about one article, and each meets the chunks of one address."""
-    c = chunks(spark, sf_dir)
+    c = once(chunks(spark, sf_dir), normal=match_text("text"))
     asked = questions(spark, sf_dir).withColumn("_s", F.concat(F.lit("https://src"), (F.col("qid") % 20).cast("string"), F.lit(".example.com")))
     rows = c.join(asked, F.col("source_url") == F.col("_s")).withColumns({"score": F.lit(0.1), "ord": F.col("id")})
-    return rerank.rerank(rows).select("qid", "id", "rank", F.round("combined", 6).alias("combined"), "matches")
+    return rerank.rerank(rows, phrases=rerank.phrases_of(questions(spark, sf_dir)), normal="normal").select("qid", "id", "rank", F.round("combined", 6).alias("combined"), "matches")
 
 
 RELEVANT = "contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'thereon') OR contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 'apache license')"

@@ -385,6 +385,28 @@ def test_coroutine_hooks_serve_where_batch_hooks_do(spark):
     assert [r.embedding for r in rows] == [[2.0, 1.0], None]
 
 
+def test_nearest_vectors_equal_plain_distances(spark, monkeypatch):
+    """Small steps and whole batches; ties, copies, far offsets, null vectors and other lengths."""
+    import math
+
+    from tessella.operators import nearest
+
+    rng = random.Random(12)
+    draw = lambda: [float(rng.randint(-3, 3)) + 1000 * (rng.random() < 0.1) for _ in range(4)]
+    rows = [(i, draw()) for i in range(300)] + [(400, None), (401, [1.0] * 5), (402, [])]
+    asked = [(f"q{i}", draw()) for i in range(20)] + [("five", [1.0, 2.0, 3.0, 4.0, 5.0]), ("null", None)]
+    c = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame(asked, "qid string, embedding array<float>")
+    want = {}
+    for name, v in asked:
+        near = sorted((math.dist(x, v), i) for i, x in rows if v and x and len(x) == len(v))[:7]
+        want |= {(name, n): (i, round(d, 9)) for n, (d, i) in enumerate(near, 1)}
+    for cells in (2_000_000, 100):
+        monkeypatch.setattr(nearest, "CELLS", cells)
+        got = retrieval.vector_topk(c, q, 7, min_score=0.0).collect()
+        assert {(r.qid, r["rank"]): (r.vec_id, round(r.distance, 9)) for r in got} == want
+
+
 def test_terms_are_counted_as_python_counts_them(spark):
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("aabกé") for _ in range(n))
