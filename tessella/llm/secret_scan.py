@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from .shared import bound_batches, drop_kept, free_names, materialise
 
 # Kinds in their order; the first three are the base.
-KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
+KINDS = ("assign", "access", "hex", "pem", "jwt", "url", "provider")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
 )
@@ -55,6 +55,33 @@ PEM_BODY = re.compile(
     rf"(?:{PEM_GAP}*(?:Proc-Type|DEK-Info|Content-Domain):[^\n\\]*)*(?:{PEM_GAP}*[A-Za-z0-9+/]{{16,}}+={{0,2}})+(?:{PEM_GAP}+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/]+={{0,2}}(?![A-Za-z0-9+/=]))?"
 )
 _PEM_GAPS = re.compile(PEM_GAP)
+# Openings of keys that providers issue, each with what follows: code hosts, chat, maps, payment, mail, package registries, models, clouds.
+PROVIDERS = (
+    ("ghp_", "[A-Za-z0-9]{36,}"),
+    ("gho_", "[A-Za-z0-9]{36,}"),
+    ("ghu_", "[A-Za-z0-9]{36,}"),
+    ("ghs_", "[A-Za-z0-9]{36,}"),
+    ("ghr_", "[A-Za-z0-9]{36,}"),
+    ("github_pat_", "[A-Za-z0-9_]{22,}"),
+    ("glpat-", "[A-Za-z0-9_-]{20,}"),
+    ("xoxb-", "[A-Za-z0-9-]{10,}"),
+    ("xoxp-", "[A-Za-z0-9-]{10,}"),
+    ("xoxa-", "[A-Za-z0-9-]{10,}"),
+    ("xoxr-", "[A-Za-z0-9-]{10,}"),
+    ("xoxs-", "[A-Za-z0-9-]{10,}"),
+    ("AIza", "[A-Za-z0-9_-]{35}"),
+    ("sk_live_", "[A-Za-z0-9]{16,}"),
+    ("rk_live_", "[A-Za-z0-9]{16,}"),
+    ("sk_test_", "[A-Za-z0-9]{16,}"),
+    ("SG.", "[A-Za-z0-9_-]{16,}\\.[A-Za-z0-9_-]{16,}"),
+    ("npm_", "[A-Za-z0-9]{36,}"),
+    ("pypi-", "[A-Za-z0-9_-]{32,}"),
+    ("hf_", "[A-Za-z0-9]{30,}"),
+    ("sk-", "[A-Za-z0-9_-]{32,}"),
+    ("ya29.", "[A-Za-z0-9_-]{24,}"),
+    ("ASIA", "[A-Z0-9]{16,}"),
+)
+_PROVIDER = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(re.escape(a) + b for a, b in PROVIDERS) + ")", re.ASCII)
 _JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 #: Most characters of an address's scheme that count.
 SCHEME = 32
@@ -112,6 +139,8 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
         out += _private_keys(text)
     if "eyJ" in text:
         out += _web_tokens(text)
+    if any(opening in text for opening, _ in PROVIDERS):
+        out += [(m.start(), 6, m.end(), m[0]) for m in _PROVIDER.finditer(text)]
     out.sort()
     return out
 

@@ -377,7 +377,7 @@ def test_patterns_are_linear_in_the_text():
 
     n = 1_000_000
     began = time.time()
-    for text in ("a" * n + "://", "eyJ" * (n // 3), "a://" * (n // 4), "eyJaaaaaaaa." * (n // 12), "token " * (n // 6), "AKIA" * (n // 4), "-----BEGIN " * (n // 11), "://aa:bbbbbb" * (n // 12)):
+    for text in ("a" * n + "://", "eyJ" * (n // 3), "a://" * (n // 4), "eyJaaaaaaaa." * (n // 12), "token " * (n // 6), "AKIA" * (n // 4), "-----BEGIN " * (n // 11), "://aa:bbbbbb" * (n // 12), "xoxb-" * (n // 5), "sk-" * (n // 3), "SG.aaaaaaaaaaaaaaaa" * (n // 19), "ghp_ " * (n // 5)):
         secret_scan.find_secrets(text)
     assert time.time() - began < 8
     jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
@@ -385,6 +385,25 @@ def test_patterns_are_linear_in_the_text():
     assert got == [("jwt", 1, 39), ("jwt", 40, 78), ("url", 80, 102)]
 
 
+def test_keys_of_providers(spark):
+    """Standing alone, in prose and behind an assignment; openings that nothing follows and parts of longer words are none."""
+    rng = random.Random(33)
+    body = lambda n: "".join(rng.choice("ABCDEFabcdefGHIJ0123456789") for _ in range(n))
+    keys = [f"ghp_{body(36)}", f"xoxb-{body(12)}-{body(24)}", f"AIza{body(35)}", f"sk_live_{body(24)}", f"SG.{body(22)}.{body(43)}", f"npm_{body(36)}", f"glpat-{body(20)}", f"github_pat_{body(22)}_{body(59)}", "ASIA" + body(16).upper()]
+    for k in keys:
+        for text in (k, f"Use {k}, please.", f"key\t{k}\n"):
+            got = [(a, b) for a, kind, b, _ in secret_scan.find_secrets(text) if secret_scan.KINDS[kind] == "provider"]
+            assert got == [(text.index(k), text.index(k) + len(k))]
+    assert [secret_scan.KINDS[k] for _, k, _, _ in secret_scan.find_secrets(f"token = {keys[0]}")] == ["assign", "provider"]
+    for text in ("ghp_short", "xghp_" + body(40), "sk-learn and sk-ip", "SG.x.y", "AIza", "npm_install"):
+        assert not [s for s in secret_scan.find_secrets(text) if s[1] == 6]
+    rows = [(i, f"see {keys[0]} here", f"solo/r{i}") for i in range(3)] + [(10 + i, f"see {keys[1]} here", f"o{i}/r") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    assert {(r.n_live, r.n_shared) for r in secret_scan.scan_secrets(df).where("doc_id < 10").collect()} == {(1, 0)}
+    assert {(r.n_live, r.n_shared) for r in secret_scan.scan_secrets(df).where("doc_id >= 10").collect()} == {(0, 1)}
+    assert {r.text for r in secret_scan.redact_live(df).where("doc_id < 10").collect()} == {"see [SECRET] here"}
+
+
 def test_owners_are_told_from_repositories(spark):
     origins = ["acme/one", "https://acme.org/x", "https://www.forge.net/acme/one", "http://forge.net/acme/two", "src1", "", None]
     df = spark.createDataFrame([(o,) for o in origins], "o string")
