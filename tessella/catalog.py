@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import file_queries, folder_queries, ops_queries, registry, retrieval_queries, text_queries  # noqa: F401
+from .plans import column_queries, file_queries, folder_queries, ops_queries, registry, retrieval_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
