@@ -5,7 +5,7 @@ parts; each part position has a codebook of ``ENTRIES`` entries that starts as
 the parts of the least vec_ids and is refined in ``ROUNDS`` rounds. A part is
 assigned to its nearest entry: for blocks of a part, the squared distance is at
 least length * (difference of means)^2 + (difference of residual norms)^2. One
-block of a whole part filters all entries, halves and then quarters filter what
+block of a whole part filters all entries, halves, quarters and so on filter what
 is left, and the survivors get exact integer distances. The bounds allow for
 rounding, so no nearest entry is lost; ties go to the lower index.
 
@@ -44,8 +44,8 @@ ROUNDS = 4
 SCALE = 1024
 #: Largest integer component.
 MOST = 1 << 26
-#: Parts that are compared at once, to bound the memory of a task.
-STEP = 4096
+#: Parts that are compared at once: their bounds fit a processor's cache.
+STEP = 512
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -57,22 +57,34 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 class Blocks:
-    """Sums and residual norms of vectors in equal blocks, from coarse to fine."""
+    """Vectors in equal blocks, from coarse to fine: of each level the scaled means and the residual norms of the blocks.
+
+    The bound of a pair is the squared distance of these rows, as length * (difference
+    of means)^2 is the squared difference of means that are scaled by the root of the length.
+    """
 
     def __init__(self, x: np.ndarray):
         self.levels = []
         width = x.shape[1]
-        for n in (1, 2, 4):
+        for n in LEVELS:
             if width % n == 0 and (n == 1 or width // n > 1):
                 b = x.reshape(len(x), n, width // n).astype(np.float64)
                 mean = b.mean(axis=2)
                 rest = np.sqrt(((b - mean[:, :, None]) ** 2).sum(axis=2))
-                self.levels.append((width // n, mean, rest))
+                self.levels.append(np.hstack([mean * np.sqrt(width // n), rest]))
+        self.square = (self.levels[0] ** 2).sum(axis=1)
+
+
+def _bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of all pairs at one level, as one matrix product."""
+    one = np.ones((len(a), 1))
+    return np.hstack([-2 * a, one, (a * a).sum(axis=1)[:, None]]) @ np.hstack([b, (b * b).sum(axis=1)[:, None], np.ones((len(b), 1))]).T
 
 
-def _bound(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lower bounds of the squared distances of pairs (i, j) at one level."""
-    return (a[0] * (a[1][i] - b[1][j]) ** 2 + (a[2][i] - b[2][j]) ** 2).sum(axis=-1)
+#: Blocks of a part at each level.
+LEVELS = (1, 2, 4, 8, 16)
+#: While more than this share of the pairs is left, a level bounds all pairs at once, which is cheaper than one by one.
+DENSE = 1 / 16
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +104,27 @@ def _exact(x: np.ndarray, book: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 def _nearest(x: np.ndarray, book: np.ndarray, entries: Blocks) -> tuple[np.ndarray, np.ndarray, int]:
     """``nearest`` of one step, and how many exact distances it took."""
     own = Blocks(x)
-    (size, mean, rest), (_, means, rests) = own.levels[0], entries.levels[0]
-    low = size * (mean - means.T) ** 2 + (rest - rests.T) ** 2
     rows = np.arange(len(x))
-    most = _exact(x, book, rows, low.argmin(axis=1))
     # Rounding of the bounds is far below a billionth of what they are made of.
-    slack = 1e-9 * (size * mean[:, 0] ** 2 + rest[:, 0] ** 2 + most) + 1e-6
-    slack += 1e-9 * float((size * means[:, 0] ** 2 + rests[:, 0] ** 2).max())
-    i, j = np.nonzero(low <= (most + slack)[:, None])
-    for a, b in zip(own.levels[1:], entries.levels[1:]):
-        near = _bound(a, b, i, j) <= (most + slack)[i]
-        i, j = i[near], j[near]
+    slack = 1e-9 * (own.square + float(entries.square.max())) + 1e-6
+    most = np.full(len(x), np.iinfo(np.int64).max)
+    mask, i, j, taken = None, None, None, 0
+    for a, b in zip(own.levels, entries.levels):
+        if i is None:
+            low = _bounds(a, b)
+            if mask is not None:
+                low[~mask] = np.inf
+            # The exact distance to the entry of the least bound is one that the nearest doesn't exceed.
+            most = np.minimum(most, _exact(x, book, rows, low.argmin(axis=1)))
+            taken += len(x)
+            mask = low <= (most + slack)[:, None]
+            if mask.mean() <= DENSE:
+                i, j = np.nonzero(mask)
+        else:
+            near = ((a[i] - b[j]) ** 2).sum(axis=1) <= (most + slack)[i]
+            i, j = i[near], j[near]
+    if i is None:
+        i, j = np.nonzero(mask)
     d = _exact(x, book, i, j)
     # Rows are in order of (row, entry): the first least distance of a row has the lowest index.
     first = np.searchsorted(i, rows)
@@ -110,7 +132,7 @@ def _nearest(x: np.ndarray, book: np.ndarray, entries: Blocks) -> tuple[np.ndarr
     hit = np.flatnonzero(d == best[i])
     code = np.zeros(len(x), np.int64)
     code[i[hit][::-1]] = j[hit][::-1]
-    return code, best, len(i)
+    return code, best, taken + len(i)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
