@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, rerank, store
 from ..sources import readers, sinks
+from ..sources.page_tables import form_feed_pages, page_rows
 from ..sources.readers import table
 from ..tables import scratch
 from .registry import query
@@ -141,6 +142,26 @@ def pdf_pages(spark, sf_dir):
     return readers.pdf_pages(p).select("page", "extract_method", F.sha1("text").alias("digest"))
 
 
+@query(
+    "pdf_folder",
+    """WITH s AS (SELECT s_suppkey AS k, s_name AS n, s_suppkey % 20 = 0 AS broken FROM supplier)
+    SELECT k::INT AS k, 'page_text' AS type, 1 AS page, 'Page of ' || n AS text, NULL::BIGINT AS image, NULL AS problem FROM s WHERE NOT broken
+    UNION ALL SELECT k::INT, 'page_text', 2, 'More on it', NULL, NULL FROM s WHERE NOT broken
+    UNION ALL SELECT k::INT, 'figure', 2, NULL, k, NULL FROM s WHERE NOT broken
+    UNION ALL SELECT k::INT, NULL, NULL, NULL, NULL, 'UnicodeDecodeError' FROM s WHERE broken""",
+)
+def pdf_folder(spark, sf_dir):
+    """A file a supplier, a twentieth of them broken, through the table function."""
+    root = scratch(spark)
+    k = F.col("s_suppkey")
+    body = F.concat(F.lit("Page of "), "s_name", F.lit("\fMore on it\n[figure "), k.cast("string"), F.lit("]"))
+    lines = F.when(k % 20 == 0, F.concat(F.unhex(F.lit("FF")), body.cast("binary")).cast("string")).otherwise(body)
+    table(spark, sf_dir, "supplier").select(k.alias("k"), lines.alias("value")).write.partitionBy("k").text(root)
+    rows = page_rows(readers.files(spark, root, (".txt",), content=True), form_feed_pages)
+    problem = F.substring_index("problem", ":", 1)
+    return rows.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("int").alias("k"), "type", "page", "text", "image", problem.alias("problem"))
+
+
 @query("data_uris", "SELECT c_custkey AS id, 'image/png' AS content_type, sha1(c_name) AS sha1 FROM customer WHERE c_custkey % 3 > 0")
 def data_uris(spark, sf_dir):
     """Names of customers as the bytes of images; a third of the images have an address instead."""

@@ -545,6 +545,28 @@ def test_answers_from_numbered_sources(spark):
     assert best[2].title == "Clean Energy" and best[2].match_score == 1
 
 
+def test_a_table_function_reads_files(spark):
+    """Laterally and in SQL; a file that fails halfway keeps what came before, and costs no other."""
+    from tessella.sources import page_tables
+
+    def extract(content):
+        for n, t in enumerate(content.decode().split("|"), 1):
+            if t == "bad":
+                raise ValueError("no page")
+            yield n, t
+
+    files = spark.createDataFrame([("a", bytearray(b"x|y")), ("b", bytearray(b"z|bad|w")), ("c", None), ("d", bytearray(b"\xff"))], "path string, content binary").withColumn("page", F.lit("clash"))
+    want = {("a", 1, "x", None), ("a", 2, "y", None), ("b", 1, "z", None), ("b", None, None, "ValueError: no page")}
+    rows = page_tables.page_rows(files, extract, "n int, t string").collect()
+    assert {tuple(r) for r in rows if r.path != "d"} == want and [r.problem.split(":")[0] for r in rows if r.path == "d"] == ["UnicodeDecodeError"]
+    spark.udtf.register("pages_of", page_tables.page_table(extract, "n int, t string"))
+    sql = spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL pages_of(f.path, f.content) p WHERE f.path <> 'd'", files=files)
+    assert {tuple(r) for r in sql.collect()} == want
+    with pytest.raises(Exception, match="path string, content binary"):
+        spark.sql("SELECT * FROM pages_of(1, 'x')").collect()
+    assert page_tables.page_rows(files.limit(0), extract, "n int, t string").count() == 0
+
+
 def test_pages_of_files(spark, tmp_path):
     for n, b in (("a.pdf", b"one|two"), ("b.pdf", b"bad")):
         (tmp_path / n).write_bytes(b)
