@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scoring
 from ..functions.text import match_text, search_terms
-from ..operators import chunking, evaluation, patterns, rerank, retrieval, store
+from ..operators import chunking, evaluation, patterns, pivots, rerank, retrieval, store
 from ..operators.cleaning import budget_prefix, focus_window
 from ..operators.facts import facts_answer, parse_facts
 from ..sources.readers import table
@@ -61,6 +61,18 @@ def batch_knn(spark, sf_dir):
     return out.select("qid", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "pivot_knn",
+    f"""SELECT qid, vec_id, rank, round(d, 6) AS distance FROM (SELECT q.vec_id AS qid, e.vec_id, {L2} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id) AS rank
+      FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5""",
+)
+def pivot_knn(spark, sf_dir):
+    """J1 over an index of all vectors by pivots, for the queries of batch_knn."""
+    e = table(spark, sf_dir, "embeddings")
+    found, _ = pivots.PivotIndex.build(e).nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 5)
+    return found.select("qid", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 @query(
     "adjacent_cosine",
     """SELECT vec_id, round(dot / (sqrt(aa) * sqrt(bb) + 1e-9), 6) AS similarity FROM (SELECT vec_id, list_dot_product(a, b) AS dot, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb

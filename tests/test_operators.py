@@ -385,6 +385,36 @@ def test_coroutine_hooks_serve_where_batch_hooks_do(spark):
     assert [r.embedding for r in rows] == [[2.0, 1.0], None]
 
 
+@pytest.mark.parametrize("spread,most", [(0.1, 0.3), (30.0, 1.0)])
+def test_pivots_find_the_nearest_and_spare_distances(spark, tmp_path, spread, most):
+    """Clustered vectors and scattered ones; ties, copies, null vectors, other lengths, more neighbours than vectors."""
+    import math
+
+    from tessella.operators.pivots import PivotIndex
+
+    rng = random.Random(15)
+    centres = [[rng.gauss(0, 10) for _ in range(5)] for _ in range(8)]
+    draw = lambda: [float(round(c + rng.gauss(0, spread), 2)) for c in rng.choice(centres)]
+    rows = [(i, draw()) for i in range(600)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    asked = [(f"q{i}", rows[i][1] if i % 2 else draw()) for i in range(25)]
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([*rows, (2000, None), (2001, [1.0]), (2002, [])], schema).withColumn("cell", F.lit("clash")).repartition(4)
+    q = spark.createDataFrame([*asked, ("null", None), ("short", [1.0])], "qid string, embedding array<double>")
+    index = PivotIndex.build(df, n=16, path=f"file://{tmp_path}/index")
+    assert index.size.sum() == len(rows)
+    for k in (1, 7):
+        want = {(name, n): (i, round(d, 9)) for name, v in asked for n, (d, i) in enumerate(sorted((math.dist(x, v), i) for i, x in rows)[:k], 1)}
+        found, told = index.nearest(q, k)
+        assert {(r.qid, r["rank"]): (r.vec_id, round(r.distance, 9)) for r in found.collect()} == want
+        computed, pairs = told.first()
+        assert pairs == len(asked) * len(rows) and 0 < computed <= most * pairs
+    everything, _ = index.nearest(q.limit(3), 10_000)
+    assert everything.count() == 3 * len(rows)
+    empty = PivotIndex.build(df.limit(0), path=f"file://{tmp_path}/none")
+    assert empty.nearest(q, 3)[0].count() == 0 and empty.nearest(q, 3)[1].first() == (0, 0)
+
+
 def test_nearest_vectors_equal_plain_distances(spark, monkeypatch):
     """Small steps and whole batches; ties, copies, far offsets, null vectors and other lengths."""
     import math
