@@ -14,8 +14,8 @@ from .pipelines import ingest_texts
 from .registry import query
 from .stages import Stage, Stages
 
-#: Where ``scraped`` puts the files: partitions of Spark's writers in the place of named files.
-PLACES = {"content": "content/k=*", "meta": "meta/k=*", "outline": "outline/k=*", "images": "images", "ocr": "ocr_results/*"}
+#: Where ``scraped`` puts the files: those of one document each are packed, as there are as many as suppliers.
+PLACES = {"content": "content.parquet", "meta": "meta.parquet", "outline": "outline.parquet", "images": "images", "ocr": "ocr_results/*"}
 
 
 def scraped(spark, sf_dir: str) -> str:
@@ -27,12 +27,17 @@ def scraped(spark, sf_dir: str) -> str:
         F.lit("Home News\nAn introduction of "), name, F.lit(" for those who ask.\n1. Balance of "), name, F.lit("\nIt stands at "), F.col("s_acctbal").cast("decimal(20,2)").cast("string"), F.lit(" in all, as of now.\n2. Place of "), name, F.lit("\nIt is found in nation "), F.col("s_nationkey").cast("string"), F.lit(", and nowhere else."),
     )
     content = F.when(k % 5 == 0, F.concat(F.lit("Only "), name, F.lit(" is here, without any sections."))).otherwise(several)
-    stray = F.concat(content.cast("binary"), F.unhex(F.lit("FF"))).cast("string")
-    s.select(k.alias("k"), F.when(k % 20 == 0, stray).otherwise(content).alias("value")).write.partitionBy("k").text(f"{root}/content")
+    stray = F.concat(content.cast("binary"), F.unhex(F.lit("FF")))
+
+    def put(rows, name, value):
+        path = F.concat(F.lit(f"{root}/{name}/k="), k.cast("string"), F.lit(f"/{name}"))
+        readers.pack(rows.select(path.alias("path"), value.cast("binary").alias("content")), f"{root}/{name}.parquet")
+
+    put(s, "content", F.when(k % 20 == 0, stray).otherwise(content.cast("binary")))
     meta = F.to_json(F.struct(F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example.com")).alias("source_url"), F.concat(F.lit("About "), name).alias("title")))
-    s.select(k.alias("k"), F.when(k % 10 == 0, F.substring(meta, 1, 20)).otherwise(meta).alias("value")).write.partitionBy("k").text(f"{root}/meta")
+    put(s, "meta", F.when(k % 10 == 0, F.substring(meta, 1, 20)).otherwise(meta))
     outline = F.concat(F.lit('[{"order": 1, "title": "- First of '), name, F.lit('"}, {"order": "2", "title": "Second"}, {"order": 0, "title": "none"}]'))
-    s.where(k % 2 == 0).select(k.alias("k"), F.when(k % 25 == 0, F.substring(outline, 1, 30)).otherwise(outline).alias("value")).write.partitionBy("k").text(f"{root}/outline")
+    put(s.where(k % 2 == 0), "outline", F.when(k % 25 == 0, F.substring(outline, 1, 30)).otherwise(outline))
 
     p = F.col("p_partkey")
     image = F.to_json(
@@ -96,8 +101,7 @@ def site_folder_facts(spark, sf_dir):
 def site_folder_errors(spark, sf_dir):
     """What can't be read, each file and row for itself."""
     errors = read_folder(spark, scraped(spark, sf_dir), "external", PLACES).errors
-    line_end = F.regexp_replace("record", r"\n$", "")  # the text writer's
-    return errors.select("kind", "problem", F.regexp_extract("file", "/k=([0-9]+)/", 1).alias("place"), line_end.alias("record"))
+    return errors.select("kind", "problem", F.regexp_extract("file", "/k=([0-9]+)/", 1).alias("place"), "record")
 
 
 @query(

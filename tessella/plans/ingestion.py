@@ -4,7 +4,8 @@ A site folder holds content.txt, page_meta.json, outline.json and
 images_understanding.jsonl; beside the site folders stand the OCR results. All files of a
 kind are one scan, told apart by their paths, and the kinds meet by folder, so one
 plan ingests any number of folders. A file or row that can't be read costs itself
-alone: it is a row of ``errors``, and the rest goes on.
+alone: it is a row of ``errors``, and the rest goes on. Files of one document each may
+also be packed, as rows (path, content) of a Parquet table (``readers.pack``).
 """
 
 from __future__ import annotations
@@ -69,7 +70,9 @@ def _missing(e: AnalysisException) -> bool:
 
 
 def file_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, content) of the files of a pattern, none if there are none."""
+    """(_file, content) of the files of a pattern, none if there are none; a pattern that ends in ``.parquet`` names packed files."""
+    if path.endswith(".parquet"):
+        return readers.packed(spark, path).select(F.col("path").alias(FILE), "content")
     try:
         return spark.read.format("binaryFile").load(path).select(F.col("path").alias(FILE), "content")
     except AnalysisException as e:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella import models
 from tessella.operators import store, summaries
-from tessella.plans import folder_queries, ingestion, stages
+from tessella.plans import file_queries, folder_queries, ingestion, stages
 from tessella.plans.stages import Stage, Stages
+from tessella.sources import readers
 
 
 @pytest.fixture()
@@ -58,6 +59,33 @@ def test_a_folder_is_read_whole_and_its_faults_are_told(spark, folder):
     assert [r.image_path for r in found.skipped.collect()] == ["/f/1"]
 
 
+def test_packed_files_are_read_as_files_are(spark, folder, tmp_path):
+    for kind in ("content", "meta", "outline"):
+        readers.pack(spark.read.format("binaryFile").load(f"{folder}/{ingestion.PLACES[kind]}"), f"{folder}/{kind}.parquet")
+    packed = ingestion.read_folder(spark, folder, "external", {k: f"{k}.parquet" for k in ("content", "meta", "outline")})
+    plain = ingestion.read_folder(spark, folder, "external")
+    for name in ("texts", "facts", "errors", "skipped"):
+        a, b = ([tuple(r) for r in getattr(x, name).collect()] for x in (packed, plain))
+        assert sorted(a, key=repr) == sorted(b, key=repr) and a, name
+    nothing = ingestion.read_folder(spark, f"file://{tmp_path}/none", "external", {"content": "content.parquet"})
+    assert nothing.texts.count() == 0
+
+
+def _suppliers(spark, sf_dir, tmp_path, rows):
+    for name in ("part", "customer"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").limit(1).drop("s_suppkey")
+    s.crossJoin(spark.range(1, rows + 1, 1, 2).withColumnRenamed("id", "s_suppkey")).write.parquet(f"file://{tmp_path}/supplier.parquet")
+    return f"file://{tmp_path}"
+
+
+@pytest.mark.parametrize("module, name", [(folder_queries, "scraped"), (file_queries, "pdf_folder")])
+def test_folders_of_queries_are_no_file_a_supplier(spark, sf_dir, tmp_path, monkeypatch, module, name):
+    monkeypatch.setattr(module, "scratch", lambda _: f"file://{tmp_path}/scratch")
+    getattr(module, name)(spark, _suppliers(spark, sf_dir, tmp_path, 300))
+    assert 0 < len(list((tmp_path / "scratch").rglob("part-*"))) < 60
+
+
 def test_a_folder_goes_into_a_store(spark, folder, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store")
     s.init()
