@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text
-from ..tables import written
 
 #: Buckets of a namespace. A store keeps the number it was made with.
 BUCKETS = 64
+#: Tasks that share a bucket of a namespace, a file each.
+BUCKET_PARTS = 4
 CHUNKS = (
     "id string, namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, chunk_total int, text string, embedding array<float>, score_hint double"
 )
@@ -99,9 +100,10 @@ class Store:
         """S2."""
         return self._read("facts", FACTS)
 
-    def _upsert(self, name: str, new: DataFrame) -> None:
+    def _upsert(self, name: str, new: DataFrame, ident: Column) -> None:
         schema = CHUNKS if name == "chunks" else FACTS
-        bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+        columns = T.StructType.fromDDL(schema).names
+        bucket = F.pmod(F.xxhash64(ident), F.lit(BUCKETS)).cast("int")
         new = new.withColumn("bucket", bucket)
         # At most BUCKETS rows a namespace; literals, so that other partitions aren't read.
         touched = new.select("namespace", "bucket").distinct().collect()
@@ -112,15 +114,24 @@ class Store:
             spaces.setdefault(r["namespace"], []).append(r["bucket"])
         meets = reduce(lambda a, b: a | b, [(F.col("namespace") == n) & F.col("bucket").isin(b) for n, b in spaces.items()])
         stored = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}").where(meets)
-        # Written apart first, as what is read can't be overwritten; each upsert has a folder of its own.
-        again = written(merge_by_id(stored, new.select(*stored.columns)))
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
+        # One shuffle of both, parted as the folders are. New rows get their ids behind it, as hashes don't compress.
+        part = F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(BUCKET_PARTS)).cast("int")
+        old = stored.select(*columns, "bucket", F.lit(True).alias("_old"))
+        rows = old.unionByName(new.withColumns({"id": F.lit(None).cast("string"), "_old": F.lit(False)}).select(*columns, "bucket", "_old"))
+        keys = ["namespace", "bucket", "_part"]
+        rows = rows.withColumn("_part", part).repartition(*keys).withColumn("id", F.coalesce("id", ident))
+        # The least new row of an id, or the stored one; grouped in place, without another shuffle.
+        rest = [c for c in columns if c not in ("id", "namespace")]
+        merged = rows.groupBy(*keys, "id").agg(F.min(F.struct("_old", *rest)).alias("_r")).select("id", "namespace", *[F.col(f"_r.{c}").alias(c) for c in rest], "bucket")
+        # Folders are replaced when all tasks are done, so what is read stays until then.
+        out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        out.partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
 
     def upsert_chunks(self, new: DataFrame) -> None:
-        self._upsert("chunks", with_defaults(new, CHUNKS).withColumn("id", chunk_id()))
+        self._upsert("chunks", with_defaults(new, CHUNKS), chunk_id())
 
     def upsert_facts(self, new: DataFrame) -> None:
-        self._upsert("facts", with_defaults(new, FACTS).withColumn("id", fact_id()))
+        self._upsert("facts", with_defaults(new, FACTS), fact_id())
 
 
 def display_name(path: Column, kind: Column) -> Column:

@@ -1,6 +1,7 @@
 """Physical plans: what is shuffled, limited and read."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import catalog
 
@@ -38,3 +39,30 @@ def test_scans_read_what_they_need(spark, sf_dir):
 
 def test_previews_take_the_top_rows(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(QUERIES["preview_chunks"](spark, sf_dir))
+
+
+def test_ids_are_dealt_as_bytes_before_they_are_counted(spark, sf_dir):
+    p = plan(QUERIES["fact_ids"](spark, sf_dir))
+    assert "REPARTITION_BY_COL" in p and "unhex(sha1" in p
+
+
+def test_an_upsert_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    from tessella import tables
+    from tessella.operators import store
+
+    def refused(_):
+        raise AssertionError("an upsert has no intermediate table")
+
+    monkeypatch.setattr(tables, "scratch", refused)
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.init()
+    facts = spark.range(2000).selectExpr("'a' AS namespace", "concat('e', id) AS entity", "'k' AS key", "cast(id AS string) AS value", "'u' AS unit")
+    s.upsert_facts(facts.where("value < 1000"))
+    # Old ones, two with one id of which the least stays, and an id from before.
+    s.upsert_facts(facts.unionByName(facts.withColumn("unit", F.lit("t")).where("value = '7'")).where("value <> '8'"))
+    got = {r.entity: (r.value, r.unit, r.id) for r in s.facts().collect()}
+    assert s.facts().count() == len(got) == 2000 and got["e7"][:2] == ("7", "t") and got["e8"][:2] == ("8", "u")
+    want = s.facts().withColumn("i", store.fact_id())
+    assert want.where("i <> id").count() == 0
+    files = list((tmp_path / "store/facts/namespace=a").rglob("part-*"))
+    assert len(files) <= store.BUCKETS * store.BUCKET_PARTS
