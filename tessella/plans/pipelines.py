@@ -14,7 +14,7 @@ from ..functions.text import text
 from ..models import Embed, Generate, call, call_checked, call_distinct, embed_column
 from ..operators import chunking, cleaning, evaluation, rerank, retrieval, store
 from ..operators import facts as facts_op
-from ..tables import once, written
+from ..tables import bound_batches, once, written
 from . import answers
 
 
@@ -33,8 +33,10 @@ def ingest_texts(texts: DataFrame, embed: Embed, dims: int = 32, least: int = 30
 
 def ingest_pages(pages: DataFrame, embed: Embed, namespace: str = "external", dims: int = 32) -> DataFrame:
     """C11, C15, POST /pipeline/external/scrape. Pages to chunks: best text, menu lines dropped, numbered sections apart."""
-    p = pages.select("url", html.page_article_text("html").alias("_a"), html.page_main_text("html").alias("_m"))
-    p = p.withColumn("_t", cleaning.clean_web_text(cleaning.page_content(F.col("_a"), F.col("_m"), cleaning.normalize_visible_text("_m"))))
+    p = once(bound_batches(pages).select("url", "html"), _x=html.page_texts("html")).select("url", F.col("_x.article").alias("_a"), F.col("_x.main").alias("_m"))
+    p = once(p, _v=cleaning.normalize_visible_text("_m"))
+    p = once(p, _c=cleaning.page_content(F.col("_a"), F.col("_m"), F.col("_v")))
+    p = once(p, _t=cleaning.clean_web_text("_c"))
     rows = p.select("url", F.explode(chunking.numbered_sections("_t")).alias("text"))
     rows = rows.select(F.lit(namespace).alias("namespace"), F.lit("web_page").alias("source_type"), F.col("url").alias("source_url"), F.concat("url", F.lit("/content.txt")).alias("source_path"), F.lit(0).alias("page"), "text")
     return ingest_texts(rows, embed, dims)

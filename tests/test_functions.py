@@ -206,3 +206,30 @@ def test_lines_are_told_by_their_patterns_alone(spark):
     known = reduce(lambda a, b: a | b, [F.col("x").rlike(cleaning._line_pattern(f)) for f in C.BOILERPLATE_LINES])
     rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", known.alias("known"), cleaning.is_boilerplate_line(F.col("x")).alias("got")).collect()
     assert all(r.known == r.got for r in rows) and sum(r.known for r in rows) > 3 * len(words)
+
+
+def test_trees_are_freed_with_their_roots():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        root = html.parse("<body><article><p>One <b>two</b></p></article></body>")
+        seen = [weakref.ref(n) for n in root.walk()]
+        assert seen[-1]().parent.name == "p"
+        del root
+        assert all(r() is None for r in seen)
+    finally:
+        gc.enable()
+
+
+def test_both_texts_of_a_page_are_those_of_two_trees():
+    long = "<p>" + "word " * 200 + "</p>"
+    pages = [None, "", "<p>only", f"<body><nav>n</nav><article><form>f</form>{long}<div class='cookie-banner'>c</div></article></body>", f"<main><section>{long}<iframe>i</iframe></section><aside>a</aside></main>"]
+    assert [html.both_texts(p) for p in pages] == [(html.article_text(p), html.main_text(p)) for p in pages]
+
+
+def test_page_content_computes_each_step_once(spark):
+    p = spark.range(3).selectExpr("concat('a', id) AS a", "concat('m', id) AS m", "concat('v', id) AS v")
+    plan = p.select(cleaning.page_content(F.col("a"), F.col("m"), F.reverse("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1
