@@ -66,3 +66,17 @@ def test_an_upsert_writes_its_rows_once(spark, tmp_path, monkeypatch):
     assert want.where("i <> id").count() == 0
     files = list((tmp_path / "store/facts/namespace=a").rglob("part-*"))
     assert len(files) <= store.BUCKETS * store.BUCKET_PARTS
+
+
+def test_a_source_is_ranked_once_for_all_who_ask(spark):
+    from tessella.operators import retrieval
+
+    c = spark.range(60).selectExpr("id", "'a' AS namespace", "'u' AS source_url", "concat('p', id % 2) AS source_path", "60 - id AS chunk_index", "'t' AS text")
+    ask = spark.createDataFrame([(1, "a", "u", "p0"), (2, "a", "u", "p0"), (3, "a", "u", ""), (4, "a", None, "p1"), (5, "b", "u", "p0"), (6, "a", "", "")], "qid long, namespace string, source_url string, source_path string")
+    out = retrieval.expand_source(c, ask, 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.qid, set()).add((r.id, r.text))
+    t = lambda *ids: {(i, "t") for i in ids}
+    assert got == {1: t(58, 56, 54), 2: t(58, 56, 54), 3: t(59, 58, 57), 4: t(59, 57, 55)}
+    assert "hashpartitioning(qid" not in plan(out)
