@@ -175,7 +175,7 @@ def numbered_sections(c: Column | str) -> Column:
 def inline_sections(c: Column | str) -> Column:
     """G9, W7. Parts that open with a number, a dot and a letter, up to the next such place."""
     parts = F.split(collapse_space(c), r"(?<!\d)(?=\d{1,2}\.\s*[\"'“”‘’(\[]?[A-Za-zก-๙])")
-    return F.filter(F.transform(parts, strip), lambda p: p.rlike(r"^\d{1,2}\.\s*[\"'“”‘’(\[]?[A-Za-zก-๙]"))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,2}\.\s*[\"'“”‘’(\[]?[A-Za-zก-๙]"))
 
 
 def section_order(section: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import chunking, cleaning
 from ..operators.facts import clip, top_fact_chunks
 from ..sources.readers import table
+from ..tables import once
 from .registry import any_of, phrases_of, query, quoted
 
 
@@ -352,9 +353,5 @@ def trend_profiles(spark, sf_dir):
     solid = F.filter(F.split("text", "\n"), lambda s: s != "")
     df = documents(spark, sf_dir).select("doc_id", F.posexplode(blocks(solid, 9)).alias("_b", "_l"))
     numbered = F.array_join(F.transform("_l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " ")
-    rows = df.select("doc_id", "_b", F.explode(chunking.inline_sections(numbered)).alias("s")).withColumn("item", articles.numbered_item(F.col("s")))
-    rows = rows.where(F.col("item").isNotNull())
-    return rows.select(
-        "doc_id", (F.col("_b") * 9 + F.col("item.order")).cast("int").alias("order"), "item.title", articles.section_lead(F.col("s"), F.col("item.title")).alias("lead"), articles.business_actions(F.col("s")).alias("actions"),
-        articles.stat_points(F.col("s")).alias("stats"), articles.source_names(F.col("s")).alias("sources"), articles.section_body(F.col("s")).alias("raw"),
-    )
+    rows = once(df.select("doc_id", "_b", F.explode(chunking.inline_sections(numbered)).alias("s")), p=articles.profile(F.col("s"))).where("p IS NOT NULL")
+    return rows.select("doc_id", (F.col("_b") * 9 + F.col("p.order")).cast("int").alias("order"), "p.title", "p.lead", "p.actions", "p.stats", "p.sources", F.col("p.body").alias("raw"))

@@ -80,3 +80,14 @@ def test_a_source_is_ranked_once_for_all_who_ask(spark):
     t = lambda *ids: {(i, "t") for i in ids}
     assert got == {1: t(58, 56, 54), 2: t(58, 56, 54), 3: t(59, 58, 57), 4: t(59, 57, 55)}
     assert "hashpartitioning(qid" not in plan(out)
+
+
+def test_profiles_compute_what_they_read_twice_once(spark, sf_dir):
+    from tessella.functions import articles
+
+    steps = QUERIES["trend_profiles"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("regexp_") < 60 and steps.count("instr(") < 20
+    section = "2.\tPet Parent  สัตว์เลี้ยงยังคงสำคัญ　CAGR)6.5% ตั้งแต่ปี 2024 ถึง 2030 Visa แนวทางธุรกิจ สร้างบริการใหม่สำหรับสัตว์เลี้ยงทั่วประเทศ \n พัฒนาอาหารสัตว์คุณภาพสูงสำหรับทุกวัย ที่มา: x"
+    p = spark.createDataFrame([(section,)], "t string").select(articles.profile(F.col("t")).alias("p")).first().p
+    assert (p.order, p.title, p.lead) == (2, "Pet Parent", "สัตว์เลี้ยงยังคงสำคัญ CAGR)6.5% ตั้งแต่ปี 2024 ถึง 2030")
+    assert (p.stats, p.sources, len(p.actions), p.body[-4:]) == (["CAGR 6.5% ช่วง 2024-2030"], ["Visa"], 2, "Visa")
