@@ -91,3 +91,17 @@ def test_profiles_compute_what_they_read_twice_once(spark, sf_dir):
     p = spark.createDataFrame([(section,)], "t string").select(articles.profile(F.col("t")).alias("p")).first().p
     assert (p.order, p.title, p.lead) == (2, "Pet Parent", "สัตว์เลี้ยงยังคงสำคัญ CAGR)6.5% ตั้งแต่ปี 2024 ถึง 2030")
     assert (p.stats, p.sources, len(p.actions), p.body[-4:]) == (["CAGR 6.5% ช่วง 2024-2030"], ["Visa"], 2, "Visa")
+
+
+def test_lists_of_a_source_are_made_in_its_row(spark, sf_dir):
+    """For each number the longest description, then title, of what isn't a copy of an earlier title."""
+    from tessella.plans import answers
+
+    p = plan(QUERIES["numbered_list_answers"](spark, sf_dir))
+    assert "Exchange" not in p and "Window" not in p
+    text = "1. One ก 1. ONE กกก 2. Two กก 2. Twin กก 2. Twins กก 3. “a” ข 9. Nine ค"
+    df = spark.createDataFrame([(1, "3 trends 1-5", text), (2, "trends 1-5", text), (3, "trends 1-5", "none"), (4, "12 trends", text), (5, "trends 1-5", None)], "qid int, question string, source_text string")
+    got = {r.qid: (r.answer.split("\n"), r.n_items) for r in answers.numbered_list_answers(df).collect()}
+    three = ["1. One: ก", "2. Twins: กก", "3. a: ข"]
+    assert got == {1: (three, 3), 2: ([*three, "9. Nine: ค"], 4)}
+    assert {(r.qid, r.order, r.title) for r in answers.numbered_items(df.where("qid = 2")).collect()} == {(2, 1, "One"), (2, 2, "Twins"), (2, 3, "a"), (2, 9, "Nine")}
