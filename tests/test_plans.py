@@ -105,3 +105,14 @@ def test_lists_of_a_source_are_made_in_its_row(spark, sf_dir):
     three = ["1. One: ก", "2. Twins: กก", "3. a: ข"]
     assert got == {1: (three, 3), 2: ([*three, "9. Nine: ค"], 4)}
     assert {(r.qid, r.order, r.title) for r in answers.numbered_items(df.where("qid = 2")).collect()} == {(2, 1, "One"), (2, 2, "Twins"), (2, 3, "a"), (2, 9, "Nine")}
+
+
+def test_profiles_of_a_source_are_compared_in_its_row(spark, sf_dir):
+    from tessella.plans import answers
+
+    assert "Exchange" not in plan(QUERIES["article_answers"](spark, sf_dir))
+    text = "1. Pet Parent ลดคาร์บอน 2. Pet Parent ที่สอง 3. Other นี้"
+    df = spark.createDataFrame([(1, "about pet parent", text), (2, "about nothing", text), (3, "about pet parent", "none")], "qid int, question string, source_text string")
+    assert [(r.qid, r.title, r.lead, r.match_score) for r in answers.article_answers(df).collect()] == [(1, "Pet Parent", "ลดคาร์บอน", 4)]
+    assert {(r.qid, r.order, r.score) for r in answers.trend_profiles(df).collect()} == {(1, 1, 4), (1, 2, 4), (1, 3, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)}
+    assert "Exchange" not in plan(answers.article_texts(df))
