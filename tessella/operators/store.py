@@ -1,11 +1,14 @@
 """The two stored tables: ids, upsert, summaries of documents.
 
 Tables are Parquet, partitioned by namespace and by a bucket of the id's hash. An
-upsert reads and writes only the buckets that the new rows touch.
+upsert reads and writes only the buckets that the new rows touch. A large one goes
+over them in passes; if it breaks off, some buckets have the new rows and some the
+old ones, and it can be run again.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text
+from ..tables import delete, settings
 
 #: Buckets of a namespace. A store keeps the number it was made with.
 BUCKETS = 64
 #: Tasks that share a bucket of a namespace, a file each.
 BUCKET_PARTS = 4
+#: Bytes of new rows, as letters of their strings and so many a row, of a pass of an upsert, in whole buckets. Only the rows of one pass are shuffled at a time.
+PASS_BYTES, ROW_BYTES = 5 << 30, 64
+#: Files that a task of an upsert has open at once; where it has rows for more folders, it sorts them first.
+OPEN_FILES = 32
 CHUNKS = (
     "id string, namespace string, source_type string, source_url string, source_path string, page int, chunk_index int, chunk_total int, text string, embedding array<float>, score_hint double"
 )
@@ -72,6 +80,30 @@ def merge_by_id(existing: DataFrame, new: DataFrame, ident: str = "id") -> DataF
     return existing.join(first.select(ident), ident, "left_anti").unionByName(first)
 
 
+def _part(ident: Column) -> Column:
+    """The task of a bucket's tasks that has a row."""
+    return F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(BUCKET_PARTS)).cast("int")
+
+
+def in_passes(touched: list[tuple[str, int, int]]) -> list[dict[str, list[int]]]:
+    """Passes over (namespace, bucket, bytes): the buckets of each namespace, a bucket's number in one pass, PASS_BYTES or one number in each."""
+    size: dict[int, int] = {}
+    spaces: dict[int, list[str]] = {}
+    for namespace, bucket, n in touched:
+        size[bucket] = size.get(bucket, 0) + n
+        spaces.setdefault(bucket, []).append(namespace)
+    out: list[dict[str, list[int]]] = []
+    held = 0
+    for bucket in sorted(size):
+        if not out or held + size[bucket] > PASS_BYTES:
+            out.append({})
+            held = 0
+        held += size[bucket]
+        for namespace in spaces[bucket]:
+            out[-1].setdefault(namespace, []).append(bucket)
+    return out
+
+
 class Store:
     """K1, K2, K5. Chunks and facts below one folder."""
 
@@ -101,31 +133,49 @@ class Store:
         return self._read("facts", FACTS)
 
     def _upsert(self, name: str, new: DataFrame, ident: Column) -> None:
+        new = new.drop("id").withColumns({"bucket": F.pmod(F.xxhash64(ident), F.lit(BUCKETS)).cast("int"), "_part": _part(ident)})
+        letters = [F.octet_length(f.name) for f in new.schema if isinstance(f.dataType, T.StringType)]
+        # At most BUCKETS rows a namespace.
+        touched = [tuple(r) for r in new.groupBy("namespace", "bucket").agg(F.sum(reduce(Column.__add__, letters, F.lit(ROW_BYTES))).alias("n")).collect()]
+        passes = in_passes(touched)
+        if len(passes) < 2:
+            for spaces in passes:
+                self._merge(name, new, ident, spaces)
+            return
+        # The new rows by pass, in columns and without their ids; a folder goes as soon as it is merged.
+        at = {b: i for i, spaces in enumerate(passes) for buckets in spaces.values() for b in buckets}
+        number = F.array(*[F.lit(at.get(b, 0)) for b in range(BUCKETS)])[F.col("bucket")]
+        waiting = f"{self.path}/_{name}-{uuid.uuid4().hex}"
+        try:
+            # A small open file for each pass, so that tasks needn't sort their rows first.
+            with settings(new.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": len(passes)}):
+                out = new.withColumn("pass", number).write.option("compression", "zstd").option("parquet.block.size", 8 << 20)
+                out.partitionBy("pass").parquet(waiting)
+            for i, spaces in enumerate(passes):
+                self._merge(name, self.spark.read.schema(new.schema).parquet(f"{waiting}/pass={i}"), ident, spaces)
+                delete(self.spark, f"{waiting}/pass={i}")
+        finally:
+            delete(self.spark, waiting)
+
+    def _merge(self, name: str, new: DataFrame, ident: Column, spaces: dict[str, list[int]]) -> None:
+        """New rows into these buckets of each namespace, which hold all of them."""
         schema = CHUNKS if name == "chunks" else FACTS
         columns = T.StructType.fromDDL(schema).names
-        bucket = F.pmod(F.xxhash64(ident), F.lit(BUCKETS)).cast("int")
-        new = new.withColumn("bucket", bucket)
-        # At most BUCKETS rows a namespace; literals, so that other partitions aren't read.
-        touched = new.select("namespace", "bucket").distinct().collect()
-        if not touched:
-            return
-        spaces: dict[str, list[int]] = {}
-        for r in touched:
-            spaces.setdefault(r["namespace"], []).append(r["bucket"])
+        # Literals, so that other partitions aren't read.
         meets = reduce(lambda a, b: a | b, [(F.col("namespace") == n) & F.col("bucket").isin(b) for n, b in spaces.items()])
         stored = self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}").where(meets)
-        # One shuffle of both, parted as the folders are. New rows get their ids behind it, as hashes don't compress.
-        part = F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(BUCKET_PARTS)).cast("int")
-        old = stored.select(*columns, "bucket", F.lit(True).alias("_old"))
-        rows = old.unionByName(new.withColumns({"id": F.lit(None).cast("string"), "_old": F.lit(False)}).select(*columns, "bucket", "_old"))
+        # One shuffle of both, parted as the folders are. Ids are made behind it, as hashes don't compress; only one that isn't its row's hash is sent.
         keys = ["namespace", "bucket", "_part"]
-        rows = rows.withColumn("_part", part).repartition(*keys).withColumn("id", F.coalesce("id", ident))
-        # The least new row of an id, or the stored one; grouped in place, without another shuffle.
+        old = stored.select(*columns, "bucket", _part(F.col("id")).alias("_part"), F.lit(True).alias("_old")).withColumn("id", F.when(F.col("id") != ident, F.col("id")))
+        rows = old.unionByName(new.withColumns({"id": F.lit(None).cast("string"), "_old": F.lit(False)}))
+        rows = rows.repartition(*keys).withColumn("id", F.coalesce("id", ident))
+        # The least new row of an id, or the stored one; grouped in place, without another shuffle, and sorted by what tells rows apart first.
         rest = [c for c in columns if c not in ("id", "namespace")]
-        merged = rows.groupBy(*keys, "id").agg(F.min(F.struct("_old", *rest)).alias("_r")).select("id", "namespace", *[F.col(f"_r.{c}").alias(c) for c in rest], "bucket")
-        # Folders are replaced when all tasks are done, so what is read stays until then.
-        out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        out.partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
+        merged = rows.groupBy("id", *keys).agg(F.min(F.struct("_old", *rest)).alias("_r")).select("id", "namespace", *[F.col(f"_r.{c}").alias(c) for c in rest], "bucket")
+        # Folders are replaced when all tasks are done, so what is read stays until then. Shuffled rows go with the write, not when memory runs short.
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": True, "spark.sql.maxConcurrentOutputFileWriters": OPEN_FILES}):
+            out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            out.partitionBy("namespace", "bucket").parquet(f"{self.path}/{name}")
 
     def upsert_chunks(self, new: DataFrame) -> None:
         self._upsert("chunks", with_defaults(new, CHUNKS), chunk_id())
